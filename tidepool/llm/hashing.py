@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U = np.uint64
-CHUNK = 3 << 20
+CHUNK = 1 << 20
 #: The six bytes that end a word, and two odd multipliers.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 BASE, BASE2 = 0x9E3779B97F4A7C15 | 1, 0xD1342543DE82EF95 | 1

@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import mix_sources
+from .sentencepiece import decode, encode
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .toxicity import fit_toxicity, score_toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,3 +54,46 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op1_toxicity")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_toxicity(docs, table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op6_sentencepiece")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text, as a digest, and whether they decode to the same bytes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    there = decode(encode(docs))
+    digest = F.sha2(F.concat_ws(" ", F.col("pieces").cast("array<string>")), 256)
+    return there.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"),
+        F.coalesce(F.size("pieces"), F.lit(0)).cast("long").alias("n_pieces"),
+        digest.alias("pieces_sha256"),
+        F.col("decoded").eqNullSafe(F.col("text").cast("binary")).alias("round_trip"),
+    )
+
+
+@query(
+    "op10_mixing",
+    rf"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('7:' || doc_id) AS h FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM d GROUP BY source),
+    o AS (SELECT *, 3.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST) AS rk FROM s),
+    l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) /
+        (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM o),
+    f AS (SELECT *, (SELECT arg_min(level, rk) FROM l WHERE level * weight <= cap) AS final FROM l),
+    p AS (SELECT source, source_size, CASE WHEN final IS NULL THEN cap ELSE least(cap, final * weight) END AS target FROM f),
+    q AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS whole FROM p),
+    r AS (SELECT doc_id, size, source_size, target, whole, greatest(0, target - whole * source_size) AS part,
+        sum(size) OVER (PARTITION BY d.source ORDER BY h, size) AS upto FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source)
+    SELECT doc_id, size, source_size, target::DOUBLE AS target, (size * (whole + CASE WHEN upto - size / 2 <= part THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+    """,
+)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs).select("doc_id", "size", "source_size", "target", "taken")

@@ -40,7 +40,7 @@ _WANTED = [np.int64, np.int32, np.int32, np.uint32, np.int32, np.int8]  # docume
 _PIECE = [np.uint32, np.int64, np.int32, np.int32]  # anchor, document, first window, windows
 _WINDOW = [U, np.int64, np.int32]  # window, document, start
 #: Records that a task holds before it combines and sends them.
-HELD = 1_500_000
+HELD = 400_000
 
 
 @dataclass(frozen=True)
