@@ -99,3 +99,30 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidepool-"))
     return df.checkpoint()
+
+
+def by_document(kind: int, dtypes: list):
+    """Blobs of a kind to one row per document (their first column): id, and the other columns as records."""
+
+    def rows(batches):
+        parts = [unpack(data, dtypes) for _, k, data, _ in blobs_in(batches) if k == kind]
+        if not parts:
+            return
+        doc, *rest = join(parts, dtypes)
+        del parts
+        order = np.argsort(doc, kind="stable")
+        doc = doc[order]
+        record = np.empty(len(doc), record_type(dtypes))
+        for i, c in enumerate(rest):
+            record[f"f{i}"] = c[order]
+        cuts = np.append(np.flatnonzero(np.append(True, doc[1:] != doc[:-1])), len(doc))
+        for at in range(0, len(cuts) - 1, 20_000):
+            c = cuts[at : at + 20_001]
+            part = record[c[0] : c[-1]]
+            yield pa.RecordBatch.from_arrays([pa.array(doc[c[:-1]]), binary_column(part.tobytes(), (c - c[0]) * record.dtype.itemsize)], names=["id", "found"])
+
+    return rows
+
+
+def record_type(dtypes: list) -> np.dtype:
+    return np.dtype([(f"f{i}", d) for i, d in enumerate(dtypes[1:])])

@@ -85,7 +85,8 @@ class Repeats:
         lo, hi = lo[keep], hi[keep]
         a = anchor[lo]
         piece = mix(hashes(lo, hi + self.length) ^ mix((a - lo).astype(U) << U(32) | (hi - lo).astype(U)))
-        return [grams[a], piece, ids[doc[lo]], (lo - first[doc[lo]]).astype(np.int32), (hi - lo + 1).astype(np.int32)]
+        # mixed again: least hashes have few high bits, and those deal the anchors out
+        return [mix(grams[a] ^ U(0xA2C3)), piece, ids[doc[lo]], (lo - first[doc[lo]]).astype(np.int32), (hi - lo + 1).astype(np.int32)]
 
     def settle(self, anchor, piece, doc, lo, n) -> tuple[np.ndarray, np.ndarray]:
         """An order by piece, and who in it stays: the first copy, and the first document's others if those aren't repeats."""
