@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_components
 from .mixing import mix_sources
+from .quality import quality
 from .sentencepiece import decode, encode
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -132,3 +133,10 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op9_quality_rules")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return quality(docs).select("doc_id", *columns, F.round("log_perplexity", 6).alias("log_perplexity"))
