@@ -13,6 +13,7 @@ from .quality import quality
 from .sentencepiece import decode, encode
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
+from .token_counts import count_tokens
 from .topk import top_k
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -140,3 +141,14 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     columns = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     return quality(docs).select("doc_id", *columns, F.round("log_perplexity", 6).alias("log_perplexity"))
+
+
+@query("op7_token_counts")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text, and again after three edits: a cut at a third, words put in at two thirds, a line at the end."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    n = F.coalesce(F.length("text"), F.lit(0))
+    edit = lambda start, end, new: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(new).alias("replacement"))
+    edits = F.array(edit(n / 3, n / 3 + 20, ""), edit(n * 2 / 3, n * 2 / 3, " and some more words"), edit(n + 20, n + 20, "\nThe end."))
+    counted = count_tokens(docs.withColumn("edits", edits), "edits")
+    return counted.select("doc_id", "n_tokens", "n_pretokens", "n_tokens_after", "n_recounted")
