@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .jaccard_join import jaccard_components
+from .language_model import score, train
 from .mixing import mix_sources
 from .quality import quality
 from .sentencepiece import decode, encode
@@ -152,3 +153,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     edits = F.array(edit(n / 3, n / 3 + 20, ""), edit(n * 2 / 3, n * 2 / 3, " and some more words"), edit(n + 20, n + 20, "\nThe end."))
     counted = count_tokens(docs.withColumn("edits", edits), "edits")
     return counted.select("doc_id", "n_tokens", "n_pretokens", "n_tokens_after", "n_recounted")
+
+
+@query("op5_language_model")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score(docs, train(docs)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
