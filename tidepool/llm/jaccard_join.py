@@ -15,9 +15,10 @@ Jaccard similarity reaches a threshold. The result is the components of links.
    less than its need aside, so any link between groups shows in one of those,
    and passages that many documents share stay aside. Groups that don't meet in
    any such shingle are never opened.
-4. For groups that do, sets of the classes concerned come together; a class is
-   compared with a group's members only if its overlap with the group's union
-   reaches its bound.
+4. For groups that do, sets of the classes that share the shingle come
+   together, once for all shingles that the same classes share. A class whose
+   overlap with the union of the other groups' sets is below its bound opens
+   none; the others are joined by their rarest shingles among those present.
 
 Very small sets, whose half says little, bring all their shingles as well, to
 meet each other. No step makes pairs within a group, and each is exact: a
@@ -44,17 +45,16 @@ from . import blobs
 from .components import components
 from .hashing import FOLD, U, Words, chunks, grams, mix
 
-CLASS, VIEW, SHARED, MEMBER, PREFIX, KEY, FETCH, SET, LINK, TOKEN = range(10)
+CLASS, VIEW, SHARED, MEMBER, PREFIX, KEY, FETCH, SET, TOKEN = range(9)
 _CLASS = [U, np.int64, np.int64]  # digest, document, shingles
 _VIEW = [U, np.int8, np.int32, np.int32, np.int32, np.int32]  # digest, universe, shingles, brought in all, need, here; extra: tokens
 _SHARED = [U, np.int8, np.int32, np.int32, np.int32, np.int32]  # the same, here: shared; extra: tokens, then in how many classes
 _MEMBER = [np.int64, np.int64, np.int64]  # document, first document of its class, shingles
 _KEY = [U, np.int64]  # least hash, document
-_FETCH = [np.int64, U, np.int8]  # document, where its set is wanted, as what
-_SET = [U, np.int64, np.int8, np.int32]  # where, document, as what, shingles; extra: shingles
-_LINK = [np.int64, np.int64]
+_FETCH = [np.int64, U, np.int8, np.int64]  # document, where its set is wanted, as what, group
+_SET = [U, np.int64, np.int8, np.int64, np.int32]  # where, document, as what, group, shingles; extra: shingles
 _TOKEN = [U, np.int64, np.int64, np.int32]  # token, document, group, shingles
-MEMBERS, LEADER, LEFT, RIGHT = range(4)
+FOLLOWER, LEADER, MEETING = range(3)
 #: Hash functions of step 2, classes that one task compares with a leader, and shingles a task holds before it sends them.
 FUNCTIONS, PER_LEADER, HELD = 3, 1024, 3_000_000
 
@@ -258,8 +258,9 @@ def _leaders(n: int):
         out = [
             np.concatenate([doc[keep], leader]),
             np.concatenate([where[keep], mix(mix(leader) + nth.astype(U))]),
-            np.concatenate([np.full(keep.sum(), MEMBERS, np.int8), np.full(len(leader), LEADER, np.int8)]),
+            np.concatenate([np.full(keep.sum(), FOLLOWER, np.int8), np.full(len(leader), LEADER, np.int8)]),
         ]
+        out.append(np.zeros(len(out[0]), np.int64))
         yield from blobs.deal(out, blobs.shard_of(mix(out[0]), n), FETCH)
 
     return lambda batches: blobs.batches_of(rows(batches))
@@ -284,63 +285,114 @@ def _send_sets(width: int, n: int):
                 for a, b in zip(cuts[:-1], cuts[1:]):
                     at = order[a:b]
                     d = of[at]
-                    yield int(shard[at[0]]), SET, blobs.pack([want["f0"][at], ids[rows][d], want["f1"][at], size[d].astype(np.int32)]), _ragged(sets, bounds[:-1][d], size[d]).tobytes()
+                    yield int(shard[at[0]]), SET, blobs.pack([want["f0"][at], ids[rows][d], want["f1"][at], want["f2"][at], size[d].astype(np.int32)]), _ragged(sets, bounds[:-1][d], size[d]).tobytes()
 
     return lambda batches: blobs.batches_of(rows(batches))
 
 
-def _compare(share: tuple[int, int]):
-    """Links among the sets that came together."""
+def _overlap(one: np.ndarray, many: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Elements that the sorted set ``one`` shares with each slice of ``many``."""
+    at = np.minimum(np.searchsorted(one, many), len(one) - 1)
+    return np.diff(np.concatenate([[0], np.cumsum(one[at] == many)])[bounds])
+
+
+def _star(leader: np.ndarray, sets: np.ndarray, start: np.ndarray, size: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Which of the sets link with the leader's."""
+    num, den = share
+    many, bounds = _ragged(sets, start, size), np.concatenate([[0], np.cumsum(size)])
+    both = _overlap(leader, many, bounds)
+    return den * both >= num * (len(leader) + size - both)
+
+
+def _meeting(doc: np.ndarray, group: np.ndarray, size: np.ndarray, sets: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links between sets of different groups: a small join of its own, by the rarest elements of each set here."""
     num, den = share
+    start = np.cumsum(size) - size
+    of = np.repeat(np.arange(len(doc)), size)
+    _, back, df = np.unique(sets, return_inverse=True, return_counts=True)
+    order = np.lexsort((back, df[back], of))
+    # of each set in that order, as many as a link can't do without
+    rank = np.arange(len(of)) - start[of[order]]
+    prefix = order[rank < (size + (-num * size // den) + 1)[of[order]]]
+    prefix = prefix[df[back[prefix]] > 1]
+    order = np.lexsort((size[of[prefix]], back[prefix]))
+    token, holder = back[prefix][order], of[prefix][order]
+    cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)) if len(token) else [0]
+    near: list[np.ndarray] = []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        h = holder[a:b]
+        if b - a < 2 or (group[h] == group[h[0]]).all():
+            continue
+        upto = np.searchsorted(size[h], size[h] * den // num, "right")
+        for i in range(len(h) - 1):
+            other = h[i + 1 : upto[i]]
+            other = other[group[other] != group[h[i]]]
+            if len(other):
+                near.append(np.stack([np.minimum(h[i], other), np.maximum(h[i], other)], axis=1))
+        if len(near) > 5000:
+            near = [np.unique(np.concatenate(near), axis=0)]
+    if not near:
+        return []
+    out = []
+    pairs = np.unique(np.concatenate(near), axis=0)
+    for a in np.unique(pairs[:, 0]).tolist():
+        others = pairs[pairs[:, 0] == a, 1]
+        hit = _star(sets[start[a] : start[a] + size[a]], sets, start[others], size[others], share)
+        out += [(int(doc[a]), int(doc[b])) for b in others[hit].tolist()]
+    return out
+
 
-    def overlap(one: np.ndarray, many: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(one, many)
-        hit = one[np.minimum(at, len(one) - 1)] == many
-        return np.diff(np.concatenate([[0], np.cumsum(hit)])[bounds])
-
-    def links(role, doc, size, sets):
-        start = np.cumsum(size) - size
-        left = np.flatnonzero(role % 2 == 1)
-        right = np.flatnonzero(role % 2 == 0)
-        if not len(left) or not len(right):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        many, bounds = _ragged(sets, start[right], size[right]), np.concatenate([[0], np.cumsum(size[right])])
-        union = np.unique(many) if len(right) > 1 else many
-        a, b = [], []
-        for q in left.tolist():
-            one = sets[start[q] : start[q] + size[q]]
-            if len(right) > 1 and len(left) > 1:  # the bound by the group's union
-                if den * overlap(one, union, np.array([0, len(union)]))[0] < num * len(one):
-                    continue
-            both = overlap(one, many, bounds)
-            hit = right[den * both >= num * (len(one) + size[right] - both)]
-            hit = hit[doc[hit] != doc[q]]
-            a.append(np.full(len(hit), doc[q]))
-            b.append(doc[hit])
-        return (np.concatenate(a), np.concatenate(b)) if a else (np.zeros(0, np.int64),) * 2
+def _compare(share: tuple[int, int]):
+    """Links among the sets that came together: with a leader, or of groups that meet."""
+    num, den = share
 
     def rows(batches):
         found: dict[int, list] = {}
         for shard, _, data, extra in blobs.blobs_in(batches):
             found.setdefault(shard, []).append((blobs.unpack(data, _SET), extra))
         for parts in found.values():
-            where, doc, role, size = blobs.join([x for x, _ in parts], _SET)
+            where, doc, role, group, size = blobs.join([x for x, _ in parts], _SET)
             sets = np.frombuffer(b"".join(x for _, x in parts), U)
             del parts
-            start = np.cumsum(size.astype(np.int64)) - size
+            size = size.astype(np.int64)
+            start = np.cumsum(size) - size
             order = np.lexsort((doc, role, where))
             w = where[order]
             cuts = np.append(np.flatnonzero(np.append(True, w[1:] != w[:-1])), len(w))
+            links: list[tuple[int, int]] = []
             for x, y in zip(cuts[:-1], cuts[1:]):
                 at = order[x:y]
-                s = size[at].astype(np.int64)
-                a, b = links(role[at], doc[at], s, _ragged(sets, start[at], s))
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                if role[at[-1]] == MEETING:
+                    # the bound by the groups' unions: what no other group's union shares enough of stays closed
+                    at = _open(at, group, size, start, sets, share)
+                    if len(at) > 1:
+                        links += _meeting(doc[at], group[at], size[at], _ragged(sets, start[at], size[at]), share)
+                elif role[at[-1]] == LEADER and len(at) > 1:
+                    lead, at = at[-1], at[:-1]
+                    hit = at[_star(sets[start[lead] : start[lead] + size[lead]], sets, start[at], size[at], share)]
+                    links += [(int(doc[lead]), int(d)) for d in doc[hit].tolist() if d != doc[lead]]
+            if links:
+                a, b = np.array(links, np.int64).T
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     return rows
 
 
+def _open(at: np.ndarray, group: np.ndarray, size: np.ndarray, start: np.ndarray, sets: np.ndarray, share: tuple[int, int]) -> np.ndarray:
+    """Those whose overlap with the union of the other groups reaches their bound."""
+    num, den = share
+    values = _ragged(sets, start[at], size[at])
+    of = np.repeat(np.arange(len(at)), size[at])
+    _, back = np.unique(values, return_inverse=True)
+    g = np.unique(group[at], return_inverse=True)[1][of]
+    # an element is in another group's union unless all that hold it are of one group
+    low, high = np.full(back.max() + 1, len(at)), np.full(back.max() + 1, -1)
+    np.minimum.at(low, back, g)
+    np.maximum.at(high, back, g)
+    elsewhere = np.bincount(of, (low != high)[back], len(at))
+    return at[den * elsewhere >= num * size[at]]
+
+
 def _tokens(n: int):
     """Rarest tokens with the class and the group that hold them, to the tokens' shards."""
 
@@ -356,52 +408,27 @@ def _tokens(n: int):
 
 
 def _meet(share: tuple[int, int], n: int):
-    """Groups that meet in a token: which classes of theirs to compare."""
+    """Groups that meet in a token: which classes of theirs come together, once for all tokens that the same ones hold."""
     num, den = share
 
     def rows(batches):
         token, doc, group, size = blobs.join([blobs.unpack(data, _TOKEN) for *_, data, _ in blobs.blobs_in(batches)], _TOKEN)
-        order = np.lexsort((size, group, token))
-        token, doc, group, size = token[order], doc[order], group[order], size[order].astype(np.int64)
-        cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)) if len(token) else np.zeros(1, np.int64)
-        seen: list[np.ndarray] = []
-        held = 0
-
-        def settle():
-            pairs = np.unique(np.concatenate(seen), axis=0) if seen else np.zeros((0, 2), np.int64)
-            seen[:] = [pairs]
-            return len(pairs)
-
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            if group[a] == group[b - 1]:
-                continue
-            s, g, d = size[a:b], group[a:b], doc[a:b]
-            by = np.argsort(s, kind="stable")
-            s, g, d = s[by], g[by], d[by]
-            upto = np.searchsorted(s, s * den // num, "right")  # sizes that a link allows
-            for i in range(len(s) - 1):
-                other = np.arange(i + 1, upto[i])
-                other = other[g[other] != g[i]]
-                if len(other):
-                    seen.append(np.stack([np.minimum(d[i], d[other]), np.maximum(d[i], d[other])], axis=1))
-                    held += len(other)
-                    if held > 1_000_000:
-                        held = settle() // 2
-        settle()
-        if not len(seen[0]):
+        if not len(token):
             return
-        of, at = np.unique(doc, return_index=True)
-        group = group[at]
-        x, y = seen[0].T
-        gx, gy = group[np.searchsorted(of, x)], group[np.searchsorted(of, y)]
-        swap = gx > gy
-        x, y, gx, gy = np.where(swap, y, x), np.where(swap, x, y), np.where(swap, gy, gx), np.where(swap, gx, gy)
-        where = mix(mix(gx) + mix(gy ^ np.int64(1)))
-        out = [np.concatenate([x, y]), np.concatenate([where, where]), np.repeat(np.array([LEFT, RIGHT], np.int8), len(x))]
-        kept = np.unique(np.rec.fromarrays(out))
-        out = [kept["f0"], kept["f1"], kept["f2"]]
-        # LEFT is even as MEMBERS is, RIGHT odd as LEADER
-        yield from blobs.deal(out, blobs.shard_of(mix(out[0]), n), FETCH)
+        order = np.lexsort((doc, token))
+        token, doc, group, size = token[order], doc[order], group[order], size[order].astype(np.int64)
+        opens = np.append(True, token[1:] != token[:-1])
+        which = np.cumsum(opens) - 1
+        begin = np.flatnonzero(opens)
+        held = np.diff(np.append(begin, len(token)))
+        several = np.minimum.reduceat(group, begin) != np.maximum.reduceat(group, begin)
+        # of two alone, the sizes must allow a link
+        small, large = np.minimum.reduceat(size, begin), np.maximum.reduceat(size, begin)
+        several &= (held > 2) | (den * small >= num * large)
+        name = mix(np.add.reduceat(mix(doc), begin) ^ held.astype(U))
+        keep = several[which]
+        out = np.unique(np.rec.fromarrays([doc[keep], name[which][keep], np.full(keep.sum(), MEETING, np.int8), group[keep]]))
+        yield from blobs.deal([out[f] for f in out.dtype.names], blobs.shard_of(mix(out["f0"]), n), FETCH)
 
     return lambda batches: blobs.batches_of(rows(batches))
 
