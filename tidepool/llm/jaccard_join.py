@@ -408,7 +408,12 @@ def _tokens(n: int):
 
 
 def _meet(share: tuple[int, int], n: int):
-    """Groups that meet in a token: which classes of theirs come together, once for all tokens that the same ones hold."""
+    """Groups that meet in a token: which classes of theirs come together, once for all tokens that the same ones hold.
+
+    Where a token has few pairs across groups, the classes of each two groups
+    meet by themselves, as they do in other tokens; else all of the token's
+    holders meet at once, so sets never travel once per pair.
+    """
     num, den = share
 
     def rows(batches):
@@ -422,13 +427,35 @@ def _meet(share: tuple[int, int], n: int):
         begin = np.flatnonzero(opens)
         held = np.diff(np.append(begin, len(token)))
         several = np.minimum.reduceat(group, begin) != np.maximum.reduceat(group, begin)
-        # of two alone, the sizes must allow a link
-        small, large = np.minimum.reduceat(size, begin), np.maximum.reduceat(size, begin)
-        several &= (held > 2) | (den * small >= num * large)
         name = mix(np.add.reduceat(mix(doc), begin) ^ held.astype(U))
-        keep = several[which]
-        out = np.unique(np.rec.fromarrays([doc[keep], name[which][keep], np.full(keep.sum(), MEETING, np.int8), group[keep]]))
-        yield from blobs.deal([out[f] for f in out.dtype.names], blobs.shard_of(mix(out["f0"]), n), FETCH)
+        lists = np.flatnonzero(several)
+        lists = lists[np.unique(name[lists], return_index=True)[1]]
+        out, pairs = [], []
+        for at in lists.tolist():
+            d, g, s = (c[begin[at] : begin[at] + held[at]] for c in (doc, group, size))
+            _, own = np.unique(g, return_counts=True)
+            m = len(d)
+            if (m * (m - 1) - (own * (own - 1)).sum()) // 2 > 4 * m:
+                out.append([d, np.full(m, name[at]), g])  # together: fewer sets travel than in pairs
+                continue
+            by = np.argsort(s, kind="stable")
+            d, g, s = d[by], g[by], s[by]
+            upto = np.searchsorted(s, s * den // num, "right")  # sizes that a link allows
+            for i in range(m - 1):
+                other = np.arange(i + 1, upto[i])
+                other = other[g[other] != g[i]]
+                if len(other):
+                    pairs.append(np.stack([np.full(len(other), d[i]), np.full(len(other), g[i]), d[other], g[other]], axis=1))
+            if len(pairs) > 20_000:
+                pairs = [np.unique(np.concatenate(pairs), axis=0)]
+        if pairs:
+            x, gx, y, gy = np.unique(np.concatenate(pairs), axis=0).T
+            where = mix(mix(np.minimum(gx, gy)) + mix(np.maximum(gx, gy) ^ np.int64(1)))
+            out += [[x, where, gx], [y, where, gy]]
+        if out:
+            d, where, g = (np.concatenate(c) for c in zip(*out))
+            sent = np.unique(np.rec.fromarrays([d, where, np.full(len(d), MEETING, np.int8), g]))
+            yield from blobs.deal([sent[f] for f in sent.dtype.names], blobs.shard_of(mix(sent["f0"]), n), FETCH)
 
     return lambda batches: blobs.batches_of(rows(batches))
 
