@@ -57,6 +57,8 @@ _TOKEN = [U, np.int64, np.int64, np.int32]  # token, document, group, shingles
 FOLLOWER, LEADER, MEETING = range(3)
 #: Hash functions of step 2, classes that one task compares with a leader, and shingles a task holds before it sends them.
 FUNCTIONS, PER_LEADER, HELD = 3, 1024, 3_000_000
+#: Possible partners in other groups, on average over a token's holders, beyond which they all meet at once.
+PARTNERS = 200
 
 
 def shingle_sets(flat: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -299,6 +301,10 @@ def _overlap(one: np.ndarray, many: np.ndarray, bounds: np.ndarray) -> np.ndarra
 def _star(leader: np.ndarray, sets: np.ndarray, start: np.ndarray, size: np.ndarray, share: tuple[int, int]) -> np.ndarray:
     """Which of the sets link with the leader's."""
     num, den = share
+    if len(start) == 1:
+        many = sets[start[0] : start[0] + size[0]]
+        both = np.count_nonzero(leader[np.minimum(np.searchsorted(leader, many), len(leader) - 1)] == many)
+        return np.array([den * both >= num * (len(leader) + len(many) - both)])
     many, bounds = _ragged(sets, start, size), np.concatenate([[0], np.cumsum(size)])
     both = _overlap(leader, many, bounds)
     return den * both >= num * (len(leader) + size - both)
@@ -362,7 +368,13 @@ def _compare(share: tuple[int, int]):
             links: list[tuple[int, int]] = []
             for x, y in zip(cuts[:-1], cuts[1:]):
                 at = order[x:y]
-                if role[at[-1]] == MEETING:
+                if role[at[-1]] == MEETING and len(at) <= 6:
+                    for i, one in enumerate(at[:-1].tolist()):
+                        other = at[i + 1 :][group[at[i + 1 :]] != group[one]]
+                        if len(other):
+                            hit = other[_star(sets[start[one] : start[one] + size[one]], sets, start[other], size[other], share)]
+                            links += [(int(doc[one]), int(d)) for d in doc[hit].tolist()]
+                elif role[at[-1]] == MEETING:
                     # the bound by the groups' unions: what no other group's union shares enough of stays closed
                     at = _open(at, group, size, start, sets, share)
                     if len(at) > 1:
@@ -435,12 +447,13 @@ def _meet(share: tuple[int, int], n: int):
             d, g, s = (c[begin[at] : begin[at] + held[at]] for c in (doc, group, size))
             _, own = np.unique(g, return_counts=True)
             m = len(d)
-            if (m * (m - 1) - (own * (own - 1)).sum()) // 2 > 4 * m:
-                out.append([d, np.full(m, name[at]), g])  # together: fewer sets travel than in pairs
-                continue
             by = np.argsort(s, kind="stable")
             d, g, s = d[by], g[by], s[by]
             upto = np.searchsorted(s, s * den // num, "right")  # sizes that a link allows
+            across = min((m * (m - 1) - (own * (own - 1)).sum()) // 2, (upto - np.arange(m) - 1).sum())
+            if across > PARTNERS * m:
+                out.append([d, np.full(m, name[at]), g])  # together: fewer sets travel than in pairs
+                continue
             for i in range(m - 1):
                 other = np.arange(i + 1, upto[i])
                 other = other[g[other] != g[i]]
