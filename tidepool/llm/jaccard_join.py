@@ -3,10 +3,11 @@
 Documents are sets of shingles (hashed runs of words); two link when their
 Jaccard similarity reaches a threshold. The result is the components of links.
 
-1. Equal sets are one *class*. Half of all shingles, chosen by hash and so the
-   same half in every document, are dealt out by shingle with the classes that
-   hold them. A link needs a number of shared shingles in that half (the class's
-   *need*); classes that don't share as many with all others together drop out.
+1. Equal sets are one *class*. Three quarters of all shingles, chosen by hash and
+   so the same ones in every document, are dealt out by shingle with the classes
+   that hold them. A link needs a number of shared shingles among those (the
+   class's *need*); classes that don't share as many with all others together
+   drop out.
 2. What remains is parted into *groups* of similar classes: those with an equal
    least hash are compared with one leader, and links found join a group.
    Copies by the thousand become one group at a cost linear in their number.
@@ -20,8 +21,8 @@ Jaccard similarity reaches a threshold. The result is the components of links.
    overlap with the union of the other groups' sets is below its bound opens
    none; the others are joined by their rarest shingles among those present.
 
-Very small sets, whose half says little, bring all their shingles as well, to
-meet each other. No step makes pairs within a group, and each is exact: a
+Very small sets, of which the choice says little, bring all their shingles as
+well, to meet each other. No step makes pairs within a group, and each is exact: a
 missed link in step 2 is found in steps 3 and 4.
 
 Defined results: words are lower-cased A-Z; with fewer words than a shingle
@@ -108,21 +109,21 @@ def _first_map(width: int, share: tuple[int, int], n: int):
         _, first = np.unique(digest, return_index=True)
         digest, sizes, start = digest[first], sizes[first], start[first]
         tokens, of = mix(_ragged(sets, start, sizes)), np.repeat(np.arange(len(first)), sizes)
-        half = tokens >> U(63) == 0
-        brought = np.bincount(of[half], minlength=len(first))
+        chosen = tokens >> U(62) < 3
+        brought = np.bincount(of[chosen], minlength=len(first))
         least = -(-num * sizes // den)
         need = least - (sizes - brought)
         small = (need < 1) | (sizes <= 12)
-        # the half, and for small sets all, as tokens of another kind
+        # those chosen, and for small sets all, as tokens of another kind
         again = small[of]
         head = [np.concatenate([c, c[small]]) for c in (digest, sizes)]
         kind = np.concatenate([np.zeros(len(first), np.int8), np.ones(small.sum(), np.int8)])
         total = np.concatenate([brought, sizes[small]])
         needs = np.concatenate([np.maximum(np.where(small, 1, need), 1), least[small]])
         place = np.cumsum(small) - 1 + len(first)
-        of = np.concatenate([of[half], place[of[again]]])
-        # the upper bit is used up by the choice of the half
-        every = np.concatenate([mix(tokens[half] ^ U(1)), mix(tokens[again] ^ U(2))])
+        of = np.concatenate([of[chosen], place[of[again]]])
+        # the upper bits are used up by the choice
+        every = np.concatenate([mix(tokens[chosen] ^ U(1)), mix(tokens[again] ^ U(2))])
         yield from _deal_views([head[0], kind, head[1].astype(np.int32), total.astype(np.int32), needs.astype(np.int32)], of, every, n)
 
     def rows(batches):
@@ -321,30 +322,24 @@ def _meeting(doc: np.ndarray, group: np.ndarray, size: np.ndarray, sets: np.ndar
     rank = np.arange(len(of)) - start[of[order]]
     prefix = order[rank < (size + (-num * size // den) + 1)[of[order]]]
     prefix = prefix[df[back[prefix]] > 1]
-    order = np.lexsort((size[of[prefix]], back[prefix]))
-    token, holder = back[prefix][order], of[prefix][order]
-    cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token)) if len(token) else [0]
-    near: list[np.ndarray] = []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        h = holder[a:b]
-        if b - a < 2 or (group[h] == group[h[0]]).all():
-            continue
-        upto = np.searchsorted(size[h], size[h] * den // num, "right")
-        for i in range(len(h) - 1):
-            other = h[i + 1 : upto[i]]
-            other = other[group[other] != group[h[i]]]
-            if len(other):
-                near.append(np.stack([np.minimum(h[i], other), np.maximum(h[i], other)], axis=1))
-        if len(near) > 5000:
-            near = [np.unique(np.concatenate(near), axis=0)]
-    if not near:
-        return []
+    order = np.argsort(back[prefix], kind="stable")
+    holder = of[prefix][order]
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(back[prefix], minlength=len(df)))])
+    mine = np.searchsorted(of[prefix], np.arange(len(doc) + 1))  # each set's own slice of ``prefix``
+    label = np.unique(group, return_inverse=True)[1]
     out = []
-    pairs = np.unique(np.concatenate(near), axis=0)
-    for a in np.unique(pairs[:, 0]).tolist():
-        others = pairs[pairs[:, 0] == a, 1]
-        hit = _star(sets[start[a] : start[a] + size[a]], sets, start[others], size[others], share)
-        out += [(int(doc[a]), int(doc[b])) for b in others[hit].tolist()]
+    for a in range(len(doc)):
+        tokens = back[prefix[mine[a] : mine[a + 1]]]
+        near = np.unique(_ragged(holder, bounds[tokens], bounds[tokens + 1] - bounds[tokens]))
+        # links already found join groups, and within a group nothing needs to be compared
+        near = near[(near > a) & (label[near] != label[a]) & (den * np.minimum(size[near], size[a]) >= num * np.maximum(size[near], size[a]))]
+        while len(near):
+            part, near = near[:64], near[64:]
+            hit = part[_star(sets[start[a] : start[a] + size[a]], sets, start[part], size[part], share)]
+            if len(hit):
+                out += [(int(doc[a]), int(doc[b])) for b in hit.tolist()]
+                label[np.isin(label, label[hit])] = label[a]
+                near = near[label[near] != label[a]]
     return out
 
 
