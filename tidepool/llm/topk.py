@@ -93,7 +93,7 @@ def _queries_of(every: int):
 
 def _slices(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
     """Local scores on each node; exact, as long integers where doubles might round."""
-    if len(q) and len(c) and np.abs(q).max() * np.abs(c).max() * max(1, q.shape[1]) >= 2.0**53:
+    if len(q) and len(c) and np.abs(q).max(initial=0) * np.abs(c).max(initial=0) * max(1, q.shape[1]) >= 2.0**53:
         q, c = q.astype(np.int64), c.astype(np.int64)
     bounds = np.linspace(0, q.shape[1], SLICES + 1).astype(int)
     return [q[:, a:b] @ c[:, a:b].T for a, b in zip(bounds[:-1], bounds[1:])]
