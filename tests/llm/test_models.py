@@ -76,6 +76,33 @@ def test_language_model_equals_a_plain_one(docs, texts):
     assert len(got) == len(tokens) and total[False] > 0
 
 
+def test_language_model_keeps_ngrams_of_words_that_occur_once(spark):
+    rare = " ".join(f"once{i}" for i in range(30))
+    rows = [(d, rare if d == 7 else " ".join(f"w{(d * i) % 11}" for i in range(40))) for d in range(400)]
+    rows.append((next(d for d in range(1000, 2000) if zlib.crc32(str(d).encode()) % 10 == 0), rare))
+    assert zlib.crc32(b"7") % 10 != 0
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    trie = train(docs)
+    got = {r.doc_id: r for r in score(docs, trie).collect()}
+    s = [[None, *t.split(), None] for d, t in rows if zlib.crc32(str(d).encode()) % 10 != 0]
+    c2, c3 = Counter(x for t in s for x in zip(t, t[1:])), Counter(x for t in s for x in zip(t, t[1:], t[2:]))
+    c, after2, after3 = Counter(x for t in s for x in t[1:]), defaultdict(float), defaultdict(float)
+    for (a, _), k in c2.items():
+        after2[a] += (k - 0.75) / c[a]
+    for (a, b, _), k in c3.items():
+        after3[a, b] += (k - 0.75) / c2[a, b]
+    for d, t in rows:
+        t, full = [None, *t.split(), None], 0.0
+        for i in range(1, len(t)):
+            p = (c[t[i]] + 0.1) / (sum(c.values()) + 0.1 * (len(c) + 1))
+            p = max(c2[t[i - 1], t[i]] - 0.75, 0) / c[t[i - 1]] + (1 - after2[t[i - 1]]) * p
+            if i > 1:
+                p = max(c3[t[i - 2], t[i - 1], t[i]] - 0.75, 0) / c2[t[i - 2], t[i - 1]] + (1 - after3[t[i - 2], t[i - 1]]) * p
+            full += math.log10(p)
+        assert abs(got[d].score - full) < 0.03 * (len(t) - 1), d
+    assert got[rows[-1][0]].score > -0.5 * 31  # a quarter a trigram at least, though each word occurs once
+
+
 def test_language_model_without_rows(docs, empty):
     trie = train(empty)
     assert (trie.total, trie.distinct) == (0, 0)

@@ -1,23 +1,23 @@
 """An n-gram language model in a trie of Elias-Fano levels, trained and read by Spark tasks.
 
 Tokens are words and one end per document; the end also stands before the
-first word. Words of the training documents are counted exactly, all of them.
-A bigram is kept where both words occur at least ``often[0]`` times the root
-of N, and a trigram where all three occur at least ``often[1]`` times it (2 at
-least; N: training tokens). New words keep coming as a corpus grows, about as
-its root, so with these bounds the model grows in proportion to the corpus. Of
-n-grams kept, every occurrence in the training documents counts. A shorter context takes over for the others, with the probability
-that discounting leaves it:
+first word. Every word, bigram and trigram of the training documents is kept,
+with its exact count, those that occur once included. A caller may ask for
+less with ``often``. A shorter context takes over for n-grams that training
+documents don't have, with the probability that discounting leaves it:
 
     p1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
     p2(w | v) = (c(v w) - D)+ / c(v) + left(v) p1(w)
     p3(w | u v) = (c(u v w) - D)+ / c(u v) + left(u v) p2(w | v)
 
 Each shard of the trie holds the words of a range of hashes and what they
-begin: sorted hashes and counts of its words; for each frequent word a pointer
-to its successors, which lie in one monotone sequence (their numbers, raised
-by the last value before their context); for each bigram a pointer to its own
-successors, which are stored as places among the successors of its last word.
+begin: sorted hashes and counts of its words; for each word a pointer to its
+successors, which lie in one monotone sequence (their numbers, raised by the
+last value before their context). Bigrams are numbered in that order, and the
+shards of trigrams are ranges of those numbers, cut so that a shard's bigrams
+occur about equally often: what begins with a common word fills many of them.
+For each bigram they have a pointer to its own successors, which are stored as
+places among the successors of its last word.
 Pointers and sequences are Elias-Fano coded; discounted probabilities and left
 masses take one byte each. A query finds a bigram by successor search within
 its context's range, and a trigram by the place that its last bigram has there.
@@ -54,8 +54,7 @@ from .hashing import FOLD, U, Words, chunks, mix
 
 WORD, PAIR, TRIPLE = range(3)
 _WORD = [U, np.int64]
-_PAIR = [np.uint32, np.uint32, np.uint32]
-_TRIPLE = [np.uint32, np.uint32, np.uint32, np.uint32]
+_GRAM = [np.uint32, np.uint32, np.uint32]  # context within its shard, item, occurrences
 END = mix(np.array([0xE4D], U))[0]
 HELD, CHUNK = 2_000_000, 2 << 20
 DISCOUNT = 0.75
@@ -123,7 +122,10 @@ class Trie:
     total: int = 0  # N
     distinct: int = 0  # V
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # number of each shard's first frequent word
-    often: tuple[int, int] = (2, 2)
+    often: tuple[int, int] = (1, 1)
+    frequent: int = 0  # words that have numbers
+    pair_first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # number of each shard's first bigram
+    parts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # number of each trigram shard's first bigram
 
     def __post_init__(self):
         self.open: dict[str, dict] = {}
@@ -168,8 +170,18 @@ class Trie:
     def home(self, number: np.ndarray) -> np.ndarray:
         return (np.searchsorted(self.first, number, "right") - 1).astype(np.int32)
 
+    def part(self, pair: np.ndarray) -> np.ndarray:
+        return (np.searchsorted(self.parts, pair, "right") - 1).astype(np.int32)
+
+    def totals(self, part: int) -> np.ndarray:
+        """Occurrences of the bigrams that begin a trigram shard's trigrams. While training only."""
+        home = int(np.searchsorted(self.pair_first, self.parts[part], "right")) - 1
+        end = self.parts[part + 1] if part + 1 < len(self.parts) else None
+        begin = self.pair_first[home]
+        return self.level(0, home)["n"][self.parts[part] - begin : None if end is None else end - begin]
+
     def pairs(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of frequent words v w: the bigram's place in its shard (-1: none), its place among v's, its discounted probability, and what v leaves."""
+        """Of frequent words v w: the bigram's number (-1: none), its place among v's, its discounted probability, and what v leaves."""
         place, rank = np.full(len(v), -1, np.int64), np.full(len(v), -1, np.int64)
         prob, left = np.zeros(len(v)), np.ones(len(v))
         for shard, at in self.by_shard(self.home(v)):
@@ -178,24 +190,45 @@ class Trie:
             left[at] = level["left_table"][level["left"][local]]
             found, begin = _find(level, local, w[at], True)
             hit = found >= 0
-            place[at], rank[at] = found, np.where(hit, found - begin, -1)
+            place[at], rank[at] = np.where(hit, found + self.pair_first[shard], -1), np.where(hit, found - begin, -1)
             prob[at[hit]] = level["prob_table"][level["prob"][found[hit]]]
         return place, rank, prob, left
 
-    def triples(self, u: np.ndarray, pair: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the bigram at ``pair`` in u's shard and the place of the next word among its last word's: discounted probability, and what the bigram leaves."""
-        prob, left = np.zeros(len(u)), np.ones(len(u))
-        for shard, at in self.by_shard(self.home(u)):
-            level = self.level(3, shard)
+    def triples(self, pair: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of bigrams by number and the place of the next word among the last word's: discounted probability, and what the bigram leaves."""
+        prob, left = np.zeros(len(pair)), np.ones(len(pair))
+        for part, at in self.by_shard(self.part(pair)):
+            level = self.level(3, part)
             if not level:
                 continue
-            left[at] = level["left_table"][level["left"][pair[at]]]
-            some = at[rank[at] >= 0]
-            found, _ = _find(level, pair[some], rank[some], False)
+            local = pair[at] - self.parts[part]
+            left[at] = level["left_table"][level["left"][local]]
+            some = np.flatnonzero(rank[at] >= 0)
+            found, _ = _find(level, local[some], rank[at[some]], False)
             hit = found >= 0
-            prob[some[hit]] = level["prob_table"][level["prob"][found[hit]]]
+            prob[at[some[hit]]] = level["prob_table"][level["prob"][found[hit]]]
         return prob, left
 
+    def keys(self, tokens: np.ndarray, first: np.ndarray, kind: int) -> np.ndarray:
+        """A number for each occurrence of a bigram or trigram: its context's, times how many words have numbers, plus its item's."""
+        unique, back = np.unique(tokens, return_inverse=True)
+        count, number = (x[back] for x in self.words(unique))
+        v = np.where(first, self._end, np.append(-1, number[:-1]))
+        at = np.flatnonzero((number >= 0) & (v >= 0))
+        key = v[at].astype(U) * U(self.frequent) + number[at].astype(U)
+        if kind == PAIR:
+            return key
+        key, again = np.unique(key, return_inverse=True)
+        n = U(max(1, self.frequent))
+        found = self.pairs((key // n).astype(np.int64), (key % n).astype(np.int64))
+        place, rank = np.full(len(tokens), -1, np.int64), np.full(len(tokens), -1, np.int64)
+        place[at], rank[at] = found[0][again], found[1][again]
+        often = count >= self.often[1]
+        ends = np.where(first, self.often_end, np.append(False, often[:-1]))
+        begins, context = np.append(False, ends[:-1]), np.append(-1, place[:-1])
+        at = np.flatnonzero(often & ends & begins & ~first & (context >= 0) & (rank >= 0))
+        return context[at].astype(U) * n + rank[at].astype(U)
+
     def score(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By token: count in the training documents, base and model probability. ``first``: marks documents' first tokens."""
         unique, back = np.unique(tokens, return_inverse=True)
@@ -223,9 +256,8 @@ class Trie:
         # the bigram that ends before a token is its context, if it begins in the document
         context = np.append(-1, place[:-1]) if len(place) else place
         context[first] = -1
-        u = np.append(-1, before[:-1]) if len(before) else before
         at = np.flatnonzero(context >= 0)
-        prob, left = self.triples(u[at], context[at], rank[at])
+        prob, left = self.triples(context[at], rank[at])
         p[at] = prob + left * p[at]
         return count, base, p
 
@@ -337,72 +369,54 @@ def _number_words(trie: Trie):
     return rows
 
 
-def _count_grams(trie: Trie):
+def _count_grams(trie: Trie, kind: int):
+    shard_of, begins = (trie.home, trie.first) if kind == PAIR else (trie.part, trie.parts)
+
     def rows(batches):
-        pairs, triples, size = [], [], 0
+        held, size = [], 0
 
         def flush():
-            for kind, held, dtypes in ((PAIR, pairs, _PAIR), (TRIPLE, triples, _TRIPLE)):
-                *keys, n = _by_key(held, dtypes)
-                columns = [*keys, n.astype(np.uint32)]
-                for shard, at in trie.by_shard(trie.home(keys[0].astype(np.int64))):
-                    yield shard, kind, _press([c[at] for c in columns]), None
-                held.clear()
+            key = np.sort(np.concatenate(held))
+            new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            n = np.diff(np.append(new, len(key)))
+            context, item = (x.astype(np.int64) for x in np.divmod(key[new], U(max(1, trie.frequent))))
+            shard = shard_of(context)
+            columns = [(context - begins[shard]).astype(np.uint32), item.astype(np.uint32), n.astype(np.uint32)]
+            for s, at in trie.by_shard(shard):
+                yield s, kind, _press([c[at] for c in columns]), None
 
         for batch in batches:
             for _, flat, offsets in chunks(batch, 0, CHUNK):
                 tokens, first = _tokens(flat, offsets)
-                unique, back = np.unique(tokens, return_inverse=True)
-                count, number = (x[back] for x in trie.words(unique))
-                v = np.where(first, trie._end, np.append(-1, number[:-1]))
-                at = np.flatnonzero((number >= 0) & (v >= 0))
-                pairs.append([v[at].astype(np.uint32), number[at].astype(np.uint32), np.ones(len(at), np.uint32)])
-                often = count >= trie.often[1]
-                ends = np.where(first, trie.often_end, np.append(False, often[:-1]))
-                u, begins = np.append(-1, v[:-1]), np.append(False, ends[:-1])
-                at = np.flatnonzero(often & ends & begins & ~first)
-                triples.append([u[at].astype(np.uint32), v[at].astype(np.uint32), number[at].astype(np.uint32), np.ones(len(at), np.uint32)])
+                held.append(trie.keys(tokens, first, kind))
                 size += len(tokens)
                 if size >= HELD:
                     yield from flush()
-                    size = 0
+                    held, size = [], 0
         if size:
             yield from flush()
 
     return lambda batches: blobs.batches_of(rows(batches))
 
 
-def _write_pairs(trie: Trie):
+def _write_grams(trie: Trie, kind: int):
     def rows(batches):
         found: dict[int, list] = {}
         for shard, _, data, _ in blobs.blobs_in(batches):
-            found.setdefault(shard, []).append(_unpress(data, _PAIR))
-        for shard in found:
-            v, w, n = _by_key(found[shard], _PAIR)
-            context = v.astype(np.int64) - int(trie.first[shard])
-            level = _level(context, w.astype(np.int64), n, trie.level(4, shard)["frequent"])
-            save(trie.file(2, shard), level)
-            save(trie.file(0, shard), {"n": n})  # for the next level
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(n)], pa.int64())], names=["shard", "grams"])
-
-    return rows
-
-
-def _write_triples(trie: Trie):
-    def rows(batches):
-        found: dict[int, list] = {}
-        for shard, _, data, _ in blobs.blobs_in(batches):
-            found.setdefault(shard, []).append(_unpress(data, _TRIPLE))
-        for shard in found:
-            u, v, w, n = (x.astype(np.int64) for x in _by_key(found[shard], _TRIPLE))
-            once = lambda a, b: np.unique(a << 32 | b, return_inverse=True)
-            key, back = once(u, v)
-            context = trie.pairs(key >> 32, key & 0xFFFFFFFF)[0][back]
-            key, back = once(v, w)
-            item = trie.pairs(key >> 32, key & 0xFFFFFFFF)[1][back]
-            order = np.lexsort((item, context))
-            save(trie.file(3, shard), _level(context[order], item[order], n[order], trie.level(0, shard)["n"]))
-            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(n)], pa.int64())], names=["shard", "grams"])
+            context, item, n = _unpress(data, _GRAM)
+            found.setdefault(shard, []).append([context.astype(U) << U(32) | item.astype(U), n])
+        for shard in list(found):
+            key, n = _by_key(found.pop(shard), [U, np.uint32])
+            total = trie.level(4, shard)["frequent"] if kind == PAIR else trie.totals(shard)
+            level = _level((key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64), n, total)
+            save(trie.file(2 if kind == PAIR else 3, shard), level)
+            share = max(1, -(-trie.total // trie.shards))
+            cuts = np.zeros(0, np.int64)
+            if kind == PAIR:
+                save(trie.file(0, shard), {"n": n})  # for the next level
+                share_of = (np.cumsum(n) - n) // share
+                cuts = np.flatnonzero(share_of[1:] != share_of[:-1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([len(n)], pa.int64()), pa.array([cuts.astype(np.int64).tobytes()], pa.binary())], names=["shard", "grams", "cuts"])
 
     return rows
 
@@ -411,8 +425,11 @@ def is_held_out(id_col: str, folds: int = 10):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def train(docs: DataFrame, *, often: tuple[float, float] = (0.002, 0.02), id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> Trie:
-    """Train on the rows that aren't held out (crc32 of the id modulo 10 is not 0); gives the trie on the shared folder."""
+def train(docs: DataFrame, *, often: tuple[float, float] = (0, 0), id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> Trie:
+    """Train on the rows that aren't held out (crc32 of the id modulo 10 is not 0); gives the trie on the shared folder.
+
+    often: leave out bigrams and trigrams of words that occur less than this many times the root of N; nothing by default.
+    """
     spark = docs.sparkSession
     n = blobs.shards(spark)
     trie = Trie(folder or shared_folder(docs), n, first=np.zeros(n, np.int64))
@@ -421,16 +438,24 @@ def train(docs: DataFrame, *, often: tuple[float, float] = (0.002, 0.02), id_col
     # a row a shard, here and below
     known = counted.mapInArrow(_write_words(trie), "shard long, words long, tokens long").agg(F.sum("words").alias("v"), F.sum("tokens").alias("n")).first()
     trie.total, trie.distinct = known.n or 0, known.v or 0
-    trie.often = tuple(max(2, int(np.ceil(x * np.sqrt(trie.total)))) for x in often)
+    trie.often = tuple(max(1, int(np.ceil(x * np.sqrt(trie.total)))) for x in often)
     numbered = spark.range(0, n, 1, n).mapInArrow(_number_words(trie), "shard long, frequent long").toPandas().sort_values("shard")["frequent"].to_numpy()
     if numbered.sum() >= 1 << 32:
         raise ValueError("numbers of frequent words take 32 bits; raise often")
     # a shard without frequent words begins where the next one does; home() finds the last of those, which has them
     trie.first = np.concatenate([[0], np.cumsum(numbered)])[:-1].astype(np.int64)
+    trie.frequent = int(numbered.sum())
     trie.often_end = bool(trie.words(np.array([END], U))[0][0] >= trie.often[1])
-    found = blobs.cut(blobs.exchange(texts.mapInArrow(_count_grams(trie), blobs.ROWS), n))
-    found.where(F.col("kind") == PAIR).mapInArrow(_write_pairs(trie), "shard long, grams long").agg(F.sum("grams")).first()
-    found.where(F.col("kind") == TRIPLE).mapInArrow(_write_triples(trie), "shard long, grams long").agg(F.sum("grams")).first()
+    made = "shard long, grams long, cuts binary"
+    pairs = blobs.exchange(texts.mapInArrow(_count_grams(trie, PAIR), blobs.ROWS), n)
+    written = {r.shard: r for r in pairs.mapInArrow(_write_grams(trie, PAIR), made).collect()}  # a row a shard, and all cuts are as many as shards at most
+    grams = [written[shard].grams if shard in written else 0 for shard in range(n)]
+    if sum(grams) * trie.frequent >= 1 << 64:
+        raise ValueError("numbers of trigrams take 64 bits; raise often")
+    trie.pair_first = np.concatenate([[0], np.cumsum(grams)])[:-1].astype(np.int64)
+    trie.parts = np.unique(np.concatenate([trie.pair_first, *(trie.pair_first[shard] + np.frombuffer(r.cuts, np.int64) for shard, r in written.items())]))
+    triples = blobs.exchange(texts.mapInArrow(_count_grams(trie, TRIPLE), blobs.ROWS), len(trie.parts))
+    triples.mapInArrow(_write_grams(trie, TRIPLE), made).agg(F.sum("grams")).first()
     for shard in range(n):
         if os.path.exists(trie.file(0, shard)):
             os.remove(trie.file(0, shard))
