@@ -69,6 +69,17 @@ def test_hot_anchors_go_by_windows(docs, texts, monkeypatch):
     assert got == bytes_removed(texts, 30)
 
 
+@pytest.mark.parametrize("by_windows", [4096, 1])
+def test_suffix_dedup_of_rows_given_twice(docs, texts, monkeypatch, by_windows):
+    from tidepool.llm import suffix_dedup as module
+
+    plain = module.Repeats
+    monkeypatch.setattr(module, "Repeats", lambda **k: plain(**(k | {"by_windows": by_windows})))
+    got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in suffix_dedup(docs.unionAll(docs).repartition(3), length=30).collect()]
+    want = bytes_removed(texts, 30)
+    assert sorted(got) == sorted(2 * list(want.items()))
+
+
 @pytest.mark.parametrize("length", [50, 4])
 def test_substring_dedup_equals_brute_force(docs, texts, length):
     got = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in substring_dedup(docs, length=length).collect()}

@@ -7,7 +7,8 @@ copies that are not wholly equal are compared.
    is its anchor, so equal windows have equal anchors. Successive windows with
    one anchor form a *piece*: an anchor and all that its windows reach.
 2. *Whole pieces.* Pieces are dealt out by anchor. Of equal pieces the first
-   one stays and the windows of the others are repeats. A task keeps only the
+   one stays and the windows of the others are repeats. A place (document and
+   start) counts once, however often its row is given. A task keeps only the
    first of its own equal pieces for the exchange, so a passage in a third of
    all documents costs one row a task.
 3. *Differing pieces.* Where an anchor has several different pieces (edges of
@@ -89,8 +90,12 @@ class Repeats:
         return [mix(grams[a] ^ U(0xA2C3)), piece, ids[doc[lo]], (lo - first[doc[lo]]).astype(np.int32), (hi - lo + 1).astype(np.int32)]
 
     def settle(self, anchor, piece, doc, lo, n) -> tuple[np.ndarray, np.ndarray]:
-        """An order by piece, and who in it stays: the first copy, and the first document's others if those aren't repeats."""
-        order = np.lexsort((lo, doc, piece))
+        """An order by piece, and who in it stays: the first copy, and the first document's others if those aren't repeats.
+
+        A place that comes again, from a row that is given again, is no copy of itself: the order has it once.
+        """
+        order = np.lexsort((lo, doc, anchor, piece))
+        order = order[distinct(piece[order], anchor[order], doc[order], lo[order])]
         p, a, d = piece[order], anchor[order], doc[order]
         first = np.append(True, (p[1:] != p[:-1]) | (a[1:] != a[:-1])) if len(order) else np.zeros(0, bool)
         if self.same_document:
@@ -98,6 +103,14 @@ class Repeats:
         return order, d == d[np.maximum.accumulate(np.where(first, np.arange(len(d)), 0))]
 
 
+def distinct(*columns: np.ndarray) -> np.ndarray:
+    """Marks the first of equal rows, which stand together."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
+
+
 def _removed(doc: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> Iterator[blobs.Blob]:
     """Intervals, joined where they touch, for the shards of their documents."""
     if not len(doc):

@@ -7,8 +7,9 @@ of text around an anchor differ, a suffix array over their tokens, built by
 ``gsaca``, tells which windows of them are equal.
 
 Defined results: null and empty texts give 0 bytes and an empty rest; rows
-with a null id keep all their text; ids are taken to be unique (rows that
-share an id are cut by the same intervals); an empty table gives an empty one;
+with a null id keep all their text; a row given again (same id and text) is
+cut as it would be alone, each time; other rows may not share an id (they are
+cut by the same intervals); an empty table gives an empty one;
 input columns named like results are replaced.
 """
 
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from .blobs import binary_column
 from .gsaca import common_prefixes, suffix_array
 from .hashing import IS_WORD, U, byte_hash, mix
-from .repeats import Repeats, mask, remove
+from .repeats import Repeats, distinct, mask, remove
 
 #: Tokens that one suffix array holds, unless one anchor has more.
 BLOCK = 60_000
@@ -91,6 +92,7 @@ def _block(flat, size, count, doc, lo, length):
     # of equal windows the first stays
     begins = lo[owner] + offset
     order = np.lexsort((begins, doc[owner], key))
+    order = order[distinct(key[order], doc[owner[order]], begins[order])]  # a row given again is no copy of itself
     k = key[order]
     gone = order[np.append(False, k[1:] == k[:-1])]
     return doc[owner[gone]], begins[gone], begins[gone] + length
