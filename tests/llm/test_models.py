@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from tidepool.llm.elias_fano import Monotone, load, save
 from tidepool.llm.language_model import score, train
 from tidepool.llm.quality import quality
-from tidepool.llm.toxicity import Boosted, Isotonic, fit_toxicity, score_toxicity
+from tidepool.llm.toxicity import Boosted, Isotonic, _hash_of, fit_toxicity, score_toxicity
 
 
 @pytest.mark.parametrize(("n", "top"), [(1, 1), (10, 5), (1000, 10**6), (1000, 100), (300, 10**13), (64, 64)])
@@ -173,6 +173,17 @@ def test_toxicity_on_held_out_rows(spark):
     assert np.mean([r.predicted == (r.doc_id % 5 == 0) for r in held]) > 0.98
 
 
+def test_lexicon_where_few_labels_are_toxic(spark):
+    rows, labels = [], []
+    for d in range(1500):
+        toxic = d % 100 == 1
+        rows.append((d, f"plain words{d % 7}" + (" grumbled" if toxic or d % 5 == 0 else "")))
+        labels.append((d, int(toxic)))
+    model = fit_toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    at, weight = model.lexicon.find(_hash_of(["grumbled"]))
+    assert at.tolist() == [0] and weight[0] >= 1  # all toxic texts have it, and a fifth of the others
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     model = fit_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
