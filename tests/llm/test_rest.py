@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -120,19 +121,51 @@ def test_count_tokens(docs, texts):
     assert count_tokens(docs.where("false")).collect() == []
 
 
+def plain_top_k(rows, k):
+    ok = [(i, [math.floor(64 * v) for v in x]) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(x).all()]
+    want = {}
+    for n, (i, x) in enumerate(ok):
+        if i % 20 == 0:
+            score = lambda y: min(max(sum(a * b for a, b in zip(x, y)), -(2**63)), 2**63 - 1)  # noqa: E731, B023
+            found = sorted((-score(y), j) for m, (j, y) in enumerate(ok) if m != n and len(y) == len(x))[:k]
+            want.setdefault(i, []).extend((r + 1, j, -s) for r, (s, j) in enumerate(found))
+    return {q: sorted(v) for q, v in want.items() if v}
+
+
+def top_k_of(df, **options):
+    got = {}
+    for r in top_k(df, **options).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    return {q: sorted(v) for q, v in got.items()}
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(4)
     rows = [(i, (x / np.linalg.norm(x)).tolist()) for i, x in enumerate(rng.normal(size=(400, 16)))]
     rows += [(400, rows[0][1]), (20, rows[1][1]), (500, None), (501, [1.0, None]), (502, [float("nan")] * 16), (None, rows[2][1]), (503, [1e30, 1.0]), (520, [3.0, 4.0]), (540, [])]
-    got = {}
-    for r in top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=7).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
-    ok = [(i, np.clip(np.floor(64 * np.array(x)), -(2.0**40), 2.0**40)) for i, x in rows if i is not None and x is not None and None not in x and np.isfinite(x).all()]
-    want = {}
-    for n, (i, x) in enumerate(ok):
-        if i % 20 == 0:
-            found = sorted((-int(sum(int(a) * int(b) for a, b in zip(x, y))), j) for m, (j, y) in enumerate(ok) if m != n and len(y) == len(x))[:7]
-            if found:
-                want.setdefault(i, []).extend((k + 1, j, -s) for k, (s, j) in enumerate(found))
-    assert {q: sorted(v) for q, v in got.items()} == {q: sorted(v) for q, v in want.items()}
+    rows += [(600 + i, x.tolist()) for i, x in enumerate(rng.normal(size=(40, 16)) * 10.0 ** rng.integers(0, 40, (40, 1)))]
+    rows += [(700, [1.0, 1.0]), (701, [1e12, 1.0]), (702, [2e12, 1.0]), (703, [-1e200, 1e200]), (720, [1e200, -3.0]), (740, []), (760, [2.5]), (761, [-4.0])]
+    assert top_k_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=7) == plain_top_k(rows, 7)
     assert top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
+
+
+def test_top_k_beyond_what_doubles_hold(spark):
+    rows = [(0, [1.0, 1.0]), (1, [1e12, 1.0]), (2, [2e12, 1.0])]
+    assert top_k_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>")) == {0: [(1, 2, 8192000000004096), (2, 1, 4096000000004096)]}
+
+
+def test_top_k_resolves_few_pairs(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(6000, 16)) * rng.pareto(2, (6000, 1))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    counters = {}
+    got = top_k_of(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6), k=10, counters=counters)
+    q, c = np.floor(64 * x[::20]).astype(np.int64), np.floor(64 * x).astype(np.int64)
+    score = q @ c.T
+    score[np.arange(300), np.arange(0, 6000, 20)] = -(2**62)
+    want = {}
+    for i, row in enumerate(score):
+        order = np.lexsort((np.arange(6000), -row))[:10]
+        want[20 * i] = [(r + 1, int(j), int(row[j])) for r, j in enumerate(order)]
+    assert got == want
+    assert counters["pairs"].value == 300 * 6000 and counters["resolved"].value < 0.05 * counters["pairs"].value
