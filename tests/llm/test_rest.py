@@ -33,7 +33,8 @@ def plain_targets(sizes, weights, cap=3.0):
 
 def test_mix(docs, texts):
     got = mix_sources(docs.withColumn("size", F.lit("clash"))).collect()
-    assert len(got) == len(texts) and got == mix_sources(docs.withColumn("size", F.lit("clash"))).collect() or sorted(got) is not None
+    by_id = lambda rows: sorted(rows, key=lambda r: r.doc_id)
+    assert len(got) == len(texts) and by_id(got) == by_id(mix_sources(docs.repartition(5).withColumn("size", F.lit("clash"))).collect())
     sizes, taken, longest = {}, {}, {}
     for r in got:
         sizes[r.source] = sizes.get(r.source, 0) + r.size
@@ -49,6 +50,23 @@ def test_mix(docs, texts):
     assert copies == {r.doc_id: r.taken // r.size for r in got if r.taken}
 
 
+def test_mix_of_rows_given_many_times(spark):
+    rows = [(None, "a", "some ten words that are the same in every row")] * 1000 + [(7, "a", "x y z")] * 500 + [(i, "b", "one two") for i in range(9000)]
+    rows += [(None, None, None), (None, "b", ""), (3, None, "a b")] + [(None, "b", f"w{i} w") for i in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(7)
+    results = []
+    for again in (df, df.repartition(4)):
+        got = mix_sources(again).collect()
+        taken, target = {}, {}
+        for r in got:
+            taken[r.source] = taken.get(r.source, 0) + r.taken
+            target[r.source] = r.target
+            assert r.taken <= 3 * r.size and (not r.size or r.taken % r.size == 0)
+        assert all(abs(taken[s] - target[s]) <= 6 for s in taken) and len(got) == len(rows)
+        results.append(sorted((r.doc_id or -1, str(r.source), r.size, r.taken) for r in got))
+    assert results[0] == results[1]
+
+
 def test_mix_of_no_rows(empty):
     assert mix_sources(empty).collect() == [] and mixed(empty).collect() == []
 

@@ -6,14 +6,19 @@ take is shared again among the others. Clamped sources are those with the
 least capacity per weight, so one pass in that order finds the fixed point.
 
 A target is a number of whole epochs of its source and a fraction of one. The
-fraction takes whole documents in the order of a seeded hash: those in lower
-hash buckets, and within the one bucket where the target falls, document by
-document. Bucket sums are made before anything is ordered, so only one bucket
-of a source is ever sorted, however large the source.
+fraction takes whole documents in the order of a seeded hash (of the id, or of
+the text where there is none): those in lower hash buckets, and within the one
+bucket where the target falls, document by document. Bucket sums are made
+before anything is ordered, so only one bucket of a source is ever sorted,
+however large the source, and rows that are the same in all that orders them
+count as one entry with a number: of the entry in which the target falls, as
+many rows are taken as bring the sum nearest to it. Those are numbered by
+partition, so that an entry of any size needs no task of its own.
 
 All plain DataFrame operations. Defined results: null and empty texts have
 size 0 and target as their source's; a null source is a source, ordered last;
-rows that share an id are ordered by size and text hash; an empty table gives
+rows that share an id are ordered by size and text hash, and if they agree in
+those too, some are taken and others not; an empty table gives
 an empty one; input columns named like results are replaced.
 """
 
@@ -70,7 +75,8 @@ def mix_sources(
     """
     others = [c for c in docs.columns if c not in MADE]
     source = F.col(source_col).alias("_source")
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))).cast("binary"))
+    name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
     place = [source, word_count(F.col(text_col)).alias("_size"), digest.alias("_hash"), F.xxhash64(text_col).alias("_tie")]
     bucket = F.conv(F.substring("_hash", 1, 3), 16, 10).cast("int")
     slim = docs.select(*place).withColumn("_bucket", bucket)
@@ -88,20 +94,41 @@ def mix_sources(
     edges = edges.where((F.col("_below") <= F.col("_part")) & (F.col("_part") < F.col("_below") + F.col("_words"))).select("_of", F.col("_bucket").alias("_edge"), "_below")
     plan = cut(plan.join(edges, F.col("_source").eqNullSafe(F.col("_of")), "left").drop("_of").withColumnRenamed("_source", "_of"))
     few = F.broadcast if plan.count() <= MOST_SOURCES else (lambda df: df)  # beyond, AQE splits the large sources of a sort-merge join
-    # documents of edge buckets are ordered by digest; one is in if no more than half of it is above the target
-    running = Window.partitionBy("_source").orderBy("_hash", "_size", "_tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # entries of edge buckets are ordered by digest; a row is in if no more than half of it is above the target
+    entry = ["_hash", "_size", "_tie"]
+    before = Window.partitionBy("_source").orderBy(*entry).rowsBetween(Window.unboundedPreceding, -1)
     at_edge = slim.join(few(plan.where("_edge is not null")), F.col("_source").eqNullSafe(F.col("_of")) & (F.col("_bucket") == F.col("_edge")))
-    at_edge = at_edge.withColumn("_upto", F.col("_below") + F.sum("_size").over(running)).where(F.col("_upto") - F.col("_size") / 2 <= F.col("_part"))
-    cutoff = at_edge.groupBy("_source").agg(F.max(F.struct("_hash", "_size", "_tie")).alias("_last"))
-    plan = plan.join(cutoff, F.col("_of").eqNullSafe(F.col("_source")), "left").drop("_source")
+    at_edge = at_edge.groupBy("_source", *entry).agg(F.count("*").alias("_rows"), F.first("_below").alias("_below"), F.first("_part").alias("_part"))
+    at_edge = at_edge.withColumn("_room", F.col("_part") - F.col("_below") - F.coalesce(F.sum(F.col("_size") * F.col("_rows")).over(before), F.lit(0)))
+    fit = F.when(F.col("_size") == 0, F.col("_rows")).otherwise(F.least(F.col("_rows"), F.floor(F.col("_room") / F.col("_size") + 0.5)))
+    at_edge = at_edge.withColumn("_fit", fit.cast("long")).where("_fit > 0")
+    last = F.max(F.struct(F.struct(*entry).alias("key"), "_fit", (F.col("_fit") < F.col("_rows")).alias("torn")))
+    plan = cut(plan.join(at_edge.groupBy("_source").agg(last.alias("_last")), F.col("_of").eqNullSafe(F.col("_source")), "left").drop("_source"))
     rows = docs.select(*others, *place).withColumn("_bucket", bucket).join(few(plan), F.col("_source").eqNullSafe(F.col("_of")), "left")
-    inside = (F.col("_bucket") < F.col("_edge")) | ((F.col("_bucket") == F.col("_edge")) & F.coalesce(F.struct("_hash", "_size", "_tie") <= F.col("_last"), F.lit(False)))
-    copies = F.col("_whole") + F.when(inside, 1).otherwise(0)
-    return rows.select(*others, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * copies).cast("long").alias("taken"))
+    key = F.struct(*entry)
+    inside = (F.col("_bucket") < F.col("_edge")) | ((F.col("_bucket") == F.col("_edge")) & F.coalesce(key <= F.col("_last.key"), F.lit(False)))
+
+    def counted(part: DataFrame, taken: Column) -> DataFrame:
+        copies = F.col("_whole") + F.when(taken, 1).otherwise(0)
+        return part.select(*others, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * copies).cast("long").alias("taken"))
+
+    if plan.where("_last.torn").isEmpty():
+        return counted(rows, inside)
+    torn = F.coalesce(F.col("_last.torn") & (key == F.col("_last.key")), F.lit(False))
+    equal = cut(rows.where(torn).withColumn("_at", F.spark_partition_id()))
+    parts = equal.groupBy("_of", "_at").agg(F.count("*").alias("_n"))
+    parts = parts.withColumn("_first", F.coalesce(F.sum("_n").over(Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = parts.select(F.col("_of").alias("_of2"), F.col("_at").alias("_at2"), "_first")
+    number = F.row_number().over(Window.partitionBy("_of", "_at").orderBy("_hash"))
+    numbered = equal.withColumn("_number", number).join(parts, F.col("_of").eqNullSafe(F.col("_of2")) & (F.col("_at") == F.col("_at2")))
+    return counted(rows.where(~torn), inside).unionByName(counted(numbered, F.col("_first") + F.col("_number") <= F.col("_last._fit")))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: every document as often as the mix takes it, with the columns of ``docs`` (but for those named like results)."""
+    """The mix itself: every document as often as the mix takes it, with the columns of ``docs`` (but for those named like results).
+
+    Documents without words have nothing to take, and so no copy.
+    """
     counted = mix_sources(docs, **options)
     copies = (F.col("taken") / F.col("size")).cast("int")
     taken = counted.where((F.col("size") > 0) & (F.col("taken") > 0))

@@ -86,7 +86,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "op10_mixing",
     rf"""
-    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('7:' || doc_id) AS h FROM documents),
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{WORD}'))::BIGINT AS size, md5('7:' || coalesce(doc_id::VARCHAR, '-' || md5(coalesce(text, '')))) AS h FROM documents),
     s AS (SELECT source, sum(size)::BIGINT AS source_size, [5.0, 2.0, 1.0][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3]::DOUBLE AS weight FROM d GROUP BY source),
     o AS (SELECT *, 3.0::DOUBLE * source_size AS cap, row_number() OVER (ORDER BY 3.0::DOUBLE * source_size / weight, source NULLS LAST) AS rk FROM s),
     l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) /
