@@ -60,33 +60,51 @@ def test_suffix_dedup_equals_brute_force(docs, texts, length):
     assert got == want and sum(x[1] for x in want.values()) > 1000
 
 
-def test_hot_anchors_go_by_windows(docs, texts, monkeypatch):
-    from tidepool.llm import suffix_dedup as module
-
-    plain = module.Repeats
-    monkeypatch.setattr(module, "Repeats", lambda **k: plain(**(k | {"by_windows": 1})))
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(docs, length=30).collect()}
+def test_hot_anchors_are_split(docs, texts):
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(docs, length=30, together=1).collect()}
     assert got == bytes_removed(texts, 30)
+    got = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in substring_dedup(docs, length=6, together=1).collect()}
+    assert got == words_removed(texts, 6)
 
 
-@pytest.mark.parametrize("by_windows", [4096, 1])
-def test_suffix_dedup_of_rows_given_twice(docs, texts, monkeypatch, by_windows):
-    from tidepool.llm import suffix_dedup as module
-
-    plain = module.Repeats
-    monkeypatch.setattr(module, "Repeats", lambda **k: plain(**(k | {"by_windows": by_windows})))
-    got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in suffix_dedup(docs.unionAll(docs).repartition(3), length=30).collect()]
+@pytest.mark.parametrize("together", [4096, 1])
+def test_suffix_dedup_of_rows_given_twice(docs, texts, together):
+    got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept))) for r in suffix_dedup(docs.unionAll(docs).repartition(3), length=30, together=together).collect()]
     want = bytes_removed(texts, 30)
     assert sorted(got) == sorted(2 * list(want.items()))
 
 
-@pytest.mark.parametrize("length", [50, 4])
+@pytest.mark.parametrize("length", [50, 17, 4])
 def test_substring_dedup_equals_brute_force(docs, texts, length):
     got = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in substring_dedup(docs, length=length).collect()}
     want = words_removed(texts, length)
     assert got == want and sum(x[1] for x in want.values()) > 100
 
 
+def test_one_seed_extends_over_windows(spark):
+    a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
+    rows = [(1, [*a, *b[:30]]), (2, [*c[:20], *a[20:], *b[:25], *c[20:]]), (3, [*b[10:25], *c[30:], *a[:49]])]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    got = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in substring_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == words_removed(rows, 50) and [got[d][1] for d in (1, 2, 3)] == [0, 65, 0]
+
+
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+def test_patterns_that_polynomials_take_for_equal(spark):
+    one, other = "".join(thue_morse(2048, "a", "b")), "".join(thue_morse(2048, "b", "a"))
+    rows = [(1, one), (2, other), (3, " ".join(thue_morse(2048, "xx", "yy"))), (4, " ".join(thue_morse(2048, "yy", "xx")) + " zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(docs).collect()}
+    assert got == components_by_pairs(rows)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup(docs).collect()}
+    assert got == bytes_removed(rows, 100)
+    got = {r.doc_id: (r.n_words, r.n_removed, bytes(r.kept)) for r in substring_dedup(docs).collect()}
+    assert got == words_removed(rows, 50)
+
+
 def test_dedup_of_no_rows_and_of_null_ids(spark, empty):
     assert suffix_dedup(empty).collect() == [] and substring_dedup(empty).collect() == []
     odd = spark.createDataFrame([(None, "word " * 200), (None, None), (1, "x")], "doc_id long, text string")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .blobs import cut
-from .hashing import U, Words, byte_hash, chunks, grams, mix
+from .hashing import U, Words, chunks, grams, mix, span_hash
 
 ORDER, SYMBOLS = 4, 48
 MOST_FAILED_REPEATS, LEAST_WORDS, WINDOW = 20, 10, 5  # fixed values of the base rules
@@ -150,7 +150,7 @@ def measures(flat: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         held = np.searchsorted(w.starts, end) > np.searchsorted(w.starts, start)
         of = np.searchsorted(offsets, start, "right") - 1
         start, end, of = start[held], end[held], of[held]
-        h = byte_hash(flat)(start, end) ^ mix(end - start)
+        h = span_hash(flat, start, end)
         order = np.lexsort((h, of))
         again = np.append(False, (h[order][1:] == h[order][:-1]) & (of[order][1:] == of[order][:-1])) if len(order) else np.zeros(0, bool)
         repeats = np.bincount(of[order[again]], minlength=n)

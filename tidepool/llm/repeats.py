@@ -13,7 +13,9 @@ copies that are not wholly equal are compared.
    all documents costs one row a task.
 3. *Differing pieces.* Where an anchor has several different pieces (edges of
    passages, edits), the first copy of each is fetched from its document and
-   windows are compared by ``compare``.
+   windows are compared by content, with ``compare``. An anchor of more pieces
+   than fit one task is split by what its windows extend to: each window is
+   dealt out by two hashes of its own, so no anchor is ever left out or cut.
 4. Repeats return to their documents as intervals and their union is removed.
 
 Every exchange moves anchors, intervals or text once, whatever the sizes of
@@ -32,14 +34,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blobs
-from .hashing import U, RangeHash, Words, byte_hash, chunks, mix, sliding_argmin, word_range_hash
+from .hashing import ByteRuns, Runs, U, Words, again, chunks, mix, sliding_argmin
 
 SEED, REMOVED, WANTED, PIECE, WINDOW = range(5)
 _SEED = [np.uint32, U, np.int64, np.int32, np.int32]  # anchor, piece, document, first window, windows
 _REMOVED = [np.int64, np.int32, np.int32]  # document, start, end
 _WANTED = [np.int64, np.int32, np.int32, np.uint32, np.int32, np.int8]  # document, first window, windows, anchor, shard, by windows
 _PIECE = [np.uint32, np.int64, np.int32, np.int32]  # anchor, document, first window, windows
-_WINDOW = [U, np.int64, np.int32]  # window, document, start
+_WINDOW = [U, U, np.int64, np.int32]  # two hashes of a window, document, start
 #: Records that a task holds before it combines and sends them.
 HELD = 400_000
 
@@ -49,25 +51,32 @@ class Repeats:
     """What is repeated: runs of ``length`` words or bytes, found by k-grams of ``gram``.
 
     same_document: whether an earlier start in the same document counts.
-    by_windows: differing pieces of an anchor are compared window by window,
-    dealt out by the window, if there are more than this many of them; else
-    together, by ``compare``.
+    compare: tells which windows of differing pieces are repeats, from the pieces' columns and content.
+    together: differing pieces of an anchor that one task compares; beyond, their windows are dealt out.
     """
 
     words: bool
     length: int
     gram: int
     same_document: bool
-    by_windows: int = 0
-    compare: Callable | None = None
+    compare: Callable
+    together: int = 4096
 
-    def units(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[RangeHash, np.ndarray]:
+    def units(self, flat: np.ndarray, offsets: np.ndarray) -> tuple[Runs, np.ndarray]:
         if self.words:
             w = Words(flat, offsets)
-            return word_range_hash(w.hashes), w.first
-        return byte_hash(flat), offsets
-
-    def anchors(self, hashes: RangeHash, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            return Runs(w.hashes), w.first
+        return ByteRuns(flat), offsets
+
+    def spans(self, flat: np.ndarray, offsets: np.ndarray, of: np.ndarray, lo: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``flat`` pieces begin and end."""
+        if not self.words:
+            return offsets[of] + lo, offsets[of] + lo + count - 1 + self.length
+        w = Words(flat, offsets, hashed=False)
+        at = w.first[of] + lo
+        return w.starts[at], w.ends[at + count - 2 + self.length]
+
+    def anchors(self, hashes: Runs, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """k-gram hashes, the anchor of each window, each window's document, and whether it lies in one."""
         grams = hashes.all_of(self.gram)
         anchor = sliding_argmin(grams, self.length - self.gram + 1)
@@ -117,27 +126,24 @@ def _removed(doc: np.ndarray, start: np.ndarray, end: np.ndarray, n: int) -> Ite
         return
     order = np.lexsort((start, doc))
     doc, start, end = doc[order], start[order].astype(np.int64), end[order].astype(np.int64)
-    at = np.arange(len(doc))
     opens = np.append(True, doc[1:] != doc[:-1])
-    base = np.maximum.accumulate(np.where(opens, at, 0))
     rank = np.cumsum(opens) * np.int64(1 << 33)
     reach = np.maximum.accumulate(end + rank) - rank  # by document
     opens[1:] |= start[1:] > reach[:-1]
     lo = np.flatnonzero(opens)
     hi = np.append(lo[1:], len(doc)) - 1
-    del base
     yield from blobs.deal([doc[lo], start[lo].astype(np.int32), reach[hi].astype(np.int32)], blobs.shard_of(mix(doc[lo]), n), REMOVED)
 
 
 def _windows(parts: list[list[np.ndarray]], spec: Repeats, n: int, last: bool) -> Iterator[blobs.Blob]:
     """The first copies of windows for their shards; intervals of the others."""
-    key, doc, start = blobs.join(parts, _WINDOW)
-    order, stays = spec.settle(np.zeros(len(key), np.uint32), key, doc, start, start)
+    key, second, doc, start = blobs.join(parts, _WINDOW)
+    order, stays = spec.settle(second, key, doc, start, start)
     gone = order[~stays]
     yield from _removed(doc[gone], start[gone], start[gone] + spec.length, n)
     if not last:
         at = order[stays]
-        yield from blobs.deal([key[at], doc[at], start[at]], blobs.shard_of(key[at], n), WINDOW)
+        yield from blobs.deal([key[at], second[at], doc[at], start[at]], blobs.shard_of(key[at], n), WINDOW)
 
 
 def _seed_map(spec: Repeats, n: int):
@@ -183,37 +189,16 @@ def _seed_join(spec: Repeats, n: int):
             _, back, pieces = np.unique(a, return_inverse=True, return_counts=True)
             pieces = np.bincount(back[first], minlength=len(pieces))[back] if len(at) else pieces
             at, pieces = at[pieces > 1], pieces[pieces > 1]
-            yield from blobs.deal([doc[at], lo[at], count[at], anchor[at], np.full(len(at), shard, np.int32), (pieces > spec.by_windows).astype(np.int8)], blobs.shard_of(mix(doc[at]), n), WANTED)
+            yield from blobs.deal([doc[at], lo[at], count[at], anchor[at], np.full(len(at), shard, np.int32), (pieces > spec.together).astype(np.int8)], blobs.shard_of(mix(doc[at]), n), WANTED)
 
     return lambda batches: blobs.batches_of(rows(batches))
 
 
-def _by_document(kind: int, dtypes: list):
-    """One row per document: its blob's columns, without the document's."""
-
-    def rows(batches):
-        parts = [blobs.unpack(data, dtypes) for _, k, data, _ in blobs.blobs_in(batches) if k == kind]
-        if not parts:
-            return
-        doc, *rest = blobs.join(parts, dtypes)
-        del parts
-        order = np.argsort(doc, kind="stable")
-        doc = doc[order]
-        record = np.empty(len(doc), np.dtype([(f"f{i}", c.dtype) for i, c in enumerate(rest)]))
-        for i, c in enumerate(rest):
-            record[f"f{i}"] = c[order]
-        cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        for at in range(0, len(cuts), 20_000):
-            c = np.append(cuts[at : at + 20_000], cuts[at + 20_000] if at + 20_000 < len(cuts) else len(doc))
-            part = record[c[0] : c[-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[c[:-1]]), blobs.binary_column(part.tobytes(), (c - c[0]) * record.dtype.itemsize)], names=["id", "found"])
-
-    return rows
-
-
 def _fetch(spec: Repeats, n: int):
     """Contents of the wanted pieces: bytes for the anchor's shard, or windows for their own."""
-    dtype = np.dtype([(f"f{i}", d) for i, d in enumerate(_WANTED[1:])])
+    dtype = blobs.record_type(_WANTED)
+
+    glue = b" " if spec.words else b""
 
     def rows(batches):
         windows, held = [], 0
@@ -228,30 +213,26 @@ def _fetch(spec: Repeats, n: int):
                 each = want["f4"] > 0
                 if each.any():
                     hashes, first = spec.units(flat, offsets)
-                    _, anchor, _, _ = spec.anchors(hashes, first)
                     reps = count[each]
                     start = np.repeat(lo[each] - np.concatenate([[0], np.cumsum(reps)[:-1]]), reps) + np.arange(reps.sum())
                     doc = np.repeat(of[each], reps)
                     at = start + first[doc]
-                    a = anchor[at]
-                    # the seed, extended as far as its window goes on either side
-                    key = mix(hashes(at, a) ^ mix(hashes(a, at + spec.length) ^ mix((a - at).astype(U))))
-                    windows.append([key, ids[rows][doc], start.astype(np.int32)])
+                    key, second = hashes(at, at + spec.length), Runs(again(hashes.base), hashes.level)(at, at + spec.length)
+                    windows.append([key, second, ids[rows][doc], start.astype(np.int32)])
                     held += len(key)
                     if held >= HELD:
                         yield from _windows(windows, spec, n, False)
                         windows, held = [], 0
                 if not each.all():
                     w, o = want[~each], of[~each]
-                    begin = offsets[o] + w["f0"]
-                    size = w["f1"].astype(np.int64) - 1 + spec.length
+                    begin, end = spec.spans(flat, offsets, o, w["f0"].astype(np.int64), w["f1"].astype(np.int64))
                     order = np.argsort(w["f3"], kind="stable")
                     s = w["f3"][order]
                     cuts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
                     for x, y in zip(cuts, np.append(cuts[1:], len(s))):
                         at = order[x:y]
                         data = blobs.pack([w["f2"][at], ids[rows][o[at]], w["f0"][at], w["f1"][at]])
-                        yield int(s[x]), PIECE, data, b"".join(flat[b : b + z].tobytes() for b, z in zip(begin[at].tolist(), size[at].tolist()))
+                        yield int(s[x]), PIECE, data, glue.join(flat[a:b].tobytes() for a, b in zip(begin[at].tolist(), end[at].tolist())) + glue
         if held:
             yield from _windows(windows, spec, n, False)
 
@@ -289,10 +270,10 @@ def remove(docs: DataFrame, spec: Repeats, finish: Callable, result: str, id_col
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
     seeds = texts.where("id is not null").mapInArrow(_seed_map(spec, n), blobs.ROWS)
     settled = blobs.cut(blobs.exchange(seeds, n).mapInArrow(_seed_join(spec, n), blobs.ROWS))
-    wanted = blobs.exchange(settled.where(F.col("kind") == WANTED), n).mapInArrow(_by_document(WANTED, _WANTED), "id long, found binary")
+    wanted = blobs.exchange(settled.where(F.col("kind") == WANTED), n).mapInArrow(blobs.by_document(WANTED, _WANTED), "id long, found binary")
     fetched = texts.join(wanted, "id").mapInArrow(_fetch(spec, n), blobs.ROWS)
     compared = blobs.exchange(fetched, n).mapInArrow(_compare(spec, n), blobs.ROWS)
-    gone = blobs.exchange(settled.where(F.col("kind") == REMOVED).unionAll(compared), n).mapInArrow(_by_document(REMOVED, _REMOVED), "id long, found binary")
+    gone = blobs.exchange(settled.where(F.col("kind") == REMOVED).unionAll(compared), n).mapInArrow(blobs.by_document(REMOVED, _REMOVED), "id long, found binary")
     whole = docs.select(F.col(id_col).cast("long").alias("_tp_id"), F.col(text_col).cast("binary").alias("_tp_text"), *others)
     joined = whole.join(gone.select(F.col("id").alias("_tp_at"), F.col("found").alias("_tp_found")), F.col("_tp_id") == F.col("_tp_at"), "left").drop("_tp_at")
     joined = joined.select("_tp_id", "_tp_text", "_tp_found", *others)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import U, byte_hash, chunks
+from .hashing import Prefixes, U, chunks, span_hash
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
@@ -115,7 +115,7 @@ class Pieces:
         self.penalty = least - PENALTY
         bound = np.cumsum([0, *map(len, keys)])
         flat = np.frombuffer(b"".join(keys), np.uint8)
-        h = byte_hash(flat)(bound[:-1], bound[1:])
+        h = Prefixes(flat)(bound[:-1], bound[1:])
         order = np.argsort(h)
         self.hashes, self.scores, self.ids = h[order], np.array(scores)[order], np.array(ids, np.int32)[order]
         assert (np.diff(self.hashes) > 0).all()
@@ -136,7 +136,7 @@ class Pieces:
     def segment(self, flat: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Units of one length: ids row by row, and how many each has."""
         m = len(start)
-        hashes = byte_hash(flat)
+        hashes = Prefixes(flat)
         best = np.full((length + 1, m), -np.inf)
         back = np.zeros((length + 1, m), np.int32)
         piece = np.full((length + 1, m), -1, np.int32)
@@ -278,7 +278,7 @@ class Encoder:
         opens[offsets[full]] = True
         start = np.flatnonzero(opens)
         end = np.append(start[1:], len(flat))
-        hashes = byte_hash(flat)(start, end)
+        hashes = span_hash(flat, start, end)
         keys, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if len(self.hashes) > REMEMBERED:
             self.forget()

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 
 from .blobs import binary_column
 from .gsaca import common_prefixes, suffix_array
-from .hashing import IS_WORD, U, byte_hash, mix
+from .hashing import IS_WORD, U, mix, span_hash
 from .repeats import Repeats, distinct, mask, remove
 
 #: Tokens that one suffix array holds, unless one anchor has more.
@@ -58,7 +58,7 @@ def _block(flat, size, count, doc, lo, length):
     start = np.flatnonzero(opens)
     bound = np.append(start, len(flat))
     token = np.cumsum(opens) - 1
-    hashes = byte_hash(flat)
+    hashes = lambda a, b: span_hash(flat, a, b)
     _, symbol = np.unique(hashes(bound[:-1], bound[1:]), return_inverse=True)
     # a symbol less than any other parts the pieces
     piece_of = np.searchsorted(first, start, "right") - 1
@@ -94,7 +94,14 @@ def _block(flat, size, count, doc, lo, length):
     order = np.lexsort((begins, doc[owner], key))
     order = order[distinct(key[order], doc[owner[order]], begins[order])]  # a row given again is no copy of itself
     k = key[order]
-    gone = order[np.append(False, k[1:] == k[:-1])]
+    equal = np.append(False, k[1:] == k[:-1])
+    gone = order[equal]
+    kept = order[np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))][equal]
+    same = np.ones(len(gone), bool)
+    for i in range(0, len(gone), 50_000):  # what goes is compared with what stays, byte by byte
+        part, span = slice(i, i + 50_000), np.arange(length)
+        same[part] = (flat[at[gone[part], None] + span] == flat[at[kept[part], None] + span]).all(axis=1)
+    assert same.all(), "two strings with one key"
     return doc[owner[gone]], begins[gone], begins[gone] + length
 
 
@@ -113,7 +120,10 @@ def _finish(flat, offsets, of, found):
     return [pa.array(size.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array((spans[offsets[1:]] - spans[offsets[:-1]]).astype(np.int64)), binary_column(kept, bounds)]
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without ``text_col``, with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that remain)."""
-    spec = Repeats(words=False, length=length, gram=max(1, min(24, length // 2)), same_document=True, by_windows=4096, compare=compare_pieces)
+def suffix_dedup(docs: DataFrame, *, length: int = 100, together: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` without ``text_col``, with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that remain).
+
+    together: differing pieces of one anchor that one suffix array takes at most (the windows of more are dealt out).
+    """
+    spec = Repeats(words=False, length=length, gram=max(1, min(24, length // 2)), same_document=True, compare=compare_pieces, together=together)
     return remove(docs, spec, _finish, "n_bytes long, n_removed long, n_spans long, kept binary", id_col, text_col)

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .hashing import FOLD, U, byte_hash, chunks, mix
+from .hashing import FOLD, Prefixes, U, chunks, mix
 
 #: Labelled rows that the fit takes at most, on average over hashes of ids.
 MOST_ROWS = 30_000
@@ -64,7 +64,7 @@ def _kinds(flat: np.ndarray, offsets: np.ndarray):
     bound = np.append(np.flatnonzero(after | np.append(False, opens[1:] & term[:-1])), len(flat)) if len(flat) else np.zeros(1, np.int64)
     end = bound[np.searchsorted(bound, start, "right")] if len(start) else start
     doc = np.searchsorted(offsets, start, "right") - 1
-    hashes = byte_hash(FOLD[flat]) if len(flat) else None
+    hashes = Prefixes(FOLD[flat]) if len(flat) else None
     kinds = []
     if len(start):
         kinds.append((hashes(start, end), np.arange(len(start))))
@@ -101,7 +101,7 @@ class Lexicon:
 def _hash_of(words: list[str]) -> np.ndarray:
     data = [w.encode() for w in words]
     bound = np.cumsum([0, *map(len, data)])
-    return byte_hash(np.frombuffer(b"".join(data), np.uint8))(bound[:-1], bound[1:])
+    return Prefixes(np.frombuffer(b"".join(data), np.uint8))(bound[:-1], bound[1:])
 
 
 def features(flat: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndarray:
