@@ -28,9 +28,14 @@ missed link in step 2 is found in steps 3 and 4.
 Defined results: words are lower-cased A-Z; with fewer words than a shingle
 has, all of them are one shingle; without words, or with a null text, a
 document has no shingles and is linked with nothing; rows with a null id have
-a null component and a null count; rows that share an id count as one document
-if their texts agree and else as copies of the first; an empty table gives an
+a null component and a null count; rows that share an id count as one document,
+with the set of its least class if their texts differ; an empty table gives an
 empty result. Only the id and text columns are read.
+
+Sets are told apart by two 64-bit hashes, and every link is found by comparing
+the sets of two classes, shingle by shingle (64 bits each). The operator gives
+classes and components: links within a component that is known already aren't
+counted.
 """
 
 from __future__ import annotations
@@ -46,11 +51,12 @@ from . import blobs
 from .components import components
 from .hashing import FOLD, U, Words, chunks, grams, mix
 
-CLASS, VIEW, SHARED, MEMBER, PREFIX, KEY, FETCH, SET, TOKEN = range(9)
-_CLASS = [U, np.int64, np.int64]  # digest, document, shingles
-_VIEW = [U, np.int8, np.int32, np.int32, np.int32, np.int32]  # digest, universe, shingles, brought in all, need, here; extra: tokens
-_SHARED = [U, np.int8, np.int32, np.int32, np.int32, np.int32]  # the same, here: shared; extra: tokens, then in how many classes
-_MEMBER = [np.int64, np.int64, np.int64]  # document, first document of its class, shingles
+CLASS, VIEW, SHARED, MEMBER, PREFIX, KEY, FETCH, SET, TOKEN, LOCAL = range(10)
+_CLASS = [U, U, np.int64]  # two digests, document
+_VIEW = [U, U, np.int8, np.int32, np.int32, np.int32, np.int32]  # two digests, universe, shingles, brought in all, need, here; extra: tokens
+_SHARED = _VIEW  # the same, here: shared; extra: tokens, then in how many classes
+_LOCAL = [np.int64, np.int64, np.int64]  # document, first one of its class that its task has seen, shingles
+_MEMBER = [np.int64, np.int64]  # such a first one, and the first document of its class
 _KEY = [U, np.int64]  # least hash, document
 _FETCH = [np.int64, U, np.int8, np.int64]  # document, where its set is wanted, as what, group
 _SET = [U, np.int64, np.int8, np.int64, np.int32]  # where, document, as what, group, shingles; extra: shingles
@@ -58,8 +64,9 @@ _TOKEN = [U, np.int64, np.int64, np.int32]  # token, document, group, shingles
 FOLLOWER, LEADER, MEETING = range(3)
 #: Hash functions of step 2, classes that one task compares with a leader, and shingles a task holds before it sends them.
 FUNCTIONS, PER_LEADER, HELD = 3, 1024, 3_000_000
-#: Possible partners in other groups, on average over a token's holders, beyond which they all meet at once.
-PARTNERS = 200
+#: Possible partners in other groups, on average over a token's holders, beyond which they all meet at once; beyond
+#: so many holders, those of like sizes do.
+PARTNERS, BANDED = 200, 500
 
 
 def shingle_sets(flat: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,6 +91,16 @@ def shingle_sets(flat: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return h[new], np.searchsorted(d[new], np.arange(n + 1))
 
 
+def _numbers(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """A number for each pair of values, the same for equal pairs."""
+    order = np.lexsort((two, one))
+    new = np.ones(len(order), bool)
+    new[1:] = (one[order[1:]] != one[order[:-1]]) | (two[order[1:]] != two[order[:-1]])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new) - 1
+    return out
+
+
 def _ragged(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     ends = np.cumsum(size)
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
@@ -104,10 +121,20 @@ def _first_map(width: int, share: tuple[int, int], n: int):
     num, den = share
 
     def flush(held):
-        digest, sizes, sets = (np.concatenate(x) for x in zip(*held))
+        digest, second, doc, sizes, sets = (np.concatenate(x) for x in zip(*held))
         start = np.cumsum(sizes) - sizes
-        _, first = np.unique(digest, return_index=True)
-        digest, sizes, start = digest[first], sizes[first], start[first]
+        number = _numbers(digest, second)
+        # copies stay here: the task's first one stands for them
+        order = np.lexsort((doc, number))
+        first = order[np.append(True, number[order[1:]] != number[order[:-1]])]
+        near = doc[first][number]
+        near[sizes == 0] = doc[sizes == 0]
+        yield from blobs.deal([doc, near, sizes], blobs.shard_of(mix(doc), n), LOCAL)
+        first = first[sizes[first] > 0]
+        if not len(first):
+            return
+        digest, second, sizes, start = digest[first], second[first], sizes[first], start[first]
+        yield from blobs.deal([digest, second, doc[first]], blobs.shard_of(digest, n), CLASS)
         tokens, of = mix(_ragged(sets, start, sizes)), np.repeat(np.arange(len(first)), sizes)
         chosen = tokens >> U(62) < 3
         brought = np.bincount(of[chosen], minlength=len(first))
@@ -116,7 +143,7 @@ def _first_map(width: int, share: tuple[int, int], n: int):
         small = (need < 1) | (sizes <= 12)
         # those chosen, and for small sets all, as tokens of another kind
         again = small[of]
-        head = [np.concatenate([c, c[small]]) for c in (digest, sizes)]
+        head = [np.concatenate([c, c[small]]) for c in (digest, second, sizes)]
         kind = np.concatenate([np.zeros(len(first), np.int8), np.ones(small.sum(), np.int8)])
         total = np.concatenate([brought, sizes[small]])
         needs = np.concatenate([np.maximum(np.where(small, 1, need), 1), least[small]])
@@ -124,7 +151,7 @@ def _first_map(width: int, share: tuple[int, int], n: int):
         of = np.concatenate([of[chosen], place[of[again]]])
         # the upper bits are used up by the choice
         every = np.concatenate([mix(tokens[chosen] ^ U(1)), mix(tokens[again] ^ U(2))])
-        yield from _deal_views([head[0], kind, head[1].astype(np.int32), total.astype(np.int32), needs.astype(np.int32)], of, every, n)
+        yield from _deal_views([head[0], head[1], kind, head[2].astype(np.int32), total.astype(np.int32), needs.astype(np.int32)], of, every, n)
 
     def rows(batches):
         held, size = [], 0
@@ -133,14 +160,12 @@ def _first_map(width: int, share: tuple[int, int], n: int):
             for rows, flat, offsets in chunks(batch, 1):
                 sets, bounds = shingle_sets(flat, offsets, width)
                 sizes = np.diff(bounds)
-                sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(sets ^ U(0xA5A5)), dtype=U)])
-                digest = mix(sums[bounds[1:]] - sums[bounds[:-1]] ^ mix(sizes))
-                doc = ids[rows]
-                digest = np.where(sizes > 0, digest, mix(doc ^ np.int64(0x5EED)))
-                yield from blobs.deal([digest, doc, sizes.astype(np.int64)], blobs.shard_of(digest, n), CLASS)
-                full = sizes > 0
-                held.append((digest[full], sizes[full], sets))
-                size += len(sets)
+                digests = []
+                for salt in (0xA5A5, 0x5A5A5A):
+                    sums = np.concatenate([np.zeros(1, U), np.cumsum(mix(sets ^ U(salt)), dtype=U)])
+                    digests.append(mix(sums[bounds[1:]] - sums[bounds[:-1]] ^ mix(sizes)))
+                held.append((*digests, ids[rows], sizes.astype(np.int64), sets))
+                size += len(sets) + len(sizes)
                 if size >= HELD:
                     yield from flush(held)
                     held, size = [], 0
@@ -156,18 +181,19 @@ def _shared(n: int):
     def rows(batches):
         views: dict[int, list] = {}
         for shard, kind, data, extra in blobs.blobs_in(batches):
-            if kind == CLASS:
+            if kind != VIEW:
                 yield shard, kind, data, None
             else:
                 views.setdefault(shard, []).append((blobs.unpack(data, _VIEW), extra))
         for shard, found in views.items():
             head = blobs.join([x for x, _ in found], _VIEW)
             token = np.concatenate([np.frombuffer(x, np.uint32) for _, x in found])
-            view = np.repeat(np.arange(len(head[0])), head[5])
-            order = np.lexsort((head[0][view], token))
+            view = np.repeat(np.arange(len(head[0])), head[6])
+            of = _numbers(head[0], head[1])
+            order = np.lexsort((of[view], token))
             token, view = token[order], view[order]
-            digest = head[0][view]
-            new = np.append(True, (token[1:] != token[:-1]) | (digest[1:] != digest[:-1]))
+            of = of[view]
+            new = np.append(True, (token[1:] != token[:-1]) | (of[1:] != of[:-1]))
             token, view = token[new], view[new]
             opens = np.append(True, token[1:] != token[:-1])
             group = np.cumsum(opens) - 1
@@ -183,7 +209,7 @@ def _shared(n: int):
             for a, b in zip(cuts[:-1], cuts[1:]):
                 v, here = np.unique(view[a:b], return_counts=True)
                 full = token[a:b].astype(U) | U(shard) << U(32)
-                yield int(to[a]), SHARED, blobs.pack([*(c[v] for c in head[:5]), here.astype(np.int32)]), full.tobytes() + count[a:b].tobytes()
+                yield int(to[a]), SHARED, blobs.pack([*(c[v] for c in head[:6]), here.astype(np.int32)]), full.tobytes() + count[a:b].tobytes()
 
     return lambda batches: blobs.batches_of(rows(batches))
 
@@ -193,29 +219,34 @@ def _classes(n: int):
 
     def rows(batches):
         members, shared = [], []
-        for _, kind, data, extra in blobs.blobs_in(batches):
-            if kind == CLASS:
+        for shard, kind, data, extra in blobs.blobs_in(batches):
+            if kind == LOCAL:
+                yield shard, kind, data, None
+            elif kind == CLASS:
                 members.append(blobs.unpack(data, _CLASS))
             else:
                 shared.append((blobs.unpack(data, _SHARED), extra))
-        digest, doc, size = blobs.join(members, _CLASS)
+        digest, second, doc = blobs.join(members, _CLASS)
         del members
         if not len(digest):
             return
-        order = np.lexsort((doc, digest))
-        digest, doc, size = digest[order], doc[order], size[order]
-        opens = np.append(True, digest[1:] != digest[:-1])
+        order = np.lexsort((doc, second, digest))
+        digest, second, doc = digest[order], second[order], doc[order]
+        opens = np.append(True, (digest[1:] != digest[:-1]) | (second[1:] != second[:-1]))
         first = doc[np.maximum.accumulate(np.where(opens, np.arange(len(doc)), 0))]
-        yield from blobs.deal([doc, first, size], blobs.shard_of(mix(doc), n), MEMBER)
-        known, rep = digest[opens], doc[opens]
+        yield from blobs.deal([doc, first], blobs.shard_of(mix(doc), n), MEMBER)
+        digest, second, rep = digest[opens], second[opens], doc[opens]
         if not shared:
             return
         head = blobs.join([x for x, _ in shared], _SHARED)
+        # every view is of a class that is here; classes have the same order as their numbers
+        of = _numbers(np.concatenate([digest, head[0]]), np.concatenate([second, head[1]]))[len(digest) :]
+        head = head[1:]
         tokens = np.concatenate([np.frombuffer(x, U, len(x) // 10) for _, x in shared])
         counts = np.concatenate([np.frombuffer(x, np.uint16, len(x) // 10, len(x) // 10 * 8) for _, x in shared])
         del shared
-        owner = np.repeat(head[0] ^ mix(head[1]), head[5])  # class and universe
-        at = np.repeat(np.arange(len(head[0])), head[5])
+        owner = np.repeat(2 * of + head[1], head[5])  # class and universe
+        at = np.repeat(np.arange(len(of)), head[5])
         order = np.lexsort((tokens, counts, owner))
         owner, tokens, at = owner[order], tokens[order], at[order]
         cuts = np.append(np.flatnonzero(np.append(True, owner[1:] != owner[:-1])), len(owner))
@@ -227,7 +258,7 @@ def _classes(n: int):
             return
         # all but need - 1 of a class's tokens, rarest first; those that no one shares come before
         keep = have - head[4][own] + 1
-        place = rep[np.searchsorted(known, head[0][own])]
+        place = rep[of[own]]
         yield 0, PREFIX, blobs.pack([place, head[2][own], keep.astype(np.int32)]), _ragged(tokens, begin, keep).tobytes()
         every = _ragged(tokens, begin, have)
         starts = np.cumsum(have) - have
@@ -446,8 +477,14 @@ def _meet(share: tuple[int, int], n: int):
             d, g, s = d[by], g[by], s[by]
             upto = np.searchsorted(s, s * den // num, "right")  # sizes that a link allows
             across = min((m * (m - 1) - (own * (own - 1)).sum()) // 2, (upto - np.arange(m) - 1).sum())
-            if across > PARTNERS * m:
-                out.append([d, np.full(m, name[at]), g])  # together: fewer sets travel than in pairs
+            if across > PARTNERS * m:  # together: fewer sets travel than in pairs
+                if m <= BANDED:
+                    out.append([d, np.full(m, name[at]), g])
+                    continue
+                # sizes that a link allows lie in one band or in two that follow each other
+                band = np.floor(np.log(s) / (np.log(den / num) * 1.0001)).astype(np.int64)
+                for k in (band, band - 1):
+                    out.append([d, mix(name[at] ^ mix(k)), g])
                 continue
             for i in range(m - 1):
                 other = np.arange(i + 1, upto[i])
@@ -481,8 +518,12 @@ def _prefixes(batches):
 
 def _members(batches):
     for _, _, data, _ in blobs.blobs_in(batches):
-        doc, first, size = blobs.unpack(data, _MEMBER)
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(first), pa.array(size)], names=["id", "first", "size"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in blobs.unpack(data, _MEMBER)], names=["id", "first"])
+
+
+def _locals(batches):
+    for _, _, data, _ in blobs.blobs_in(batches):
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in blobs.unpack(data, _LOCAL)], names=["id", "near", "size"])
 
 
 def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -512,8 +553,12 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     # groups as links: a group's members to its name
     links = compared(met).unionAll(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
     joined = components(links)
-    members = of(MEMBER).mapInArrow(_members, "id long, first long, size long")
-    found = members.join(joined.withColumnRenamed("node", "first"), "first", "left")
-    found = found.groupBy("id").agg(F.max("size").alias("n_shingles"), F.min("first").alias("class_id"), F.min(F.coalesce("component", "first")).alias("component_id"))
+    members = of(MEMBER).mapInArrow(_members, "id long, first long")
+    # the first ones that tasks have seen, a row a task and class; and from there to all documents
+    known = members.join(joined.withColumnRenamed("node", "first"), "first", "left").groupBy(F.col("id").alias("near"))
+    known = known.agg(F.min(F.struct("first", F.coalesce("component", "first").alias("component"))).alias("known"))
+    found = of(LOCAL).mapInArrow(_locals, "id long, near long, size long").join(known, "near", "left")
+    own = F.struct(F.coalesce("known.first", "id").alias("class_id"), F.coalesce("known.component", "id").alias("component_id"), F.col("size").alias("n_shingles"))
+    found = found.groupBy("id").agg(F.min(own).alias("own")).select("id", "own.*")
     every = docs.select(F.col(id_col).cast("long").alias(id_col))
     return every.join(found.withColumnRenamed("id", id_col), id_col, "left").select(id_col, "n_shingles", "class_id", "component_id")
