@@ -11,18 +11,22 @@ U = np.uint64
 _ONE, _SIX, _LOW6 = U(1), U(6), U(63)
 
 
+_BYTES, _TOPS = U(0x0101010101010101), U(0x8080808080808080)
+#: Place of the k-th set bit of a byte, by byte and k.
+_IN_BYTE = np.array([([p for p in range(8) if b >> p & 1] + [0] * 8)[:8] for b in range(256)], np.int64).ravel()
+
+
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
     """Place of the k-th set bit (from 0) of each word."""
-    place = np.zeros(len(word), np.int64)
-    word = word.copy()
-    k = k.astype(np.int64)
-    for half in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(word & U((1 << half) - 1)).astype(np.int64)
-        up = k >= low
-        k -= np.where(up, low, 0)
-        place += np.where(up, half, 0)
-        word = np.where(up, word >> U(half), word)
-    return place
+    k = k.astype(U)
+    x = word - (word >> U(1) & U(0x5555555555555555))
+    x = (x & U(0x3333333333333333)) + (x >> U(2) & U(0x3333333333333333))
+    x += x >> U(4)
+    x &= U(0x0F0F0F0F0F0F0F0F)
+    x *= _BYTES  # set bits up to and with each byte
+    byte = np.bitwise_count((k * _BYTES | _TOPS) - x & _TOPS).astype(U) << U(3)
+    k -= (x << U(8) >> byte) & U(255)
+    return byte.astype(np.int64) + _IN_BYTE[((word >> byte & U(255)) << U(3) | k).astype(np.int64)]
 
 
 class Monotone:

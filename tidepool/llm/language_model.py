@@ -2,8 +2,7 @@
 
 Tokens are words and one end per document; the end also stands before the
 first word. Every word, bigram and trigram of the training documents is kept,
-with its exact count, those that occur once included. A caller may ask for
-less with ``often``. A shorter context takes over for n-grams that training
+with its exact count, those that occur once included. A shorter context takes over for n-grams that training
 documents don't have, with the probability that discounting leaves it:
 
     p1(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
@@ -24,8 +23,10 @@ its context's range, and a trigram by the place that its last bigram has there.
 
 Shards are files in a folder that all executors see, memory-mapped where they
 are read: neither the driver nor a broadcast ever holds the model, and a task
-touches only the pages that its words need. Files are written beside and
-renamed, so a task that runs again does no harm.
+touches only the pages that its words need, in the order in which they lie.
+Pointers stay encoded. Files are written beside and renamed, so a task that
+runs again does no harm; a folder that ``train`` makes goes when the driver's
+process ends, or with ``Trie.remove``.
 
 Defined results: words are lower-cased A-Z; null and empty texts are one end;
 a null id counts as held out; repeated rows count each time; an empty table or
@@ -36,8 +37,11 @@ results are replaced.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
+from collections import OrderedDict
 from dataclasses import dataclass, field
 from urllib.parse import urlparse
 
@@ -54,9 +58,10 @@ from .hashing import FOLD, U, Words, chunks, mix
 
 WORD, PAIR, TRIPLE = range(3)
 _WORD = [U, np.int64]
-_GRAM = [np.uint32, np.uint32, np.uint32]  # context within its shard, item, occurrences
+_GRAM = [np.uint32, np.uint64, np.uint32]  # context within its shard, item, occurrences
 END = mix(np.array([0xE4D], U))[0]
-HELD, CHUNK = 2_000_000, 2 << 20
+#: Tokens that a task holds before it combines them; bytes of text that are looked up at once; maps that a worker keeps open.
+HELD, CHUNK, OPEN = 2_000_000, 2 << 20, 1024
 DISCOUNT = 0.75
 
 
@@ -70,6 +75,7 @@ def shared_folder(df: DataFrame) -> str:
         raise ValueError(f"a memory-mapped model needs a mounted folder; spark.checkpoint.dir is {url.scheme}://")
     path = os.path.join(url.path, f"trie-{uuid.uuid4().hex}")
     os.makedirs(path)
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
     return path
 
 
@@ -121,20 +127,23 @@ class Trie:
     shards: int
     total: int = 0  # N
     distinct: int = 0  # V
-    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # number of each shard's first frequent word
-    often: tuple[int, int] = (1, 1)
-    frequent: int = 0  # words that have numbers
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # number of each shard's first word
     pair_first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # number of each shard's first bigram
     parts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # number of each trigram shard's first bigram
 
     def __post_init__(self):
-        self.open: dict[str, dict] = {}
+        self.open: OrderedDict[str, dict] = OrderedDict()
+        self.end = -1  # the end's number
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "open"}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, open={})
+        self.__dict__.update(state, open=OrderedDict())
+
+    def remove(self) -> None:
+        self.open.clear()
+        shutil.rmtree(self.path, ignore_errors=True)
 
     def file(self, level: int, shard: int) -> str:
         return f"{self.path}/{level}-{shard:06d}"
@@ -142,7 +151,10 @@ class Trie:
     def level(self, level: int, shard: int) -> dict:
         name = self.file(level, shard)
         if name not in self.open:
+            if len(self.open) >= OPEN:
+                self.open.popitem(last=False)
             self.open[name] = load(name) if os.path.exists(name) else {}
+        self.open.move_to_end(name)
         return self.open[name]
 
     def by_shard(self, shard: np.ndarray):
@@ -153,7 +165,7 @@ class Trie:
         return [(int(s[a]), order[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of words in the training documents, and the numbers of the frequent ones (-1 for others)."""
+        """Counts of words in the training documents, and their numbers (-1: none)."""
         count, number = np.zeros(len(hashes), np.int64), np.full(len(hashes), -1, np.int64)
         for shard, at in self.by_shard(blobs.shard_of(hashes, self.shards)):
             words = self.level(1, shard)
@@ -164,7 +176,7 @@ class Trie:
             known = words["hashes"][place] == h
             at, place = at[known], place[known]
             count[at] = words["counts"][place]
-            number[at] = np.where(count[at] >= self.often[0], self.first[shard] + self.level(4, shard)["rank"][place], -1)
+            number[at] = self.first[shard] + place
         return count, number
 
     def home(self, number: np.ndarray) -> np.ndarray:
@@ -181,21 +193,21 @@ class Trie:
         return self.level(0, home)["n"][self.parts[part] - begin : None if end is None else end - begin]
 
     def pairs(self, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Of frequent words v w: the bigram's number (-1: none), its place among v's, its discounted probability, and what v leaves."""
+        """Of words v w by number, sorted by v: the bigram's number (-1: none), its place among v's, its discounted probability, and what v leaves."""
         place, rank = np.full(len(v), -1, np.int64), np.full(len(v), -1, np.int64)
         prob, left = np.zeros(len(v)), np.ones(len(v))
         for shard, at in self.by_shard(self.home(v)):
             level = self.level(2, shard)
             local = v[at] - self.first[shard]
             left[at] = level["left_table"][level["left"][local]]
-            found, begin = _find(level, local, w[at], True)
+            found, begin = _find(level, local, w[at])
             hit = found >= 0
             place[at], rank[at] = np.where(hit, found + self.pair_first[shard], -1), np.where(hit, found - begin, -1)
             prob[at[hit]] = level["prob_table"][level["prob"][found[hit]]]
         return place, rank, prob, left
 
     def triples(self, pair: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of bigrams by number and the place of the next word among the last word's: discounted probability, and what the bigram leaves."""
+        """Of bigrams by number, sorted, and the place of the next word among the last word's: discounted probability, and what the bigram leaves."""
         prob, left = np.zeros(len(pair)), np.ones(len(pair))
         for part, at in self.by_shard(self.part(pair)):
             level = self.level(3, part)
@@ -204,94 +216,90 @@ class Trie:
             local = pair[at] - self.parts[part]
             left[at] = level["left_table"][level["left"][local]]
             some = np.flatnonzero(rank[at] >= 0)
-            found, _ = _find(level, local[some], rank[at[some]], False)
+            found, _ = _find(level, local[some], rank[at[some]])
             hit = found >= 0
             prob[at[some[hit]]] = level["prob_table"][level["prob"][found[hit]]]
         return prob, left
 
-    def keys(self, tokens: np.ndarray, first: np.ndarray, kind: int) -> np.ndarray:
-        """A number for each occurrence of a bigram or trigram: its context's, times how many words have numbers, plus its item's."""
+    def located(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        """By token: its count and number, the number of the word before it, and its bigram's number, place, probability and left mass."""
         unique, back = np.unique(tokens, return_inverse=True)
         count, number = (x[back] for x in self.words(unique))
-        v = np.where(first, self._end, np.append(-1, number[:-1]))
-        at = np.flatnonzero((number >= 0) & (v >= 0))
-        key = v[at].astype(U) * U(self.frequent) + number[at].astype(U)
+        before = np.where(first, self.end, np.append(-1, number[:-1])[: len(number)])
+        pair, rank = np.full(len(tokens), -1, np.int64), np.full(len(tokens), -1, np.int64)
+        prob, left = np.zeros(len(tokens)), np.ones(len(tokens))
+        at = np.flatnonzero((before >= 0) & (number >= 0))
+        v, w, back = _distinct(before[at], number[at])
+        pair[at], rank[at], prob[at], left[at] = (x[back] for x in self.pairs(v, w))
+        # what v leaves holds before unknown words too
+        at = np.flatnonzero((before >= 0) & (number < 0))
+        v, back = np.unique(before[at], return_inverse=True)
+        mass = np.ones(len(v))
+        for shard, x in self.by_shard(self.home(v)):
+            level = self.level(2, shard)
+            mass[x] = level["left_table"][level["left"][v[x] - self.first[shard]]]
+        left[at] = mass[back]
+        return count, number, before, pair, rank, prob, left
+
+    def keys(self, tokens: np.ndarray, first: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """Contexts and items of the bigrams or trigrams of a chunk, by number."""
         if kind == PAIR:
-            return key
-        key, again = np.unique(key, return_inverse=True)
-        n = U(max(1, self.frequent))
-        found = self.pairs((key // n).astype(np.int64), (key % n).astype(np.int64))
-        place, rank = np.full(len(tokens), -1, np.int64), np.full(len(tokens), -1, np.int64)
-        place[at], rank[at] = found[0][again], found[1][again]
-        often = count >= self.often[1]
-        ends = np.where(first, self.often_end, np.append(False, often[:-1]))
-        begins, context = np.append(False, ends[:-1]), np.append(-1, place[:-1])
-        at = np.flatnonzero(often & ends & begins & ~first & (context >= 0) & (rank >= 0))
-        return context[at].astype(U) * n + rank[at].astype(U)
+            unique, back = np.unique(tokens, return_inverse=True)
+            number = self.words(unique)[1][back]
+            return np.where(first, self.end, np.append(-1, number[:-1])[: len(number)]), number
+        _, _, _, pair, rank, _, _ = self.located(tokens, first)
+        at = np.flatnonzero(~first)
+        return pair[at - 1], rank[at]
 
     def score(self, tokens: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """By token: count in the training documents, base and model probability. ``first``: marks documents' first tokens."""
-        unique, back = np.unique(tokens, return_inverse=True)
-        count, number = (x[back] for x in self.words(unique))
+        count, _, _, pair, rank, prob, left = self.located(tokens, first)
         base = (count + 0.1) / (self.total + 0.1 * (self.distinct + 1))
-        p = base.copy()
-        before = np.append(self._end, number[:-1]) if len(number) else number
-        before = np.where(first, self._end, before)
-        at = np.flatnonzero((before >= 0) & (number >= 0))
-        place, rank = np.full(len(p), -1, np.int64), np.full(len(p), -1, np.int64)
-        key = (before[at].astype(U) << U(32)) | number[at].astype(U)
-        key, again = np.unique(key, return_inverse=True)
-        got = self.pairs((key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64))
-        place[at], rank[at] = got[0][again], got[1][again]
-        p[at] = got[2][again] + got[3][again] * base[at]
-        # what v leaves holds before rare words too
-        at = np.flatnonzero((before >= 0) & (number < 0))
-        if len(at):
-            v, again = np.unique(before[at], return_inverse=True)
-            left = np.ones(len(v))
-            for shard, x in self.by_shard(self.home(v)):
-                level = self.level(2, shard)
-                left[x] = level["left_table"][level["left"][v[x] - self.first[shard]]]
-            p[at] = left[again] * base[at]
-        # the bigram that ends before a token is its context, if it begins in the document
-        context = np.append(-1, place[:-1]) if len(place) else place
+        p = prob + left * base
+        # the bigram that ends before a token is its context, if it begins in the document; each trigram is looked up once
+        context = np.append(-1, pair[:-1])[: len(pair)]
         context[first] = -1
         at = np.flatnonzero(context >= 0)
-        prob, left = self.triples(context[at], rank[at])
-        p[at] = prob + left * p[at]
+        c, r, back = _distinct(context[at], rank[at] + 1)
+        prob, left = self.triples(c, r - 1)
+        p[at] = prob[back] + left[back] * p[at]
         return count, base, p
 
-    @property
-    def _end(self) -> int:
-        if "end" not in self.open:
-            self.open["end"] = int(self.words(np.array([END], U))[1][0])
-        return self.open["end"]
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of numbers of at least 0 in order, and the place there of each."""
+    top = int(b.max(initial=0)) + 1
+    if (int(a.max(initial=0)) + 1) * top < 1 << 63:
+        key, back = np.unique(a * top + b, return_inverse=True)
+        return *np.divmod(key, top), back
+    order = np.lexsort((b, a))
+    new = _opens(a[order], b[order])
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(new) - 1
+    return a[order][new], b[order][new], back
 
-def _ranges(level: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Where each context's items begin and end, and by how much they are raised: of a level of words, kept decoded."""
-    if "begins" not in level:
-        p = level["pointers"]
-        level["begins"] = p[np.arange(p.n)]
-        before = level["begins"][:-1]
-        level["raised"] = np.where(before > 0, level["items"][np.maximum(before - 1, 0)], 0) if level["items"].n else np.zeros(p.n - 1, np.int64)
-    return level["begins"], level["raised"]
 
+def _opens(*columns: np.ndarray) -> np.ndarray:
+    """Marks the first of equal rows, which stand together."""
+    new = np.ones(len(columns[0]), bool)
+    if len(new):
+        new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    return new
 
-def _find(level: dict, context: np.ndarray, item: np.ndarray, decoded: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places of items within their contexts' ranges (-1: none), and where those begin."""
-    if not level["items"].n:
+
+def _find(level: dict, context: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of items within the ranges of their contexts, which are sorted (-1: none), and where those begin."""
+    items = level["items"]
+    if not items.n or not len(context):
         return np.full(len(context), -1, np.int64), np.zeros(len(context), np.int64)
-    if decoded:
-        begins, raised = _ranges(level)
-        begin, end = begins[context], begins[context + 1]
-        return level["items"].find(item + raised[context], begin, end), begin
-    begin, end = level["pointers"][context], level["pointers"][context + 1]
+    new = _opens(context)
+    one, of = context[new], np.cumsum(new) - 1
+    begin, end = level["pointers"][one], level["pointers"][one + 1]
+    raised = np.where(begin > 0, items[np.maximum(begin - 1, 0)], 0)[of]
+    begin, end = begin[of], end[of]
     place = np.full(len(context), -1, np.int64)
     some = np.flatnonzero(end > begin)
-    b = begin[some]
-    x = item[some] + np.where(b > 0, level["items"][np.maximum(b - 1, 0)], 0)
-    place[some] = level["items"].find(x, b, end[some])
+    place[some] = items.find((item + raised)[some], begin[some], end[some])
     return place, begin
 
 
@@ -354,17 +362,15 @@ def _write_words(trie: Trie):
     return rows
 
 
-def _number_words(trie: Trie):
-    """Numbers of the frequent words within their shard, and an empty next level for those that begin no bigram."""
+def _empty_levels(trie: Trie):
+    """A next level without bigrams for every shard; those that begin some are written over it."""
 
     def rows(batches):
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                n = trie.level(1, shard).get("counts", np.zeros(0, np.int64))
-                frequent, none = n >= trie.often[0], np.zeros(0, np.int64)
-                save(trie.file(4, shard), {"rank": (np.cumsum(frequent) - 1).astype(np.uint32), "frequent": n[frequent]})
-                save(trie.file(2, shard), _level(none, none, none, n[frequent]))
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([int(frequent.sum())], pa.int64())], names=["shard", "frequent"])
+                none = np.zeros(0, np.int64)
+                save(trie.file(2, shard), _level(none, none, none, trie.level(1, shard).get("counts", none)))
+                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64())], names=["shard"])
 
     return rows
 
@@ -376,12 +382,10 @@ def _count_grams(trie: Trie, kind: int):
         held, size = [], 0
 
         def flush():
-            key = np.sort(np.concatenate(held))
-            new = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
-            n = np.diff(np.append(new, len(key)))
-            context, item = (x.astype(np.int64) for x in np.divmod(key[new], U(max(1, trie.frequent))))
+            context, item, back = _distinct(*(np.concatenate(x) for x in zip(*held)))
+            n = np.bincount(back, minlength=len(context))
             shard = shard_of(context)
-            columns = [(context - begins[shard]).astype(np.uint32), item.astype(np.uint32), n.astype(np.uint32)]
+            columns = [(context - begins[shard]).astype(np.uint32), item.astype(np.uint64), n.astype(np.uint32)]
             for s, at in trie.by_shard(shard):
                 yield s, kind, _press([c[at] for c in columns]), None
 
@@ -404,11 +408,13 @@ def _write_grams(trie: Trie, kind: int):
         found: dict[int, list] = {}
         for shard, _, data, _ in blobs.blobs_in(batches):
             context, item, n = _unpress(data, _GRAM)
-            found.setdefault(shard, []).append([context.astype(U) << U(32) | item.astype(U), n])
+            found.setdefault(shard, []).append([context.astype(np.int64), item.astype(np.int64), n])
         for shard in list(found):
-            key, n = _by_key(found.pop(shard), [U, np.uint32])
-            total = trie.level(4, shard)["frequent"] if kind == PAIR else trie.totals(shard)
-            level = _level((key >> U(32)).astype(np.int64), (key & U(0xFFFFFFFF)).astype(np.int64), n, total)
+            context, item, n = (np.concatenate(x) for x in zip(*found.pop(shard)))
+            context, item, back = _distinct(context, item)
+            n = np.bincount(back, n, len(context)).astype(np.int64)
+            total = trie.level(1, shard)["counts"] if kind == PAIR else trie.totals(shard)
+            level = _level(context, item, n, total)
             save(trie.file(2 if kind == PAIR else 3, shard), level)
             share = max(1, -(-trie.total // trie.shards))
             cuts = np.zeros(0, np.int64)
@@ -425,33 +431,25 @@ def is_held_out(id_col: str, folds: int = 10):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
-def train(docs: DataFrame, *, often: tuple[float, float] = (0, 0), id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> Trie:
-    """Train on the rows that aren't held out (crc32 of the id modulo 10 is not 0); gives the trie on the shared folder.
-
-    often: leave out bigrams and trigrams of words that occur less than this many times the root of N; nothing by default.
-    """
+def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> Trie:
+    """Train on the rows that aren't held out (crc32 of the id modulo 10 is not 0); gives the trie on the shared folder."""
     spark = docs.sparkSession
     n = blobs.shards(spark)
     trie = Trie(folder or shared_folder(docs), n, first=np.zeros(n, np.int64))
     texts = docs.where(~is_held_out(id_col)).select(F.col(text_col).cast("binary").alias("text"))
     counted = blobs.exchange(texts.mapInArrow(_count_words(n), blobs.ROWS), n)
     # a row a shard, here and below
-    known = counted.mapInArrow(_write_words(trie), "shard long, words long, tokens long").agg(F.sum("words").alias("v"), F.sum("tokens").alias("n")).first()
-    trie.total, trie.distinct = known.n or 0, known.v or 0
-    trie.often = tuple(max(1, int(np.ceil(x * np.sqrt(trie.total)))) for x in often)
-    numbered = spark.range(0, n, 1, n).mapInArrow(_number_words(trie), "shard long, frequent long").toPandas().sort_values("shard")["frequent"].to_numpy()
-    if numbered.sum() >= 1 << 32:
-        raise ValueError("numbers of frequent words take 32 bits; raise often")
-    # a shard without frequent words begins where the next one does; home() finds the last of those, which has them
-    trie.first = np.concatenate([[0], np.cumsum(numbered)])[:-1].astype(np.int64)
-    trie.frequent = int(numbered.sum())
-    trie.often_end = bool(trie.words(np.array([END], U))[0][0] >= trie.often[1])
+    written = counted.mapInArrow(_write_words(trie), "shard long, words long, tokens long").collect()
+    trie.total, trie.distinct = sum(r.tokens for r in written), sum(r.words for r in written)
+    words = dict.fromkeys(range(n), 0) | {r.shard: r.words for r in written}
+    # a shard without words begins where the next one does; home() finds the last of those, which has them
+    trie.first = np.concatenate([[0], np.cumsum([words[shard] for shard in range(n)])])[:-1].astype(np.int64)
+    trie.end = int(trie.words(np.array([END], U))[1][0])
+    spark.range(0, n, 1, n).mapInArrow(_empty_levels(trie), "shard long").agg(F.count("*")).first()
     made = "shard long, grams long, cuts binary"
     pairs = blobs.exchange(texts.mapInArrow(_count_grams(trie, PAIR), blobs.ROWS), n)
     written = {r.shard: r for r in pairs.mapInArrow(_write_grams(trie, PAIR), made).collect()}  # a row a shard, and all cuts are as many as shards at most
     grams = [written[shard].grams if shard in written else 0 for shard in range(n)]
-    if sum(grams) * trie.frequent >= 1 << 64:
-        raise ValueError("numbers of trigrams take 64 bits; raise often")
     trie.pair_first = np.concatenate([[0], np.cumsum(grams)])[:-1].astype(np.int64)
     trie.parts = np.unique(np.concatenate([trie.pair_first, *(trie.pair_first[shard] + np.frombuffer(r.cuts, np.int64) for shard, r in written.items())]))
     triples = blobs.exchange(texts.mapInArrow(_count_grams(trie, TRIPLE), blobs.ROWS), len(trie.parts))
