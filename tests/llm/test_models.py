@@ -11,9 +11,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.llm.elias_fano import Monotone, load, save
+from tidepool.llm.elias_fano import Monotone
 from tidepool.llm.language_model import score, train
 from tidepool.llm.quality import quality
+from tidepool.llm.stored import load, save
 from tidepool.llm.toxicity import Boosted, Isotonic, _hash_of, fit_toxicity, score_toxicity
 
 
@@ -130,13 +131,78 @@ def test_quality_counts_equal_plain_ones(docs, texts):
     assert quality(docs.where("false")).collect() == []
 
 
+def plain_symbols(text):
+    out = []
+    for c in text:
+        c = c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else "0" if c in "0123456789" else " " if c in "\t\n\v\f\r" else c
+        c = ord(c) if ord(c) < 65536 else 0xE000 + ord(c) % 6400
+        if c != 32 or not out or out[-1] != 32:
+            out.append(c)
+    return out
+
+
+def plain_kneser_ney(texts, order=4):
+    """Log perplexity by text, of a model of them all: recursive, with dictionaries."""
+    grams = [[tuple(([32] * order + s)[i + 1 : i + order + 1]) for i in range(len(s))] for s in map(plain_symbols, texts)]
+    count = {order: Counter(g for t in grams for g in t)}
+    for n in range(order - 1, 0, -1):
+        count[n] = Counter(g[1:] for g in count[n + 1])
+    taken, total, off = {}, defaultdict(int), defaultdict(float)
+    for n, counts in count.items():
+        number = [max(1, sum(c == k for c in counts.values())) for k in (1, 2, 3, 4)]
+        y = number[0] / (number[0] + 2 * number[1])
+        taken[n] = [0] + [min(max(k - (k + 1) * y * number[k] / number[k - 1], 0.1 * k), k - 0.05) for k in (1, 2, 3)]
+        for g, c in counts.items():
+            total[g[:-1], n] += c
+            off[g[:-1], n] += taken[n][min(c, 3)]
+
+    def p(g):
+        n = len(g)
+        if not n:
+            return 1 / 65536
+        context = g[:-1], n
+        if context not in total:
+            return p(g[1:])
+        c = count[n][g]
+        return (c - taken[n][min(c, 3)]) / total[context] + off[context] / total[context] * p(g[1:])
+
+    return [-sum(math.log(p(g)) for g in t) / max(1, len(t)) for t in grams]
+
+
+def test_perplexity_equals_a_plain_kneser_ney(spark, docs, texts):
+    extra = [(900, "日本語 text ☃ \U0001f600\U0001f600", "ja"), (901, "99 Bottles\n\n\tof  BEER", None), (902, "", "en"), (903, "ßé\u0130 É", None)]
+    df = docs.select("doc_id", "text", "lang").unionByName(spark.createDataFrame(extra, "doc_id long, text string, lang string"))
+    got = {r.doc_id: r for r in quality(df).collect()}
+    rows = df.collect()
+    for lang in {r.lang for r in rows}:
+        own = [r for r in rows if r.lang == lang]
+        for r, want in zip(own, plain_kneser_ney([r.text or "" for r in own])):
+            assert got[r.doc_id].log_perplexity == pytest.approx(want, rel=1e-5, abs=1e-9) and got[r.doc_id].n_scored == len(plain_symbols(r.text or ""))
+
+
 def test_quality_rejects_other_text(spark):
     rng = random.Random(1)
     words = "the of and people time water house great small river light under".split()
-    rows = [(i, "en", " ".join(rng.choice(words) for _ in range(80))) for i in range(200)]
+    fremd = "der die und leute zeit wasser haus gross klein fluss licht unter".split()
+    say = lambda some, n=80: " ".join(rng.choice(some) for _ in range(n))
+    rows = [(i, "en", say(words, 20 + i)) for i in range(200)] + [(300 + i, None, say(fremd, 20 + i)) for i in range(200)]
     rows += [(1000 + i, "en", " ".join("".join(rng.choice("qxzjvkwb0123456789#@") for _ in range(6)) for _ in range(80))) for i in range(3)]
-    kept = {r.doc_id for r in quality(spark.createDataFrame(rows, "doc_id long, lang string, text string")).where("kept").collect()}
-    assert not kept & {1000, 1001, 1002} and len(kept) == 200
+    rows += [(1010, "en", say(fremd)), (1011, None, say(words)), (1012, "en", " ".join(w + "###" for w in say(words).split())), (1013, "xx", "one text alone in its language is what it is " * 1)]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string").withColumn("kept", F.lit("clash")).withColumn("n_scored", F.lit(1))
+    kept = {r.doc_id for r in quality(df).where("kept").collect()}
+    assert not kept & {1000, 1001, 1002, 1010, 1011, 1012} and len(kept - {1013}) >= 396 and 1013 in kept
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_quality_rejects_junk_of_every_language(spark, sf):
+    if not os.path.exists(f"/root/testdata/{sf}"):
+        pytest.skip("no test tables")
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = quality(docs).join(labels.select("doc_id", "quality"), "doc_id", "left").where("not base_failed").select("lang", "quality", "kept").toPandas()
+    rejected = got[~got.kept].groupby("lang").size()
+    good, bad = got[got.quality == 1], got[got.quality == 0]
+    assert good.kept.mean() > 0.97 and (~bad.kept).mean() > 0.3
+    assert sf == "sf0.01" or set(rejected.index) == {"en", "fr", "de", "es"}, rejected
 
 
 def test_trees_and_calibration():

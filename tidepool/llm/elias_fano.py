@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import json
-import os
-
 import numpy as np
 
 U = np.uint64
@@ -143,36 +140,3 @@ class Monotone:
         hit = some[self._low(below[some]) == want[todo[some]]]
         out[todo[hit]] = below[hit]
         return out
-
-
-def save(path: str, arrays: dict[str, np.ndarray | Monotone]) -> None:
-    """One file: a header of names, types and lengths, and the arrays. It appears whole or not at all."""
-    flat: list[tuple[str, np.ndarray]] = []
-    for name, a in arrays.items():
-        flat += [(f"{name}.{i}", p) for i, p in enumerate(a.parts())] if isinstance(a, Monotone) else [(name, np.asarray(a))]
-    head = json.dumps([(n, a.dtype.str, len(a)) for n, a in flat]).encode()
-    own = f"{path}.{os.getpid()}.tmp"
-    with open(own, "wb") as f:
-        f.write(len(head).to_bytes(8, "little") + head + b" " * (-len(head) % 8))
-        for _, a in flat:
-            data = np.ascontiguousarray(a).tobytes()
-            f.write(data + b"\0" * (-len(data) % 8))
-    os.replace(own, path)
-
-
-def load(path: str) -> dict[str, np.ndarray | Monotone]:
-    """The arrays of a file, memory-mapped."""
-    whole = np.memmap(path, np.uint8, "r")
-    size = int.from_bytes(whole[:8].tobytes(), "little")
-    at = 8 + size + -size % 8
-    out: dict = {}
-    for name, dtype, n in json.loads(whole[8 : 8 + size].tobytes()):
-        bytes_ = n * np.dtype(dtype).itemsize
-        a = whole[at : at + bytes_].view(dtype).view(np.ndarray)
-        at += bytes_ + -bytes_ % 8
-        base, _, i = name.partition(".")
-        if i:
-            out.setdefault(base, []).append(a)
-        else:
-            out[name] = a
-    return {k: Monotone.from_parts(v) if isinstance(v, list) else v for k, v in out.items()}

@@ -37,64 +37,29 @@ results are replaced.
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import uuid
-from collections import OrderedDict
 from dataclasses import dataclass, field
-from urllib.parse import urlparse
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import blobs
-from .elias_fano import Monotone, load, save
+from .elias_fano import Monotone
 from .hashing import FOLD, U, Words, chunks, mix
+from .stored import Stored, press, save, shared_folder, unpress
 
 WORD, PAIR, TRIPLE = range(3)
 _WORD = [U, np.int64]
 _GRAM = [np.uint32, np.uint64, np.uint32]  # context within its shard, item, occurrences
 END = mix(np.array([0xE4D], U))[0]
-#: Tokens that a task holds before it combines them; bytes of text that are looked up at once; maps that a worker keeps open.
-HELD, CHUNK, OPEN = 2_000_000, 2 << 20, 1024
+#: Tokens that a task holds before it combines them; bytes of text that are looked up at once.
+HELD, CHUNK = 2_000_000, 2 << 20
 DISCOUNT = 0.75
 
 
-def shared_folder(df: DataFrame) -> str:
-    """A new folder below the one that the session names for checkpoints, which every executor must have mounted."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        blobs.cut(df.limit(0))
-    url = urlparse(context.getCheckpointDir())
-    if url.scheme not in ("", "file"):
-        raise ValueError(f"a memory-mapped model needs a mounted folder; spark.checkpoint.dir is {url.scheme}://")
-    path = os.path.join(url.path, f"trie-{uuid.uuid4().hex}")
-    os.makedirs(path)
-    atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
-def _press(columns: list[np.ndarray]) -> bytes:
-    """Sorted columns, by planes of bytes, compressed."""
-    planes = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(-1, c.dtype.itemsize).T.tobytes() for c in columns)
-    return np.int64(len(columns[0])).tobytes() + zstandard.ZstdCompressor(level=1).compress(planes)
-
-
-def _unpress(blob: bytes, dtypes: list) -> list[np.ndarray]:
-    n, at, out = int(np.frombuffer(blob, np.int64, 1)[0]), 0, []
-    planes = zstandard.ZstdDecompressor().decompress(blob[8:])
-    for d in dtypes:
-        size = n * np.dtype(d).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8, size, at).reshape(-1, n).T).view(d).ravel())
-        at += size
-    return out
-
-
 class Bytes8:
     """Values of (0, 1] in 255 steps of their logarithm, and 0."""
 
@@ -120,49 +85,20 @@ def _by_key(parts: list[list[np.ndarray]], dtypes: list) -> list[np.ndarray]:
 
 
 @dataclass
-class Trie:
+class Trie(Stored):
     """The folder, and what little is known of all shards."""
 
-    path: str
-    shards: int
+    shards: int = 1
     total: int = 0  # N
     distinct: int = 0  # V
     first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # number of each shard's first word
     pair_first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # number of each shard's first bigram
     parts: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # number of each trigram shard's first bigram
 
-    def __post_init__(self):
-        self.open: OrderedDict[str, dict] = OrderedDict()
-        self.end = -1  # the end's number
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "open"}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state, open=OrderedDict())
-
-    def remove(self) -> None:
-        self.open.clear()
-        shutil.rmtree(self.path, ignore_errors=True)
-
-    def file(self, level: int, shard: int) -> str:
-        return f"{self.path}/{level}-{shard:06d}"
+    end: int = -1  # the end's number
 
     def level(self, level: int, shard: int) -> dict:
-        name = self.file(level, shard)
-        if name not in self.open:
-            if len(self.open) >= OPEN:
-                self.open.popitem(last=False)
-            self.open[name] = load(name) if os.path.exists(name) else {}
-        self.open.move_to_end(name)
-        return self.open[name]
-
-    def by_shard(self, shard: np.ndarray):
-        """(shard, places) of an array of shards."""
-        order = np.argsort(shard, kind="stable")
-        s = shard[order]
-        cuts = np.append(np.flatnonzero(np.append(True, s[1:] != s[:-1])), len(s)) if len(s) else [0]
-        return [(int(s[a]), order[a:b]) for a, b in zip(cuts[:-1], cuts[1:])]
+        return self.arrays(self.file(level, shard))
 
     def words(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts of words in the training documents, and their numbers (-1: none)."""
@@ -387,7 +323,7 @@ def _count_grams(trie: Trie, kind: int):
             shard = shard_of(context)
             columns = [(context - begins[shard]).astype(np.uint32), item.astype(np.uint64), n.astype(np.uint32)]
             for s, at in trie.by_shard(shard):
-                yield s, kind, _press([c[at] for c in columns]), None
+                yield s, kind, press([c[at] for c in columns]), None
 
         for batch in batches:
             for _, flat, offsets in chunks(batch, 0, CHUNK):
@@ -407,7 +343,7 @@ def _write_grams(trie: Trie, kind: int):
     def rows(batches):
         found: dict[int, list] = {}
         for shard, _, data, _ in blobs.blobs_in(batches):
-            context, item, n = _unpress(data, _GRAM)
+            context, item, n = unpress(data, _GRAM)
             found.setdefault(shard, []).append([context.astype(np.int64), item.astype(np.int64), n])
         for shard in list(found):
             context, item, n = (np.concatenate(x) for x in zip(*found.pop(shard)))
@@ -435,7 +371,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     """Train on the rows that aren't held out (crc32 of the id modulo 10 is not 0); gives the trie on the shared folder."""
     spark = docs.sparkSession
     n = blobs.shards(spark)
-    trie = Trie(folder or shared_folder(docs), n, first=np.zeros(n, np.int64))
+    trie = Trie(folder or shared_folder(docs, "trie"), n, first=np.zeros(n, np.int64))
     texts = docs.where(~is_held_out(id_col)).select(F.col(text_col).cast("binary").alias("text"))
     counted = blobs.exchange(texts.mapInArrow(_count_words(n), blobs.ROWS), n)
     # a row a shard, here and below
@@ -457,7 +393,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", fo
     for shard in range(n):
         if os.path.exists(trie.file(0, shard)):
             os.remove(trie.file(0, shard))
-    trie.open.clear()
+    trie.held.clear()
     return trie
 
 
