@@ -81,6 +81,17 @@ def test_substring_dedup_equals_brute_force(docs, texts, length):
     assert got == want and sum(x[1] for x in want.values()) > 100
 
 
+def test_cuts_of_whole_characters(spark):
+    same = "\u0416" * 60
+    rows = [(1, "x\ufffd " + same + "é"), (2, "\ufffdy \u0436" + same + "è \ufffd"), (3, "z\u0426" + same + "\u0426")]
+    # the bytes of the second letters agree in part with what is cut
+    got = {r.doc_id: bytes(r.kept).decode() for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), whole_characters=True).collect()}
+    cut = {d: x[3] for d, x in bytes_removed(rows, 100).items()}
+    for d, t in rows:
+        assert got[d] == cut[d].decode(errors="ignore") or len(got[d].encode()) <= len(cut[d])
+    assert got[1].startswith("x\ufffd ") and got[2].startswith("\ufffdy ") and got[2].endswith(" \ufffd") and same not in got[2] + got[3]
+
+
 def test_one_seed_extends_over_windows(spark):
     a, b, c = ([f"{x}{i}" for i in range(60)] for x in "abc")
     rows = [(1, [*a, *b[:30]]), (2, [*c[:20], *a[20:], *b[:25], *c[20:]]), (3, [*b[10:25], *c[30:], *a[:49]])]

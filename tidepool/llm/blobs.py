@@ -8,6 +8,7 @@ column's values, ``extra`` any bytes besides.
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -94,10 +95,13 @@ def binary_column(values: bytes | np.ndarray, bounds: np.ndarray) -> pa.Array:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the session names, or in one of our own where none is set (tests)."""
+    """Checkpoint in the folder that the session names. Where none is set, a session in one process gets a folder of its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidepool-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.match(r"local(\[[^,]*\])?$", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidepool-"))
     return df.checkpoint()
 
 

@@ -15,6 +15,8 @@ input columns named like results are replaced.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,7 +107,7 @@ def _block(flat, size, count, doc, lo, length):
     return doc[owner[gone]], begins[gone], begins[gone] + length
 
 
-def _finish(flat, offsets, of, found):
+def _finish(flat, offsets, of, found, whole_characters=False):
     lost = mask(len(flat), offsets[of] + found["start"], np.minimum(offsets[of] + found["end"], offsets[of + 1]))
     before = np.concatenate([[0], np.cumsum(lost)])
     removed = before[offsets[1:]] - before[offsets[:-1]]
@@ -115,15 +117,26 @@ def _finish(flat, offsets, of, found):
     opens[inside] = lost[inside]
     spans = np.concatenate([[0], np.cumsum(opens)])
     size = np.diff(offsets)
+    if whole_characters and lost.any():
+        opens = (flat & 0xC0) != 0x80
+        opens[inside] = True
+        character = np.cumsum(opens) - 1
+        lost = (np.bincount(character, lost) > 0)[character]
+        before = np.concatenate([[0], np.cumsum(lost)])
+        size = size - (before[offsets[1:]] - before[offsets[:-1]])
+    else:
+        size = size - removed
     kept = flat[~lost]
-    bounds = np.concatenate([[0], np.cumsum(size - removed)])
-    return [pa.array(size.astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array((spans[offsets[1:]] - spans[offsets[:-1]]).astype(np.int64)), binary_column(kept, bounds)]
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    return [pa.array(np.diff(offsets).astype(np.int64)), pa.array(removed.astype(np.int64)), pa.array((spans[offsets[1:]] - spans[offsets[:-1]]).astype(np.int64)), binary_column(kept, bounds)]
 
 
-def suffix_dedup(docs: DataFrame, *, length: int = 100, together: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def suffix_dedup(docs: DataFrame, *, length: int = 100, together: int = 4096, whole_characters: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without ``text_col``, with n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes that remain).
 
     together: differing pieces of one anchor that one suffix array takes at most (the windows of more are dealt out).
+    whole_characters: kept also leaves out what a cut leaves of a character, so that it is text again.
     """
     spec = Repeats(words=False, length=length, gram=max(1, min(24, length // 2)), same_document=True, compare=compare_pieces, together=together)
-    return remove(docs, spec, _finish, "n_bytes long, n_removed long, n_spans long, kept binary", id_col, text_col)
+    finish = partial(_finish, whole_characters=whole_characters)
+    return remove(docs, spec, finish, "n_bytes long, n_removed long, n_spans long, kept binary", id_col, text_col)
