@@ -33,15 +33,14 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def suffix_array(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 100 bytes that came before; parts of characters that a cut leaves are dropped with it."""
-    cut_texts = suffix_dedup(docs)
-    text = F.make_valid_utf8(F.col("kept").cast("string"))
-    text = F.when(F.col("n_removed") > 0, F.replace(text, F.lit("�"), F.lit(""))).otherwise(text)
+    """Texts without strings of 100 bytes that came before; what a cut leaves of a character goes with it."""
+    cut_texts = suffix_dedup(docs.withColumn("_none", F.col("text").isNull()), whole_characters=True)
+    text = F.when(~F.col("_none"), F.col("kept").cast("string"))
     return cut_texts.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; those without words, also where a cut left none, have no copy."""
     return mixed(docs).select(*docs.columns)
 
 
