@@ -94,18 +94,27 @@ def plain_viterbi(pieces, text):
 
 
 def test_sentencepiece(docs, texts):
-    odd = [(800, "日本語 ☃ \U0001f600"), (801, "▁mark ▁"), (802, "   lead and trail  "), (803, "x" * 500), (804, "tab\tnew\nline")]
+    rng = random.Random(8)
+    odd = [(800, "日本語 ☃ \U0001f600"), (801, "▁mark ▁"), (802, "   lead and trail  "), (803, "x" * 500), (804, "tab\tnew\nline"), (805, ""), (806, " ")]
+    odd += [(810 + i, "".join(rng.choice("日本語東京都☃ñthestion\U0001f600▁") for _ in range(100 + 7 * i))) for i in range(40)]
+    odd += [(860 + i, "".join(chr(rng.randrange(97, 123)) for _ in range(130 + i % 9))) for i in range(30)] + [(899, "".join(chr(rng.randrange(33, 127)) for _ in range(5000)))]
     df = docs.select("doc_id", "text").unionByName(docs.sparkSession.createDataFrame(odd, "doc_id long, text string"))
     there = decode(encode(df.withColumn("pieces", F.lit(1)))).collect()
     pieces = load(MODEL)
     for r in there:
         assert r.decoded == (None if r.text is None else bytearray(r.text.encode()))
-        # sums of some scores need more places than a double has; long texts can then differ in ties
-        if r.text is not None and len(r.text) < 1500 and pieces.penalty < 0 and r.doc_id not in (305, 802, 803):
+        if r.text is not None:
             assert r.pieces == plain_viterbi(pieces, r.text.encode()), r.doc_id
     assert len(there) == len(texts) + len(odd)
 
 
+def test_sentencepiece_of_no_rows_and_of_unknown_ids(spark, empty):
+    assert decode(encode(empty)).collect() == []
+    odd = spark.createDataFrame([(1, [5, -3, 10**8, None]), (2, None), (3, [])], "doc_id long, pieces array<int>")
+    one = decode(spark.createDataFrame([(1, [5])], "doc_id long, pieces array<int>")).first().decoded
+    assert {r.doc_id: r.decoded for r in decode(odd).collect()} == {1: one, 2: None, 3: bytearray()}
+
+
 def test_token_counts_follow_edits():
     counter = vocabulary(VOCABULARY, PATTERN)
     rng = random.Random(2)

@@ -1,8 +1,10 @@
 """SentencePiece encoding and decoding by batched Viterbi in numpy.
 
 Texts are cut into units: a run of spaces (each a word mark) and what follows
-up to the next space; no piece crosses a unit's start. Distinct units of equal
-length in bytes advance together: hashes of all substrings that end at a place
+up to the next space; no piece crosses a unit's start. Long units (text
+without spaces) are cut again wherever no piece of the vocabulary can cross.
+Distinct units of equal length in bytes advance together, very long ones with
+others of like length: hashes of all substrings that end at a place
 probe the sorted hashes of the pieces, and the maximum over starts gives the
 best score and a backpointer. A character without a piece of its own costs a
 penalty and is written as byte pieces, so every text can be encoded.
@@ -36,8 +38,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PENALTY = 10.0  # a fixed value: what an unknown character costs below the least score
-#: Units of more bytes are done one by one; distinct units that a task remembers.
-LONG, REMEMBERED = 96, 400_000
+#: Units of more bytes are cut again, and advance with others up to a quarter longer; fewer of those than ``FEW`` go place by
+#: place in a plain loop over the same recurrence. Distinct units that a task remembers; cells of a batch.
+LONG, FEW, REMEMBERED, CELLS = 96, 16, 300_000, 2_000_000
 
 
 def _fields(data: bytes):
@@ -133,9 +136,28 @@ class Pieces:
         hit = self.hashes[where] == h[at]
         return at[hit], where[hit]
 
-    def segment(self, flat: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Units of one length: ids row by row, and how many each has."""
+    def uncrossed(self, flat: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Spans cut where a character begins and no piece has bytes on both sides, and the span that each part is of."""
+        size = end - start
+        own = flat[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        stop = np.repeat(np.cumsum(size), size)
+        hashes = Prefixes(own)
+        depth = np.zeros(len(own) + 1, np.int32)
+        for length in range(2, self.longest + 1):
+            at = np.flatnonzero(np.arange(len(own)) + length <= stop)
+            at = at[self.probe(hashes(at, at + length))[0]]
+            depth[at + 1] += 1
+            depth[at + length] -= 1
+        cut = (np.cumsum(depth[:-1]) == 0) & ((own & 0xC0) != 0x80)
+        cut[np.cumsum(size) - size] = True
+        places = np.flatnonzero(cut)
+        of = np.searchsorted(np.cumsum(size), places, "right")
+        return places - (np.cumsum(size) - size)[of] + start[of], of
+
+    def segment(self, flat: np.ndarray, start: np.ndarray, length: int, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Units of one length, or of at most that and their own size: ids row by row, and how many each has."""
         m = len(start)
+        size = np.full(m, length) if size is None else size
         hashes = Prefixes(flat)
         best = np.full((length + 1, m), -np.inf)
         back = np.zeros((length + 1, m), np.int32)
@@ -158,17 +180,17 @@ class Pieces:
                 better = score > best[j, units]
                 units, where = units[better], where[better]
                 best[j, units], back[j, units], piece[j, units] = score[better], i, self.ids[where]
-            for size in (1, 2, 3, 4):  # characters of their own, in bytes
-                if (i := j - size) < 0:
+            for n in (1, 2, 3, 4):  # characters of their own, in bytes
+                if (i := j - n) < 0:
                     continue
-                units = np.flatnonzero((whole[i] == size) & ~single[i] & np.isfinite(best[i]))
+                units = np.flatnonzero((whole[i] == n) & ~single[i] & np.isfinite(best[i]))
                 if len(units):
                     score = best[i, units] + self.penalty
                     better = score > best[j, units]
                     units = units[better]
                     best[j, units], back[j, units], piece[j, units] = score[better], i, -1
         ids, unit, order = [], [], []
-        at, rows = np.full(m, length), np.arange(m)
+        at, rows = size.copy(), np.arange(m)
         while len(rows):
             j = at[rows]
             i = back[j, rows]
@@ -234,31 +256,43 @@ class Encoder:
 
     def _learn(self, flat, hashes, start, end):
         """Distinct units that aren't known."""
-        size = end - start
-        ids, counts = [], np.zeros(len(start), np.int64)
+        # parts: units, or what long ones are cut into, in their order
+        long = np.flatnonzero(end - start > LONG)
+        places, of = self.pieces.uncrossed(flat, start[long], end[long])
+        short = np.flatnonzero(end - start <= LONG)
+        part, unit = np.concatenate([start[short], places]), np.concatenate([short, long[of]])
+        order = np.lexsort((part, unit))
+        part, unit = part[order], unit[order]
+        last = np.append(unit[1:] != unit[:-1], True)
+        size = np.where(last, end[unit], np.append(part[1:], 0)) - part
+        ids, rows_of, counts = [], [], np.zeros(len(part), np.int64)
         order = np.argsort(size, kind="stable")
         by = size[order]
-        cuts = np.append(np.flatnonzero(np.append(True, by[1:] != by[:-1])), len(by))
-        for a, b in zip(cuts[:-1], cuts[1:]):
-            length = int(by[a])
-            step = max(1, 4_000_000 // (length + 1)) if length <= LONG else 1
-            for x in range(a, b, step):
-                rows = order[x : min(b, x + step)]
-                if length > LONG:
-                    got = [self.pieces.segment_one(flat[start[r] : end[r]].tobytes()) for r in rows.tolist()]
-                    ids.append(np.array([i for g in got for i in g], np.int32))
-                    counts[rows] = [len(g) for g in got]
-                else:
-                    # only the units' own bytes, end to end
-                    own = flat[(start[rows][:, None] + np.arange(length)).ravel()]
-                    found, n = self.pieces.segment(own, np.arange(len(rows)) * length, length)
-                    ids.append(found)
-                    counts[rows] = n
-        places = np.concatenate([[0], np.cumsum(counts[order])]) + self.starts[-1]
-        rows = np.empty(len(start), np.int64)
-        rows[order] = np.arange(len(start)) + len(self.starts) - 1
-        self.starts = np.concatenate([self.starts, places[1:]])
-        self.ids = np.concatenate([self.ids, *ids])
+        a = 0
+        while a < len(by):
+            longest = int(by[a]) if by[a] <= LONG else int(by[a] * 5 // 4)
+            b = min(int(np.searchsorted(by, longest, "right")), a + max(1, CELLS // (longest + 1)))
+            rows, length = order[a:b], int(by[b - 1])
+            if length > LONG and len(rows) < FEW:
+                got = [self.pieces.segment_one(flat[part[r] : part[r] + size[r]].tobytes()) for r in rows.tolist()]
+                ids.append(np.array([i for g in got for i in g], np.int32))
+                counts[rows] = [len(g) for g in got]
+            else:
+                # only the parts' own bytes, end to end, as many for each
+                step = np.arange(length)
+                own = np.where(step < size[rows][:, None], flat[np.minimum(part[rows][:, None] + step, len(flat) - 1)], 0).astype(np.uint8).ravel()
+                found, counts[rows] = self.pieces.segment(own, np.arange(len(rows)) * length, length, size[rows])
+                ids.append(found)
+            rows_of.append(rows)
+            a = b
+        rows_of = np.concatenate(rows_of)
+        ends = np.empty(len(part), np.int64)
+        ends[rows_of] = np.cumsum(counts[rows_of])
+        made, _ = gather(np.concatenate(ids), ends - counts, ends)
+        places = np.cumsum(counts)[last] + self.starts[-1]
+        rows = np.arange(len(start)) + len(self.starts) - 1
+        self.starts = np.concatenate([self.starts, places])
+        self.ids = np.concatenate([self.ids, made])
         all_hashes, all_rows = np.concatenate([self.hashes, hashes]), np.concatenate([self.rows, rows])
         by = np.argsort(all_hashes, kind="stable")
         self.hashes, self.rows = all_hashes[by], all_rows[by]
