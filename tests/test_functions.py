@@ -121,12 +121,13 @@ def test_a_quote_replaces_an_empty_one(spark):
 
 
 def test_authenticity(spark):
-    fake = one(spark, "Buy now! AMAZING best perfect!!! click here promo code www.x.com", authenticity.risk("x"))
+    risk = lambda x: authenticity.scored(spark.createDataFrame([(x,)], "x string"), "x").first().risk
+    fake = risk("Buy now! AMAZING best perfect!!! click here promo code www.x.com")
     assert fake.label == "likely_fake" and {"promotional_language", "external_link_or_contact"} <= set(fake.flags)
-    fine = one(spark, "The battery held for two days and the screen is easy to read outside", authenticity.risk("x"))
+    fine = risk("The battery held for two days and the screen is easy to read outside")
     assert (fine.score, fine.label, fine.flags) == (0.0, "low_risk", [])
-    assert one(spark, "  ", authenticity.risk("x")).label == "low_risk"
-    assert "repeated_terms" in one(spark, "so so so so good it is what it is for me", authenticity.risk("x")).flags
+    assert risk("  ").label == "low_risk"
+    assert "repeated_terms" in risk("so so so so good it is what it is for me").flags
 
 
 @pytest.mark.parametrize(

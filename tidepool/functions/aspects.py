@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import sentiment
@@ -100,6 +100,26 @@ def mentions(
     return F.flatten(F.transform(sentences(strip(F.coalesce(col(c), F.lit("")))), of))
 
 
+def mention_rows(
+    df: DataFrame,
+    text: str = "review_text",
+    keywords: Mapping[str, Iterable[str]] = KEYWORDS,
+    positive: Iterable[str] = sentiment.POSITIVE,
+    negative: Iterable[str] = sentiment.NEGATIVE,
+) -> DataFrame:
+    """``mentions`` as rows: ``df``'s other columns with sentence (its number), aspect, sentiment and quote.
+
+    Sentences become rows first, so that labels are tried and scores made in generated code.
+    """
+    others = [c for c in df.columns if c != text]
+    cut = df.select(*others, F.posexplode(sentences(strip(F.coalesce(text, F.lit(""))))).alias("sentence", "_tp_sentence"))
+    plain = cut.withColumn("_tp_phrase", phrase("_tp_sentence")).where(F.length("_tp_phrase") >= 4)
+    found = F.array_compact(F.array(*(F.when(F.col("_tp_phrase").rlike("|".join(dict.fromkeys((name, *words)))), F.lit(name)) for name, words in keywords.items())))
+    named = plain.withColumn("_tp_found", found).where(F.size("_tp_found") > 0)
+    each = named.select(*others, "sentence", "_tp_found", sentiment.lexicon_score("_tp_sentence", positive, negative).alias("sentiment"), quote("_tp_sentence").alias("quote"))
+    return each.select(*others, "sentence", F.explode("_tp_found").alias("aspect"), "sentiment", "quote")
+
+
 def extract(c: ColumnOrName, keywords: Mapping[str, Iterable[str]] = KEYWORDS, positive: Iterable[str] = sentiment.POSITIVE, negative: Iterable[str] = sentiment.NEGATIVE, exact_first: bool = False) -> Column:
     return deduplicated(mentions(c, keywords, positive, negative), keywords, exact_first)
 

@@ -11,8 +11,14 @@ from ._columns import ColumnOrName, col
 from .text import count_of
 
 #: Fixed values.
-POSITIVE = tuple("amazing awesome best brilliant comfortable durable easy excellent fantastic fast good great improved impressive incredible intuitive love perfect premium recommend reliable smooth solid stunning value worth".split())
-NEGATIVE = tuple("awful bad broke broken cheap complicated defective disappointing expensive fail failed fails flimsy frustrating garbage hate issue lag overpriced poor problem refund return slow terrible useless worst".split())
+POSITIVE = (
+    "amazing", "awesome", "best", "brilliant", "comfortable", "durable", "easy", "excellent", "fantastic", "fast", "good", "great", "improved",
+    "impressive", "incredible", "intuitive", "love", "perfect", "premium", "recommend", "reliable", "smooth", "solid", "stunning", "value", "worth",
+)
+NEGATIVE = (
+    "awful", "bad", "broke", "broken", "cheap", "complicated", "defective", "disappointing", "expensive", "fail", "failed", "fails", "flimsy", "frustrating",
+    "garbage", "hate", "issue", "lag", "overpriced", "poor", "problem", "refund", "return", "slow", "terrible", "useless", "worst",
+)
 THRESHOLD = 0.2
 MODEL_LABELS = {1: ("positive", "label_1", "4 stars", "5 stars"), -1: ("negative", "label_0", "1 star", "2 stars"), 0: ("neutral", "3 stars")}
 

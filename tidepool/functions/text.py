@@ -37,8 +37,19 @@ def phrase(c: ColumnOrName) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), r"[^a-z0-9]+", " "))
 
 
+def char_count(c: ColumnOrName, chars: str) -> Column:
+    """How many characters are among ``chars``."""
+    return F.length(c) - F.length(F.translate(col(c), chars, ""))
+
+
+def run_length(c: ColumnOrName, pattern: str) -> Column:
+    """Characters in the runs that match; ``regexp_count`` would make an array of all of them."""
+    return F.length(c) - F.length(F.regexp_replace(col(c), pattern, ""))
+
+
 def word_count(c: ColumnOrName) -> Column:
-    return F.coalesce(F.regexp_count(col(c), F.lit(r"(?U)\S+")), F.lit(0))
+    """Each word is brought down to one mark, which white space never is."""
+    return F.coalesce(char_count(F.regexp_replace(col(c), r"(?U)\S++", "w"), "w"), F.lit(0))
 
 
 def tokens(c: ColumnOrName) -> Column:
@@ -47,15 +58,17 @@ def tokens(c: ColumnOrName) -> Column:
 
 
 def token_count(c: ColumnOrName) -> Column:
-    return F.regexp_count(F.lower(F.coalesce(col(c), F.lit(""))), F.lit("[a-z0-9']+"))
+    return char_count(F.regexp_replace(F.lower(F.coalesce(col(c), F.lit(""))), "[a-z0-9']++", "\x01"), "\x01") - char_count(F.coalesce(col(c), F.lit("")), "\x01")
 
 
 def count_of(c: ColumnOrName, words: list[str] | tuple[str, ...]) -> Column:
-    """How many tokens are one of the words; no array of tokens is made."""
-    if not words:
-        return F.lit(0)
-    pattern = rf"(?<![a-z0-9'])(?:{'|'.join(sorted(words, key=len, reverse=True))})(?![a-z0-9'])"
-    return F.regexp_count(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(pattern))
+    """How many tokens are one of the words; only those that are become an array."""
+    return F.regexp_count(F.lower(F.coalesce(col(c), F.lit(""))), F.lit(any_of(words))) if words else F.lit(0)
+
+
+def any_of(words: list[str] | tuple[str, ...]) -> str:
+    """A pattern for tokens of lower-cased text that are one of the words."""
+    return rf"(?<![a-z0-9'])(?:{'|'.join(sorted(words, key=len, reverse=True))})(?![a-z0-9'])"
 
 
 def sentences(c: ColumnOrName) -> Column:
@@ -75,12 +88,12 @@ def ratio(part: Column, whole: Column) -> Column:
 
 def caps_ratio(c: ColumnOrName) -> Column:
     t = F.coalesce(col(c), F.lit(""))
-    return ratio(F.regexp_count(t, F.lit("[A-Z]")), F.regexp_count(t, F.lit("[A-Za-z]")))
+    return ratio(run_length(t, "[A-Z]++"), run_length(t, "[A-Za-z]++"))
 
 
 def exclamation_ratio(c: ColumnOrName) -> Column:
     t = F.coalesce(col(c), F.lit(""))
-    return ratio(F.regexp_count(t, F.lit("!")), F.length(t))
+    return ratio(char_count(t, "!"), F.length(t))
 
 
 def joined_text(*cs: ColumnOrName, sep: str = ". ") -> Column:

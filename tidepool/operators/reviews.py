@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import authenticity, text
@@ -81,9 +81,13 @@ def latest(df: DataFrame, key: str = "review_id") -> DataFrame:
     return df.withColumn("_tp_rank", F.row_number().over(w)).where("_tp_rank = 1").drop("_tp_rank")
 
 
-def genuine(df: DataFrame, column: str = "review_text", threshold: float = 0.7) -> DataFrame:
-    """Without reviews that are likely fake."""
-    return df.where(authenticity.risk(column, threshold)["label"] != "likely_fake")
+def genuine(df: DataFrame, column: str = "review_text", threshold: float = 0.7, observed: Observation | None = None) -> DataFrame:
+    """Without reviews that are likely fake. ``observed`` receives removed_count, when rows are read."""
+    found = authenticity.scored(df, column, threshold)
+    fake = F.col("risk.label") == "likely_fake"
+    if observed is not None:
+        found = found.observe(observed, F.count_if(fake).alias("removed_count"))
+    return found.where(~fake).drop("risk")
 
 
 def payload(df: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import authenticity, guardrails, sentiment
-from ..functions.aspects import mentions
+from ..functions.aspects import mention_rows
 from ..functions.text import count_of, phrase, sentences, text_key, token_count
 from ..functions.values import cosine_distance
 from ..operators import analytics, eda, profile, retrieval, reviews
@@ -120,7 +120,7 @@ def upsert_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     (DOCS,),
 )
 def text_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = reviews.features(doc_reviews(spark, sf_dir))
+    f = reviews.features(doc_reviews(spark, sf_dir, costly=True))
     return f.select("review_id", "text_length_words", "text_length_chars", F.round("caps_ratio", 6).alias("caps_ratio"), F.round("exclamation_ratio", 6).alias("exclamation_ratio"))
 
 
@@ -271,7 +271,7 @@ def source_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     (DOCS,),
 )
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.quality_metrics(doc_reviews(spark, sf_dir)).select("scope", "record_count", "missing_rating_count", "duplicate_count", "duplicate_ratio")
+    return profile.quality_metrics(doc_reviews(spark, sf_dir, costly=True)).select("scope", "record_count", "missing_rating_count", "duplicate_count", "duplicate_ratio")
 
 
 @query("SELECT unnest(['rating_normalized', 'review_text', 'product_name', 'helpful_votes']) AS field, unnest([count(*) FILTER (rating_normalized IS NULL), count(*) FILTER (trim(review_text) = ''), 0, 0]) AS null_count FROM doc_reviews", (DOCS,))
@@ -282,9 +282,9 @@ def null_counts_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- text models ----------------------------------------------------------------------------------
 
 
-def _hits(words) -> str:
+def _hits(words, text: str = "review_text") -> str:
     listed = ", ".join(f"'{w}'" for w in words)
-    return f"len(list_filter({TOKENS.format('review_text')}, lambda x: x IN ({listed})))"
+    return f"len(list_filter({TOKENS.format(text)}, lambda x: x IN ({listed})))"
 
 
 LEXICON = f"l AS (SELECT *, {_hits(POSITIVE)} AS p, {_hits(NEGATIVE)} AS n FROM doc_reviews), s AS (SELECT *, CASE WHEN p + n > 0 THEN round((p - n) / (p + n), 4) ELSE 0 END AS score FROM l)"
@@ -292,13 +292,13 @@ LEXICON = f"l AS (SELECT *, {_hits(POSITIVE)} AS p, {_hits(NEGATIVE)} AS n FROM
 
 @query("SELECT review_id, score::DOUBLE AS sentiment_score, CASE WHEN score > 0.2 THEN 'positive' WHEN score < -0.2 THEN 'negative' ELSE 'neutral' END AS sentiment_label FROM s", (DOCS, LEXICON))
 def lexicon_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = doc_reviews(spark, sf_dir).withColumn("sentiment_score", sentiment.lexicon_score("review_text", POSITIVE, NEGATIVE))
+    found = doc_reviews(spark, sf_dir, costly=True).withColumn("sentiment_score", sentiment.lexicon_score("review_text", POSITIVE, NEGATIVE))
     return found.select("review_id", "sentiment_score", sentiment.label("sentiment_score").alias("sentiment_label"))
 
 
 @query(f"SELECT count(*) AS n, sum({_hits(sentiment.POSITIVE)})::BIGINT AS p, sum({_hits(sentiment.NEGATIVE)})::BIGINT AS n_neg FROM doc_reviews", (DOCS,))
 def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = doc_reviews(spark, sf_dir)
+    d = doc_reviews(spark, sf_dir, costly=True)
     return d.agg(F.count("*").alias("n"), F.sum(count_of("review_text", sentiment.POSITIVE)).cast("long").alias("p"), F.sum(count_of("review_text", sentiment.NEGATIVE)).cast("long").alias("n_neg"))
 
 
@@ -307,24 +307,26 @@ CUT = r"""c AS (SELECT review_id, list_filter(list_transform(string_split(regexp
 
 @query("SELECT review_id, len(ss)::INT AS sentence_count FROM c", (DOCS, CUT))
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return doc_reviews(spark, sf_dir).select("review_id", F.size(sentences("review_text")).alias("sentence_count"))
+    return doc_reviews(spark, sf_dir, costly=True).select("review_id", F.size(sentences("review_text")).alias("sentence_count"))
 
 
 @query(
-    ", x AS (SELECT review_id, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS t FROM (SELECT review_id, unnest(ss) AS s FROM c)) SELECT aspect, count(*) AS mention_count FROM ("
-    + " UNION ALL ".join(f"SELECT '{a}' AS aspect FROM x WHERE length(t) >= 4 AND regexp_matches(t, '{'|'.join(dict.fromkeys((a, *ws)))}')" for a, ws in ASPECTS.items())
+    f", x AS (SELECT review_id, trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')) AS t, {_hits(POSITIVE, 's')} > {_hits(NEGATIVE, 's')} AS good FROM (SELECT review_id, unnest(ss) AS s FROM c)) "
+    + "SELECT aspect, count(*) AS mention_count, sum(good::INT)::BIGINT AS positive_count, count(DISTINCT review_id) AS reviews FROM ("
+    + " UNION ALL ".join(f"SELECT '{a}' AS aspect, good, review_id FROM x WHERE length(t) >= 4 AND regexp_matches(t, '{'|'.join(dict.fromkeys((a, *ws)))}')" for a, ws in ASPECTS.items())
     + ") GROUP BY aspect",
     (DOCS, CUT),
 )
 def aspect_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = doc_reviews(spark, sf_dir).select(F.explode(mentions("review_text", ASPECTS, POSITIVE, NEGATIVE)).alias("m"))
-    return m.groupBy(F.col("m.aspect").alias("aspect")).agg(F.count("*").alias("mention_count"))
+    rows = doc_reviews(spark, sf_dir, costly=True).select("review_id", "review_text")
+    m = mention_rows(rows, "review_text", ASPECTS, POSITIVE, NEGATIVE)
+    return m.groupBy("aspect").agg(F.count("*").alias("mention_count"), F.sum((F.col("sentiment") > 0).cast("int")).alias("positive_count"), F.count_distinct("review_id").alias("reviews"))
 
 
 @query()
 def enriched_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sentiment and the twelve aspects of every review; checked against a plain version in the tests."""
-    found = enrich(doc_reviews(spark, sf_dir), with_lexicon(POSITIVE, NEGATIVE))
+    found = enrich(doc_reviews(spark, sf_dir, costly=True), with_lexicon(POSITIVE, NEGATIVE))
     return found.select("review_id", "sentiment_label", "sentiment_score", "aspect_labels", "aspect_count", "aspect_details_json")
 
 
@@ -335,22 +337,24 @@ PROMOTED = " + ".join(f"contains(lower(t), '{p}')::INT" for p in authenticity.PR
     rf""", t AS (SELECT review_id, trim(review_text) AS t, {TOKENS.format('review_text')} AS w FROM doc_reviews),
     u AS (SELECT *, len(w) AS n, len(list_distinct(w)) AS d, {PROMOTED} AS promo, len(list_filter(map_values(list_histogram(w)), lambda c: c >= 4)) AS rep,
         len(list_filter(w, lambda x: x IN ({", ".join(repr(x) for x in authenticity.SUPERLATIVES)}))) AS sup, len(list_filter(w, lambda x: x IN ({", ".join(repr(x) for x in authenticity.CONCRETE)}))) AS con FROM t),
-    s AS (SELECT review_id, CASE WHEN t = '' THEN 0 ELSE round(least(1, CASE WHEN n < 8 THEN 0.15 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i)https?://|www\.') OR regexp_matches(t, '\b[\w.+-]+@[\w.-]+\.[A-Za-z]{{2,}}\b') THEN 0.25 ELSE 0 END
-        + CASE WHEN promo > 0 THEN least(0.35, 0.15 + 0.08 * promo) ELSE 0 END + CASE WHEN n >= 10 AND d / n < 0.45 THEN 0.2 ELSE 0 END + CASE WHEN rep > 0 THEN least(0.2, 0.08 * rep) ELSE 0 END
-        + CASE WHEN len(regexp_extract_all(t, '!')) >= 3 OR len(regexp_extract_all(t, '\?')) >= 3 THEN 0.1 ELSE 0 END
-        + CASE WHEN len(regexp_extract_all(t, '\p{{L}}')) >= 20 AND len(regexp_extract_all(t, '\p{{Lu}}')) / len(regexp_extract_all(t, '\p{{L}}')) > 0.45 THEN 0.12 ELSE 0 END
-        + CASE WHEN sup >= 3 AND con = 0 THEN 0.2 ELSE 0 END + CASE WHEN regexp_matches(t, '(?i)\b(5\s*stars|five\s*stars|must\s*buy|buy\s*now)\b') THEN 0.12 ELSE 0 END), 4) END::DOUBLE AS score FROM u)
-    SELECT review_id, score, CASE WHEN score >= 0.7 THEN 'likely_fake' WHEN score >= 0.42 THEN 'suspicious' ELSE 'low_risk' END AS label FROM s""",
+    r AS (SELECT review_id, t, [CASE WHEN n < 8 THEN 0.15 ELSE 0 END, CASE WHEN regexp_matches(t, '(?i)https?://|www\.') OR regexp_matches(t, '\b[\w.+-]+@[\w.-]+\.[A-Za-z]{{2,}}\b') THEN 0.25 ELSE 0 END,
+        CASE WHEN promo > 0 THEN least(0.35, 0.15 + 0.08 * promo) ELSE 0 END, CASE WHEN n >= 10 AND d / n < 0.45 THEN 0.2 ELSE 0 END, CASE WHEN rep > 0 THEN least(0.2, 0.08 * rep) ELSE 0 END,
+        CASE WHEN len(regexp_extract_all(t, '!')) >= 3 OR len(regexp_extract_all(t, '\?')) >= 3 THEN 0.1 ELSE 0 END,
+        CASE WHEN len(regexp_extract_all(t, '\p{{L}}')) >= 20 AND len(regexp_extract_all(t, '\p{{Lu}}')) / len(regexp_extract_all(t, '\p{{L}}')) > 0.45 THEN 0.12 ELSE 0 END,
+        CASE WHEN sup >= 3 AND con = 0 THEN 0.2 ELSE 0 END, CASE WHEN regexp_matches(t, '(?i)\b(5\s*stars|five\s*stars|must\s*buy|buy\s*now)\b') THEN 0.12 ELSE 0 END]::DOUBLE[] AS parts FROM u),
+    s AS (SELECT review_id, CASE WHEN t = '' THEN 0 ELSE round(least(1, list_sum(parts)), 4) END::DOUBLE AS score, CASE WHEN t = '' THEN '' ELSE array_to_string(list_filter(list_transform(range(1, 10),
+        lambda i: CASE WHEN parts[i] > 0 THEN ['very_short_review', 'external_link_or_contact', 'promotional_language', 'low_vocabulary_diversity', 'repeated_terms', 'excessive_punctuation', 'excessive_caps', 'generic_superlatives', 'review_bait_phrase'][i] END),
+        lambda f: f IS NOT NULL), ',') END AS flags FROM r)
+    SELECT review_id, score, flags, CASE WHEN score >= 0.7 THEN 'likely_fake' WHEN score >= 0.42 THEN 'suspicious' ELSE 'low_risk' END AS label FROM s""",
     (DOCS,),
 )
 def authenticity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = authenticity.risk("review_text")
-    return doc_reviews(spark, sf_dir).select("review_id", r.alias("r")).select("review_id", "r.score", "r.label")
+    return authenticity.scored(doc_reviews(spark, sf_dir, costly=True).select("review_id", "review_text")).select("review_id", "risk.score", "risk.label", F.array_join("risk.flags", ",").alias("flags"))
 
 
 @query()
 def authenticity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews.genuine(doc_reviews(spark, sf_dir), threshold=0.45).select("review_id")
+    return reviews.genuine(doc_reviews(spark, sf_dir, costly=True), threshold=0.45).select("review_id")
 
 
 @query(
@@ -382,7 +386,7 @@ def page_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT lower(source) AS source, sum(len({TOKENS.format('review_text')}))::BIGINT AS tokens, count(DISTINCT regexp_replace(lower(trim(review_text)), '\\s+', ' ', 'g')) AS texts, count(DISTINCT trim(regexp_replace(lower(review_text), '[^a-z0-9]+', ' ', 'g'))) AS phrases FROM doc_reviews GROUP BY 1", (DOCS,))
 def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = doc_reviews(spark, sf_dir)
+    d = doc_reviews(spark, sf_dir, costly=True)
     return d.groupBy(F.lower("source").alias("source")).agg(F.sum(token_count("review_text")).cast("long").alias("tokens"), F.count_distinct(text_key("review_text")).alias("texts"), F.count_distinct(phrase("review_text")).alias("phrases"))
 
 
@@ -414,13 +418,13 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def hashing_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.index(doc_reviews(spark, sf_dir), 64)
+    found = retrieval.index(doc_reviews(spark, sf_dir, costly=True), 64)
     return found.select("id", F.size("embedding").alias("dimensions"), F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 6).alias("norm"))
 
 
 @query()
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.hybrid(retrieval.index(doc_reviews(spark, sf_dir), 64), "that was from", 10, dimensions=64)
+    found = retrieval.hybrid(retrieval.index(doc_reviews(spark, sf_dir, costly=True), 64), "that was from", 10, dimensions=64)
     return retrieval.citations(found)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import scaled
+from ..session import spread
 
 #: Words that the synthetic prose has: the lexicons and aspects that exercise every branch on it.
 POSITIVE, NEGATIVE = ("the", "best", "and"), ("on", "that", "with", "was")
@@ -16,8 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def doc_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+def doc_reviews(spark: SparkSession, sf_dir: str, costly: bool = False) -> DataFrame:
+    """Documents as reviews. ``costly``: what follows is worth dealing them out to all cores."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs = spread(docs.select("doc_id", "text", "lang", "source")) if costly else docs
     rating = labels.groupBy("doc_id").agg(F.max("quality").cast("double").alias("rating_normalized"))
     return docs.join(rating, "doc_id", "left").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("review_id"), F.col("lang").alias("product_name"), F.concat(F.lit("text_"), "lang").alias("product_category"), "source",

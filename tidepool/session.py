@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(name: str = "tidepool", **conf: str) -> SparkSession:
@@ -11,3 +11,13 @@ def session(name: str = "tidepool", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A file scan of few splits dealt out to all cores, for work that costs more than moving its rows.
+
+    Files of one row group can't be split when they are read. A scan that has as many splits as there are cores
+    stays as it is, so at scale nothing is moved.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan._jdf.queryExecution().toRdd().getNumPartitions() < cores else scan
