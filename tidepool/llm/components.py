@@ -17,7 +17,9 @@ def components(links: DataFrame) -> DataFrame:
     very many links costs each task one row; state is cut in the shared
     checkpoint folder after each round.
     """
-    both = cut(links.select("a", "b").unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    # both ways from one pass: a union would work the links out twice
+    ways = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("way")
+    both = cut(links.where("a <> b").select(ways).select("way.a", "way.b").distinct())
     labels = cut(both.groupBy("a").agg(F.min("b").alias("least")).select(F.col("a").alias("node"), F.least("a", "least").alias("component")))
     while True:
         around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
