@@ -46,8 +46,8 @@ ORDER = 4  # symbols of 16 bits in a number of 64
 MOST_FAILED_REPEATS, LEAST_WORDS, WINDOW = 20, 10, 5  # fixed values of the base rules
 FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
 STEP = 0.002  # of the histogram of log perplexities
-#: Symbols that a task holds before it combines their n-grams; bytes of text that are scored at once.
-HELD, CHUNK = 8_000_000, 2 << 20
+#: Different n-grams that a task holds before it combines and sends them; symbols that are looked at together.
+HELD, SLICE = 1_500_000, 400_000
 COUNTED, OF_COUNTS = 0, 10  # kinds of rows: n-grams of an order, and how many of them have which count
 _GRAM = [U, U, np.uint32]  # language, n-gram, count
 _OF_COUNTS = [U, np.int64, np.int64, np.int64, np.int64]  # language, n-grams counted once, twice, three and four times
@@ -62,15 +62,18 @@ def symbols(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     lead = (flat & 0xC0) != 0x80
     at = np.flatnonzero(lead)
     begins = np.concatenate([[0], np.cumsum(lead)])[offsets]
-    b0 = FOLD[flat[at]].astype(np.uint32)
+    b0 = FOLD[flat[at]]
     s = b0
     if len(at) < len(flat):
+        b0 = b0.astype(np.uint32)
         padded = np.concatenate([flat, np.zeros(3, np.uint8)])
         b1, b2, b3 = (padded[at + k].astype(np.uint32) & 63 for k in (1, 2, 3))
         two, three = (b0 & 31) << 6 | b1, (b0 & 15) << 12 | b1 << 6 | b2
         four = (b0 & 7) << 18 | b1 << 12 | b2 << 6 | b3
         s = np.where(b0 < 0x80, b0, np.where(b0 < 0xE0, two, np.where(b0 < 0xF0, three, 0xE000 + four % 6400)))
-    s = np.where((s >= 48) & (s < 58), _DIGIT, np.where((s >= 9) & (s <= 13), _SPACE, s)).astype(U)
+    s = s.astype(np.uint16)
+    s[(s >= 48) & (s < 58)] = _DIGIT
+    s[(s >= 9) & (s <= 13)] = _SPACE
     again = s == _SPACE
     again[1:] &= again[:-1].copy()
     again[:1] = False
@@ -78,15 +81,19 @@ def symbols(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return s[~again], begins - np.concatenate([[0], np.cumsum(again)])[begins]
 
 
-def codes(s: np.ndarray, begins: np.ndarray) -> np.ndarray:
-    """The n-gram that ends at each symbol; documents begin after spaces."""
-    at = np.arange(len(s)) - np.repeat(begins[:-1], np.diff(begins))
-    code = s.copy()
-    for k in range(1, ORDER):
-        back = np.full(len(s), _SPACE, U)
-        back[k:] = np.where(at[k:] >= k, s[:-k], U(_SPACE)) if k < len(s) else back[k:]
-        code |= back << U(16 * k)
-    return code
+def codes(s: np.ndarray, begins: np.ndarray):
+    """(documents, n-grams that end at each symbol) of slices of the symbols; documents begin after spaces."""
+    for low in range(0, len(s), SLICE):
+        high = min(len(s), low + SLICE)
+        doc = np.searchsorted(begins, np.arange(low, high), "right") - 1
+        at = np.arange(low, high) - begins[doc]
+        code = s[low:high].astype(U)
+        for k in range(1, ORDER):
+            back = np.full(high - low, _SPACE, U)
+            inside = at >= k
+            back[inside] = s[low - k : high - k][inside] if low >= k else s[np.maximum(np.arange(low, high) - k, 0)][inside]
+            code |= back << U(16 * k)
+        yield doc, code
 
 
 def _of(code: np.ndarray, n: int) -> np.ndarray:
@@ -197,38 +204,37 @@ def _dealt(columns: list[np.ndarray], order: int, n: int):
 
 def _count(n: int):
     def rows(batches):
-        held: dict[int, list] = {}
-        size = 0
-
-        def flush():
-            for language, parts in held.items():
-                code, count = np.unique(np.concatenate(parts), return_counts=True)
-                yield from _dealt([np.full(len(code), language, U), code, count.astype(np.uint32)], ORDER, n)
+        held, size = [], 0
 
         for batch in batches:
             languages = batch.column(0).to_numpy(zero_copy_only=False).view(U)
-            for rows, flat, offsets in chunks(batch, 1, CHUNK):
-                s, begins = symbols(flat, offsets)
-                for language, code in _by_language(languages[rows], codes(s, begins), begins):
-                    held.setdefault(language, []).append(code)
-                size += len(s)
+            for rows, flat, offsets in chunks(batch, 1):
+                for doc, code in codes(*symbols(flat, offsets)):
+                    for language, at in _by_language(languages[rows], doc):
+                        gram, count = np.unique(code[at], return_counts=True)
+                        held.append([np.full(len(gram), language, U), gram, count.astype(np.uint32)])
+                        size += len(gram)
                 if size >= HELD:
-                    yield from flush()
-                    held, size = {}, 0
-        yield from flush()
+                    held = [_summed(held)]  # copies of what is held already take no room
+                    size = len(held[0][0])
+                    if size >= HELD // 2:
+                        yield from _dealt(held[0], ORDER, n)
+                        held, size = [], 0
+        if held:
+            yield from _dealt(_summed(held), ORDER, n)
 
     return lambda batches: blobs.batches_of(rows(batches))
 
 
-def _by_language(languages: np.ndarray, code: np.ndarray, begins: np.ndarray):
-    """(language, the codes of its documents)."""
-    known = np.unique(languages)
+def _by_language(languages: np.ndarray, doc: np.ndarray):
+    """(language, places of its documents' symbols)."""
+    known, of = np.unique(languages, return_inverse=True)
     if len(known) == 1:
-        yield int(known[0]), code
+        yield int(known[0]), slice(None)
         return
-    each = np.repeat(np.searchsorted(known, languages), np.diff(begins))
-    for i, language in enumerate(known.tolist()):
-        yield language, code[each == i]
+    each = of[doc]
+    for i in np.unique(each).tolist():
+        yield int(known[i]), each == i
 
 
 def _lower(order: int, n: int):
@@ -351,18 +357,16 @@ def quality(docs: DataFrame, model: KneserNey | None = None, *, widths: float =
     def run(batches):
         for batch in batches:
             languages = batch.column(0).to_numpy(zero_copy_only=False).view(U)
-            for rows, flat, offsets in chunks(batch, 1, CHUNK):
+            for rows, flat, offsets in chunks(batch, 1):
                 m = measures(flat, offsets)
                 s, begins = symbols(flat, offsets)
                 size = np.diff(begins)
-                code, of = codes(s, begins), np.repeat(languages[rows], size)
-                logs = np.zeros(len(s))
-                for language in np.unique(languages[rows]).tolist():
-                    at = np.flatnonzero(of == U(language))
-                    back, distinct = pd.factorize(code[at])
-                    logs[at] = model.score(language, distinct)[back]
-                sums = np.concatenate([[0], np.cumsum(logs)])
-                loss = (sums[begins[:-1]] - sums[begins[1:]]) / np.maximum(size, 1)
+                loss = np.zeros(len(size))
+                for doc, code in codes(s, begins):
+                    for language, at in _by_language(languages[rows], doc):
+                        back, distinct = pd.factorize(code[at])
+                        loss -= np.bincount(doc[at], model.score(language, distinct)[back], len(size))
+                loss /= np.maximum(size, 1)
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 counts = [pa.array(m[f.name].astype(np.int64)) for f in made.fields[:5]]
                 yield pa.RecordBatch.from_arrays([*(part.column(2 + i) for i in range(len(others))), *counts, pa.array(m["base_failed"]), pa.array(size), pa.array(loss)], names=schema.names)
