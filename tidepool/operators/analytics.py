@@ -108,17 +108,25 @@ def rows_with_aspects(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(F.size(csv_items("aspect_labels")) > 0).alias("rows_with_aspects"))
 
 
+def keys_of(names: Sequence[str]) -> list[str]:
+    """The products asked for, each once."""
+    return list(dict.fromkeys(n.strip().lower() for n in names if n.strip()))
+
+
 def requested(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """(product_key, position) of the products asked for."""
-    keys = list(dict.fromkeys(n.strip().lower() for n in names if n.strip()))
-    return df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(keys)], "product_key string, position int")
+    return df.sparkSession.createDataFrame([(k, i) for i, k in enumerate(keys_of(names))], "product_key string, position int")
+
+
+def rows_of(df: DataFrame, names: Sequence[str]) -> DataFrame:
+    """Reviews of the products asked for, with product_key."""
+    keys = keys_of(names)
+    return df.withColumn("product_key", folded("product_name")).where(F.col("product_key").isin(keys) if keys else F.lit(False))
 
 
 def compare_products(df: DataFrame, names: Sequence[str]) -> DataFrame:
     """A row for every product asked for, in that order; those without reviews count 0."""
-    wanted = requested(df, names)
-    keys = [r.product_key for r in wanted.collect()]  # what the caller passed
-    rows = df.withColumn("product_key", folded("product_name")).where(F.col("product_key").isin(keys) if keys else F.lit(False))
+    wanted, rows = requested(df, names), rows_of(df, names)
     hit = lambda x: F.count_if(label_key(df) == x).alias(f"{x}_count")
     each = rows.groupBy("product_key").agg(
         F.count("*").alias("review_count"), F.round(F.avg("rating_normalized"), 4).alias("average_rating"), F.round(F.avg("sentiment_score"), 4).alias("average_sentiment_score"),
@@ -129,19 +137,35 @@ def compare_products(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def product_sources(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    keys = [r.product_key for r in requested(df, names).collect()]
-    rows = df.withColumn("product_key", folded("product_name")).where(F.col("product_key").isin(keys) if keys else F.lit(False))
-    return rows.groupBy("product_key", source_key().alias("source")).agg(F.count("*").alias("review_count"))
+    return rows_of(df, names).groupBy("product_key", source_key().alias("source")).agg(F.count("*").alias("review_count"))
 
 
 def product_aspects(df: DataFrame, names: Sequence[str], label: str, k: int = 5) -> DataFrame:
     """The k aspects that a product's reviews of a sentiment mention most."""
-    keys = [r.product_key for r in requested(df, names).collect()]
-    rows = df.withColumn("product_key", folded("product_name")).where(F.col("product_key").isin(keys) if keys else F.lit(False)).where(label_key(df) == label)
+    rows = rows_of(df, names).where(label_key(df) == label)
     found = aspect_rows(rows).groupBy("product_key", "aspect").agg(F.count("*").alias("mention_count"))
     w = Window.partitionBy("product_key").orderBy(F.desc("mention_count"), "aspect")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def product_report(df: DataFrame, names: Sequence[str], k: int = 5) -> DataFrame:
+    """``compare_products`` with each product's sources, top aspects and usual display name, joined by its key."""
+    by, n = "product_key", F.col("review_count")
+    listed = lambda *fields: F.array_sort(F.collect_list(F.struct(*fields)))  # noqa: E731, of a bounded few a product
+    sources = product_sources(df, names).groupBy(by).agg(listed("source", "review_count").alias("sources"))
+    out = compare_products(df, names).join(sources, by, "left")
+    for label in ("positive", "negative"):
+        out = out.join(product_aspects(df, names, label, k).groupBy(by).agg(listed("rank", "aspect", "mention_count").alias(f"{label}_aspects")), by, "left")
+    if "display_name" in df.columns:
+        shown = rows_of(df, names).where("display_name is not null").groupBy(by, "display_name").agg(F.count("*").alias("review_count"))
+        out = out.join(shown.groupBy(by).agg(F.max_by("display_name", F.struct(n, "display_name")).alias("display_name")), by, "left")
+    return out
+
+
+def reviewed_only(products: DataFrame) -> DataFrame:
+    """Without products that nobody has reviewed."""
+    return products.where("review_count > 0")
+
+
 def source_stats(df: DataFrame) -> dict[str, DataFrame]:
     return {"sources": counts(df, source_key(), "source"), "source_sentiment": source_sentiment(df), "aspects": top_aspects(df, None)}

@@ -10,6 +10,22 @@ from ..functions.text import word_count
 from ..functions.values import month, rating_bin
 
 
+def sample(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The first rows of a dataset, for a look at it: the cap is the feature."""
+    return df.limit(most)
+
+
+def save_sample(df: DataFrame, path: str, most: int = 100_000) -> None:
+    """A sample as one folder of parquet, for notebooks and charts."""
+    sample(df, most).write.mode("overwrite").parquet(path)
+
+
+def null_shares(df: DataFrame) -> DataFrame:
+    """(field, null_percent), in order of the columns' names."""
+    wide = df.agg(*(F.round(F.count_if(F.col(c).isNull()) * 100 / F.count("*"), 4).alias(c) for c in df.columns))
+    return wide.unpivot([], list(df.columns), "field", "null_percent").orderBy("field")
+
+
 def overview(df: DataFrame) -> DataFrame:
     words = word_count("review_text")
     n = F.count("*")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import aspects, sentiment
+from . import resume
 
 #: A backend gives a signed score for a text column; the lexicon is the one that needs no model.
 Backend = Callable[[str], Column]
@@ -23,3 +24,8 @@ def enrich(df: DataFrame, backend: Backend = sentiment.lexicon_score, extract: C
 
 def with_lexicon(positive: Iterable[str], negative: Iterable[str]) -> Backend:
     return lambda c: sentiment.lexicon_score(c, positive, negative)
+
+
+def enrich_in_parts(df: DataFrame, target: str, parts: int = 100, settings: dict | None = None, **options) -> dict:
+    """``enrich`` a part at a time below ``target``; a run that was cut short goes on, unless its settings have changed."""
+    return resume.run(df, lambda part: enrich(part, **options), target, parts, {"job": "enrich", **(settings or {})})

@@ -8,15 +8,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import authenticity
+from . import resume
 from ..functions.text import folded, strip
 from ..functions.values import cosine_distance, iso_text
 
 #: Words that a question's search leaves out.
-STOP_WORDS = frozenset("a an and are about as at be by can did do does for from how i in is it of on or people review reviews say says the they to what with".split())
+STOP_WORDS = (
+    "a", "an", "and", "are", "about", "as", "at", "be", "by", "can", "did", "do", "does", "for", "from", "how", "i", "in", "is", "it", "of", "on", "or",
+    "people", "review", "reviews", "say", "says", "the", "they", "to", "what", "with",
+)
 DIMENSIONS, LEAST_DIMENSIONS, LEAST_CHARACTERS, MOST_TERMS = 384, 16, 20, 16
 TOKEN = re.compile(r"[A-Za-z0-9']+")
 
@@ -26,18 +30,43 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(t for t in TOKEN.findall(query.lower()) if t not in STOP_WORDS))[:MOST_TERMS]
 
 
-def _vector(text: str, dimensions: int, known: dict[str, tuple[int, int, float, float]]) -> np.ndarray:
-    v = np.zeros(dimensions)
-    for t in TOKEN.findall(text.lower()):
-        if t not in known:
-            h = hashlib.blake2b(t.encode(), digest_size=16).digest()
-            i, j = int.from_bytes(h[:4], "little") % dimensions, int.from_bytes(h[4:8], "little") % dimensions
-            known[t] = (i, j, 1.0 if h[8] % 2 == 0 else -1.0, 0.5 if h[9] % 2 == 0 else -0.5)
-        i, j, a, b = known[t]
-        v[i] += a
-        v[j] += b
-    n = np.sqrt(v @ v)
-    return v / n if n > 0 else v
+class Hashed:
+    """Unit vectors of texts: each token adds to two places. Tokens are numbered and hashed once, vectors are summed a batch at a time."""
+
+    #: Tokens that are remembered, and cells of a batch's sums.
+    MOST, CELLS = 200_000, 1 << 22
+
+    def __init__(self, dimensions: int):
+        self.dimensions = dimensions
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.rows: list[bytes] = []
+
+    def _number(self, token: str) -> int:
+        if token not in self.numbers:
+            self.numbers[token] = len(self.rows)
+            self.rows.append(hashlib.blake2b(token.encode(), digest_size=16).digest()[:10])
+        return self.numbers[token]
+
+    def __call__(self, texts: list[str]) -> np.ndarray:
+        step = max(1, self.CELLS // self.dimensions)
+        parts = [self._some(texts[at : at + step]) for at in range(0, len(texts), step)]
+        return np.concatenate(parts) if parts else np.zeros((0, self.dimensions))
+
+    def _some(self, texts: list[str]) -> np.ndarray:
+        if len(self.rows) > self.MOST:
+            self.forget()
+        each = [[self._number(t) for t in TOKEN.findall(text.lower())] for text in texts]
+        doc, number = np.repeat(np.arange(len(texts)), [len(x) for x in each]), np.array([n for x in each for n in x], np.int64)
+        digest = np.frombuffer(b"".join(self.rows), [("one", "<u4"), ("two", "<u4"), ("sign", "u1"), ("half", "u1")])[number]
+        out = np.zeros(len(texts) * self.dimensions)
+        for place, value in ((digest["one"], np.where(digest["sign"] % 2 == 0, 1.0, -1.0)), (digest["two"], np.where(digest["half"] % 2 == 0, 0.5, -0.5))):
+            out += np.bincount(doc * self.dimensions + (place % self.dimensions).astype(np.int64), value, len(out))
+        v = out.reshape(len(texts), self.dimensions)
+        n = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        return v / np.where(n > 0, n, 1)
 
 
 def embedding(c: str | Column, dimensions: int = DIMENSIONS) -> Column:
@@ -47,17 +76,15 @@ def embedding(c: str | Column, dimensions: int = DIMENSIONS) -> Column:
 
     @F.pandas_udf("array<double>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        known: dict = {}
+        hashed = Hashed(dimensions)
         for batch in batches:
-            yield batch.fillna("").map(lambda t: _vector(t, dimensions, known))
-            if len(known) > 200_000:
-                known.clear()
+            yield pd.Series(list(hashed(batch.fillna("").tolist())), batch.index)
 
     return encode(F.col(c) if isinstance(c, str) else c)
 
 
 def embed_query(query: str, dimensions: int = DIMENSIONS) -> list[float]:
-    return _vector(query, dimensions, {}).tolist()
+    return Hashed(dimensions)([query])[0].tolist()
 
 
 def payloads(df: DataFrame) -> DataFrame:
@@ -75,6 +102,11 @@ def index(df: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     return payloads(df).withColumn("embedding", embedding("document", dimensions))
 
 
+def index_in_parts(df: DataFrame, target: str, parts: int = 100, dimensions: int = DIMENSIONS, settings: dict | None = None) -> dict:
+    """``index`` a part at a time below ``target``; refuses to go on with another model or number of dimensions."""
+    return resume.run(df, lambda part: index(part, dimensions), target, parts, {"job": "index", "model": f"hashing-{dimensions}", **(settings or {})})
+
+
 def nearest(vectors: DataFrame, query: list[float], n: int = 5, id_col: str = "id", vector_col: str = "embedding") -> DataFrame:
     """The n nearest by cosine distance, ties to the lesser id: a map and a bounded top-k, no sort of all rows."""
     q = F.array(*(F.lit(float(x)) for x in query))
@@ -86,6 +118,20 @@ def document_terms(c: str) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def postings(indexed: DataFrame, id_col: str = "id", document: str = "document") -> DataFrame:
+    """(term, id, occurrences): the text index of a store, a row a term and document."""
+    terms = indexed.select(F.col(id_col).alias("id"), F.explode(document_terms(document)).alias("term"))
+    return terms.groupBy("term", "id").agg(F.count("*").alias("occurrences"))
+
+
+def updated_postings(have: DataFrame, changed: DataFrame, deleted: DataFrame | None = None, id_col: str = "id", document: str = "document") -> DataFrame:
+    """Postings after documents were put in, replaced or (by ``id``) deleted: only rows of those documents change."""
+    gone = changed.select(F.col(id_col).alias("id"))
+    if deleted is not None:
+        gone = gone.unionByName(deleted.select(F.col(id_col).alias("id")))
+    return have.join(gone.distinct(), "id", "left_anti").select("term", "id", "occurrences").unionByName(postings(changed, id_col, document))
+
+
 def lexical_level(terms: list[str], c: str = "document") -> Column:
     """3 where all terms stand in a row, 2 where all occur, 1 where one does, else 0; one term alone is at most 1."""
     q = [p for t in terms for p in re.findall(r"[a-z0-9]+", t)]
@@ -131,9 +177,12 @@ def keywords(df: DataFrame, query: str, n: int = 5, source: str | None = None) -
     return rows.withColumn("distance", F.lit(0.5)).orderBy(F.col("review_date").desc_nulls_last(), "review_id").limit(n)
 
 
-def citations(found: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """What an answer cites, without reviews that are likely fake."""
+def citations(found: DataFrame, threshold: float = 0.7, observed: Observation | None = None) -> DataFrame:
+    """What an answer cites, without reviews that are likely fake. ``observed`` receives removed_count, when rows are read."""
     m = F.col("metadata")
     names = ["source", "product_name", "product_category", "display_name", "display_category", "entity_type", "aspect_labels", "sentiment_label", "sentiment_score", "review_date", "source_url"]
-    rows = authenticity.annotated(found, "document", threshold).where("fake_review_label <> 'likely_fake'")
+    rows = authenticity.annotated(found, "document", threshold)
+    if observed is not None:
+        rows = rows.observe(observed, F.count_if(F.col("fake_review_label") == "likely_fake").alias("removed_count"))
+    rows = rows.where("fake_review_label <> 'likely_fake'")
     return rows.select(F.col("id").alias("review_id"), F.col("document").alias("review_text"), *(m[c].alias(c) for c in names), F.round("distance", 6).alias("distance"), "fake_review_score", "fake_review_label")

@@ -12,13 +12,16 @@ import time
 from collections.abc import Callable, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import guardrails
-from ..operators import analytics, profile, retrieval, reviews
+from ..operators import analytics, profile, retrieval, reviews, warehouse
+from ..operators.backends import generated_answer
 from ..operators.reviews import ReviewFilter
 from ..sources import readers
+from ..sources.specs import explain
+from . import params, status
 
 
 def rows(df: DataFrame) -> list[dict[str, Any]]:
@@ -42,8 +45,22 @@ class Cache:
 
 
 class ReviewService:
-    def __init__(self, spark: SparkSession, enriched: DataFrame, index: DataFrame | None = None, queue_path: str | None = None):
-        self.spark, self.df, self.index, self.queue_path = spark, enriched, index, queue_path
+    def __init__(
+        self,
+        spark: SparkSession,
+        enriched: DataFrame,
+        index: DataFrame | None = None,
+        queue_path: str | None = None,
+        titles: DataFrame | None = None,
+        generate: Callable[[str, list[dict]], str] | None = None,
+        max_rows: int | None = None,
+    ):
+        """``titles``: a dimension of products; ``generate``: a model that answers; ``max_rows``: a cap on what analytics read."""
+        params.checked(max_rows=max_rows)
+        self.spark, self.index, self.queue_path, self.titles, self.generate = spark, index, queue_path, titles, generate
+        self.scan = warehouse.Scan.of(enriched, max_rows)
+        self.df = self.scan.df
+        self._indexed: int | None = None
 
     def health(self) -> dict:
         parts = {"dataset": "healthy" if self.df.columns else "unhealthy", "index": "healthy" if self.index is not None else "degraded", "queue": "healthy" if self.queue_path else "degraded"}
@@ -51,7 +68,21 @@ class ReviewService:
         return {"status": status, "checks": parts}
 
     def dashboard_summary(self) -> dict:
-        return rows(analytics.summary(self.df))[0] | {"indexed": self.index.count() if self.index is not None else 0}
+        """The index is counted once: it doesn't change under a service."""
+        if self._indexed is None:
+            self._indexed = self.index.count() if self.index is not None else 0
+        waiting = readers.queue(self.spark, self.queue_path, None, 1_000_000).count() if self.queue_path and readers.exists(self.spark, self.queue_path) else 0
+        return rows(analytics.summary(self.df))[0] | {"indexed": self._indexed, "queue_items": waiting}
+
+    def scanned(self) -> dict:
+        """How far analytics read the dataset."""
+        return self.scan.metadata()
+
+    def pipeline_status(self, artefacts: dict[str, str], data: str, logs: Sequence[str] = (), jobs: str | None = None) -> dict:
+        return status.pipeline_status(self.spark, artefacts, data, logs, jobs, self.index)
+
+    def normalize_explain(self, source: str, raw: DataFrame, at: int = 0) -> list[dict]:
+        return rows(explain(source, raw, at))
 
     def review_options(self, limit: int = 200) -> dict:
         return {k: rows(v) for k, v in analytics.filter_options(self.df, limit).items()}
@@ -59,7 +90,8 @@ class ReviewService:
     def explore(self, filters: ReviewFilter | None = None, limit: int = 25, offset: int = 0) -> dict:
         f = filters or ReviewFilter()
         matched = f.apply(self.df).count()
-        items = rows(reviews.payload(reviews.page(self.df, limit, offset, f)))
+        shown = warehouse.attach_labels(reviews.payload(reviews.page(self.df, limit, offset, f)), self.titles)
+        items = rows(shown)
         return {"items": items, "matched_count": matched, "has_more": matched > offset + len(items), "limit": limit, "offset": offset}
 
     def source_stats(self) -> dict:
@@ -81,25 +113,21 @@ class ReviewService:
 
     def compare(self, names: Sequence[str], filters: ReviewFilter | None = None) -> dict:
         df = (filters or ReviewFilter()).apply(self.df)
-        return {
-            "products": rows(analytics.compare_products(df, names)),
-            "sources": rows(analytics.product_sources(df, names)),
-            "positive_aspects": rows(analytics.product_aspects(df, names, "positive")),
-            "negative_aspects": rows(analytics.product_aspects(df, names, "negative")),
-        }
+        order = {k: i for i, k in enumerate(analytics.keys_of(names))}
+        return {"products": sorted(rows(analytics.product_report(df, names)), key=lambda r: order[r["product_key"]])}
 
     def aspects(self, filters: ReviewFilter | None = None) -> dict:
         df = (filters or ReviewFilter()).apply(self.df)
         return {"aspects": rows(analytics.aspect_summary(df)), "top_positive": rows(analytics.aspects_by(df, "positive")), "top_negative": rows(analytics.aspects_by(df, "negative")), **rows(analytics.rows_with_aspects(df))[0]}
 
     def search(self, query: str, n: int = 5, source: str | None = None) -> dict:
-        if not 1 <= n <= 20:
-            raise ValueError("n is 1 to 20")
+        params.checked(n_results=n)
+        removed = Observation("search")
         if self.index is None:
-            found = rows(reviews.payload(retrieval.keywords(self.df, query, n, source)))
+            found = rows(reviews.payload(reviews.genuine(retrieval.keywords(self.df, query, n, source), observed=removed)))
         else:
-            found = rows(retrieval.citations(retrieval.hybrid(self.index, query, n, source, self._dimensions())))
-        return {"query": query, "results": found}
+            found = rows(retrieval.citations(retrieval.hybrid(self.index, query, n, source, self._dimensions()), observed=removed))
+        return {"query": query, "results": found, "removed_count": removed.get["removed_count"]}
 
     def _dimensions(self) -> int:
         first = self.index.select(F.size("embedding").alias("n")).first()
@@ -117,7 +145,7 @@ class ReviewService:
                 readers.append_queue(self.spark.createDataFrame(request, readers.QUEUE), self.queue_path)
             return {"answer": guardrails.ANSWER, "citations": [], "guardrail": asked}
         found = self.search(query, n, source)["results"]
-        return {"answer": answer(query, found), "citations": found, "guardrail": asked}
+        return {"answer": generated_answer(self.generate, query, found, answer), "citations": found, "guardrail": asked}
 
 
 def answer(query: str, found: list[dict]) -> str:

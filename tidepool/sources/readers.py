@@ -15,11 +15,12 @@ from ..schema import align, available, struct
 QUEUE = struct("request_id string, created_at string, status string, query string, source_filter string, reason string, n_results int, flags strings, confidence double")
 
 
-def json_lines(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, limit: int | None = None) -> DataFrame:
+def json_lines(spark: SparkSession, paths: str | Sequence[str], schema: T.StructType, limit: int | None = None, only_jsonl: bool = True) -> DataFrame:
     """Records of .jsonl files or of folders of them; lines that aren't JSON objects are left out."""
     corrupt = "_tp_corrupt"
     wide = T.StructType([*schema, T.StructField(corrupt, T.StringType())])
-    df = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt).option("pathGlobFilter", "*.jsonl").json(paths)
+    reader = spark.read.schema(wide).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", corrupt)
+    df = (reader.option("pathGlobFilter", "*.jsonl") if only_jsonl else reader).json(paths)
     good = df.where(F.col(corrupt).isNull()).drop(corrupt)
     return good if limit is None else good.limit(limit)
 
@@ -94,6 +95,32 @@ def run_id(text: str) -> str:
     return re.sub(r"[^A-Za-z0-9._-]+", "-", text).strip("-")[:120] or "run"
 
 
+class TitleCache:
+    """Titles of products that lookups have found, as lines of JSON that grow (parent_asin, title)."""
+
+    SCHEMA = struct("parent_asin string, title string")
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def known(self) -> DataFrame:
+        """(product_name, product_title), one title each; lines without either are left out."""
+        if not exists(self.spark, self.path):
+            return self.spark.createDataFrame([], "product_name string, product_title string")
+        rows = self.spark.read.schema(self.SCHEMA).json(self.path).select(F.trim("parent_asin").alias("product_name"), F.trim("title").alias("product_title"))
+        return rows.where("product_name <> '' and product_title <> ''").groupBy("product_name").agg(F.max("product_title").alias("product_title"))
+
+    def look_up(self, names: DataFrame, metadata: DataFrame | None = None) -> DataFrame:
+        """Titles of the names; those that the cache lacks come from ``metadata`` (parent_asin, title) and are remembered."""
+        wanted = names.select(F.trim("product_name").alias("product_name")).where("product_name <> ''").distinct()
+        if metadata is not None:
+            lacking = wanted.join(self.known(), "product_name", "left_anti")
+            titles = metadata.select(F.trim("parent_asin").alias("parent_asin"), F.trim("title").alias("title")).where("title <> ''")
+            found = titles.join(lacking.withColumnRenamed("product_name", "parent_asin"), "parent_asin", "left_semi")
+            found.groupBy("parent_asin").agg(F.max("title").alias("title")).write.mode("append").json(self.path)
+        return wanted.join(self.known(), "product_name")
+
+
 class Runs:
     """A dataset as completed runs and a pointer to the current one: <root>/runs/<id>, and <root>/_CURRENT.json."""
 
@@ -121,6 +148,14 @@ class Runs:
         done = [f for f in listing(self.spark, f"{self.root}/runs") if f[0].endswith("/_SUCCESS")]
         return max(done, key=lambda f: f[2])[0].removesuffix("/_SUCCESS") if done else None
 
+    def remove_stale(self) -> list[str]:
+        """Delete runs that aren't current; their names."""
+        gone = self.stale()
+        for name in gone:
+            fs, p, _ = _fs(self.spark, f"{self.root}/runs/{name}")
+            fs.delete(p, True)
+        return gone
+
     def stale(self) -> list[str]:
         """Runs that aren't current."""
         now = (self.current() or "").rsplit("/", 1)[-1]
