@@ -42,7 +42,7 @@ def iso_time(c: ColumnOrName) -> Column:
 
 
 def epoch_seconds(c: ColumnOrName) -> Column:
-    return F.timestamp_millis((number(c) * 1000).try_cast("long"))
+    return F.timestamp_micros(F.round(number(c) * 1_000_000).try_cast("long"))
 
 
 def epoch_millis(c: ColumnOrName) -> Column:

@@ -124,7 +124,7 @@ def clean_title(c: str) -> Column:
 
 def title_from_url(c: str) -> Column:
     """The slug before /dp/ in a product link, if it isn't an id."""
-    parts = F.filter(F.transform(F.split(F.try_parse_url(strip(F.col(c)), F.lit("PATH")), "/"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.try_parse_url(strip(F.col(c)), F.lit("PATH")), "/"), lambda p: F.trim(p)), lambda p: p != "")
     at = F.array_position(parts, "dp")
     slug = F.trim(F.regexp_replace(F.get(parts, at.cast("int") - 2), r"[-_\s]+", " "))
     return F.when((at > 1) & (slug != "") & ~machine_id(F.replace(slug, F.lit(" "), F.lit(""))), slug)

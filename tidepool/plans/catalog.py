@@ -2,27 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import authenticity, guardrails, sentiment
-from ..functions.aspects import mention_rows
+from ..functions.aspects import KEYWORDS, extract, mention_rows
 from ..functions.text import count_of, phrase, sentences, text_key, token_count
-from ..functions.values import cosine_distance
 from ..operators import analytics, eda, profile, retrieval, reviews
 from ..operators.enrich import enrich, with_lexicon
 from ..operators.reviews import ReviewFilter
 from ..schema import UNIFIED, align
 from ..sources import readers
 from ..sources.specs import SPECS, unify, with_businesses
+from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .views import ASPECTS, NEGATIVE, POSITIVE, doc_reviews, sale_reviews, table
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
 DOCS = """doc_reviews AS (SELECT 'doc_' || d.doc_id AS review_id, lang AS product_name, 'text_' || lang AS product_category, source, q::DOUBLE AS rating_normalized, text AS review_text,
     'user_' || (d.doc_id % 97) AS reviewer_id, make_timestamp((1600000000 + d.doc_id * 40000) * 1000000) AS review_date, (d.doc_id % 7)::INT AS helpful_votes,
     'https://shop.example/' || lang || '-reader/dp/' || d.doc_id AS source_url, lang AS display_name
@@ -39,17 +33,6 @@ TOKENS = "regexp_extract_all(lower(coalesce({0}, '')), '[a-z0-9'']+')"
 PRODUCTS = "SELECT p_name FROM part ORDER BY p_partkey LIMIT 3"
 
 
-def query(sql: str | None = None, views: tuple[str, ...] = ()):
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            body = ", ".join(views)
-            ORACLES[f.__name__] = f"WITH {body} {sql}" if body and not sql.lstrip().startswith(",") else f"WITH {body}{sql}" if body else sql
-        return f
-
-    return register
-
-
 def some_products(spark: SparkSession, sf_dir: str) -> list[str]:
     """Three products that a caller asks to compare, and one that nobody reviewed."""
     return [r.p_name for r in table(spark, sf_dir, "part").orderBy("p_partkey").limit(3).collect()] + ["No such thing"]
@@ -100,10 +83,11 @@ def distinct_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.keep_first(table(spark, sf_dir, "part"), "p_brand", "p_partkey").select("p_brand", "p_partkey")
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT DISTINCT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def anti_stale(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is listed but no longer wanted."""
-    return table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey")
+    wanted = table(spark, sf_dir, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
+    return table(spark, sf_dir, "orders").join(wanted, "o_orderkey", "left_anti").select("o_orderkey").distinct()
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'new' ELSE p_name END AS p_name FROM part UNION ALL SELECT -p_partkey, 'new' FROM part WHERE p_partkey % 3 = 0")
@@ -199,12 +183,12 @@ def top_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.top_aspects(sale_reviews(spark, sf_dir))
 
 
-SUMMARY = "SELECT aspect, count(*) AS mention_count, count(*) FILTER (sentiment_label = 'positive') AS positive_count, count(*) FILTER (sentiment_label = 'neutral') AS neutral_count, count(*) FILTER (sentiment_label = 'negative') AS negative_count, round(avg(sentiment_score), 4) AS average_sentiment_score, min(review_id) AS example_review_id FROM a GROUP BY aspect ORDER BY 2 DESC, 1 LIMIT 50"
+SUMMARY = "SELECT aspect, count(*) AS mention_count, count(*) FILTER (sentiment_label = 'positive') AS positive_count, count(*) FILTER (sentiment_label = 'neutral') AS neutral_count, count(*) FILTER (sentiment_label = 'negative') AS negative_count, round(avg(sentiment_score), 4) AS average_sentiment_score, min(review_id) AS example_review_id, arg_min(substr(trim(review_text), 1, 280), review_id) AS example_text FROM a GROUP BY aspect ORDER BY 2 DESC, 1 LIMIT 50"
 
 
 @query(SUMMARY, (SALES, ASPECT_ROWS))
 def aspect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.aspect_summary(sale_reviews(spark, sf_dir)).drop("example_text")
+    return analytics.aspect_summary(sale_reviews(spark, sf_dir))
 
 
 @query(f"SELECT aspect, positive_count FROM ({SUMMARY}) ORDER BY positive_count DESC, mention_count DESC, aspect LIMIT 10", (SALES, ASPECT_ROWS))
@@ -212,6 +196,11 @@ def aspect_top_positive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.aspects_by(sale_reviews(spark, sf_dir), "positive").select("aspect", "positive_count")
 
 
+@query(f"SELECT aspect, negative_count FROM ({SUMMARY}) ORDER BY negative_count DESC, mention_count DESC, aspect LIMIT 10", (SALES, ASPECT_ROWS))
+def aspect_top_negative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.aspects_by(sale_reviews(spark, sf_dir), "negative").select("aspect", "negative_count")
+
+
 @query("SELECT count(*) FILTER (len(aspect_labels) > 0) AS rows_with_aspects FROM sale_reviews", (SALES,))
 def aspect_row_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.rows_with_aspects(sale_reviews(spark, sf_dir))
@@ -246,42 +235,66 @@ def source_stats_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- profile, comparison, quality -----------------------------------------------------------------
 
-PROFILE = """count(*) AS record_count, count(*) FILTER (rating_normalized IS NULL) AS null_rating_normalized, round(avg(len(regexp_extract_all(review_text, '\\S+'))), 2) AS average_words,
-    round(avg(rating_normalized), 4) AS mean_rating, min(review_date) AS min_date, max(review_date) AS max_date, count(DISTINCT product_name) AS distinct_products, count(DISTINCT reviewer_id) AS distinct_reviewers"""
+FIELDS = ("review_id", "product_name", "product_category", "source", "rating_normalized", "review_text", "review_date", "reviewer_id", "verified_purchase", "helpful_votes", "source_url")
+#: A quarter of the products, a fifth of the votes and all purchases are missing, so that gaps differ.
+GAPS = """g AS (SELECT review_id, CASE WHEN right(review_id, 1) IN ('1', '6') THEN ' ' ELSE product_name END AS product_name, product_category, source, rating_normalized, review_text, review_date, reviewer_id, NULL::BOOLEAN AS verified_purchase,
+    CASE WHEN helpful_votes = 3 THEN NULL ELSE helpful_votes END AS helpful_votes, source_url FROM doc_reviews)"""
+_MISSING = {f: f"count(*) FILTER ({f} IS NULL OR trim({f}::VARCHAR) = '')" for f in FIELDS}
+_GAP_SUM = " + ".join(_MISSING.values())
+_WORDS = r"len(regexp_extract_all(review_text, '\S+'))"
+PROFILE = f"""count(*) AS record_count, {", ".join(f"{sql} AS null_{f}" for f, sql in _MISSING.items())}, round(avg({_WORDS}), 2) AS average_words,
+    round(min(rating_normalized), 4) AS min_rating, round(max(rating_normalized), 4) AS max_rating, round(avg(rating_normalized), 4) AS mean_rating, min(review_date) AS min_date, max(review_date) AS max_date,
+    round(({_GAP_SUM}) / (count(*) * 11), 4) AS missing_value_ratio, count(DISTINCT nullif(trim(product_name), '')) AS distinct_products, count(DISTINCT reviewer_id) AS distinct_reviewers"""
+
+
+def gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = doc_reviews(spark, sf_dir, costly=True)
+    return d.withColumns({"product_name": F.when(F.substring("review_id", -1, 1).isin("1", "6"), " ").otherwise(F.col("product_name")), "helpful_votes": F.when(F.col("helpful_votes") != 3, F.col("helpful_votes"))})
 
 
-@query(f"SELECT coalesce(lower(source), 'overall') AS scope, {PROFILE} FROM doc_reviews GROUP BY GROUPING SETS ((lower(source)), ())", (DOCS,))
+@query(f"SELECT coalesce(lower(source), 'overall') AS scope, {PROFILE} FROM g GROUP BY GROUPING SETS ((lower(source)), ())", (DOCS, GAPS))
 def dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = profile.dataset_profile(doc_reviews(spark, sf_dir))
-    ntz = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
-    return p.select("scope", "record_count", "null_rating_normalized", "average_words", "mean_rating", ntz("min_date"), ntz("max_date"), "distinct_products", "distinct_reviewers")
+    p = profile.dataset_profile(gappy(spark, sf_dir))
+    return p.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("min_date", "max_date")})
 
 
-@query("SELECT lower(source) AS source, count(*) AS record_count, round(avg(rating_normalized), 4) AS average_rating, round(count(*) FILTER (rating_normalized IS NULL) / count(*), 4) AS missing_rating_ratio, round(count(*) FILTER (trim(review_text) = '') / count(*), 4) AS missing_text_ratio FROM doc_reviews GROUP BY 1", (DOCS,))
+@query(
+    f"""SELECT lower(source) AS source, count(*) AS record_count, round(avg({_WORDS}), 2) AS average_words, round(avg(rating_normalized), 4) AS average_rating, round(({_GAP_SUM}) / (count(*) * 11), 4) AS missing_value_ratio,
+    round({_MISSING["rating_normalized"]} / count(*), 4) AS missing_rating_ratio, round({_MISSING["review_text"]} / count(*), 4) AS missing_text_ratio FROM g GROUP BY 1""",
+    (DOCS, GAPS),
+)
 def source_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.source_comparison(doc_reviews(spark, sf_dir)).select("source", "record_count", "average_rating", "missing_rating_ratio", "missing_text_ratio")
+    return profile.source_comparison(gappy(spark, sf_dir))
 
 
 @query(
-    r""", k AS (SELECT lower(source) AS s, regexp_replace(lower(regexp_replace(review_text, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g') AS t FROM doc_reviews),
+    rf""", k AS (SELECT lower(source) AS s, regexp_replace(lower(regexp_replace(review_text, '^\s+|\s+$', '', 'g')), '\s+', ' ', 'g') AS t FROM g),
     d AS (SELECT s AS scope, count(*) FILTER (t <> '') - count(DISTINCT t) FILTER (t <> '') AS duplicate_count FROM k GROUP BY s
         UNION ALL SELECT 'overall', count(*) FILTER (t <> '') - count(DISTINCT t) FILTER (t <> '') FROM k)
-    SELECT scope, record_count, missing_rating_count, duplicate_count, round(duplicate_count / record_count, 4) AS duplicate_ratio FROM d
-    JOIN (SELECT coalesce(lower(source), 'overall') AS scope, count(*) AS record_count, count(*) FILTER (rating_normalized IS NULL) AS missing_rating_count FROM doc_reviews GROUP BY GROUPING SETS ((lower(source)), ())) USING (scope)""",
-    (DOCS,),
+    SELECT b.*, duplicate_count, round(duplicate_count / record_count, 4) AS duplicate_ratio FROM d
+    JOIN (SELECT coalesce(lower(source), 'overall') AS scope, count(*) AS record_count, round(({_GAP_SUM}) / (count(*) * 11), 4) AS null_ratio, {_MISSING["review_text"]} AS empty_text_count,
+        count(*) FILTER (helpful_votes IS NULL) AS invalid_date_count, count(*) FILTER (rating_normalized IS NULL) AS missing_rating_count FROM g GROUP BY GROUPING SETS ((lower(source)), ())) b USING (scope)""",
+    (DOCS, GAPS),
 )
 def quality_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.quality_metrics(doc_reviews(spark, sf_dir, costly=True)).select("scope", "record_count", "missing_rating_count", "duplicate_count", "duplicate_ratio")
+    """Dates of the rows without votes can't be read."""
+    d = gappy(spark, sf_dir)
+    return profile.quality_metrics(d.withColumn("review_date", F.when(F.col("helpful_votes").isNull(), "not a date").otherwise(F.col("review_date").cast("string"))))
 
 
-@query("SELECT unnest(['rating_normalized', 'review_text', 'product_name', 'helpful_votes']) AS field, unnest([count(*) FILTER (rating_normalized IS NULL), count(*) FILTER (trim(review_text) = ''), 0, 0]) AS null_count FROM doc_reviews", (DOCS,))
+@query("SELECT field, null_count FROM (SELECT " + ", ".join(f"{sql} AS {f}" for f, sql in _MISSING.items()) + " FROM g) UNPIVOT (null_count FOR field IN (" + ", ".join(FIELDS) + "))", (DOCS, GAPS))
 def null_counts_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.null_counts(doc_reviews(spark, sf_dir), ["rating_normalized", "review_text", "product_name", "helpful_votes"])
+    return profile.null_counts(gappy(spark, sf_dir), FIELDS)
 
 
 # --- text models ----------------------------------------------------------------------------------
 
 
+def _canonical(label: str, keywords=KEYWORDS) -> str:
+    """By the plain rule: the first label that equals the phrase or has a word in it."""
+    return next(name for name, words in keywords.items() if label in (name, *words) or any(w in label for w in (name, *words)))
+
+
 def _hits(words, text: str = "review_text") -> str:
     listed = ", ".join(f"'{w}'" for w in words)
     return f"len(list_filter({TOKENS.format(text)}, lambda x: x IN ({listed})))"
@@ -323,18 +336,42 @@ def aspect_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("aspect").agg(F.count("*").alias("mention_count"), F.sum((F.col("sentiment") > 0).cast("int")).alias("positive_count"), F.count_distinct("review_id").alias("reviews"))
 
 
-@query()
+def _records_sql() -> str:
+    """Every mention with its place, and of each canonical label of a text the strongest record, the first of equals."""
+    labels = ", ".join(f"({k}, '{'|'.join(dict.fromkeys((name, *words)))}', '{_canonical(name, ASPECTS)}')" for k, (name, words) in enumerate(ASPECTS.items()))
+    return f"""lab(k, words, aspect) AS (VALUES {labels}),
+    m AS (SELECT review_id, pos, k, aspect, {_hits(POSITIVE, 's')} AS p, {_hits(NEGATIVE, 's')} AS n, trim(substr(trim(regexp_replace(s, '\\s+', ' ', 'g')), 1, 240)) AS quote
+        FROM (SELECT review_id, unnest(ss) AS s, unnest(range(len(ss))) AS pos FROM c) x JOIN lab ON length(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g'))) >= 4 AND regexp_matches(trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')), words)),
+    v AS (SELECT *, CASE WHEN p + n > 0 THEN round((p - n) / (p + n), 4) ELSE 0 END AS score FROM m),
+    r AS (SELECT review_id, aspect, score::DOUBLE AS sentiment, quote, first_value(pos * 100 + k) OVER (PARTITION BY review_id, aspect ORDER BY pos, k) AS place FROM v QUALIFY row_number() OVER (PARTITION BY review_id, aspect ORDER BY abs(score) DESC, pos, k) = 1)"""
+
+
+RECORDS = _records_sql()
+
+
+def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich(doc_reviews(spark, sf_dir, costly=True), with_lexicon(POSITIVE, NEGATIVE), lambda c: extract(c, ASPECTS, POSITIVE, NEGATIVE))
+
+
+@query(
+    ", q AS (SELECT review_id, string_agg(aspect, ', ' ORDER BY place) AS aspect_labels, count(*)::INT AS aspect_count FROM r GROUP BY 1) SELECT review_id, s.score::DOUBLE AS sentiment_score, CASE WHEN s.score > 0.2 THEN 'positive' WHEN s.score < -0.2 THEN 'negative' ELSE 'neutral' END AS sentiment_label, coalesce(aspect_labels, '') AS aspect_labels, coalesce(aspect_count, 0)::INT AS aspect_count FROM s LEFT JOIN q USING (review_id)",
+    (DOCS, CUT, RECORDS, LEXICON),
+)
 def enriched_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentiment and the twelve aspects of every review; checked against a plain version in the tests."""
-    found = enrich(doc_reviews(spark, sf_dir, costly=True), with_lexicon(POSITIVE, NEGATIVE))
-    return found.select("review_id", "sentiment_label", "sentiment_score", "aspect_labels", "aspect_count", "aspect_details_json")
+    return _enriched(spark, sf_dir).select("review_id", "sentiment_label", "sentiment_score", "aspect_labels", "aspect_count")
+
+
+@query("SELECT review_id, aspect, sentiment, quote FROM r", (DOCS, CUT, RECORDS))
+def enriched_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records that the JSON column holds, read back."""
+    details = F.from_json("aspect_details_json", "array<struct<aspect:string,sentiment:double,quote:string>>")
+    return _enriched(spark, sf_dir).select("review_id", F.explode(details).alias("d")).select("review_id", "d.*")
 
 
 PROMOTED = " + ".join(f"contains(lower(t), '{p}')::INT" for p in authenticity.PROMOTIONS)
 
 
-@query(
-    rf""", t AS (SELECT review_id, trim(review_text) AS t, {TOKENS.format('review_text')} AS w FROM doc_reviews),
+RISK = rf"""t AS (SELECT review_id, trim(review_text) AS t, {TOKENS.format('review_text')} AS w FROM doc_reviews),
     u AS (SELECT *, len(w) AS n, len(list_distinct(w)) AS d, {PROMOTED} AS promo, len(list_filter(map_values(list_histogram(w)), lambda c: c >= 4)) AS rep,
         len(list_filter(w, lambda x: x IN ({", ".join(repr(x) for x in authenticity.SUPERLATIVES)}))) AS sup, len(list_filter(w, lambda x: x IN ({", ".join(repr(x) for x in authenticity.CONCRETE)}))) AS con FROM t),
     r AS (SELECT review_id, t, [CASE WHEN n < 8 THEN 0.15 ELSE 0 END, CASE WHEN regexp_matches(t, '(?i)https?://|www\.') OR regexp_matches(t, '\b[\w.+-]+@[\w.-]+\.[A-Za-z]{{2,}}\b') THEN 0.25 ELSE 0 END,
@@ -344,44 +381,45 @@ PROMOTED = " + ".join(f"contains(lower(t), '{p}')::INT" for p in authenticity.PR
         CASE WHEN sup >= 3 AND con = 0 THEN 0.2 ELSE 0 END, CASE WHEN regexp_matches(t, '(?i)\b(5\s*stars|five\s*stars|must\s*buy|buy\s*now)\b') THEN 0.12 ELSE 0 END]::DOUBLE[] AS parts FROM u),
     s AS (SELECT review_id, CASE WHEN t = '' THEN 0 ELSE round(least(1, list_sum(parts)), 4) END::DOUBLE AS score, CASE WHEN t = '' THEN '' ELSE array_to_string(list_filter(list_transform(range(1, 10),
         lambda i: CASE WHEN parts[i] > 0 THEN ['very_short_review', 'external_link_or_contact', 'promotional_language', 'low_vocabulary_diversity', 'repeated_terms', 'excessive_punctuation', 'excessive_caps', 'generic_superlatives', 'review_bait_phrase'][i] END),
-        lambda f: f IS NOT NULL), ',') END AS flags FROM r)
-    SELECT review_id, score, flags, CASE WHEN score >= 0.7 THEN 'likely_fake' WHEN score >= 0.42 THEN 'suspicious' ELSE 'low_risk' END AS label FROM s""",
-    (DOCS,),
-)
+        lambda f: f IS NOT NULL), ',') END AS flags FROM r)"""
+
+
+@query("SELECT review_id, score, flags, CASE WHEN score >= 0.7 THEN 'likely_fake' WHEN score >= 0.42 THEN 'suspicious' ELSE 'low_risk' END AS label FROM s", (DOCS, RISK))
 def authenticity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return authenticity.scored(doc_reviews(spark, sf_dir, costly=True).select("review_id", "review_text")).select("review_id", "risk.score", "risk.label", F.array_join("risk.flags", ",").alias("flags"))
 
 
-@query()
+@query("SELECT review_id FROM s WHERE score < 0.45", (DOCS, RISK))
 def authenticity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reviews.genuine(doc_reviews(spark, sf_dir, costly=True), threshold=0.45).select("review_id")
 
 
 @query(
     r""", g AS (SELECT conv_id, turn, trim(text) AS t, len(regexp_extract_all(text, '[A-Za-z0-9'']+')) AS n FROM conversations),
-    f AS (SELECT *, regexp_matches(t, '(?i)\bignore (all )?(previous|prior|system|developer) instructions\b|\breveal (the )?(system|developer) prompt\b|\bjailbreak\b|\bDAN mode\b')
-        OR regexp_matches(t, '(?i)\b(api[_ -]?key|password|secret|token|credential)s?\b|\b.env\b|\benvironment variables?\b')
-        OR regexp_matches(t, '(?i)\b(write|generate|fabricate|create)\b.*\bfake\b.*\breviews?\b|\b(hide|remove|delete|suppress)\b.*\bnegative\b.*\breviews?\b') AS blocked,
+    f AS (SELECT *, list_filter([CASE WHEN regexp_matches(t, '(?i)\bignore (all )?(previous|prior|system|developer) instructions\b|\breveal (the )?(system|developer) prompt\b|\bjailbreak\b|\bDAN mode\b') THEN 'prompt_injection' END,
+        CASE WHEN regexp_matches(t, '(?i)\b(api[_ -]?key|password|secret|token|credential)s?\b|\b.env\b|\benvironment variables?\b') THEN 'secret_extraction' END,
+        CASE WHEN regexp_matches(t, '(?i)\b(write|generate|fabricate|create)\b.*\bfake\b.*\breviews?\b|\b(hide|remove|delete|suppress)\b.*\bnegative\b.*\breviews?\b') THEN 'review_manipulation' END], lambda x: x IS NOT NULL) AS flags,
         CASE WHEN n = 0 THEN 0 WHEN n = 1 OR length(t) > 1200 THEN 0.35 WHEN n <= 3 THEN 0.6 ELSE 0.9 END AS sure FROM g)
-    SELECT conv_id, turn, CASE WHEN t = '' OR blocked THEN 'block' WHEN sure < 0.5 THEN 'needs_human_review' ELSE 'allow' END AS action,
-    CASE WHEN t = '' THEN 0 WHEN blocked THEN 0.95 ELSE sure END::DOUBLE AS confidence FROM f""",
+    SELECT conv_id, turn, CASE WHEN t = '' OR len(flags) > 0 THEN 'block' WHEN sure < 0.5 THEN 'needs_human_review' ELSE 'allow' END AS action, t <> '' AND len(flags) = 0 AND sure >= 0.5 AS allowed,
+    CASE WHEN t = '' THEN 'empty_query' WHEN len(flags) > 0 THEN array_to_string(flags, ',') WHEN sure < 0.5 THEN 'low_confidence_query' ELSE '' END AS flags,
+    CASE WHEN t = '' THEN 0 WHEN len(flags) > 0 THEN 0.95 ELSE sure END::DOUBLE AS confidence FROM f""",
     ("none AS (SELECT 1)",),
 )
 def guardrail_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "conversations").select("conv_id", "turn", guardrails.decision("text", reviewed=True).alias("d"))
-    return d.select("conv_id", "turn", "d.action", "d.confidence")
-
+    return d.select("conv_id", "turn", "d.action", "d.allowed", F.array_join("d.flags", ",").alias("flags"), "d.confidence")
 
-@query("SELECT lower(source) AS source, product_name, CASE WHEN regexp_matches(product_name, '^[A-Za-z0-9_-]{10,}$') OR product_name = '' THEN '?' ELSE product_name END AS product_label FROM doc_reviews GROUP BY ALL", (DOCS,))
-def product_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reviews.product_labels(doc_reviews(spark, sf_dir)).select("source", "product_name", "product_label")
 
-
-@query("SELECT page_id, list_filter(string_split(regexp_replace(regexp_replace(url, '^[a-z]+://[^/]*', ''), '[?#].*$', ''), '/'), lambda x: x <> '')[-1] AS slug FROM pages")
+@query(
+    r"""SELECT p_partkey, nullif(CASE WHEN p_partkey % 3 <> 0 AND NOT regexp_matches(replace(slug, ' ', ''), '^[A-Za-z0-9_-]{10,}$') THEN slug END, '') AS slug
+    FROM (SELECT p_partkey, trim(regexp_replace(CASE WHEN p_partkey % 7 = 1 THEN 'B0ABCDEFGH' WHEN p_partkey % 7 = 2 THEN 'tea-_pot' ELSE replace(p_name, ' ', '-') || '~' END, '[-_\s]+', ' ', 'g')) AS slug FROM part)"""
+)
 def page_slugs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last part of a page's path."""
-    path = F.try_parse_url("url", F.lit("PATH"))
-    return table(spark, sf_dir, "pages").select("page_id", F.element_at(F.filter(F.split(path, "/"), lambda p: p != ""), -1).alias("slug"))
+    """Titles from product links, some of which have none, or an id in its place."""
+    key = F.col("p_partkey")
+    name = F.when(key % 7 == 1, "B0ABCDEFGH").when(key % 7 == 2, "tea-_pot").otherwise(F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("~")))
+    url = F.when(key % 3 == 0, F.concat(F.lit("https://shop.example/dp/"), key)).otherwise(F.concat(F.lit("https://shop.example/"), name, F.lit("/dp/"), key, F.lit("?ref=1")))
+    return table(spark, sf_dir, "part").withColumn("url", url).select("p_partkey", reviews.title_from_url("url").alias("slug"))
 
 
 @query(f"SELECT lower(source) AS source, sum(len({TOKENS.format('review_text')}))::BIGINT AS tokens, count(DISTINCT regexp_replace(lower(trim(review_text)), '\\s+', ' ', 'g')) AS texts, count(DISTINCT trim(regexp_replace(lower(review_text), '[^a-z0-9]+', ' ', 'g'))) AS phrases FROM doc_reviews GROUP BY 1", (DOCS,))
@@ -397,8 +435,8 @@ def text_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     probe = [float(x) for x in vectors.where("vec_id = 7").first().embedding]
-    found = vectors.withColumn("distance", F.round(cosine_distance("embedding", F.array(*map(F.lit, probe))), 6) + 0.0)
-    return found.orderBy("distance", "vec_id").limit(5).select("vec_id", "distance")
+    found = retrieval.nearest(vectors, probe, 5, "vec_id")
+    return found.select("vec_id", (F.round("distance", 6) + 0.0).alias("distance"))
 
 
 @query(
@@ -465,13 +503,29 @@ def eda_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eda.overview(d).select("record_count", "mean_rating", "mean_words", "median_words", "verified_share", "no_votes_share", "since_2015_share")
 
 
-@query("SELECT 0.5 AS precision, 0.6667 AS recall, 0.5714 AS f1, 1.0 AS sign_accuracy")
+GOLDEN = [
+    ("The battery is great. The price is bad.", [("battery", "positive"), ("price", "negative")]),
+    ("Great camera and a solid screen.", [("durability", "positive"), ("camera", "positive")]),
+    ("The sound is awful but the design is perfect.", [("sound quality", "neutral"), ("design", "negative")]),
+]
+
+
+def _golden_sql() -> str:
+    """Mentions by containment of words in each sentence, canonical names, and the strongest record of each, as SQL over literals."""
+    texts = ", ".join(f"({i}, '{t}')" for i, (t, _) in enumerate(GOLDEN))
+    wanted = ", ".join(f"({i}, '{a}', '{s}')" for i, (_, names) in enumerate(GOLDEN) for a, s in names)
+    labels = ", ".join(f"({k}, '{name}', '{'|'.join(dict.fromkeys((name, *words)))}', '{_canonical(name)}')" for k, (name, words) in enumerate(KEYWORDS.items()))
+    return f""", w(i, aspect, sign) AS (VALUES {wanted}), lab(k, name, words, canonical) AS (VALUES {labels}),
+    s AS (SELECT i, trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g')) AS t, {_hits(sentiment.POSITIVE, 'p')} AS p, {_hits(sentiment.NEGATIVE, 'p')} AS n FROM (SELECT i, unnest(string_split(x, '. ')) AS p FROM (VALUES {texts}) v(i, x))),
+    f AS (SELECT i, canonical AS aspect, arg_max(CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0 END, abs(CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0 END)) AS score FROM s JOIN lab ON regexp_matches(t, words) GROUP BY 1, 2),
+    c AS (SELECT (SELECT count(*) FROM f) AS got, (SELECT count(*) FROM w) AS want, (SELECT count(*) FROM f JOIN w USING (i, aspect)) AS hit,
+        (SELECT count(*) FROM f JOIN w USING (i, aspect) WHERE sign = CASE WHEN score > 0 THEN 'positive' WHEN score < 0 THEN 'negative' ELSE 'neutral' END) AS agree)
+    SELECT round(hit / got, 4) AS precision, round(hit / want, 4) AS recall, round(2 * (hit / got) * (hit / want) / (hit / got + hit / want), 4) AS f1, round(agree / hit, 4) AS sign_accuracy FROM c"""
+
+
+@query(_golden_sql(), ("none AS (SELECT 1)",))
 def golden_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    golden = spark.createDataFrame(
-        [("The battery is great. The price is bad.", [("battery", "positive"), ("price", "negative")]), ("Great camera and a solid screen.", [("durability", "positive")])],
-        "text string, expected array<struct<aspect:string,sign:string>>",
-    )
-    return eda.evaluate(golden)
+    return eda.evaluate(spark.createDataFrame(GOLDEN, "text string, expected array<struct<aspect:string,sign:string>>"))
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")
