@@ -3,7 +3,10 @@
 Suffixes are grouped by their longest Lyndon prefix. Groups are closed from
 the greatest down: each member of a closing group extends the prefix of its
 *previous smaller* suffix, so those suffixes move to higher groups, ordered by
-how many members they received. When all groups are closed, a second pass
+how many members they received. Pointers to previous smaller suffixes are
+found by walking over those of higher groups, whose pointers are shortened as
+they are passed; a member that is met before its own turn is done first, so no
+group is ever sorted and every step is paid for once. When all groups are closed, a second pass
 emits the order: a suffix is its Lyndon prefix followed by its next smaller
 suffix, so within a group suffixes follow the order in which their next
 smaller suffixes are emitted. Nothing is renamed and nothing recurses.
@@ -15,6 +18,8 @@ from collections import Counter
 
 import numpy as np
 
+UNSET = -2
+
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of ``symbols`` (integers of at least 0) in ascending order; the empty one is left out."""
@@ -32,28 +37,35 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     place[by_symbol] = np.arange(n)
     slots, group, at = by_symbol.tolist(), start.tolist(), place.tolist()
     size = np.bincount(start_of_slot, minlength=n).tolist()
-    smaller, jump = [-1] * n, [-1] * n  # previous smaller suffix; the same, shortened as later groups skip more
+    smaller, jump = [UNSET] * n, [UNSET] * n  # previous smaller suffix; the same, shortened as later groups skip more
 
     end = n
     while end > 0:
         first = group[slots[end - 1]]
         members = slots[first:end]
         end = first
-        if len(members) > 1:
-            members.sort()
         found = []
-        for i in members:
-            j = i - 1
-            if j >= 0 and group[j] >= first:
-                passed = []
-                while j >= 0 and group[j] >= first:
-                    passed.append(j)
-                    j = jump[j]
-                for k in passed:
-                    jump[k] = j
-            smaller[i] = jump[i] = j
-            if j >= 0:
-                found.append(j)
+        for member in members:
+            if jump[member] != UNSET:
+                continue
+            waiting = [member]
+            while waiting:
+                i = waiting[-1]
+                j = i - 1
+                if j >= 0 and group[j] >= first:
+                    passed = []
+                    while j >= 0 and group[j] >= first and jump[j] != UNSET:
+                        passed.append(j)
+                        j = jump[j]
+                    for k in passed:
+                        jump[k] = j
+                    if j >= 0 and group[j] >= first:  # a member that hasn't had its turn
+                        waiting.append(j)
+                        continue
+                waiting.pop()
+                smaller[i] = jump[i] = j
+                if j >= 0:
+                    found.append(j)
         if not found:
             continue
         if len(found) == 1:
