@@ -128,6 +128,10 @@ def test_token_counts_follow_edits():
             counted.edit(a, b, new)
             text = text[: min(a, len(text))] + new + text[min(b, len(text)) :]
             assert counted.text() == text and counted.total == len(counter.encoding.encode_ordinary(text))
+            assert [p for b in counted.each() for p in b.pieces()] == counter.pattern.findall(text)
+            if rng.random() < 0.2:
+                counted = CountedText(text, counter, counted.tree())
+                assert counted.recounted == 0
 
 
 def test_edits_recount_little():
@@ -136,6 +140,14 @@ def test_edits_recount_little():
     before = counted.recounted
     counted.edit(20_000, 20_005, "other")
     assert counted.recounted - before < 50
+    # blocks come and go along single paths, and the tree stays shallow
+    for k in range(200):
+        counted.edit(3000 * (k % 30), 3000 * (k % 30) + (2500 if k % 3 else 0), "put in here " * (250 if k % 2 else 1))
+
+    def depth(node):
+        return 1 + max(depth(node.left), depth(node.right)) if node else 0
+
+    assert depth(counted.root) < 5 * counted.blocks.bit_length() and counted.total == len(counter.encoding.encode_ordinary(counted.text()))
 
 
 def test_count_tokens(docs, texts):
@@ -146,6 +158,13 @@ def test_count_tokens(docs, texts):
     after = {r.doc_id: r.n_tokens_after for r in count_tokens(docs.withColumn("e", edits), "e").collect()}
     assert after == {d: len(counter.encoding.encode_ordinary("New" + (t or "")[3:])) for d, t in texts}
     assert count_tokens(docs.where("false")).collect() == []
+    # trees that are kept: the next edits count little, whatever the text's length, and a tree of another text is made anew
+    kept = count_tokens(docs.withColumn("n_tokens", F.lit("clash")).withColumn("e", edits), "e", keep=True).drop("text").withColumnRenamed("text_after", "text")
+    again = count_tokens(kept.withColumn("t", F.col("tree_after")), "e", tree="t").collect()
+    assert {r.doc_id: (r.n_tokens, r.n_tokens_after) for r in again} == {d: (after[d], len(counter.encoding.encode_ordinary("New" + ("New" + (t or "")[3:])[3:]))) for d, t in texts}
+    assert max(r.n_recounted for r in again) < 200
+    wrong = count_tokens(kept.withColumn("text", F.lit("other")).withColumn("t", F.col("tree_after")), "e", tree="t").collect()
+    assert {r.n_tokens for r in wrong} == {len(counter.encoding.encode_ordinary("other"))}
 
 
 def plain_top_k(rows, k):

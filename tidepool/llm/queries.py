@@ -146,12 +146,16 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op7_token_counts")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens of every whole text, and again after three edits: a cut at a third, words put in at two thirds, a line at the end."""
+    """Tokens of every whole text, and again after three edits: a cut at a third, words put in at two thirds, a line at the end.
+
+    The trees of the first count are kept as a column, and the edits start from those.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     n = F.coalesce(F.length("text"), F.lit(0))
     edit = lambda start, end, new: F.struct(start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit(new).alias("replacement"))
     edits = F.array(edit(n / 3, n / 3 + 20, ""), edit(n * 2 / 3, n * 2 / 3, " and some more words"), edit(n + 20, n + 20, "\nThe end."))
-    counted = count_tokens(docs.withColumn("edits", edits), "edits")
+    kept = count_tokens(docs, keep=True).select("doc_id", F.col("text_after").alias("text"), F.col("tree_after").alias("tree"))
+    counted = count_tokens(kept.withColumn("edits", edits), "edits", tree="tree")
     return counted.select("doc_id", "n_tokens", "n_pretokens", "n_tokens_after", "n_recounted")
 
 
