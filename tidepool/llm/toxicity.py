@@ -131,7 +131,8 @@ def features(flat: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndar
     near = np.zeros(len(start), bool)
     if len(start):
         at = np.flatnonzero(weight >= BANDS[0])
-        lo, hi = np.maximum(at - NEAR, 0), np.minimum(at + NEAR + 1, len(start))
+        first = np.searchsorted(doc, np.arange(n + 1))  # of each document's terms: neighbours in a batch don't count
+        lo, hi = np.maximum(at - NEAR, first[doc[at]]), np.minimum(at + NEAR + 1, first[doc[at] + 1])
         near[at] = you[hi] - you[lo] > 0
         out.append(count(near))
         out.append(count(second) * per_term)
