@@ -146,10 +146,13 @@ def features(flat: np.ndarray, offsets: np.ndarray, lexicon: Lexicon) -> np.ndar
     odd = np.zeros(len(flat), bool)
     if len(flat) > 2:
         odd[1:-1] = letter[:-2] & letter[2:] & ~letter[1:-1] & ~space[1:-1]
+    inside_of = lambda places: places[(places >= 0) & (places < len(flat))]
+    odd[inside_of(np.concatenate([offsets[:-1], offsets[1:] - 1]))] = False  # what stands in another document is no neighbour
     out.append(total(odd) * per_byte)
     thrice = np.zeros(len(flat), bool)
     if len(flat) > 2:
         thrice[2:] = letter[2:] & (flat[2:] == flat[1:-1]) & (flat[2:] == flat[:-2])
+    thrice[inside_of(np.concatenate([offsets[:-1], offsets[:-1] + 1]))] = False
     out.append(total(thrice) * per_byte)
     capitals = np.diff(np.concatenate([[0], np.cumsum(upper)])[np.stack([start, end])], axis=0)[0] if len(start) else np.zeros(0)
     out.append(count((capitals > 1) & (capitals == end - start)) * per_term)
