@@ -162,3 +162,21 @@ def test_components(spark):
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(31)}, 100: 100, 101: 100}
     assert components(spark.createDataFrame([], "a long, b long")).where(F.lit(True)).collect() == []
+
+
+def test_rows_that_share_an_id(spark):
+    same, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    rows = [(5, same), (5, same), (5, other), (7, other), (8, None), (9, "ÄÖ " * 60_000), (3, same.upper())]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("n_shingles", "component_id", "class_id", "id", "size", "near")})
+    got = {(r.doc_id, r.n_shingles, r.class_id, r.component_id) for r in jaccard_components(df).collect()}
+    assert {x[0] for x in got} == {3, 5, 7, 8, 9} and len(got) == 5  # one answer an id
+    of = {x[0]: x for x in got}
+    assert of[3] == (3, 2, 3, 3) and of[5][2:] == (3, 3) and of[8] == (8, 0, 8, 8) and of[9][3] == 9
+
+
+def test_dedup_replaces_columns_of_its_results(spark):
+    rows = [(1, "alpha beta " * 60), (2, "alpha beta " * 60), (2, "alpha beta " * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("n_bytes", "n_removed", "kept", "n_words", "n_spans")})
+    bytes_, words = suffix_dedup(df).collect(), substring_dedup(df).collect()
+    assert all(isinstance(r.n_removed, int) and r.n_words == "clash" for r in bytes_) and all(isinstance(r.n_words, int) and r.n_spans == "clash" for r in words)
+    assert sorted(r.n_removed for r in words) == [0, 120, 120]

@@ -255,3 +255,22 @@ def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a")], "doc_id long, text string")
     model = fit_toxicity(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert score_toxicity(docs, model).first().score == 0.0
+
+
+def test_language_model_with_odd_rows(spark):
+    rows = [(1, "A b a"), (1, "A b a"), (None, "a b"), (2, ""), (3, None), (4, "long " * 50_000), (5, " \t\n ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("score", "n_known", "held_out", "hash")})
+    trie = train(docs)
+    got = score(docs, trie).collect()
+    assert len(got) == len(rows) and all(isinstance(r.score, float) and r.hash == "clash" for r in got)
+    assert {r.n_tokens for r in got if r.doc_id in (2, 3, 5)} == {1} and all(r.held_out for r in got if r.doc_id is None)
+    same = [r for r in got if r.doc_id == 1]
+    assert len(same) == 2 and same[0].score == same[1].score
+
+
+def test_quality_of_odd_rows(spark):
+    rows = [(1, None, "en"), (2, "", None), (3, "word " * 100_000, "en"), (3, "word " * 100_000, "en"), (None, "a text of ten words or more that is not at all repeated", None), (5, "é" * 5000, "xx")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({c: F.lit("clash") for c in ("n_words", "band_low", "_of2", "code")})
+    got = quality(docs).collect()
+    assert len(got) == len(rows) and all(isinstance(r.n_words, int) and r.code == "clash" and r._of2 == "clash" for r in got)
+    assert [r.kept for r in got if r.doc_id is None] == [True] and not any(r.kept for r in got if r.doc_id in (1, 2, 3, 5))
