@@ -315,3 +315,19 @@ def test_filters_and_samples(spark, tmp_path):
 
     o = Observation("x")
     assert reviews.genuine(seen, threshold=0.4, observed=o).count() == 0 and o.get["removed_count"] == 1
+
+
+def test_streams_see_each_review_once_and_count_windows(spark, tmp_path):
+    from tidepool.streaming import ingest
+
+    rows = [("1", "ebay", "2024-01-05"), ("1", "ebay", "2024-01-05"), ("2", "ebay", "2024-01-06"), ("3", "amazon", "2024-03-01")]
+    spark.createDataFrame(rows, "review_id string, source string, day string").selectExpr("review_id", "source", "cast(day as timestamp) as review_date").write.parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema("review_id string, source string, review_date timestamp").parquet(str(tmp_path / "in"))
+
+    def run(df, name, mode):
+        df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name).collect()
+
+    assert sorted(r.review_id for r in run(ingest.first_seen(stream()), "seen_once", "append")) == ["1", "2", "3"]
+    trend = run(ingest.live_trend(stream(), "30 days"), "trend", "complete")
+    assert sorted((r.source, r.review_count) for r in trend) == [("amazon", 1), ("ebay", 3)]

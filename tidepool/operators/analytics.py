@@ -64,6 +64,31 @@ def rating_histogram(df: DataFrame) -> DataFrame:
     return bins.join(found, "rating_bin", "left").orderBy("bin").select("rating_bin", F.coalesce("n", F.lit(0)).alias("review_count"))
 
 
+def sentiment_cube(df: DataFrame) -> DataFrame:
+    """(source, sentiment_label, month, rating_bin, review_count): one scan, from which all counts of those four are made."""
+    by = [source_key().alias("source"), label_key(df).alias("sentiment_label"), month("review_date").alias("month"), rating_bin("rating_normalized").alias("rating_bin")]
+    return df.groupBy(*by).agg(F.count("*").alias("review_count"))
+
+
+def from_cube(cube: Sequence[dict]) -> dict[str, list[dict]]:
+    """The distribution, histogram, and counts by source and by month, of a cube's rows, ordered as the frames above are."""
+
+    def by(*names: str, keep=lambda r: True) -> list[dict]:
+        sums: dict[tuple, int] = {}
+        for r in filter(keep, cube):
+            key = tuple(r[n] for n in names)
+            sums[key] = sums.get(key, 0) + r["review_count"]
+        return [{**dict(zip(names, key)), "review_count": n} for key, n in sorted(sums.items())]
+
+    seen = {r["rating_bin"]: r["review_count"] for r in by("rating_bin", keep=lambda r: r["rating_bin"] is not None)}
+    return {
+        "sentiment_distribution": by("sentiment_label"),
+        "rating_histogram": [{"rating_bin": name, "review_count": seen.get(name, 0)} for _, _, name in RATING_BINS],
+        "source_sentiment": by("source", "sentiment_label"),
+        "monthly_sentiment": by("month", "sentiment_label", keep=lambda r: r["month"] is not None),
+    }
+
+
 def source_sentiment(df: DataFrame) -> DataFrame:
     return df.groupBy(source_key().alias("source"), label_key(df).alias("sentiment_label")).agg(F.count("*").alias("review_count")).orderBy("source", "sentiment_label")
 

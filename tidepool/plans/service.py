@@ -108,8 +108,7 @@ class ReviewService:
 
     def sentiment(self, filters: ReviewFilter | None = None) -> dict:
         df = (filters or ReviewFilter()).apply(self.df)
-        asked = {"sentiment_distribution": analytics.sentiment_distribution, "rating_histogram": analytics.rating_histogram, "source_sentiment": analytics.source_sentiment, "monthly_sentiment": analytics.monthly_sentiment, "top_aspects": analytics.top_aspects}
-        return {k: rows(f(df)) for k, f in asked.items()}
+        return analytics.from_cube(rows(analytics.sentiment_cube(df))) | {"top_aspects": rows(analytics.top_aspects(df))}
 
     def compare(self, names: Sequence[str], filters: ReviewFilter | None = None) -> dict:
         df = (filters or ReviewFilter()).apply(self.df)
