@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidepool.llm.components import components
 from tidepool.llm.gsaca import common_prefixes, suffix_array
-from tidepool.llm.jaccard_join import jaccard_components
+from tidepool.llm.jaccard_join import jaccard_components, jaccard_links
 from tidepool.llm.substring_dedup import substring_dedup
 from tidepool.llm.suffix_dedup import suffix_dedup
 
@@ -151,6 +151,23 @@ def test_jaccard_components_equal_all_pairs(docs, texts):
     assert got == want and len({c for _, c in want.values()}) < len(want) - 10
 
 
+def test_jaccard_links_equal_all_pairs(spark, docs, texts):
+    sets = {}
+    for d, t in texts:
+        w = (t or "").encode().lower().split()
+        sets[d] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+    linked = {(a, b) for a in sets for b in sets if a < b and sets[a] & sets[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    least = {}
+    for d in sorted(sets):
+        least.setdefault(sets[d] or d, d)
+    links, each = jaccard_links(docs)
+    assert {(r.a, r.b) for r in links.collect()} == {(a, b) for a, b in linked if least[sets[a]] == a and least[sets[b]] == b and sets[a] != sets[b]}
+    count = {d: sum(d in pair for pair in linked) for d in sets}
+    assert {r.doc_id: (r.class_id, r.n_links) for r in each.collect()} == {d: (least[sets[d] or d], count[d]) for d in sets} and sum(count.values()) > 20
+    links, each = jaccard_links(spark.createDataFrame([], "doc_id long, text string"))
+    assert links.collect() == [] and each.collect() == []
+
+
 def test_jaccard_of_no_rows_and_of_null_ids(spark, empty):
     assert jaccard_components(empty).collect() == []
     odd = spark.createDataFrame([(None, "a b c d e f"), (2, "a b c d e f"), (1, "A b c d e f")], "doc_id long, text string")

@@ -33,9 +33,11 @@ with the set of its least class if their texts differ; an empty table gives an
 empty result. Only the id and text columns are read.
 
 Sets are told apart by two 64-bit hashes, and every link is found by comparing
-the sets of two classes, shingle by shingle (64 bits each). The operator gives
-classes and components: links within a component that is known already aren't
-counted.
+the sets of two classes, shingle by shingle (64 bits each).
+``jaccard_components`` gives classes and components, and doesn't look for links
+within a component that it knows already. ``jaccard_links`` gives every link
+between classes, and each document's number of links: its cost grows with the
+number of those.
 """
 
 from __future__ import annotations
@@ -342,8 +344,11 @@ def _star(leader: np.ndarray, sets: np.ndarray, start: np.ndarray, size: np.ndar
     return den * both >= num * (len(leader) + size - both)
 
 
-def _meeting(doc: np.ndarray, group: np.ndarray, size: np.ndarray, sets: np.ndarray, share: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links between sets of different groups: a small join of its own, by the rarest elements of each set here."""
+def _meeting(doc: np.ndarray, group: np.ndarray, size: np.ndarray, sets: np.ndarray, share: tuple[int, int], every: bool) -> list[tuple[int, int]]:
+    """Links between sets of different groups: a small join of its own, by the rarest elements of each set here.
+
+    Unless ``every`` link is asked for, those found join groups.
+    """
     num, den = share
     start = np.cumsum(size) - size
     of = np.repeat(np.arange(len(doc)), size)
@@ -362,19 +367,19 @@ def _meeting(doc: np.ndarray, group: np.ndarray, size: np.ndarray, sets: np.ndar
     for a in range(len(doc)):
         tokens = back[prefix[mine[a] : mine[a + 1]]]
         near = np.unique(_ragged(holder, bounds[tokens], bounds[tokens + 1] - bounds[tokens]))
-        # links already found join groups, and within a group nothing needs to be compared
         near = near[(near > a) & (label[near] != label[a]) & (den * np.minimum(size[near], size[a]) >= num * np.maximum(size[near], size[a]))]
         while len(near):
             part, near = near[:64], near[64:]
             hit = part[_star(sets[start[a] : start[a] + size[a]], sets, start[part], size[part], share)]
             if len(hit):
                 out += [(int(doc[a]), int(doc[b])) for b in hit.tolist()]
-                label[np.isin(label, label[hit])] = label[a]
-                near = near[label[near] != label[a]]
+                if not every:
+                    label[np.isin(label, label[hit])] = label[a]
+                    near = near[label[near] != label[a]]
     return out
 
 
-def _compare(share: tuple[int, int]):
+def _compare(share: tuple[int, int], every: bool):
     """Links among the sets that came together: with a leader, or of groups that meet."""
     num, den = share
 
@@ -404,7 +409,7 @@ def _compare(share: tuple[int, int]):
                     # the bound by the groups' unions: what no other group's union shares enough of stays closed
                     at = _open(at, group, size, start, sets, share)
                     if len(at) > 1:
-                        links += _meeting(doc[at], group[at], size[at], _ragged(sets, start[at], size[at]), share)
+                        links += _meeting(doc[at], group[at], size[at], _ragged(sets, start[at], size[at]), share, every)
                 elif role[at[-1]] == LEADER and len(at) > 1:
                     lead, at = at[-1], at[:-1]
                     hit = at[_star(sets[start[lead] : start[lead] + size[lead]], sets, start[at], size[at], share)]
@@ -526,38 +531,69 @@ def _locals(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c) for c in blobs.unpack(data, _LOCAL)], names=["id", "near", "size"])
 
 
+class _Join:
+    """What both results begin with: texts, classes and their rarest shared tokens, and the comparison of sets that are asked for."""
+
+    def __init__(self, docs: DataFrame, width: int, threshold: tuple[int, int], id_col: str, text_col: str, every: bool = False):
+        self.n = n = blobs.shards(docs.sparkSession)
+        self.width, self.threshold, self.every = width, threshold, every
+        self.texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
+        sets = blobs.exchange(self.texts.mapInArrow(_first_map(width, threshold, n), blobs.ROWS), n)
+        shared = blobs.exchange(sets.mapInArrow(_shared(n), blobs.ROWS), n)
+        self.classes = blobs.cut(shared.mapInArrow(_classes(n), blobs.ROWS))
+        self.prefixes = self.of(PREFIX).mapInArrow(_prefixes, "id long, size long, tokens binary")
+        self.members = self.of(MEMBER).mapInArrow(_members, "id long, first long")
+        self.locals = self.of(LOCAL).mapInArrow(_locals, "id long, near long, size long")
+
+    def of(self, kind: int) -> DataFrame:
+        return self.classes.where(F.col("kind") == kind)
+
+    def compared(self, fetch: DataFrame) -> DataFrame:
+        wanted = blobs.exchange(fetch, self.n).mapInArrow(blobs.by_document(FETCH, _FETCH), "id long, found binary")
+        sent = self.texts.join(wanted, "id").mapInArrow(_send_sets(self.width, self.n), blobs.ROWS)
+        return blobs.exchange(sent, self.n).mapInArrow(_compare(self.threshold, self.every), "a long, b long")
+
+    def met(self, groups: DataFrame) -> DataFrame:
+        """Links between classes of different groups (id, group, size, tokens)."""
+        held = blobs.exchange(groups.mapInArrow(_tokens(self.n), blobs.ROWS), self.n)
+        return self.compared(held.mapInArrow(_meet(self.threshold, self.n), blobs.ROWS))
+
+
+def jaccard_links(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Every link between different sets, as (a, b) of their classes' least ids with a < b; and (id, class_id, n_links) of every document.
+
+    A document's links are the other members of its class and all members of the classes that link with it.
+    """
+    j = _Join(docs, width, threshold, id_col, text_col, every=True)
+    links = blobs.cut(j.met(j.prefixes.select("id", F.col("id").alias("group"), "size", "tokens")).distinct())
+    first = j.members.groupBy(F.col("id").alias("near")).agg(F.min("first").alias("first"))
+    every = j.locals.join(first, "near", "left").groupBy("id").agg(F.min(F.struct(F.coalesce("first", "id").alias("class_id"), "size")).alias("own")).select("id", "own.class_id", "own.size")
+    sizes = every.groupBy("class_id").agg(F.count("*").alias("members"))
+    ways = F.explode(F.array(F.struct(F.col("a").alias("class_id"), F.col("b").alias("other")), F.struct(F.col("b").alias("class_id"), F.col("a").alias("other")))).alias("way")
+    around = links.select(ways).select("way.*").join(sizes.withColumnRenamed("class_id", "other"), "other").groupBy("class_id").agg(F.sum("members").alias("around"))
+    counted = sizes.join(around, "class_id", "left").select("class_id", (F.col("members") - 1 + F.coalesce("around", F.lit(0))).alias("n_links"))
+    known = every.join(counted, "class_id").select("id", "class_id", F.when(F.col("size") > 0, F.col("n_links")).otherwise(0).alias("n_links"))
+    whole = docs.select(F.col(id_col).cast("long").alias(id_col)).join(known.withColumnRenamed("id", id_col), id_col, "left")
+    return links, whole.select(id_col, "class_id", "n_links")
+
+
 def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, class_id, component_id) of every document.
 
     class_id: the least id of those with an equal set; component_id: the least
     id reachable by links. ``threshold`` is a fraction of at least one half.
     """
-    spark = docs.sparkSession
-    n = blobs.shards(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
-    sets = blobs.exchange(texts.mapInArrow(_first_map(width, threshold, n), blobs.ROWS), n)
-    shared = blobs.exchange(sets.mapInArrow(_shared(n), blobs.ROWS), n)
-    classes = blobs.cut(shared.mapInArrow(_classes(n), blobs.ROWS))
-    of = lambda kind: classes.where(F.col("kind") == kind)
-
-    def compared(fetch: DataFrame) -> DataFrame:
-        wanted = blobs.exchange(fetch, n).mapInArrow(blobs.by_document(FETCH, _FETCH), "id long, found binary")
-        sent = texts.join(wanted, "id")
-        return blobs.exchange(sent.mapInArrow(_send_sets(width, n), blobs.ROWS), n).mapInArrow(_compare(threshold), "a long, b long")
-
-    near = blobs.cut(compared(blobs.exchange(of(KEY), n).mapInArrow(_leaders(n), blobs.ROWS)))
+    j = _Join(docs, width, threshold, id_col, text_col)
+    near = blobs.cut(j.compared(blobs.exchange(j.of(KEY), j.n).mapInArrow(_leaders(j.n), blobs.ROWS)))
     groups = components(near)
-    prefixes = of(PREFIX).mapInArrow(_prefixes, "id long, size long, tokens binary")
-    grouped = prefixes.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("group"), "size", "tokens")
-    met = blobs.exchange(grouped.mapInArrow(_tokens(n), blobs.ROWS), n).mapInArrow(_meet(threshold, n), blobs.ROWS)
+    grouped = j.prefixes.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("group"), "size", "tokens")
     # groups as links: a group's members to its name
-    links = compared(met).unionAll(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    links = j.met(grouped).unionAll(groups.select(F.col("node").alias("a"), F.col("component").alias("b")))
     joined = components(links)
-    members = of(MEMBER).mapInArrow(_members, "id long, first long")
     # the first ones that tasks have seen, a row a task and class; and from there to all documents
-    known = members.join(joined.withColumnRenamed("node", "first"), "first", "left").groupBy(F.col("id").alias("near"))
+    known = j.members.join(joined.withColumnRenamed("node", "first"), "first", "left").groupBy(F.col("id").alias("near"))
     known = known.agg(F.min(F.struct("first", F.coalesce("component", "first").alias("component"))).alias("known"))
-    found = of(LOCAL).mapInArrow(_locals, "id long, near long, size long").join(known, "near", "left")
+    found = j.locals.join(known, "near", "left")
     own = F.struct(F.coalesce("known.first", "id").alias("class_id"), F.coalesce("known.component", "id").alias("component_id"), F.col("size").alias("n_shingles"))
     found = found.groupBy("id").agg(F.min(own).alias("own")).select("id", "own.*")
     every = docs.select(F.col(id_col).cast("long").alias(id_col))
