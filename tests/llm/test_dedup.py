@@ -197,3 +197,27 @@ def test_dedup_replaces_columns_of_its_results(spark):
     bytes_, words = suffix_dedup(df).collect(), substring_dedup(df).collect()
     assert all(isinstance(r.n_removed, int) and r.n_words == "clash" for r in bytes_) and all(isinstance(r.n_words, int) and r.n_spans == "clash" for r in words)
     assert sorted(r.n_removed for r in words) == [0, 120, 120]
+
+
+def test_jaccard_of_common_passages(spark):
+    """Shingles that are common in one task and rare in another count the same in both."""
+    import random
+
+    rng = random.Random(13)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passage = [word() for _ in range(60)]
+    rows = []
+    for c in range(25):
+        base = [word() for _ in range(rng.choice([20, 40, 90]))]
+        for k in range(rng.choice([1, 2, 9])):
+            own = list(base)
+            for _ in range(rng.randrange(3)):
+                own[rng.randrange(len(own))] = word()
+            rows.append(passage[: rng.choice([0, 30, 60])] + own)
+    rows += [passage + [word() for _ in range(rng.randrange(14))] for _ in range(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(rows)]
+    few, many = [r for r in rows if r[0] % 17 == 3], [r for r in rows if r[0] % 17 != 3]
+    df = spark.createDataFrame(many, "doc_id long, text string").coalesce(1).unionAll(spark.createDataFrame(few, "doc_id long, text string").coalesce(1))
+    want = components_by_pairs(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df).collect()} == want
+    assert len({c for _, c in want.values()}) < len(rows) - 60

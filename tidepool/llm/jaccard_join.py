@@ -21,6 +21,11 @@ Jaccard similarity reaches a threshold. The result is the components of links.
    overlap with the union of the other groups' sets is below its bound opens
    none; the others are joined by their rarest shingles among those present.
 
+A shingle that many of a task's classes hold is shared for certain. Those classes
+learn so directly, and the shingle's shard gets one row, which makes it the most
+common of all everywhere: no shard sees all holders of a passage that a third of
+all documents have.
+
 Very small sets, of which the choice says little, bring all their shingles as
 well, to meet each other. No step makes pairs within a group, and each is exact: a
 missed link in step 2 is found in steps 3 and 4.
@@ -53,7 +58,7 @@ from . import blobs
 from .components import components
 from .hashing import FOLD, U, Words, chunks, grams, mix
 
-CLASS, VIEW, SHARED, MEMBER, PREFIX, KEY, FETCH, SET, TOKEN, LOCAL = range(10)
+CLASS, VIEW, SHARED, MEMBER, PREFIX, KEY, FETCH, SET, TOKEN, LOCAL, COMMON = range(11)
 _CLASS = [U, U, np.int64]  # two digests, document
 _VIEW = [U, U, np.int8, np.int32, np.int32, np.int32, np.int32]  # two digests, universe, shingles, brought in all, need, here; extra: tokens
 _SHARED = _VIEW  # the same, here: shared; extra: tokens, then in how many classes
@@ -66,6 +71,8 @@ _TOKEN = [U, np.int64, np.int64, np.int32]  # token, document, group, shingles
 FOLLOWER, LEADER, MEETING = range(3)
 #: Hash functions of step 2, classes that one task compares with a leader, and shingles a task holds before it sends them.
 FUNCTIONS, PER_LEADER, HELD = 3, 1024, 3_000_000
+#: Classes of a task that hold a token from which it is common; how often common tokens count.
+LOCALLY, MOST = 20, 65535
 #: Possible partners in other groups, on average over a token's holders, beyond which they all meet at once; beyond
 #: so many holders, those of like sizes do.
 PARTNERS, BANDED = 200, 500
@@ -108,15 +115,19 @@ def _ragged(values: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarr
     return values[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)]
 
 
-def _deal_views(head: list[np.ndarray], of: np.ndarray, tokens: np.ndarray, n: int) -> Iterator[blobs.Blob]:
-    """Tokens with what is known of the view that each is of, to the tokens' shards."""
-    shard = blobs.shard_of(tokens, n)
+def _deal_views(kind: int, head: list[np.ndarray], of: np.ndarray, shard: np.ndarray, *columns: np.ndarray) -> Iterator[blobs.Blob]:
+    """Tokens (and what goes with them) with what is known of the view that each is of, to shards."""
     order = np.lexsort((of, shard))
-    shard, of, low = shard[order], of[order], tokens[order].astype(np.uint32)
+    shard, of, columns = shard[order], of[order], [c[order] for c in columns]
     cuts = np.append(np.flatnonzero(np.append(True, shard[1:] != shard[:-1])), len(shard)) if len(shard) else [0]
     for a, b in zip(cuts[:-1], cuts[1:]):
         views, here = np.unique(of[a:b], return_counts=True)
-        yield int(shard[a]), VIEW, blobs.pack([*(c[views] for c in head), here.astype(np.int32)]), low[a:b].tobytes()
+        yield int(shard[a]), kind, blobs.pack([*(c[views] for c in head), here.astype(np.int32)]), b"".join(c[a:b].tobytes() for c in columns)
+
+
+def _numbered(low: np.ndarray, shard: np.ndarray) -> np.ndarray:
+    """A token's name: what its shard keeps of it, and the shard."""
+    return low.astype(U) | shard.astype(U) << U(32)
 
 
 def _first_map(width: int, share: tuple[int, int], n: int):
@@ -153,7 +164,14 @@ def _first_map(width: int, share: tuple[int, int], n: int):
         of = np.concatenate([of[chosen], place[of[again]]])
         # the upper bits are used up by the choice
         every = np.concatenate([mix(tokens[chosen] ^ U(1)), mix(tokens[again] ^ U(2))])
-        yield from _deal_views([head[0], head[1], kind, head[2].astype(np.int32), total.astype(np.int32), needs.astype(np.int32)], of, every, n)
+        head = [head[0], head[1], kind, head[2].astype(np.int32), total.astype(np.int32), needs.astype(np.int32)]
+        shard, low = blobs.shard_of(every, n), every.astype(np.uint32)
+        different, back, held_by = np.unique(_numbered(low, shard), return_inverse=True, return_counts=True)
+        common = held_by >= LOCALLY
+        yield from blobs.deal([different[common].astype(np.uint32)], (different[common] >> U(32)).astype(np.int32), COMMON)
+        many = common[back]
+        yield from _deal_views(SHARED, head, of[many], blobs.shard_of(head[0], n)[of[many]], different[back[many]], np.full(many.sum(), MOST, np.uint16))
+        yield from _deal_views(VIEW, head, of[~many], shard[~many], low[~many])
 
     def rows(batches):
         held, size = [], 0
@@ -182,9 +200,12 @@ def _shared(n: int):
 
     def rows(batches):
         views: dict[int, list] = {}
+        common: dict[int, list] = {}
         for shard, kind, data, extra in blobs.blobs_in(batches):
-            if kind != VIEW:
-                yield shard, kind, data, None
+            if kind == COMMON:
+                common.setdefault(shard, []).append(np.unique(blobs.unpack(data, [np.uint32])[0]))
+            elif kind != VIEW:
+                yield shard, kind, data, extra
             else:
                 views.setdefault(shard, []).append((blobs.unpack(data, _VIEW), extra))
         for shard, found in views.items():
@@ -199,19 +220,12 @@ def _shared(n: int):
             token, view = token[new], view[new]
             opens = np.append(True, token[1:] != token[:-1])
             group = np.cumsum(opens) - 1
-            count = np.bincount(group)[group]
+            count = np.minimum(np.bincount(group)[group], MOST)
+            if shard in common:
+                count[np.isin(token, np.concatenate(common[shard]))] = MOST
             keep = count > 1
-            token, view, count = token[keep], view[keep], np.minimum(count[keep], 65535).astype(np.uint16)
-            if not len(token):
-                continue
-            to = blobs.shard_of(head[0][view], n)
-            order = np.lexsort((view, to))
-            token, view, count, to = token[order], view[order], count[order], to[order]
-            cuts = np.append(np.flatnonzero(np.append(True, to[1:] != to[:-1])), len(to))
-            for a, b in zip(cuts[:-1], cuts[1:]):
-                v, here = np.unique(view[a:b], return_counts=True)
-                full = token[a:b].astype(U) | U(shard) << U(32)
-                yield int(to[a]), SHARED, blobs.pack([*(c[v] for c in head[:6]), here.astype(np.int32)]), full.tobytes() + count[a:b].tobytes()
+            token, view, count = token[keep], view[keep], count[keep].astype(np.uint16)
+            yield from _deal_views(SHARED, head[:6], view, blobs.shard_of(head[0], n)[view], _numbered(token, np.full(len(token), shard)), count)
 
     return lambda batches: blobs.batches_of(rows(batches))
 
