@@ -342,7 +342,7 @@ def bands(scored: DataFrame, lang_col: str, doubt: float) -> DataFrame:
     return sums.join(middle, F.col("_of").eqNullSafe(F.col("_of2"))).drop("_of2")
 
 
-def quality(docs: DataFrame, model: KneserNey | None = None, *, widths: float = 2.25, doubt: float = 0.8, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, model: KneserNey | None = None, *, widths: float = 2.0, doubt: float = 0.8, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """``docs`` without ``text_col``, with the base rules' counts, n_scored (symbols), log_perplexity, kept, and the band that decided.
 
     widths: half of the band, in spreads between the quartiles. doubt: the least such spread of one symbol,
