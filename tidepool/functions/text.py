@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from ._columns import ColumnOrName, col
 
 
+#: Unicode's white space, which is what (?U)\\s matches.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: ColumnOrName) -> Column:
-    return F.regexp_replace(col(c), r"(?U)^\s+|\s+$", "")
+    """Looks at the two ends only."""
+    return F.btrim(col(c), F.lit(SPACES))
 
 
 def blank_to_null(c: ColumnOrName) -> Column:
