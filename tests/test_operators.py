@@ -1,5 +1,10 @@
 from __future__ import annotations
 
+import hashlib
+import math
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -83,6 +88,35 @@ def test_retrieval(df):
     assert [r.review_id for r in retrieval.keywords(df, "broke the phone", 5).collect()] == ["r2", "r1"]
 
 
+def plain_vector(t, n):
+    v = [0.0] * n
+    for token in re.findall(r"[A-Za-z0-9']+", t.lower()):
+        h = hashlib.blake2b(token.encode(), digest_size=16).digest()
+        v[int.from_bytes(h[:4], "little") % n] += 1.0 if h[8] % 2 == 0 else -1.0
+        v[int.from_bytes(h[4:8], "little") % n] += 0.5 if h[9] % 2 == 0 else -0.5
+    size = math.sqrt(sum(x * x for x in v))
+    return [x / size for x in v] if size else v
+
+
+def test_embeddings_and_hybrid_search_equal_plain_ones(spark):
+    rng = random.Random(3)
+    words = "the phone battery is fine but screen broke after charge it's 9 days".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(4, 40))) for _ in range(300)] + ["", "!!! ???  ---- ....... ----"]
+    df = spark.createDataFrame([(f"r{i}", t, f"s{i % 2}") for i, t in enumerate(texts)], "review_id string, review_text string, source string")
+    index = retrieval.index(df, 24)
+    got = {r.id: r.embedding for r in index.collect()}
+    want = {f"r{i}": plain_vector(t, 24) for i, t in enumerate(texts) if len(t.strip()) >= 20}
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k]) for k in want)
+    query = "is the battery broke"
+    terms = retrieval.query_terms(query)
+    q = plain_vector(query, 24)
+    rank = lambda t: 3 if f" {' '.join(terms)} " in f" {t} " else 2 if set(terms) <= set(t.split()) else int(bool(set(terms) & set(t.split())))
+    rows = [(rank(t), 1 - sum(a * b for a, b in zip(want[f"r{i}"], q)), f"r{i}") for i, t in enumerate(texts) if f"r{i}" in want and i % 2]
+    best = max(r[0] for r in rows)
+    found = retrieval.hybrid(index, query, 7, "S1", 24).collect()
+    assert best and [r.id for r in found] == [r[2] for r in sorted((round(d, 12), k, k) for level, d, k in rows if level == best)][:7]
+
+
 def test_eda(df):
     assert eda.top_products(df).first().review_count == 2
     assert sum(r.percent for r in eda.shares(df, "source").collect()) == pytest.approx(100, abs=0.01)
