@@ -221,3 +221,5 @@ def test_jaccard_of_common_passages(spark):
     want = components_by_pairs(rows)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df).collect()} == want
     assert len({c for _, c in want.values()}) < len(rows) - 60
+    for limits in ((0, 1), (0, 10**6)):  # all holders of a shingle together, by size and at once
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, limits=limits).collect()} == want

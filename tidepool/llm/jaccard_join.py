@@ -10,9 +10,12 @@ Jaccard similarity reaches a threshold. The result is the components of links.
    drop out.
 2. What remains is parted into *groups* of similar classes: those with an equal
    least hash are compared with one leader, and links found join a group.
-   Copies by the thousand become one group at a cost linear in their number.
-3. The *token-group matrix*: shingles are dealt out with the groups whose
-   unions hold them. A class brings only its rarest shingles, as many as leave
+   Copies by the thousand become one group at a cost linear in their number. An
+   equal hash is dealt out over ``SALTS`` shards, with a leader each, and those
+   meet once more.
+3. The *token-group matrix*: which shingles the unions of several groups hold is
+   aggregated before anything meets, so what only one group has, however large
+   it is, comes together nowhere. A class brings only its rarest shingles, as many as leave
    less than its need aside, so any link between groups shows in one of those,
    and passages that many documents share stay aside. Groups that don't meet in
    any such shingle are never opened.
@@ -68,9 +71,11 @@ _KEY = [U, np.int64]  # least hash, document
 _FETCH = [np.int64, U, np.int8, np.int64]  # document, where its set is wanted, as what, group
 _SET = [U, np.int64, np.int8, np.int64, np.int32]  # where, document, as what, group, shingles; extra: shingles
 _TOKEN = [U, np.int64, np.int64, np.int32]  # token, document, group, shingles
-FOLLOWER, LEADER, MEETING = range(3)
+FOLLOWER, LEADER, MEETING, UPPER = range(4)  # UPPER: meets only sets of the size band below
 #: Hash functions of step 2, classes that one task compares with a leader, and shingles a task holds before it sends them.
 FUNCTIONS, PER_LEADER, HELD = 3, 1024, 3_000_000
+#: Parts of those with an equal least hash.
+SALTS = 64
 #: Classes of a task that hold a token from which it is common; how often common tokens count.
 LOCALLY, MOST = 20, 65535
 #: Possible partners in other groups, on average over a token's holders, beyond which they all meet at once; beyond
@@ -281,21 +286,34 @@ def _classes(n: int):
         for k in range(FUNCTIONS):
             least = np.minimum.reduceat(mix(every ^ U(1000 + k)), starts)
             key = mix(least ^ U(k))
-            yield from blobs.deal([key, place], blobs.shard_of(key, n), KEY)
+            yield from blobs.deal([key, place], blobs.shard_of(mix(key ^ _salt(place)), n), KEY)
 
     return lambda batches: blobs.batches_of(rows(batches))
 
 
-def _leaders(n: int):
-    """Of classes with an equal key: whose sets to compare with the first one's."""
+def _salt(doc: np.ndarray) -> np.ndarray:
+    return mix(doc ^ np.int64(0x5A17)) % U(SALTS)
+
+
+def _leaders(n: int, salted: bool):
+    """Of classes with an equal key: whose sets to compare with the first one's. Salted: within each part, and parts' first ones go on."""
 
     def rows(batches):
-        key, doc = blobs.join([blobs.unpack(data, _KEY) for *_, data, _ in blobs.blobs_in(batches)], _KEY)
-        order = np.lexsort((doc, key))
-        key, doc = key[order], doc[order]
+        found = []
+        for shard, kind, data, _ in blobs.blobs_in(batches):
+            if kind == KEY:
+                found.append(blobs.unpack(data, _KEY))
+            else:
+                yield shard, kind, data, None
+        key, doc = blobs.join(found, _KEY)
+        part = _salt(doc) if salted else np.zeros(len(doc), U)
+        order = np.lexsort((doc, part, key))
+        key, doc, part = key[order], doc[order], part[order]
         new = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])) if len(key) else np.zeros(0, bool)
-        key, doc = key[new], doc[new]
-        cuts = np.append(np.flatnonzero(np.append(True, key[1:] != key[:-1])), len(key)) if len(key) else np.zeros(1, np.int64)
+        key, doc, part = key[new], doc[new], part[new]
+        cuts = np.append(np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (part[1:] != part[:-1]))), len(key)) if len(key) else np.zeros(1, np.int64)
+        if salted:
+            yield from blobs.deal([key[cuts[:-1]], doc[cuts[:-1]]], blobs.shard_of(key[cuts[:-1]], n), KEY)
         size = np.diff(cuts)
         parts = -(-size // PER_LEADER)
         lead = np.repeat(doc[cuts[:-1]], size)
@@ -358,7 +376,7 @@ def _star(leader: np.ndarray, sets: np.ndarray, start: np.ndarray, size: np.ndar
     return den * both >= num * (len(leader) + size - both)
 
 
-def _meeting(doc: np.ndarray, group: np.ndarray, size: np.ndarray, sets: np.ndarray, share: tuple[int, int], every: bool) -> list[tuple[int, int]]:
+def _meeting(doc: np.ndarray, group: np.ndarray, size: np.ndarray, upper: np.ndarray, sets: np.ndarray, share: tuple[int, int], every: bool) -> list[tuple[int, int]]:
     """Links between sets of different groups: a small join of its own, by the rarest elements of each set here.
 
     Unless ``every`` link is asked for, those found join groups.
@@ -381,7 +399,7 @@ def _meeting(doc: np.ndarray, group: np.ndarray, size: np.ndarray, sets: np.ndar
     for a in range(len(doc)):
         tokens = back[prefix[mine[a] : mine[a + 1]]]
         near = np.unique(_ragged(holder, bounds[tokens], bounds[tokens + 1] - bounds[tokens]))
-        near = near[(near > a) & (label[near] != label[a]) & (den * np.minimum(size[near], size[a]) >= num * np.maximum(size[near], size[a]))]
+        near = near[(near > a) & (label[near] != label[a]) & ~(upper[near] & upper[a]) & (den * np.minimum(size[near], size[a]) >= num * np.maximum(size[near], size[a]))]
         while len(near):
             part, near = near[:64], near[64:]
             hit = part[_star(sets[start[a] : start[a] + size[a]], sets, start[part], size[part], share)]
@@ -413,17 +431,18 @@ def _compare(share: tuple[int, int], every: bool):
             links: list[tuple[int, int]] = []
             for x, y in zip(cuts[:-1], cuts[1:]):
                 at = order[x:y]
-                if role[at[-1]] == MEETING and len(at) <= 6:
+                if role[at[-1]] >= MEETING and len(at) <= 6:
                     for i, one in enumerate(at[:-1].tolist()):
-                        other = at[i + 1 :][group[at[i + 1 :]] != group[one]]
+                        other = at[i + 1 :]
+                        other = other[(group[other] != group[one]) & ((role[other] < UPPER) | (role[one] < UPPER))]
                         if len(other):
                             hit = other[_star(sets[start[one] : start[one] + size[one]], sets, start[other], size[other], share)]
                             links += [(int(doc[one]), int(d)) for d in doc[hit].tolist()]
-                elif role[at[-1]] == MEETING:
+                elif role[at[-1]] >= MEETING:
                     # the bound by the groups' unions: what no other group's union shares enough of stays closed
                     at = _open(at, group, size, start, sets, share)
                     if len(at) > 1:
-                        links += _meeting(doc[at], group[at], size[at], _ragged(sets, start[at], size[at]), share, every)
+                        links += _meeting(doc[at], group[at], size[at], role[at] == UPPER, _ragged(sets, start[at], size[at]), share, every)
                 elif role[at[-1]] == LEADER and len(at) > 1:
                     lead, at = at[-1], at[:-1]
                     hit = at[_star(sets[start[lead] : start[lead] + size[lead]], sets, start[at], size[at], share)]
@@ -450,21 +469,39 @@ def _open(at: np.ndarray, group: np.ndarray, size: np.ndarray, start: np.ndarray
     return at[den * elsewhere >= num * size[at]]
 
 
+def _exploded(batches):
+    """Rarest tokens with the class and the group that hold them."""
+    for batch in batches:
+        doc, group, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        tokens = [np.frombuffer(x.as_py(), np.int64) for x in batch.column(3)]
+        reps = [len(t) for t in tokens]
+        columns = [np.concatenate(tokens), np.repeat(doc, reps), np.repeat(group, reps), np.repeat(size, reps)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["token", "id", "group", "size"])
+
+
+def _groups(batches):
+    """Different pairs of token and group of a task's batches."""
+    for batch in batches:
+        token, group = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        order = np.lexsort((group, token))
+        new = np.append(True, (token[order][1:] != token[order][:-1]) | (group[order][1:] != group[order][:-1]))[: len(order)]
+        at = order[new]
+        yield pa.RecordBatch.from_arrays([pa.array(token[at]), pa.array(group[at])], names=["token", "group"])
+
+
 def _tokens(n: int):
-    """Rarest tokens with the class and the group that hold them, to the tokens' shards."""
+    """Tokens with the class and the group that hold them, to the tokens' shards."""
 
     def rows(batches):
         for batch in batches:
-            doc, group, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-            tokens = [np.frombuffer(x.as_py(), U) for x in batch.column(3)]
-            reps = [len(t) for t in tokens]
-            token = np.concatenate(tokens)
-            yield from blobs.deal([token, np.repeat(doc, reps), np.repeat(group, reps), np.repeat(size, reps).astype(np.int32)], blobs.shard_of(mix(token), n), TOKEN)
+            token, doc, group, size = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            token = token.view(U)
+            yield from blobs.deal([token, doc, group, size.astype(np.int32)], blobs.shard_of(mix(token), n), TOKEN)
 
     return lambda batches: blobs.batches_of(rows(batches))
 
 
-def _meet(share: tuple[int, int], n: int):
+def _meet(share: tuple[int, int], n: int, limits: tuple[int, int]):
     """Groups that meet in a token: which classes of theirs come together, once for all tokens that the same ones hold.
 
     Where a token has few pairs across groups, the classes of each two groups
@@ -472,6 +509,7 @@ def _meet(share: tuple[int, int], n: int):
     holders meet at once, so sets never travel once per pair.
     """
     num, den = share
+    partners, banded = limits
 
     def rows(batches):
         token, doc, group, size = blobs.join([blobs.unpack(data, _TOKEN) for *_, data, _ in blobs.blobs_in(batches)], _TOKEN)
@@ -496,14 +534,15 @@ def _meet(share: tuple[int, int], n: int):
             d, g, s = d[by], g[by], s[by]
             upto = np.searchsorted(s, s * den // num, "right")  # sizes that a link allows
             across = min((m * (m - 1) - (own * (own - 1)).sum()) // 2, (upto - np.arange(m) - 1).sum())
-            if across > PARTNERS * m:  # together: fewer sets travel than in pairs
-                if m <= BANDED:
-                    out.append([d, np.full(m, name[at]), g])
+            if across > partners * m:  # together: fewer sets travel than in pairs
+                if m <= banded:
+                    out.append([d, np.full(m, name[at]), g, np.full(m, MEETING)])
                     continue
                 # sizes that a link allows lie in one band or in two that follow each other
                 band = np.floor(np.log(s) / (np.log(den / num) * 1.0001)).astype(np.int64)
-                for k in (band, band - 1):
-                    out.append([d, mix(name[at] ^ mix(k)), g])
+                out.append([d, mix(name[at] ^ mix(band)), g, np.full(m, MEETING)])
+                up = np.isin(band - 1, band)
+                out.append([d[up], mix(name[at] ^ mix(band[up] - 1)), g[up], np.full(up.sum(), UPPER)])
                 continue
             for i in range(m - 1):
                 other = np.arange(i + 1, upto[i])
@@ -515,10 +554,10 @@ def _meet(share: tuple[int, int], n: int):
         if pairs:
             x, gx, y, gy = np.unique(np.concatenate(pairs), axis=0).T
             where = mix(mix(np.minimum(gx, gy)) + mix(np.maximum(gx, gy) ^ np.int64(1)))
-            out += [[x, where, gx], [y, where, gy]]
+            out += [[x, where, gx, np.full(len(x), MEETING)], [y, where, gy, np.full(len(y), MEETING)]]
         if out:
-            d, where, g = (np.concatenate(c) for c in zip(*out))
-            sent = np.unique(np.rec.fromarrays([d, where, np.full(len(d), MEETING, np.int8), g]))
+            d, where, g, role = (np.concatenate(c) for c in zip(*out))
+            sent = np.unique(np.rec.fromarrays([d, where, role.astype(np.int8), g]))
             yield from blobs.deal([sent[f] for f in sent.dtype.names], blobs.shard_of(mix(sent["f0"]), n), FETCH)
 
     return lambda batches: blobs.batches_of(rows(batches))
@@ -548,7 +587,8 @@ def _locals(batches):
 class _Join:
     """What both results begin with: texts, classes and their rarest shared tokens, and the comparison of sets that are asked for."""
 
-    def __init__(self, docs: DataFrame, width: int, threshold: tuple[int, int], id_col: str, text_col: str, every: bool = False):
+    def __init__(self, docs: DataFrame, width: int, threshold: tuple[int, int], id_col: str, text_col: str, every: bool = False, limits: tuple[int, int] = (PARTNERS, BANDED)):
+        self.limits = limits
         self.n = n = blobs.shards(docs.sparkSession)
         self.width, self.threshold, self.every = width, threshold, every
         self.texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
@@ -569,8 +609,11 @@ class _Join:
 
     def met(self, groups: DataFrame) -> DataFrame:
         """Links between classes of different groups (id, group, size, tokens)."""
-        held = blobs.exchange(groups.mapInArrow(_tokens(self.n), blobs.ROWS), self.n)
-        return self.compared(held.mapInArrow(_meet(self.threshold, self.n), blobs.ROWS))
+        rows = groups.mapInArrow(_exploded, "token long, id long, group long, size long")
+        pairs = rows.mapInArrow(_groups, "token long, group long").groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most"))
+        held_by_several = rows.join(pairs.where("least <> most").select("token"), "token").select("token", "id", "group", "size")
+        held = blobs.exchange(held_by_several.mapInArrow(_tokens(self.n), blobs.ROWS), self.n)
+        return self.compared(held.mapInArrow(_meet(self.threshold, self.n, self.limits), blobs.ROWS))
 
 
 def jaccard_links(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -591,14 +634,17 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int]
     return links, whole.select(id_col, "class_id", "n_links")
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text", limits: tuple[int, int] = (PARTNERS, BANDED)) -> DataFrame:
     """(id, n_shingles, class_id, component_id) of every document.
 
     class_id: the least id of those with an equal set; component_id: the least
     id reachable by links. ``threshold`` is a fraction of at least one half.
+    limits: from how many possible partners a holder of a shingle, and from how
+    many holders, other plans are used; results are the same.
     """
-    j = _Join(docs, width, threshold, id_col, text_col)
-    near = blobs.cut(j.compared(blobs.exchange(j.of(KEY), j.n).mapInArrow(_leaders(j.n), blobs.ROWS)))
+    j = _Join(docs, width, threshold, id_col, text_col, limits=limits)
+    parts = blobs.exchange(j.of(KEY), j.n).mapInArrow(_leaders(j.n, True), blobs.ROWS)
+    near = blobs.cut(j.compared(blobs.exchange(parts, j.n).mapInArrow(_leaders(j.n, False), blobs.ROWS)))
     groups = components(near)
     grouped = j.prefixes.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("group"), "size", "tokens")
     # groups as links: a group's members to its name
