@@ -90,23 +90,31 @@ def _block(flat, size, count, doc, lo, length):
             same[w] = np.cumsum(lcp < c)[rank[place[left[w] + 1]]]
     tail = hashes(at, np.minimum(bound[left + 1], at + length))
     head = np.where(right > left, hashes(np.where(right > left, bound[right], at), at + length), U(0))
-    key = mix(tail ^ mix(head ^ mix(same.astype(U) << U(8) | inner.astype(U)) ^ U(length)))
+    key = mix(tail ^ mix(head ^ mix(same.astype(U) << U(32) | inner.astype(U)) ^ U(length)))
     # of equal windows the first stays
     begins = lo[owner] + offset
-    order = np.lexsort((begins, doc[owner], key))
-    order = order[distinct(key[order], doc[owner[order]], begins[order])]  # a row given again is no copy of itself
-    k = key[order]
-    equal = np.append(False, k[1:] == k[:-1])
-    gone = order[equal]
-    kept = order[np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))][equal]
-    same = np.ones(len(gone), bool)
-    for i in range(0, len(gone), 50_000):  # what goes is compared with what stays, byte by byte
-        part, span = slice(i, i + 50_000), np.arange(length)
-        same[part] = (flat[at[gone[part], None] + span] == flat[at[kept[part], None] + span]).all(axis=1)
-    assert same.all(), "two strings with one key"
+    del tail, head, same, inner, left, right
+    gone, kept = _repeated(key, doc[owner], begins)
+    span = np.arange(length)
+    for i in range(0, len(gone), 10_000):  # what goes is compared with what stays, byte by byte
+        one, other = (flat[at[rows[i : i + 10_000], None] + span] for rows in (gone, kept))
+        if not np.array_equal(one, other):  # two strings with one key
+            known: dict[bytes, int] = {}
+            exact = np.array([known.setdefault(flat[a : a + length].tobytes(), len(known)) for a in at.tolist()], np.int64)
+            gone, _ = _repeated(exact.astype(U), doc[owner], begins)
+            break
     return doc[owner[gone]], begins[gone], begins[gone] + length
 
 
+def _repeated(key: np.ndarray, doc: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of windows with equal keys all but the first, and that one for each."""
+    order = np.lexsort((begins, doc, key))
+    order = order[distinct(key[order], doc[order], begins[order])]  # a row given again is no copy of itself
+    equal = np.append(False, key[order[1:]] == key[order[:-1]]) if len(order) else np.zeros(0, bool)
+    first = order[np.maximum.accumulate(np.where(equal, 0, np.arange(len(order))))] if len(order) else order
+    return order[equal], first[equal]
+
+
 def _finish(flat, offsets, of, found, whole_characters=False):
     lost = mask(len(flat), offsets[of] + found["start"], np.minimum(offsets[of] + found["end"], offsets[of + 1]))
     before = np.concatenate([[0], np.cumsum(lost)])
