@@ -73,7 +73,7 @@ _SET = [U, np.int64, np.int8, np.int64, np.int32]  # where, document, as what, g
 _TOKEN = [U, np.int64, np.int64, np.int32]  # token, document, group, shingles
 FOLLOWER, LEADER, MEETING, UPPER = range(4)  # UPPER: meets only sets of the size band below
 #: Hash functions of step 2, classes that one task compares with a leader, and shingles a task holds before it sends them.
-FUNCTIONS, PER_LEADER, HELD = 3, 1024, 3_000_000
+FUNCTIONS, PER_LEADER, HELD = 3, 1024, 2_000_000
 #: Parts of those with an equal least hash.
 SALTS = 64
 #: Classes of a task that hold a token from which it is common; how often common tokens count.
@@ -171,11 +171,18 @@ def _first_map(width: int, share: tuple[int, int], n: int):
         every = np.concatenate([mix(tokens[chosen] ^ U(1)), mix(tokens[again] ^ U(2))])
         head = [head[0], head[1], kind, head[2].astype(np.int32), total.astype(np.int32), needs.astype(np.int32)]
         shard, low = blobs.shard_of(every, n), every.astype(np.uint32)
-        different, back, held_by = np.unique(_numbered(low, shard), return_inverse=True, return_counts=True)
+        del every, tokens
+        # common ones: first those whose lowest bits are, then exactly
+        bits = low & np.uint32((1 << 21) - 1)
+        likely = np.flatnonzero(np.bincount(bits)[bits] >= LOCALLY) if len(bits) else np.zeros(0, np.int64)
+        names = _numbered(low[likely], shard[likely])
+        different, back, held_by = np.unique(names, return_inverse=True, return_counts=True)
         common = held_by >= LOCALLY
         yield from blobs.deal([different[common].astype(np.uint32)], (different[common] >> U(32)).astype(np.int32), COMMON)
-        many = common[back]
-        yield from _deal_views(SHARED, head, of[many], blobs.shard_of(head[0], n)[of[many]], different[back[many]], np.full(many.sum(), MOST, np.uint16))
+        names, likely = names[common[back]], likely[common[back]]
+        many = np.zeros(len(low), bool)
+        many[likely] = True
+        yield from _deal_views(SHARED, head, of[likely], blobs.shard_of(head[0], n)[of[likely]], names, np.full(len(likely), MOST, np.uint16))
         yield from _deal_views(VIEW, head, of[~many], shard[~many], low[~many])
 
     def rows(batches):
