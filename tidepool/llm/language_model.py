@@ -56,7 +56,7 @@ _WORD = [U, np.int64]
 _GRAM = [np.uint32, np.uint64, np.uint32]  # context within its shard, item, occurrences
 END = mix(np.array([0xE4D], U))[0]
 #: Tokens that a task holds before it combines them; bytes of text that are looked up at once.
-HELD, CHUNK = 2_000_000, 2 << 20
+HELD, CHUNK = 2_000_000, 4 << 20
 DISCOUNT = 0.75
 
 
