@@ -109,9 +109,8 @@ SPECS = {
 }
 
 
-def unify(raw: DataFrame, spec: SourceSpec) -> DataFrame:
-    """Raw records of a source in the unified schema."""
-    df = align(raw, spec.schema)
+def unified_columns(spec: SourceSpec) -> list[Column]:
+    """The unified schema's columns, of records that have the source's raw ones."""
     unknown = F.lit("unknown")
     filled = lambda names, default: F.coalesce(first_filled(*names), default) if names else default
     parts = [spec.key] if spec.key_fields == 1 else [(k,) for k in spec.key]
@@ -141,7 +140,12 @@ def unify(raw: DataFrame, spec: SourceSpec) -> DataFrame:
         "display_category": shelf,
         "entity_type": F.lit(spec.entity),
     }
-    return df.select(*(columns[f.name].cast(f.dataType).alias(f.name) for f in UNIFIED))
+    return [columns[f.name].cast(f.dataType).alias(f.name) for f in UNIFIED]
+
+
+def unify(raw: DataFrame, spec: SourceSpec) -> DataFrame:
+    """Raw records of a source in the unified schema."""
+    return align(raw, spec.schema).select(*unified_columns(spec))
 
 
 def with_businesses(reviews: DataFrame, businesses: DataFrame | None) -> DataFrame:
@@ -195,7 +199,6 @@ def explain(name: str, raw: DataFrame, at: int = 0) -> DataFrame:
     """(field, before, after) of the ``at``-th raw record in order of its fields: how normalization reads it."""
     spec = SPECS[name]
     one = align(raw, spec.schema).orderBy(*spec.schema.names).offset(at).limit(1)
-    after = unify(one, spec)
-    before = F.to_json(F.struct(*spec.schema.names))
-    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("after")) for f in UNIFIED.names))
-    return after.crossJoin(one.select(before.alias("before"))).select(F.explode(pairs).alias("p"), "before").select("p.field", "before", "p.after")
+    both = one.select(F.to_json(F.struct(*spec.schema.names)).alias("before"), F.struct(*unified_columns(spec)).alias("after"))
+    pairs = F.array(*(F.struct(F.lit(f).alias("field"), F.col("after")[f].cast("string").alias("after")) for f in UNIFIED.names))
+    return both.select(F.explode(pairs).alias("p"), "before").select("p.field", "before", "p.after")
