@@ -8,6 +8,7 @@ column's values, ``extra`` any bytes besides.
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 from collections.abc import Iterable, Iterator
@@ -105,6 +106,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def forget(spark: SparkSession) -> None:
+    """Have the driver find out which shuffles nothing refers to any more, so that their files go now and not at its next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def by_document(kind: int, dtypes: list):
     """Blobs of a kind to one row per document (their first column): id, and the other columns as records."""
 

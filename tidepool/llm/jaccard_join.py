@@ -602,6 +602,8 @@ class _Join:
         sets = blobs.exchange(self.texts.mapInArrow(_first_map(width, threshold, n), blobs.ROWS), n)
         shared = blobs.exchange(sets.mapInArrow(_shared(n), blobs.ROWS), n)
         self.classes = blobs.cut(shared.mapInArrow(_classes(n), blobs.ROWS))
+        del sets, shared
+        blobs.forget(docs.sparkSession)
         self.prefixes = self.of(PREFIX).mapInArrow(_prefixes, "id long, size long, tokens binary")
         self.members = self.of(MEMBER).mapInArrow(_members, "id long, first long")
         self.locals = self.of(LOCAL).mapInArrow(_locals, "id long, near long, size long")
@@ -652,6 +654,8 @@ def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int,
     j = _Join(docs, width, threshold, id_col, text_col, limits=limits)
     parts = blobs.exchange(j.of(KEY), j.n).mapInArrow(_leaders(j.n, True), blobs.ROWS)
     near = blobs.cut(j.compared(blobs.exchange(parts, j.n).mapInArrow(_leaders(j.n, False), blobs.ROWS)))
+    del parts
+    blobs.forget(docs.sparkSession)
     groups = components(near)
     grouped = j.prefixes.join(groups.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("group"), "size", "tokens")
     # groups as links: a group's members to its name
