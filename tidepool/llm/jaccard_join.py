@@ -487,9 +487,9 @@ def _exploded(batches):
 
 
 def _groups(batches):
-    """Different pairs of token and group of a task's batches."""
-    for batch in batches:
-        token, group = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+    """Different pairs of token and group of a task's batches: in one worker, not after another's."""
+    for batch in _exploded(batches):
+        token, group = (batch.column(i).to_numpy() for i in (0, 2))
         order = np.lexsort((group, token))
         new = np.append(True, (token[order][1:] != token[order][:-1]) | (group[order][1:] != group[order][:-1]))[: len(order)]
         at = order[new]
@@ -619,7 +619,7 @@ class _Join:
     def met(self, groups: DataFrame) -> DataFrame:
         """Links between classes of different groups (id, group, size, tokens)."""
         rows = groups.mapInArrow(_exploded, "token long, id long, group long, size long")
-        pairs = rows.mapInArrow(_groups, "token long, group long").groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most"))
+        pairs = groups.mapInArrow(_groups, "token long, group long").groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most"))
         held_by_several = rows.join(pairs.where("least <> most").select("token"), "token").select("token", "id", "group", "size")
         held = blobs.exchange(held_by_several.mapInArrow(_tokens(self.n), blobs.ROWS), self.n)
         return self.compared(held.mapInArrow(_meet(self.threshold, self.n, self.limits), blobs.ROWS))
