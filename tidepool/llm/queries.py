@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import cluster_vectors
+from .importance import importance_resample
 from .jaccard_join import jaccard_components
 from .language_model import score, train
 from .mixing import mix_sources
@@ -17,6 +19,7 @@ from .suffix_dedup import suffix_dedup
 from .token_counts import count_tokens
 from .topk import top_k
 from .toxicity import fit_toxicity, score_toxicity
+from .url_filter import filter_urls
 
 WORD = r"[^\x20\x09-\x0D]+"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -163,3 +166,68 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return score(docs, train(docs)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query(
+    "op11_importance",
+    r"""
+    WITH t AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, j: xor(c >> 1, 3988292384 * (c & 1)), i::BIGINT)) AS crc),
+    given AS (SELECT true AS raw, doc_id, text FROM documents UNION ALL SELECT false, item_id, text FROM benchmark),
+    w AS MATERIALIZED (SELECT raw, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM given),
+    f AS MATERIALIZED (SELECT raw, doc_id, feature, count(*) AS n FROM (SELECT raw, doc_id, unnest(ws) AS feature FROM w) GROUP BY ALL),
+    b AS (SELECT feature, list_transform(range(1, octet_length(encode(feature)) * 2, 2), lambda i: ('0x' || hex(encode(feature))[i:i + 1])::BIGINT) AS bytes FROM (SELECT DISTINCT feature FROM f)),
+    h AS MATERIALIZED (SELECT feature, xor(4294967295, list_reduce(bytes, lambda c, x: xor(c >> 8, crc[1 + (xor(c, x) & 255)]), 4294967295::BIGINT)) % 10000 AS bucket FROM b, t),
+    c AS MATERIALIZED (SELECT raw, doc_id, bucket, sum(n) AS n FROM f JOIN h USING (feature) GROUP BY ALL),
+    s AS (SELECT bucket, coalesce(sum(n) FILTER (raw), 0) AS s, coalesce(sum(n) FILTER (NOT raw), 0) AS t FROM c GROUP BY bucket),
+    g AS MATERIALIZED (SELECT bucket, floor(1000 * ln(((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE) / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE)))::BIGINT AS gain FROM s),
+    d AS (SELECT doc_id, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS total FROM c JOIN g USING (bucket) WHERE raw GROUP BY doc_id),
+    e AS (SELECT doc_id, len(ws) AS n_words, coalesce(n, 0)::BIGINT AS n_features, coalesce((total - ((total % n) + n) % n) // n, 0)::BIGINT AS weight,
+        ('0x' || sha256('2024:' || doc_id)[1:8])::BIGINT AS h FROM w LEFT JOIN d USING (doc_id) WHERE raw),
+    p AS (SELECT *, (weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296.0::DOUBLE))))::BIGINT AS score FROM e),
+    r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, 10 * count(*) OVER () // 100 AS drawn FROM p WHERE n_words >= 20)
+    SELECT p.doc_id, n_features, weight, score, CASE WHEN rank <= drawn THEN rank END AS rank FROM p LEFT JOIN r USING (doc_id)
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = importance_resample(docs, table(spark, sf_dir, "benchmark").select("text"), longest=1, buckets=10_000, percent=10, least_words=20, seed=2024)
+    return found.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
+
+
+@query(
+    "op12_url_filter",
+    f"""
+    WITH rules(verdict, host, path) AS (VALUES {", ".join(map(str, RULES))}),
+    u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+    p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u)
+    SELECT page_id, any_value(p.host) AS host, any_value(p.path) AS path, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, coalesce(arg_max(r.verdict, length(r.host || r.path)), 'allow') AS verdict
+    FROM p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY page_id
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "verdict string, host string, path string")
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def _cluster_sql(k: int, rounds: int, dims: int, scale: int, seed: int) -> str:
+    """Rounds as a chain of common table expressions."""
+    assign = lambda i: f"""a{i} AS MATERIALIZED (SELECT vec_id, q, unnest(best) FROM (SELECT vec_id, q, min(struct_pack(far := list_sum(list_transform(list_zip(q, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT, cl := cl)) AS best FROM v, c{i} GROUP BY vec_id, q))"""
+    update = lambda i: f"""m{i} AS (SELECT cl, j, sum(x)::BIGINT AS s, count(*) AS n FROM (SELECT cl, unnest(q) AS x, unnest(range({dims})) AS j FROM a{i}) GROUP BY cl, j),
+    c{i + 1} AS MATERIALIZED (SELECT cl, list((s - ((s % n) + n) % n) // n ORDER BY j) AS c FROM m{i} GROUP BY cl UNION ALL SELECT cl, c FROM c{i} ANTI JOIN m{i} USING (cl))"""
+    chain = ",\n    ".join(f"{assign(i)},\n    {update(i)}" for i in range(rounds))
+    return f"""
+    WITH v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS q FROM embeddings WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1)::INTEGER AS cl, q AS c FROM v ORDER BY sha256('{seed}:' || vec_id) LIMIT {k}),
+    {chain},
+    {assign(rounds)}
+    SELECT vec_id, cl AS cluster, far AS distance, (sum(far) OVER (PARTITION BY cl))::BIGINT AS cluster_inertia, (sum(far) OVER ())::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+    FROM a{rounds} JOIN c{rounds} USING (cl)
+    """
+
+
+@query("op13_centroids", _cluster_sql(8, 10, 64, 1024, 3))
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), k=8, rounds=10, dims=64, scale=1024.0, seed=3)
