@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import duckdb
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def _statement(longest: int, buckets: int) -> str:
 
 def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     size, begin = 0, 0
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column("text")), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
     for i, n in enumerate(lengths):
         if i > begin and size + n > CHUNK:
             yield batch.slice(begin, i - begin)
