@@ -96,30 +96,27 @@ def binary_column(values: bytes | np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(np.ascontiguousarray(bounds, np.int64)), pa.py_buffer(values)]).cast(pa.binary())
 
 
-def shared(spark: SparkSession) -> str:
-    """The folder that the session names for checkpoints. Where none is set, a session in one process gets a folder of its own."""
-    context = spark.sparkContext
+def cut(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder that the session names. Where none is set, a session in one process gets a folder of its own."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if folder is None and not re.match(r"local(\[[^,]*\])?$", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tidepool-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder that the session names."""
-    shared(df.sparkSession)
     return df.checkpoint()
 
 
 def spill(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as Parquet in the folder that the session names, on any file system of Hadoop's. The files go when the driver's process ends."""
+    """``df`` as Parquet in the folder that the session names for checkpoints, on any of Hadoop's file systems. The files go when the driver's process ends."""
     spark = df.sparkSession
-    path = f"{shared(spark)}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        cut(df.limit(0))
+    path = f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(p)
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(p)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -111,7 +111,7 @@ def first_centroids(rows: DataFrame, k: int, scale: float, seed: int) -> np.ndar
     """The k vectors with the least hashes of their ids: k rows come to the driver."""
     h = F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))), 256)
     found = rows.select(h.alias("h"), "x").orderBy("h", "x").limit(k).collect()
-    return np.array([[int(v) for v in whole(np.array(r.x), scale)] for r in found], object).reshape(len(found), -1)
+    return np.array([[int(v) for v in whole(np.array(r.x), scale)] for r in found], object)
 
 
 @dataclass(frozen=True)

@@ -38,6 +38,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .blobs import shards
 
@@ -167,6 +168,6 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url", def
     own = own.withColumn("_tp_range", F.explode(ranges_of("_tp_key"))).withColumn("_tp_kind", F.lit(0)).withColumn("_tp_row", F.lit(None).cast(urls.schema["_tp_row"].dataType))
     asked = urls.withColumn("_tp_range", range_of(place)).withColumn("_tp_kind", F.lit(1)).withColumn("verdict", F.lit(None).cast("string")).drop("_tp_hash")
     dealt = own.unionByName(asked).repartitionById(n, F.col("_tp_range")).sortWithinPartitions("_tp_key", "_tp_kind", "path")
-    schema = f"_tp_row {urls.schema['_tp_row'].dataType.simpleString()}, host string, path string, rule string, verdict string"
+    schema = T.StructType([urls.schema["_tp_row"], *(T.StructField(c, T.StringType()) for c in MADE)])
     judged = dealt.select("_tp_key", "_tp_kind", "host", "path", "verdict", "_tp_row").mapInArrow(_judge(default), schema)
     return judged.select(*(F.col("_tp_row").getField(c).alias(c) for c in carried), *MADE)
