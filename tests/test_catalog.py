@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from tidepool.plans import catalog, catalog_rows  # noqa: F401
+from tidepool.plans import catalog, catalog_rows, catalog_stores  # noqa: F401
 
 DATA = os.environ.get("CATALOG_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.exists(DATA), reason="no test tables")

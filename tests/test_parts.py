@@ -7,7 +7,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidepool.functions import aspects, text, values
+from tidepool.functions import aspects, sentiment, text, values
 from tidepool.operators import analytics, backends, eda, resume, retrieval, reviews, warehouse
 from tidepool.operators.enrich import enrich, enrich_in_parts
 from tidepool.operators.reviews import ReviewFilter
@@ -138,7 +138,11 @@ def test_records_source(spark, tmp_path, monkeypatch):
 def test_model_scores(spark):
     score = backends.signed_score
     assert score({"label": "POSITIVE", "score": 0.9}) == 0.8 and score([{"label": "x", "score": 0.1}, {"label": "LABEL_0", "score": 0.8}]) == -0.6
-    assert score({"label": "neutral", "score": 0.9}) == 0.0 and score(None) == score([]) == 0.0 and score({"label": "very positive", "score": "bad"}) == -1.0
+    assert score({"label": "neutral", "score": 0.9}) == 0.0 and score(None) == score([]) == 0.0 and score({"label": "very positive", "score": "bad"}) == 0.0
+    assert score({"label": "POSITIVE"}) == score({"label": "NEGATIVE", "score": None}) == 0.0 and score({"label": "positive", "score": 0}) == -1.0 and score({"label": "LABEL_0", "score": 0.2}) == 0.6
+    cases = [("POSITIVE", "0.9"), ("a positive one", "0.2"), ("label_0", "0.3"), ("negative", None), ("5 stars", "7"), ("neutral", "0.9"), ("other", "1"), ("4 stars", "x"), (None, "1")]
+    rows = spark.createDataFrame(cases, "label string, score string").select(sentiment.model_score("label", "score").alias("s"), "*").collect()
+    assert [r.s + 0.0 for r in rows] == [score({"label": r.label, "score": r.score}) + 0.0 for r in rows] == [0.8, -0.6, 0.4, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0]
     seen = []
 
     def load(name):

@@ -35,7 +35,11 @@ def label(score: ColumnOrName) -> Column:
 
 
 def model_score(name: ColumnOrName, confidence: ColumnOrName) -> Column:
-    """A classifier's label and confidence as a signed score."""
-    n, size = F.lower(col(name)), F.lit(2.0) * col(confidence) - 1
-    size = F.greatest(F.lit(0.0), size)
-    return F.round(F.when(n.isin(*MODEL_LABELS[1]), size).when(n.isin(*MODEL_LABELS[-1]), -size).otherwise(0.0), 4)
+    """A classifier's label and confidence as a signed score, as ``backends.signed_score`` has it.
+
+    Confidences are clamped to 0 and 1; below a half they turn the sign, and missing or unreadable ones count as a half.
+    """
+    n = F.lower(F.trim(col(name)))
+    sure = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(col(confidence).try_cast("double"), F.lit(0.5))))
+    means = lambda sign: n.isin(*MODEL_LABELS[sign]) | F.contains(n, F.lit(MODEL_LABELS[sign][0]))
+    return F.round(F.when(means(1), 2 * sure - 1).when(means(-1), 1 - 2 * sure).otherwise(0.0), 4)

@@ -25,16 +25,23 @@ NO_MODEL, BATCH, METADATA = ("lexicon", "rule-based", "rule_based"), 32, "embedd
 Classifier = Callable[[Sequence[str]], Sequence[object]]
 
 
+def _number(value: object, otherwise: float) -> float:
+    try:
+        return float(value)
+    except (TypeError, ValueError):
+        return otherwise
+
+
 def signed_score(prediction: object) -> float:
-    """A prediction as a score from -1 to 1: the surest of several, twice its confidence less one, by the label's sign."""
+    """A prediction as a score from -1 to 1: the surest of several, twice its confidence less one, by the label's sign.
+
+    A confidence below a half turns the sign; one that is missing or can't be read counts as a half, so 0.
+    """
     if isinstance(prediction, (list, tuple)):
-        prediction = max((p for p in prediction if isinstance(p, dict)), key=lambda p: float(p.get("score") or 0), default={})
+        prediction = max((p for p in prediction if isinstance(p, dict)), key=lambda p: _number(p.get("score"), 0.0), default={})
     if not isinstance(prediction, dict):
         return 0.0
-    try:
-        sure = min(1.0, max(0.0, float(prediction.get("score") or 0)))
-    except (TypeError, ValueError):
-        sure = 0.0
+    sure = min(1.0, max(0.0, _number(prediction.get("score"), 0.5)))
     label = str(prediction.get("label") or "").strip().lower()
     sign = next((s for s in (1, -1) if label in sentiment.MODEL_LABELS[s] or sentiment.MODEL_LABELS[s][0] in label), 0)
     return round(sign * (2 * sure - 1), 4)

@@ -165,13 +165,17 @@ def hybrid(indexed: DataFrame, query: str, n: int = 5, source: str | None = None
 
 
 def keywords(df: DataFrame, query: str, n: int = 5, source: str | None = None) -> DataFrame:
-    """Reviews that contain one of the question's first five words of more than three letters, at a distance of 0.5."""
-    words = [w for w in query.lower().split() if len(w) > 3][:5]
+    """Reviews that contain one of the question's first five words of more than three letters, at a distance of 0.5.
+
+    Punctuation is left out first; a question of short words only is looked for as a whole, and one without words as "review".
+    """
+    plain = re.sub(r"[^\w\s]", "", query.lower())
+    words = [w for w in plain.split() if len(w) > 3][:5] or [plain.strip() or "review"]
     text = F.lower(F.coalesce("review_text", F.lit("")))
     test = F.lit(False)
     for w in words:
         test = test | F.contains(text, F.lit(w))
-    rows = df.where(test) if words else df
+    rows = df.where(test)
     if source:
         rows = rows.where(folded("source") == source.strip().lower())
     return rows.withColumn("distance", F.lit(0.5)).orderBy(F.col("review_date").desc_nulls_last(), "review_id").limit(n)

@@ -449,9 +449,17 @@ def lexical_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.lexical(doc_reviews(spark, sf_dir), "what that was", "SRC5", "review_text").select("review_id", F.col("level").cast("int").alias("level"))
 
 
-@query("SELECT review_id FROM doc_reviews WHERE contains(lower(review_text), 'that') OR contains(lower(review_text), 'this') ORDER BY review_date DESC, review_id LIMIT 5", (DOCS,))
+@query(
+    """SELECT * FROM (SELECT 'words' AS asked, review_id FROM doc_reviews WHERE contains(lower(review_text), 'that') OR contains(lower(review_text), 'this') ORDER BY review_date DESC, review_id LIMIT 5)
+    UNION ALL SELECT * FROM (SELECT 'short', review_id FROM doc_reviews WHERE contains(lower(review_text), 'was on') ORDER BY review_date DESC, review_id LIMIT 5)
+    UNION ALL SELECT * FROM (SELECT 'none', review_id FROM doc_reviews WHERE contains(lower(review_text), 'review') ORDER BY review_date DESC, review_id LIMIT 5)""",
+    (DOCS,),
+)
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.keywords(doc_reviews(spark, sf_dir), "that is in this").select("review_id")
+    """Questions with punctuation, of short words only, and of none."""
+    d = doc_reviews(spark, sf_dir)
+    found = [retrieval.keywords(d, q).select(F.lit(name).alias("asked"), "review_id") for name, q in (("words", "\"That\" is in (this)?"), ("short", "Was on?"), ("none", "?!"))]
+    return found[0].unionAll(found[1]).unionAll(found[2])
 
 
 @query()

@@ -11,7 +11,7 @@ from ..operators.reviews import FALLBACKS, STOCK_NAMES, ReviewFilter
 from ..schema import UNIFIED
 from ..session import spread
 from ..sources.specs import SPECS, unify
-from .catalog import ASPECT_ROWS, DOCS, PRODUCTS, SALES, _canonical, some_products
+from .catalog import ASPECT_ROWS, DOCS, PRODUCTS, SALES, some_products
 from .registry import query
 from .views import NEGATIVE, POSITIVE, doc_reviews, sale_reviews, table
 
@@ -277,30 +277,15 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN greatest(0, 2 * c - 1) WHEN 1 THEN -greatest(0, 2 * c - 1) ELSE 0 END + 0.0 AS score FROM (SELECT doc_id, round((doc_id % 101) / 100, 4) AS c FROM documents)"""
+    """SELECT doc_id, round(CASE WHEN doc_id % 7 IN (0, 5) THEN 2 * c - 1 WHEN doc_id % 7 IN (1, 3) THEN 1 - 2 * c ELSE 0 END, 4) + 0.0 AS score
+    FROM (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN 0.5 ELSE least(1, greatest(0, (doc_id % 121 - 10) / 100)) END AS c FROM documents)"""
 )
 def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A classifier's labels and confidences as signed scores."""
+    """A classifier's labels and confidences, some below a half, above one, missing or unreadable, as signed scores."""
     i = F.col("doc_id")
-    name = F.element_at(F.array(*map(F.lit, ("POSITIVE", "label_0", "3 stars", "Neutral", "other"))), (1 + i % 5).cast("int"))
-    return table(spark, sf_dir, "documents").select(i, (F.round(sentiment.model_score(name, (i % 101) / 100), 12) + 0.0).alias("score"))
-
-
-_PHRASES = ("Battery life", "the performance!", "wear", "Link", "ergonomic grip", "unheard", "Customer-Service", "value", "nothing", "Refresh Rate", "photos & pictures", "a cheap look")
-
-
-def _name_of(phrase: str) -> str | None:
-    plain = " ".join("".join(ch if ch.isascii() and ch.isalnum() else " " for ch in phrase.lower()).split())
-    try:
-        return _canonical(plain)
-    except StopIteration:
-        return None
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{p}', {repr(n) if (n := _name_of(p)) else 'NULL'})" for p in _PHRASES) + ") v(phrase, aspect)")
-def canonical_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Free labels by the ordered rule, which lets words match inside others."""
-    return spark.createDataFrame([(p,) for p in _PHRASES], "phrase string").select("phrase", aspects.canonical("phrase").alias("aspect"))
+    name = F.element_at(F.array(*map(F.lit, ("POSITIVE", "label_0", "3 stars", "very negative", "Neutral", " rather positive", "other"))), (1 + i % 7).cast("int"))
+    sure = F.when(i % 22 == 0, "unknown").when(i % 11 != 0, ((i % 121 - 10) / 100).cast("string"))
+    return table(spark, sf_dir, "documents").select(i, (sentiment.model_score(name, sure) + 0.0).alias("score"))
 
 
 @query(

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -13,6 +17,25 @@ def session(name: str = "tidepool", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see, below the one that the session names for checkpoints; it goes when the driver's process ends.
+
+    Where none is set, a session in one process gets a folder of its own.
+    """
+    context = spark.sparkContext
+    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not re.match(r"local(\[[^,]*\])?$", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="tidepool-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    p = context._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(context._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    fs.deleteOnExit(p)
+    return path
+
+
 def spread(scan: DataFrame) -> DataFrame:
     """A file scan of few splits dealt out to all cores, for work that costs more than moving its rows.
 

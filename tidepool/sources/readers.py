@@ -44,6 +44,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    fs, p, _ = _fs(spark, path)
+    fs.delete(p, True)
+
+
 def first_existing(spark: SparkSession, candidates: Sequence[str]) -> str | None:
     return next((c for c in candidates if exists(spark, c)), None)
 
@@ -152,8 +157,7 @@ class Runs:
         """Delete runs that aren't current; their names."""
         gone = self.stale()
         for name in gone:
-            fs, p, _ = _fs(self.spark, f"{self.root}/runs/{name}")
-            fs.delete(p, True)
+            remove(self.spark, f"{self.root}/runs/{name}")
         return gone
 
     def stale(self) -> list[str]:
