@@ -4,7 +4,9 @@ A row a mention, (sentence, aspect, sentiment, quote), by the rules of
 ``aspects.mention_rows``. Rows travel in Arrow batches; Spark's tables of whole
 Arrow arrays can't stand in a lateral join. ``mention_rows`` is the faster form
 for a whole frame, as its rules run in generated code; this one is for SQL,
-where a text's mentions are joined to its other columns.
+where a text's mentions are joined to its other columns. (Spark plans an outer
+lateral join with a table function as an inner one: texts without mentions have
+no row.)
 """
 
 from __future__ import annotations
