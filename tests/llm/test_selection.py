@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tidepool.llm import centroids as C
 from tidepool.llm.importance import importance_resample, resampled
+from tidepool.llm.mixing import mix_sources, mixed
+from tidepool.llm.quality import quality
 from tidepool.llm.url_filter import filter_urls
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -200,3 +202,42 @@ def test_distances_and_sums_are_exact(bits):
     assert C.distances(a, b).tolist() == [[sum((p - q) ** 2 for p, q in zip(v, w)) for w in c] for v in x]
     cluster = np.array([i % 3 for i in range(50)])
     assert C.sums(a, cluster, 4).tolist() == [[sum(v[j] for i, v in enumerate(x) if i % 3 == k) for j in range(7)] for k in range(4)]
+
+
+# --- names of callers' columns that inner ones could clash with ------------------------------------
+
+NAMES = ["weight", "_size", "_hash", "_of", "_bucket", "_far", "_near", "_middle", "_tie", "_source", "_whole", "_part", "_edge", "_below", "_last", "_copy", "_tp_c0", "_tp_lang", "_tp_row", "language", "kind", "a.b"]
+
+
+def with_names(docs):
+    return docs.select("doc_id", "text", "source", "lang", *((F.col("doc_id") * 10 + i + 0.5).alias(c) for i, c in enumerate(NAMES)))
+
+
+def unchanged(rows):
+    return all(r[c] == r.doc_id * 10 + i + 0.5 for r in rows for i, c in enumerate(NAMES))
+
+
+def test_mixing_keeps_columns_of_any_name(docs):
+    plain = sorted(tuple(r) for r in mix_sources(docs).select("doc_id", "size", "taken").collect())
+    odd = with_names(docs)
+    got = mix_sources(odd)
+    assert got.columns == [*odd.columns, "size", "source_size", "target", "taken"]
+    rows = got.collect()
+    assert sorted((r.doc_id, r["size"], r.taken) for r in rows) == plain and unchanged(rows)
+    copies = mixed(odd)
+    assert copies.columns == odd.columns and unchanged(copies.collect()) and copies.count() == mixed(docs).count()
+
+
+def test_mixing_of_equal_rows_keeps_columns(spark):
+    """Rows that are told apart by number alone."""
+    df = with_names(spark.createDataFrame([(None, "a", "some words", "en")] * 50 + [(1, "b", "w " * 400, "en")], "doc_id long, source string, text string, lang string").withColumn("doc_id", F.coalesce("doc_id", F.lit(None).cast("long"))))
+    rows = mix_sources(df).collect()
+    assert len(rows) == 51 and all(r.weight is None for r in rows if r.doc_id is None)
+
+
+def test_quality_keeps_columns_of_any_name(docs):
+    plain = sorted(tuple(r) for r in quality(docs).select("doc_id", "n_words", "kept").collect())
+    odd = with_names(docs)
+    got = quality(odd)
+    rows = got.collect()
+    assert sorted((r.doc_id, r.n_words, r.kept) for r in rows) == plain and unchanged(rows) and set(odd.columns) - {"text"} <= set(got.columns)

@@ -19,7 +19,8 @@ All plain DataFrame operations. Defined results: null and empty texts have
 size 0 and target as their source's; a null source is a source, ordered last;
 rows that share an id are ordered by size and text hash, and if they agree in
 those too, some are taken and others not; an empty table gives
-an empty one; input columns named like results are replaced.
+an empty one; input columns named like results are replaced, all others come
+back as they were, whatever their names.
 """
 
 from __future__ import annotations
@@ -74,6 +75,8 @@ def mix_sources(
     ``taken / size`` is the number of copies of a document.
     """
     others = [c for c in docs.columns if c not in MADE]
+    hidden = [F.col(f"`{c}`").alias(f"_tp_c{i}") for i, c in enumerate(others)]  # names of the caller's that no name here equals
+    shown = [F.col(f"_tp_c{i}").alias(c) for i, c in enumerate(others)]
     source = F.col(source_col).alias("_source")
     name = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))
     digest = F.md5(F.concat(F.lit(f"{seed}:"), name).cast("binary"))
@@ -104,13 +107,13 @@ def mix_sources(
     at_edge = at_edge.withColumn("_fit", fit.cast("long")).where("_fit > 0")
     last = F.max(F.struct(F.struct(*entry).alias("key"), "_fit", (F.col("_fit") < F.col("_rows")).alias("torn")))
     plan = cut(plan.join(at_edge.groupBy("_source").agg(last.alias("_last")), F.col("_of").eqNullSafe(F.col("_source")), "left").drop("_source"))
-    rows = docs.select(*others, *place).withColumn("_bucket", bucket).join(few(plan), F.col("_source").eqNullSafe(F.col("_of")), "left")
+    rows = docs.select(*hidden, *place).withColumn("_bucket", bucket).join(few(plan), F.col("_source").eqNullSafe(F.col("_of")), "left")
     key = F.struct(*entry)
     inside = (F.col("_bucket") < F.col("_edge")) | ((F.col("_bucket") == F.col("_edge")) & F.coalesce(key <= F.col("_last.key"), F.lit(False)))
 
     def counted(part: DataFrame, taken: Column) -> DataFrame:
         copies = F.col("_whole") + F.when(taken, 1).otherwise(0)
-        return part.select(*others, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * copies).cast("long").alias("taken"))
+        return part.select(*shown, F.col("_size").alias("size"), "source_size", "target", (F.col("_size") * copies).cast("long").alias("taken"))
 
     if plan.where("_last.torn").isEmpty():
         return counted(rows, inside)
@@ -132,4 +135,6 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     counted = mix_sources(docs, **options)
     copies = (F.col("taken") / F.col("size")).cast("int")
     taken = counted.where((F.col("size") > 0) & (F.col("taken") > 0))
-    return taken.select(*(c for c in docs.columns if c not in MADE), F.explode(F.sequence(F.lit(1), copies)).alias("_copy")).drop("_copy")
+    others = [c for c in docs.columns if c not in MADE]
+    each = taken.select(*(F.col(f"`{c}`").alias(f"_tp_c{i}") for i, c in enumerate(others)), F.explode(F.sequence(F.lit(1), copies)))
+    return each.select(*(F.col(f"_tp_c{i}").alias(c) for i, c in enumerate(others)))

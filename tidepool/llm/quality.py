@@ -352,7 +352,8 @@ def quality(docs: DataFrame, model: KneserNey | None = None, *, widths: float =
     results = {*made.names, "kept", "band_low", "band_high"}
     others = [c for c in docs.columns if c not in results | {text_col}]
     model = model or fit_perplexity(docs, text_col=text_col, lang_col=lang_col)
-    schema = T.StructType([*(docs.schema[c] for c in others), *made])
+    carried = ["_tp_lang", *(f"_tp_c{i}" for i in range(len(others)))]  # the caller's columns, by names that no name here equals
+    schema = T.StructType([T.StructField("_tp_lang", T.StringType()), *(T.StructField(n, docs.schema[c].dataType) for n, c in zip(carried[1:], others)), *made])
 
     def run(batches):
         for batch in batches:
@@ -369,12 +370,13 @@ def quality(docs: DataFrame, model: KneserNey | None = None, *, widths: float =
                 loss /= np.maximum(size, 1)
                 part = batch.slice(rows.start, rows.stop - rows.start)
                 counts = [pa.array(m[f.name].astype(np.int64)) for f in made.fields[:5]]
-                yield pa.RecordBatch.from_arrays([*(part.column(2 + i) for i in range(len(others))), *counts, pa.array(m["base_failed"]), pa.array(size), pa.array(loss)], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*(part.column(2 + i) for i in range(len(carried))), *counts, pa.array(m["base_failed"]), pa.array(size), pa.array(loss)], names=schema.names)
 
-    whole = docs.select(_language(lang_col).alias("_tp_language"), F.col(text_col).cast("binary").alias("_tp_text"), *others)
+    whole = docs.select(_language(lang_col).alias("_tp_language"), F.col(text_col).cast("binary").alias("_tp_text"), F.col(lang_col).cast("string").alias("_tp_lang"), *(F.col(f"`{c}`").alias(n) for n, c in zip(carried[1:], others)))
     scored = blobs.cut(whole.mapInArrow(run, schema))
-    joined = scored.join(bands(scored, lang_col, doubt), F.col(lang_col).eqNullSafe(F.col("_of")), "left")
+    joined = scored.join(bands(scored, "_tp_lang", doubt), F.col("_tp_lang").eqNullSafe(F.col("_of")), "left")
     half = widths * F.sqrt(F.col("_far") + F.col("_near") / F.greatest("n_scored", F.lit(1)))
-    joined = joined.withColumn("band_low", F.col("_middle") - half).withColumn("band_high", F.col("_middle") + half).drop("_of", "_middle", "_far", "_near")
+    joined = joined.withColumn("band_low", F.col("_middle") - half).withColumn("band_high", F.col("_middle") + half)
     verdict = F.coalesce(F.col("log_perplexity").between(F.col("band_low"), F.col("band_high")), F.lit(True))
-    return joined.withColumn("kept", ~F.col("base_failed") & verdict)
+    shown = [F.col(n).alias(c) for n, c in zip(carried[1:], others)]
+    return joined.select(*shown, *made.names, "band_low", "band_high", (~F.col("base_failed") & verdict).alias("kept"))
