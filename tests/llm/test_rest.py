@@ -215,3 +215,23 @@ def test_top_k_resolves_few_pairs(spark):
         want[20 * i] = [(r + 1, int(j), int(row[j])) for r, j in enumerate(order)]
     assert got == want
     assert counters["pairs"].value == 300 * 6000 and counters["resolved"].value < 0.05 * counters["pairs"].value
+    assert counters["products"].value < 0.9 * 300 * 6000 * 16
+
+
+def test_top_k_saves_products_without_structure(spark):
+    """Vectors of one length in any direction: what is left of most pairs is too little after three quarters."""
+    x = np.random.default_rng(6).normal(size=(8000, 64))
+    rows = [(i, (v / np.linalg.norm(v)).tolist(), v[0]) for i, v in enumerate(x)]
+    counters = {}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double").repartition(6)
+    got = top_k_of(df, k=20, counters=counters)
+    assert got == plain_top_k_fast(rows, 20)
+    assert counters["pairs"].value == 400 * 8000 and counters["products"].value < 0.95 * 400 * 8000 * 64
+
+
+def plain_top_k_fast(rows, k):
+    c = np.array([[math.floor(64 * v) for v in r[1]] for r in rows], np.int64)
+    score = c[::20] @ c.T
+    score[np.arange(len(score)), np.arange(0, len(c), 20)] = -(2**62)
+    order = [np.lexsort((np.arange(len(c)), -row))[:k] for row in score]
+    return {20 * i: [(r + 1, int(j), int(score[i, j])) for r, j in enumerate(o)] for i, o in enumerate(order)}

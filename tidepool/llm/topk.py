@@ -5,15 +5,21 @@ is the inner product over its components and a score is the sum of local ones.
 
 1. Every node gathers its lists of the k best local scores of each query, a row
    a query block and node, over a share of the candidates (one bucket in
-   ``PROBED``). The scores of the listed candidates are summed, and the k-th
+   ``PROBED``, or a part of it), and the list of the best sums. The scores of the listed candidates are summed, and the k-th
    best of different ones is a safe cutoff: at least k candidates reach it.
-2. The cutoff is sent out with the queries. A candidate that reaches it has a
-   local score of at least cutoff / nodes on some node, whatever the signs;
-   only such entries are collected. A block of candidates whose norms can't
-   bring any of a block's queries to its cutoff is skipped whole, and so is a
-   node whose norms can't give an entry.
-3. Remaining local scores of the entries alone are resolved and summed. A task
-   goes on with the k best it has, which raises its queries' cutoffs.
+2. The cutoff is sent out with the queries. A block of candidates whose norms
+   can't bring any of a block's queries to its cutoff is skipped whole. Of the
+   others, the first node's local scores and half of the second's are made; a
+   candidate that reaches the cutoff has at least cutoff / nodes on some node,
+   whatever the signs, and so a bound on what is left that brings it there.
+   Only pairs with such a bound are entries.
+3. The remaining components of the entries alone are gathered and resolved. A
+   task goes on with the k best it has, which raises its queries' cutoffs.
+
+Both nodes of a block lie in one row, so entries needn't leave their task: they
+are several hundredths of all pairs, many times the table. A query that has no
+cutoff yet (fewer than k candidates so far) and scores beyond 2^52 are made
+from whole local scores.
 
 Vectors and queries lie in blocks of about ``BYTES``. Queries are dealt to
 groups and candidates to buckets, and a group meets a bucket in one shard, so
@@ -37,6 +43,7 @@ an empty result. Only the id and vector columns are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -49,7 +56,9 @@ from pyspark.sql import functions as F
 from .blobs import cut, shards
 
 #: Nodes; of buckets, one in so many gives the cutoff; bytes of a block, and of the query blocks of a group.
-SLICES, PROBED, BYTES, GROUP = 2, 8, 1 << 19, 32 << 20
+SLICES, PROBED, BYTES, GROUP = 2, 16, 1 << 19, 32 << 20
+#: Entries whose remaining components are gathered at once; a share of a cell's pairs from which a quarter node more is made for all first.
+GATHERED, MANY = 1 << 15, 0.25
 #: Least and most of a long; powers of two up to which inner products stay exact in doubles, and in longs.
 LEAST, MOST = -(1 << 63), (1 << 63) - 1
 PLAIN, LONG = 52, 61
@@ -213,16 +222,19 @@ def _best(k: int, *columns: np.ndarray) -> list[np.ndarray]:
     return [np.take_along_axis(c, order[:, :k], axis=1) for c in columns]
 
 
-def _phase_one(k: int):
-    """The k best local scores of each query on each node, with those candidates' scores."""
+def _phase_one(k: int, part: float, products):
+    """The k best local scores of each query on each node, and the k best sums, of a part of each block, with those candidates' scores."""
 
     def run(batches):
         lists: dict[tuple, list[np.ndarray]] = {}
         for cell in _cells(batches):
+            some = max(k + 1, math.ceil(len(cell.ids) * part))
+            cell.ids, cell.c = cell.ids[:some], cell.c[:some]
             local = [cell.node(s) for s in range(SLICES)]
-            row, place = cell.own()
-            for s in range(SLICES):
-                x = _longs(local[s])
+            products.add(cell.q.shape[0] * cell.c.size)
+            row, place = (x[cell.own()[1] < some] for x in cell.own())
+            for s, listed in enumerate([*local, sum(local)]):
+                x = _longs(listed).copy()
                 x[row, place] = LEAST
                 top = np.argpartition(x, max(0, x.shape[1] - k), axis=1)[:, -k:]
                 score = _longs(sum(np.take_along_axis(y, top, axis=1) for y in local))
@@ -264,7 +276,47 @@ def _cutoffs(k: int):
     return run
 
 
-def _phase_three(k: int, pairs, resolved):
+def _entries(cell: _Cell, cutoff: np.ndarray, free: np.ndarray, alive: np.ndarray, reach: np.ndarray, products) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) of the pairs of a cell that can reach their cutoffs."""
+    bounds = _bounds(cell.q.shape[1])
+    whole = cell.q.shape[0] * cell.c.shape[0]
+    entries = np.broadcast_to(alive[:, None], (len(cell.q), len(cell.ids))).copy()
+    entries[cell.own()] = False
+    if cell.wide or free.any() or bounds[1] < 2:
+        # no cutoff yet, or scores that doubles don't hold: local scores of whole nodes, and entries by the uniform share
+        share = np.where(free, -np.inf, cutoff / SLICES - np.abs(cutoff) * 1e-15)[:, None]
+        local: list[np.ndarray | None] = [None] * SLICES
+        listed = np.zeros(entries.shape, bool)
+        for s in range(SLICES):
+            if (alive & (reach[:, s] >= share[:, 0])).any():
+                local[s] = cell.node(s)
+                products.add(whole * (bounds[s + 1] - bounds[s]))
+                listed |= _doubles(local[s]) >= share
+        i, j = np.nonzero(entries & listed)
+        for s in range(SLICES if len(i) else 0):
+            if local[s] is None:
+                local[s] = cell.node(s)
+                products.add(whole * (bounds[s + 1] - bounds[s]))
+        return i, j, _longs(sum(x[i, j] for x in local)) if len(i) else np.zeros(0, np.int64)
+    # the first node's list and the first half of the second's; a pair that what is left can't bring to its cutoff goes no further
+    at, so_far = bounds[1], cell.node(0)
+    for upto in ((bounds[1] + bounds[2]) // 2, (bounds[1] + 3 * bounds[2]) // 4):
+        so_far = so_far + cell.q[:, at:upto] @ cell.c[:, at:upto].T
+        at = upto
+        left = np.sqrt((cell.q[:, at:] ** 2).sum(axis=1))[:, None] * np.sqrt((cell.c[:, at:] ** 2).sum(axis=1))[None, :] * (1 + 1e-9)
+        entries &= so_far + left >= cutoff[:, None].astype(np.float64) - 2  # sums of whole numbers below 2^52 are off by 1 at most
+        if np.count_nonzero(entries) < MANY * whole:
+            break
+    i, j = np.nonzero(entries)
+    products.add(whole * at + len(i) * (cell.q.shape[1] - at))
+    score = so_far[i, j]
+    for begin in range(0, len(i), GATHERED):
+        part = slice(begin, begin + GATHERED)
+        score[part] += np.einsum("ij,ij->i", cell.q[i[part], at:], cell.c[j[part], at:])
+    return i, j, _longs(score)
+
+
+def _phase_three(k: int, pairs, resolved, products):
     def run(batches):
         best: dict[tuple, list[np.ndarray]] = {}
         about: dict[tuple, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -281,20 +333,10 @@ def _phase_three(k: int, pairs, resolved):
             alive = free | (reach.sum(axis=1) >= cutoff)
             if not alive.any():
                 continue
-            share = np.where(free, -np.inf, cutoff / SLICES - np.abs(cutoff) * 1e-15)[:, None]
-            entries = np.zeros((len(cell.q), len(cell.ids)), bool)
-            local: list[np.ndarray | None] = [None] * SLICES
-            for s in range(SLICES):
-                if (alive & (reach[:, s] >= share[:, 0])).any():
-                    local[s] = cell.node(s)
-                    entries |= _doubles(local[s]) >= share
-            entries &= alive[:, None]
-            entries[cell.own()] = False
-            i, j = np.nonzero(entries)
+            i, j, score = _entries(cell, cutoff, free, alive, reach, products)
             if not len(i):
                 continue
             resolved.add(len(i))
-            score = _longs(sum((cell.node(s) if x is None else x)[i, j] for s, x in enumerate(local)))
             keep = score >= cutoff[i]
             i, j, score = i[keep], j[keep], score[keep]
             # rows of equal width: those of each query, the best first
@@ -321,8 +363,9 @@ def _phase_three(k: int, pairs, resolved):
 def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", counters: dict | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, its k best other rows.
 
-    ``counters`` receives two accumulators, of "pairs" that cells were asked
-    about and of those whose whole inner product was "resolved".
+    ``counters`` receives accumulators: "pairs" that cells were asked about,
+    those that were "resolved" to their last component, and the "products" of
+    components made in all phases; brute force makes as many a pair as there are components.
     """
     spark = vectors.sparkSession
     n = shards(spark)
@@ -334,7 +377,7 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: float = 64
     size = asked.agg(F.sum(F.length("qparts")).alias("bytes"), F.count("*").alias("blocks")).first()
     groups = max(1, -(-max(size.bytes or 0, BYTES // 4 * size.blocks) // GROUP))
     buckets = max(1, min(n, packed.count()))
-    counts = {name: spark.sparkContext.accumulator(0) for name in ("pairs", "resolved")}
+    counts = {name: spark.sparkContext.accumulator(0) for name in ("pairs", "resolved", "products")}
     if counters is not None:
         counters.update(counts)
 
@@ -346,9 +389,10 @@ def top_k(vectors: DataFrame, *, k: int = 20, every: int = 20, scale: float = 64
         c = packed.withColumn("b", of("block", buckets)).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         return c.join(q, ["dims", "g", "b"])
 
-    lists = cells(asked, PROBED).mapInArrow(_phase_one(k), "qblock long, dims int, node int, width int, keys binary, scores binary")
+    part = min(1.0, buckets / (-(-buckets // PROBED) * PROBED))  # where there are too few buckets to take one in PROBED
+    lists = cells(asked, PROBED).mapInArrow(_phase_one(k, part, counts["products"]), "qblock long, dims int, node int, width int, keys binary, scores binary")
     cutoffs = lists.repartition(n, "qblock", "dims").mapInArrow(_cutoffs(k), "qblock long, dims int, cutoffs binary")
     sent = cut(asked.join(cutoffs, ["qblock", "dims"], "left"))
-    found = cells(sent, 1).mapInArrow(_phase_three(k, counts["pairs"], counts["resolved"]), "home long, place long, query_id long, vec_id long, score long")
+    found = cells(sent, 1).mapInArrow(_phase_three(k, counts["pairs"], counts["resolved"], counts["products"]), "home long, place long, query_id long, vec_id long, score long")
     order = Window.partitionBy("home", "place", "query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
