@@ -221,7 +221,7 @@ def test_top_k_resolves_few_pairs(spark):
 def test_top_k_saves_products_without_structure(spark):
     """Vectors of one length in any direction: what is left of most pairs is too little after three quarters."""
     x = np.random.default_rng(6).normal(size=(8000, 64))
-    rows = [(i, (v / np.linalg.norm(v)).tolist(), v[0]) for i, v in enumerate(x)]
+    rows = [(i, (v / np.linalg.norm(v)).tolist(), float(v[0])) for i, v in enumerate(x)]
     counters = {}
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double").repartition(6)
     got = top_k_of(df, k=20, counters=counters)
