@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.functions import aspect_table, aspects
-from tidepool.operators import profile, profile_states, resume, retrieval, text_index, vector_index
+from tidepool.operators import eda, profile, profile_states, resume, retrieval, text_index, vector_index
+from tidepool.operators.enrich import enrich, enrich_by_key
 from tidepool.operators.reviews import latest
 from tidepool.schema import UNIFIED, align
 from tidepool.sources import paged, raw, specs
@@ -371,3 +372,48 @@ def test_raw_records(spark):
     videos = ['{"video_id": "v", "segments": [{"text": " a b ", "duration": 1.5}, {"text": "c"}, {"duration": 2}], "snippet": {"title": "TT"}}', '{"id": "w", "text": "own", "segments": "none"}']
     seen = raw.youtube_records(raw.records(spark.createDataFrame([(x,) for x in videos], "value string"))).collect()
     assert (seen[0].source_id, seen[0].title, seen[0].text, seen[0].duration_seconds, seen[0].segment_count) == ("v", "TT", "a b c", 3.5, 3) and (seen[1].text, seen[1].segment_count) == ("own", 0)
+
+
+# --- aspects by rows, charts ----------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def many_texts(spark):
+    rng = random.Random(8)
+    words = "battery battery-life camera fast slow great bad worth value refund easy design durable ear the and fine broke phone".split()
+    rows = [(f"r{i}", "".join(rng.choice(words) + rng.choice([" ", " ", " ", ". ", "! ", "\n", ".", "  "]) for _ in range(rng.randrange(0, 40)))) for i in range(200)]
+    rows += [("none", None), ("empty", ""), ("blank", " \n"), ("long", "the battery is great " * 30 + ". " + "bad camera " * 40), ("short", "ear. fit.")]
+    return spark.createDataFrame(rows, "review_id string, review_text string").repartition(3).cache()
+
+
+@pytest.mark.parametrize("exact_first", [False, True])
+def test_records_by_rows_equal_those_by_text(many_texts, exact_first):
+    want = {r.review_id: r.a for r in many_texts.select("review_id", aspects.extract("review_text", exact_first=exact_first).alias("a")).collect() if r.a}
+    got = {r.review_id: r.records for r in aspects.record_rows(many_texts, "review_id", exact_first=exact_first).collect()}
+    assert got == want and len(got) > 100
+
+
+def test_first_mentions_by_rows_equal_those_by_text(many_texts):
+    want = many_texts.select("review_id", F.explode(aspects.first_mentions("review_text")).alias("a")).select("review_id", "a.*")
+    got = aspects.first_mention_rows(many_texts, "review_id")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 100
+
+
+def test_enrichment_by_key(spark, many_texts):
+    odd = many_texts.unionByName(spark.createDataFrame([(None, "great battery life")], many_texts.schema)).withColumn("n", F.lit(1))
+    want = {r.review_id: r for r in enrich(many_texts.withColumn("n", F.lit(1))).collect()}
+    got = enrich_by_key(odd)
+    rows = {r.review_id: r for r in got.collect()}
+    alone = rows.pop(None)
+    assert (alone.sentiment_score, alone.aspect_count, alone.aspect_labels) == (1.0, 0, "") and got.count() == odd.count()
+    assert {k: r.asDict() for k, r in rows.items()} == {k: r.asDict() for k, r in want.items()}
+
+
+def test_charts(spark, many_texts, tmp_path):
+    df = many_texts.withColumns({"rating": F.lit(4.0), "review_date": F.lit(datetime.datetime(2024, 2, 1)), "product_name": F.lit("p"), "verified": F.lit(True), "rating_normalized": F.lit(0.75)})
+    names = eda.save_charts(df, str(tmp_path))
+    assert names == ["missing_values", "ratings", "reviews_by_month", "text_lengths", "top_products", "verified_ratings"]
+    read = lambda name: [tuple(r) for r in spark.read.parquet(str(tmp_path / name)).collect()]
+    assert read("reviews_by_month") == [("2024-02", 205)] and read("ratings") == [(4.0, 205, 100.0)] and read("top_products") == [("p", 205)]
+    assert sum(n for _, n in read("text_lengths")) == 205 and read("verified_ratings") == [(True, "0.6-0.8", 1.0)]
+    assert list(eda.chart_data(many_texts)) == ["missing_values", "text_lengths"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -120,6 +121,45 @@ def mention_rows(
     return each.select(*others, "sentence", F.explode("_tp_found").alias("aspect"), "sentiment", "quote")
 
 
+def canonical_name(label: str, keywords: Mapping[str, Iterable[str]] = KEYWORDS, exact_first: bool = False) -> str:
+    """``canonical`` of one of the map's own labels."""
+    names = {name: {name, *words} for name, words in keywords.items()}
+    plain = re.sub("[^a-z0-9]+", " ", label.lower()).strip(" ")
+    if exact_first and (same := next((name for name, words in names.items() if plain in words), None)):
+        return same
+    return next(name for name, words in names.items() if plain in words or any(re.search(w, plain) for w in words))
+
+
+def record_rows(
+    df: DataFrame,
+    key: str,
+    text: str = "review_text",
+    keywords: Mapping[str, Iterable[str]] = KEYWORDS,
+    positive: Iterable[str] = sentiment.POSITIVE,
+    negative: Iterable[str] = sentiment.NEGATIVE,
+    exact_first: bool = False,
+) -> DataFrame:
+    """(key, records): what ``extract`` gives each text that mentions anything, made from ``mention_rows``. Keys are unique.
+
+    Labels are tried and scores made in generated code; of each label the first mention and the strongest one (the
+    first of equals) are kept where texts are read, so one narrow row a key is exchanged, and no text.
+    """
+    labels = list(keywords)
+    found = mention_rows(df.select(key, text), text, keywords, positive, negative)
+    turn = F.array_position(F.array(*map(F.lit, labels)), F.col("aspect")).cast("int")
+    name = F.element_at(F.array(*(F.lit(canonical_name(x, keywords, exact_first)) for x in labels)), turn)
+    found = found.withColumns({"_tp_turn": turn, "_tp_name": name})
+    made = list(dict.fromkeys(canonical_name(x, keywords, exact_first) for x in labels))
+    mine = lambda x, of: F.when(F.col("_tp_name") == x, of)
+    strength = F.struct(F.abs("sentiment"), -F.col("sentence"), -F.col("_tp_turn"))
+    each = [F.min(mine(x, F.struct("sentence", "_tp_turn"))).alias(f"_tp_first{i}") for i, x in enumerate(made)]
+    each += [F.max_by(F.struct("sentiment", "quote"), mine(x, strength)).alias(f"_tp_best{i}") for i, x in enumerate(made)]
+    one = lambda i, x: F.struct(F.col(f"_tp_first{i}").alias("at"), F.lit(x).alias("aspect"), F.round(F.col(f"_tp_best{i}.sentiment"), 4).alias("sentiment"), quote(f"_tp_best{i}.quote").alias("quote"))
+    rows = F.array_sort(F.array_compact(F.array(*(F.when(F.col(f"_tp_first{i}").isNotNull(), one(i, x)) for i, x in enumerate(made)))))
+    records = F.transform(rows, lambda r: F.struct(r["aspect"].alias("aspect"), r["sentiment"].alias("sentiment"), r["quote"].alias("quote")))
+    return found.groupBy(key).agg(*each).select(key, records.alias("records"))
+
+
 def extract(c: ColumnOrName, keywords: Mapping[str, Iterable[str]] = KEYWORDS, positive: Iterable[str] = sentiment.POSITIVE, negative: Iterable[str] = sentiment.NEGATIVE, exact_first: bool = False) -> Column:
     return deduplicated(mentions(c, keywords, positive, negative), keywords, exact_first)
 
@@ -146,6 +186,27 @@ def first_mentions(
     return let(cut, lambda rows: F.array_compact(F.array(*(record(rows, name, words) for name, words in keywords.items()))))
 
 
+def first_mention_rows(
+    df: DataFrame,
+    key: str,
+    text: str = "review_text",
+    keywords: Mapping[str, Iterable[str]] = KEYWORDS,
+    positive: Iterable[str] = sentiment.POSITIVE,
+    negative: Iterable[str] = sentiment.NEGATIVE,
+) -> DataFrame:
+    """``first_mentions`` as rows, (key, aspect, sentiment, quote), with sentences tried in generated code. Keys are unique."""
+    cut = df.select(key, F.posexplode(F.split(F.coalesce(text, F.lit("")), r"[.!?]+")).alias("sentence", "_tp_part")).withColumn("_tp_s", strip("_tp_part")).where(F.length("_tp_s") >= 10)
+    low = F.lower("_tp_s")
+    found = F.array_compact(F.array(*(F.when(low.rlike("|".join(words)), F.lit(name)) for name, words in keywords.items())))
+    named = cut.withColumn("_tp_found", found).where(F.size("_tp_found") > 0)
+    words = F.split(low, r"(?U)\s+")
+    p, n = (F.size(F.array_intersect(words, F.array(*map(F.lit, x)))) for x in (tuple(positive), tuple(negative)))
+    up, down = F.least(F.lit(0.5) + p * 0.2, F.lit(1.0)), F.greatest(F.lit(-0.5) - n * 0.2, F.lit(-1.0))
+    score = F.round(F.when(p > n, up).when(n > p, down).otherwise(0.0), 2)
+    rows = named.select(key, "sentence", F.explode("_tp_found").alias("aspect"), score.alias("sentiment"), F.substring("_tp_s", 1, 150).alias("quote"))
+    return rows.groupBy(key, "aspect").agg(F.min_by(F.struct("sentiment", "quote"), "sentence").alias("m")).select(key, "aspect", "m.sentiment", "m.quote")
+
+
 def serialized(records: Column) -> dict[str, Column]:
     """The three flat columns that stand for the records."""
     return {

@@ -161,6 +161,11 @@ def compare_products(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return wanted.join(each, "product_key", "left").fillna(0, zeros).orderBy("position").drop("position")
 
 
+def average_ratings(df: DataFrame) -> DataFrame:
+    """(product_key, average_rating) of all products."""
+    return df.groupBy(folded("product_name").alias("product_key")).agg(F.round(F.avg("rating_normalized"), 4).alias("average_rating"))
+
+
 def product_sources(df: DataFrame, names: Sequence[str]) -> DataFrame:
     return rows_of(df, names).groupBy("product_key", source_key().alias("source")).agg(F.count("*").alias("review_count"))
 
@@ -192,5 +197,6 @@ def reviewed_only(products: DataFrame) -> DataFrame:
     return products.where("review_count > 0")
 
 
-def source_stats(df: DataFrame) -> dict[str, DataFrame]:
-    return {"sources": counts(df, source_key(), "source"), "source_sentiment": source_sentiment(df), "aspects": top_aspects(df, None)}
+def source_stats(df: DataFrame, most: int | None = None) -> dict[str, DataFrame]:
+    """``most``: how many of the aspects, the most mentioned first; None for all."""
+    return {"sources": counts(df, source_key(), "source"), "source_sentiment": source_sentiment(df), "aspects": top_aspects(df, most)}

@@ -20,6 +20,32 @@ def save_sample(df: DataFrame, path: str, most: int = 100_000) -> None:
     sample(df, most).write.mode("overwrite").parquet(path)
 
 
+def chart_data(df: DataFrame) -> dict[str, DataFrame]:
+    """What each chart of an exploration shows, as small frames by the chart's name: only those whose columns ``df`` has.
+
+    A chart reads its frame and no reviews. Each has as many rows as the chart has marks.
+    """
+    have = set(df.columns)
+    rated = F.col("rating") if "rating" in have else F.col("rating_normalized")
+    charts = {
+        "missing_values": (set(), lambda: null_shares(df)),
+        "ratings": ({"rating"} & have or {"rating_normalized"}, lambda: shares(df.select(rated.alias("rating")), "rating")),
+        "text_lengths": ({"review_text"}, lambda: length_histogram(df)),
+        "reviews_by_month": ({"review_date"}, lambda: monthly(df)),
+        "top_products": ({"product_name"}, lambda: top_products(df)),
+        "verified_ratings": ({"verified", "rating_normalized"}, lambda: verified_density(df)),
+    }
+    return {name: make() for name, (needs, make) in charts.items() if needs <= have}
+
+
+def save_charts(df: DataFrame, path: str) -> list[str]:
+    """``chart_data`` as parquet, a folder a chart; their names."""
+    found = chart_data(df)
+    for name, rows in found.items():
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/{name}")
+    return sorted(found)
+
+
 def null_shares(df: DataFrame) -> DataFrame:
     """(field, null_percent), in order of the columns' names."""
     wide = df.agg(*(F.round(F.count_if(F.col(c).isNull()) * 100 / F.count("*"), 4).alias(c) for c in df.columns))
@@ -27,6 +53,7 @@ def null_shares(df: DataFrame) -> DataFrame:
 
 
 def overview(df: DataFrame) -> DataFrame:
+    """One row of numbers. The median is exact: its aggregate holds a count of every different number of words, some thousands."""
     words = word_count("review_text")
     n = F.count("*")
     return df.agg(

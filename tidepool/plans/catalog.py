@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import authenticity, guardrails, sentiment
-from ..functions.aspects import KEYWORDS, extract, mention_rows
+from ..functions.aspects import KEYWORDS, RECORD, mention_rows, record_rows
 from ..functions.text import count_of, phrase, sentences, text_key, token_count
 from ..operators import analytics, eda, profile, retrieval, reviews
-from ..operators.enrich import enrich, with_lexicon
+from ..operators.enrich import enrich_by_key, with_lexicon
 from ..operators.reviews import ReviewFilter
 from ..schema import UNIFIED, align
 from ..sources import readers
-from ..sources.specs import SPECS, unify, with_businesses
+from ..sources.specs import SPECS, unified, unify, with_businesses
 from .registry import ORACLES, QUERIES, query  # noqa: F401
 from .views import ASPECTS, NEGATIVE, POSITIVE, doc_reviews, sale_reviews, table
 
@@ -67,8 +67,7 @@ def normalize_union_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     ebay = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item_id"), (F.col("l_quantity") * 2).alias("seller_rating"), F.col("l_returnflag").alias("feedback_text"), F.col("l_shipdate").cast("string").alias("listing_date"))
     reddit = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_id"), F.col("lang").alias("title"), "text", (1_500_000_000 + F.col("doc_id")).alias("created_utc"))
     video = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("video_id"), F.concat("role", F.lit(" says")).alias("transcript"), (1_400_000_000 + F.col("conv_id")).alias("created_utc"))
-    frames = [unify(ebay, SPECS["ebay"]), unify(reddit, SPECS["reddit"]), unify(video, SPECS["youtube"])]
-    every = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    every = unified({"ebay": ebay, "reddit": reddit, "youtube": video})
     ntz = F.col("review_date").cast("timestamp_ntz")
     return every.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("rating_normalized"), 6).alias("rating"), F.sum(F.length("review_text")).alias("chars"), F.min(ntz).alias("first_date"), F.max(ntz).alias("last_date"))
 
@@ -350,7 +349,7 @@ RECORDS = _records_sql()
 
 
 def _enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return enrich(doc_reviews(spark, sf_dir, costly=True), with_lexicon(POSITIVE, NEGATIVE), lambda c: extract(c, ASPECTS, POSITIVE, NEGATIVE))
+    return enrich_by_key(doc_reviews(spark, sf_dir, costly=True).select("review_id", "review_text"), "review_id", with_lexicon(POSITIVE, NEGATIVE), ASPECTS, POSITIVE, NEGATIVE)
 
 
 @query(
@@ -511,29 +510,25 @@ def eda_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return eda.overview(d).select("record_count", "mean_rating", "mean_words", "median_words", "verified_share", "no_votes_share", "since_2015_share")
 
 
-GOLDEN = [
-    ("The battery is great. The price is bad.", [("battery", "positive"), ("price", "negative")]),
-    ("Great camera and a solid screen.", [("durability", "positive"), ("camera", "positive")]),
-    ("The sound is awful but the design is perfect.", [("sound quality", "neutral"), ("design", "negative")]),
-]
+#: Aspects and signs that documents are expected to have, by whether their number of votes is even.
+GOLDEN = {0: [("place", "positive"), ("past", "negative")], 1: [("link", "positive"), ("price", "neutral")]}
 
 
-def _golden_sql() -> str:
-    """Mentions by containment of words in each sentence, canonical names, and the strongest record of each, as SQL over literals."""
-    texts = ", ".join(f"({i}, '{t}')" for i, (t, _) in enumerate(GOLDEN))
-    wanted = ", ".join(f"({i}, '{a}', '{s}')" for i, (_, names) in enumerate(GOLDEN) for a, s in names)
-    labels = ", ".join(f"({k}, '{name}', '{'|'.join(dict.fromkeys((name, *words)))}', '{_canonical(name)}')" for k, (name, words) in enumerate(KEYWORDS.items()))
-    return f""", w(i, aspect, sign) AS (VALUES {wanted}), lab(k, name, words, canonical) AS (VALUES {labels}),
-    s AS (SELECT i, trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g')) AS t, {_hits(sentiment.POSITIVE, 'p')} AS p, {_hits(sentiment.NEGATIVE, 'p')} AS n FROM (SELECT i, unnest(string_split(x, '. ')) AS p FROM (VALUES {texts}) v(i, x))),
-    f AS (SELECT i, canonical AS aspect, arg_max(CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0 END, abs(CASE WHEN p + n > 0 THEN (p - n) / (p + n) ELSE 0 END)) AS score FROM s JOIN lab ON regexp_matches(t, words) GROUP BY 1, 2),
-    c AS (SELECT (SELECT count(*) FROM f) AS got, (SELECT count(*) FROM w) AS want, (SELECT count(*) FROM f JOIN w USING (i, aspect)) AS hit,
-        (SELECT count(*) FROM f JOIN w USING (i, aspect) WHERE sign = CASE WHEN score > 0 THEN 'positive' WHEN score < 0 THEN 'negative' ELSE 'neutral' END) AS agree)
-    SELECT round(hit / got, 4) AS precision, round(hit / want, 4) AS recall, round(2 * (hit / got) * (hit / want) / (hit / got + hit / want), 4) AS f1, round(agree / hit, 4) AS sign_accuracy FROM c"""
-
-
-@query(_golden_sql(), ("none AS (SELECT 1)",))
+@query(
+    f""", w AS (SELECT review_id, aspect, sign FROM doc_reviews JOIN (VALUES {", ".join(f"({k}, '{a}', '{s}')" for k, names in GOLDEN.items() for a, s in names)}) v(k, aspect, sign) ON helpful_votes % 2 = k),
+    h AS (SELECT * FROM r JOIN w USING (review_id, aspect)),
+    t AS (SELECT (SELECT count(*) FROM r) AS got, (SELECT count(*) FROM w) AS want, (SELECT count(*) FROM h) AS hit, (SELECT count(*) FROM h WHERE sign = CASE WHEN sentiment > 0 THEN 'positive' WHEN sentiment < 0 THEN 'negative' ELSE 'neutral' END) AS agree)
+    SELECT round(hit / got, 4) AS precision, round(hit / want, 4) AS recall, round(2 * (hit / got) * (hit / want) / (hit / got + hit / want), 4) AS f1, round(agree / hit, 4) AS sign_accuracy FROM t""",
+    (DOCS, CUT, RECORDS),
+)
 def golden_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return eda.evaluate(spark.createDataFrame(GOLDEN, "text string, expected array<struct<aspect:string,sign:string>>"))
+    """Aspects found in all documents against those expected."""
+    d = doc_reviews(spark, sf_dir, costly=True).select("review_id", F.col("review_text").alias("text"), "helpful_votes")
+    listed = lambda names: F.array(*(F.struct(F.lit(a).alias("aspect"), F.lit(s).alias("sign")) for a, s in names))
+    golden = d.withColumn("expected", F.when(F.col("helpful_votes") % 2 == 0, listed(GOLDEN[0])).otherwise(listed(GOLDEN[1])))
+    found = record_rows(d, "review_id", "text", ASPECTS, POSITIVE, NEGATIVE)
+    both = golden.join(found, "review_id", "left").withColumn("records", F.coalesce("records", F.array().cast(RECORD)))
+    return eda.evaluate(both, F.col("records"))
 
 
 @query("SELECT source, count(*) AS n FROM documents GROUP BY source")

@@ -297,8 +297,8 @@ def model_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def first_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The coarser aspect rule: each label once a text."""
-    found = aspects.first_mentions("review_text", {"past": ("was",), "link": ("and", "or")}, POSITIVE, NEGATIVE)
-    return doc_reviews(spark, sf_dir, costly=True).select("review_id", F.explode(found).alias("a")).select("review_id", "a.*")
+    d = doc_reviews(spark, sf_dir, costly=True).select("review_id", "review_text")
+    return aspects.first_mention_rows(d, "review_id", "review_text", {"past": ("was",), "link": ("and", "or")}, POSITIVE, NEGATIVE)
 
 
 @query("SELECT vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE))), 6) AS norm, 1.0 AS unit_norm, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS dot FROM embeddings")
@@ -358,4 +358,4 @@ def null_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT lower(product_name) AS product_key, round(avg(rating_normalized), 4) AS average_rating FROM sale_reviews GROUP BY 1", (SALES,))
 def average_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sale_reviews(spark, sf_dir).groupBy(text.folded("product_name").alias("product_key")).agg(F.round(F.avg("rating_normalized"), 4).alias("average_rating"))
+    return analytics.average_ratings(sale_reviews(spark, sf_dir))

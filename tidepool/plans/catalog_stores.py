@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import aspect_table, aspects
 from ..functions.aspects import KEYWORDS
 from ..functions.text import phrase
-from ..operators import profile, profile_states, resume, reviews, text_index, vector_index
+from ..operators import eda, profile, profile_states, resume, reviews, text_index, vector_index
 from ..session import scratch, spread
 from ..sources import raw
 from ..sources.store import Store
@@ -161,6 +163,27 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.events(spark, f"{path}/events").select(F.explode("counters").alias("counter", "n"))
 
 
+@query(
+    r"""SELECT 'missing_values' AS chart, 'review_text' AS mark, round(count(*) FILTER (review_text IS NULL) * 100.0 / count(*), 4)::DOUBLE AS n FROM doc_reviews
+    UNION ALL SELECT 'missing_values', 'rating_normalized', round(count(*) FILTER (rating_normalized IS NULL) * 100.0 / count(*), 4) FROM doc_reviews UNION ALL SELECT 'missing_values', 'review_date', 0 UNION ALL SELECT 'missing_values', 'product_name', round(count(*) FILTER (product_name IS NULL) * 100.0 / count(*), 4) FROM doc_reviews
+    UNION ALL SELECT 'ratings', rating_normalized::DECIMAL(9, 1)::VARCHAR, count(*) FROM doc_reviews GROUP BY rating_normalized
+    UNION ALL SELECT 'text_lengths', least(floor(least(len(regexp_extract_all(review_text, '\S+')), 500) / 10), 49)::INT::VARCHAR, count(*) FROM doc_reviews GROUP BY 2
+    UNION ALL SELECT 'reviews_by_month', strftime(review_date, '%Y-%m'), count(*) FROM doc_reviews GROUP BY 2
+    UNION ALL SELECT 'top_products', product_name, count(*) FROM doc_reviews GROUP BY 2""",
+    (DOCS,),
+)
+def chart_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers behind every chart of all documents, written and read again."""
+    path = scratch(spark, "charts")
+    names = eda.save_charts(doc_reviews(spark, sf_dir, costly=True).select("review_text", "rating_normalized", "review_date", "product_name"), path)
+    frames = []
+    for name in names:
+        rows = spark.read.parquet(f"{path}/{name}")
+        mark, n = F.col(rows.columns[0]).cast("string"), F.col(rows.columns[1]).cast("double")
+        frames.append(rows.select(F.lit(name).alias("chart"), mark.alias("mark"), n.alias("n")))
+    return reduce(DataFrame.unionAll, frames)
+
+
 # --- text to aspects in SQL, and aspects over tables ----------------------------------------------
 
 _LISTED = ", ".join(f"({k}, '{name}', '{'|'.join(dict.fromkeys((name, *words)))}', '{_canonical(name)}')" for k, (name, words) in enumerate(KEYWORDS.items()))
@@ -192,3 +215,46 @@ def canonical_aspects(spark: SparkSession, sf_dir: str) -> DataFrame:
     phrases = d.select(F.explode(F.split("text", "[.!?]+")).alias("p")).select(phrase("p").alias("phrase")).distinct()
     return phrases.select(aspects.canonical("phrase").alias("aspect")).groupBy("aspect").agg(F.count("*").alias("phrases"))
 
+
+
+# --- raw records as VARIANT -----------------------------------------------------------------------
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Guides made of the table of pages: keys differ from line to line, some hold objects, some lines aren't records."""
+    p, i, url = table(spark, sf_dir, "pages").select("page_id", "url"), F.col("page_id"), F.col("url")
+    named = lambda **fields: F.to_json(F.struct(*((v if hasattr(v, "alias") else F.lit(v)).alias(k) for k, v in fields.items())))
+    text = i.cast("string")
+    full = named(guideid=i, title=F.concat(F.lit("Guide "), text), category="Phone", author=F.struct(F.concat(F.lit("u"), (i % 7).cast("string")).alias("username")), introduction_raw=" ", summary=url, modified_date=i + 1_600_000_000, difficulty_score=1 + i % 10, extra=i)
+    other = named(guide_id=F.concat(F.lit("g"), text), subject="Pad", author="someone", introduction_raw=url, published_date="2024-01-01T00:00:00Z", repairability_score="7", favorites=3)
+    odd = named(id=i, title=F.struct(F.lit("text").alias("no")), author=F.struct(F.lit(1).alias("id")), url=url)
+    kind = i % 5
+    return p.select(F.when(kind == 0, full).when(kind == 1, other).when(kind == 2, F.concat(F.lit("["), text, F.lit("]"))).when(kind == 3, "not JSON").otherwise(odd).alias("value"))
+
+
+@query(
+    """SELECT CASE page_id % 5 WHEN 1 THEN 'g' ELSE '' END || page_id AS guide_id, CASE page_id % 5 WHEN 0 THEN 'Phone' WHEN 1 THEN 'Pad' END AS device_name, CASE page_id % 5 WHEN 0 THEN 'Guide ' || page_id END AS title,
+    CASE WHEN page_id % 5 < 2 THEN url END AS review_text, CASE page_id % 5 WHEN 0 THEN (1600000000 + page_id)::VARCHAR WHEN 1 THEN '2024-01-01T00:00:00Z' END AS published_date,
+    CASE page_id % 5 WHEN 0 THEN 'u' || page_id % 7 WHEN 1 THEN 'someone' END AS author, CASE page_id % 5 WHEN 1 THEN '3' END AS helpful_votes, CASE page_id % 5 WHEN 0 THEN (1 + page_id % 10)::VARCHAR WHEN 1 THEN '7' END AS repairability_score,
+    CASE page_id % 5 WHEN 4 THEN url END AS url, CASE page_id % 5 WHEN 0 THEN 'extra=' || page_id ELSE '' END AS unknown FROM pages WHERE page_id % 5 NOT IN (2, 3)"""
+)
+def variant_guides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw guides whose fields have several names, as VARIANT: the first filled field counts, objects don't pass for text, and fields that no mapping names are told."""
+    parsed = raw.records(_lines(spark, sf_dir))
+    known = [k for keys in raw.IFIXIT_KEYS.values() for k in keys]
+    rest = F.array_join(F.transform(F.map_entries(raw.unknown("record", known)), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    fields = ["guide_id", "device_name", "title", "review_text", "published_date", "author", "helpful_votes", "repairability_score", "url"]
+    return parsed.select(*(raw.first_of("record", raw.IFIXIT_KEYS[f]).alias(f) for f in fields), rest.alias("unknown"))
+
+
+@query(
+    """SELECT 'c' || conv_id AS source_id, string_agg(trim(text), ' ' ORDER BY turn) FILTER (trim(text) <> '') AS text, sum(turn + 0.5)::DOUBLE AS duration_seconds, count(*)::INT AS segment_count, any_value('role ' || conv_id) AS title FROM conversations GROUP BY conv_id"""
+)
+def variant_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as videos of segments, read from raw JSON."""
+    c = table(spark, sf_dir, "conversations")
+    segments = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda s: F.struct(s["text"].alias("text"), (s["turn"] + 0.5).alias("duration")))
+    lines = c.groupBy("conv_id").agg(segments.alias("segments")).select(
+        F.to_json(F.struct(F.concat(F.lit("c"), "conv_id").alias("video_id"), F.struct(F.concat(F.lit("role "), "conv_id").alias("title")).alias("snippet"), "segments")).alias("value")
+    )
+    return raw.youtube_records(raw.records(lines)).select("source_id", "text", "duration_seconds", "segment_count", "title")

@@ -94,8 +94,8 @@ class ReviewService:
         items = rows(shown)
         return {"items": items, "matched_count": matched, "has_more": matched > offset + len(items), "limit": limit, "offset": offset}
 
-    def source_stats(self) -> dict:
-        return {k: rows(v) for k, v in analytics.source_stats(self.df).items()}
+    def source_stats(self, most: int = 1000) -> dict:
+        return {k: rows(v) for k, v in analytics.source_stats(self.df, most).items()}
 
     def data_profile(self) -> list[dict]:
         return rows(profile.dataset_profile(self.df))
