@@ -13,11 +13,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidepool.functions import aspect_table, aspects
-from tidepool.operators import eda, profile, profile_states, resume, retrieval, text_index, vector_index
+from tidepool.operators import analytics, eda, profile, profile_states, resume, retrieval, text_index, vector_index
 from tidepool.operators.enrich import enrich, enrich_by_key
 from tidepool.operators.reviews import latest
-from tidepool.schema import UNIFIED, align
-from tidepool.sources import paged, raw, specs
+from tidepool.schema import UNIFIED, align, struct
+from tidepool.sources import paged, raw, readers, specs
 from tidepool.sources.readers import listing
 from tidepool.sources.store import Store
 from tidepool.streaming import events, pull, versions
@@ -417,3 +417,25 @@ def test_charts(spark, many_texts, tmp_path):
     assert read("reviews_by_month") == [("2024-02", 205)] and read("ratings") == [(4.0, 205, 100.0)] and read("top_products") == [("p", 205)]
     assert sum(n for _, n in read("text_lengths")) == 205 and read("verified_ratings") == [(True, "0.6-0.8", 1.0)]
     assert list(eda.chart_data(many_texts)) == ["missing_values", "text_lengths"]
+
+
+def test_options_from_one_scan(spark):
+    rng = random.Random(2)
+    rows = [(rng.choice([" a", "b", "", None, "c"]), rng.choice(["x", None]), rng.choice(["S", "t ", None]), rng.choice(["Positive", None]), rng.choice([None, datetime.datetime(2024, 1, rng.randrange(1, 9))])) for _ in range(80)]
+    df = spark.createDataFrame(rows, "product_name string, product_category string, source string, sentiment_label string, review_date timestamp")
+    for limit in (1, 200):
+        want = {k: [r.asDict() for r in v.collect()] for k, v in analytics.filter_options(df, limit).items()}
+        assert analytics.from_option_cube([r.asDict() for r in analytics.option_cube(df, limit).collect()]) == want
+    assert analytics.from_option_cube([r.asDict() for r in analytics.option_cube(df.where("false")).collect()])["products"] == []
+
+
+def test_tables_and_scans(spark, tmp_path):
+    df = spark.createDataFrame([("a", 1, 2.0), ("b", 2, None)], "id string, n int, extra double")
+    df.write.parquet(str(tmp_path / "p"))
+    read = readers.parquet(spark, str(tmp_path / "p"), ["n", "nothing", "id"], most=1)
+    assert read.columns == ["n", "id"] and read.count() == 1 and "extra" not in readers.parquet(spark, str(tmp_path / "p"), ["n"])._jdf.queryExecution().executedPlan().toString()
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS kept LOCATION '{tmp_path / 'db'}'")
+    schema = struct("n int, id string, other string")
+    assert readers.load_table(df, "kept.loaded", schema) == 2 and readers.load_table(df.where("n = 1"), "kept.loaded", schema) == 1
+    assert [tuple(r) for r in spark.table("kept.loaded").collect()] == [(1, "a", None)]
+    spark.sql("DROP DATABASE kept CASCADE")

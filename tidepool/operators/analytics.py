@@ -43,6 +43,37 @@ def filter_options(df: DataFrame, limit: int = 200) -> dict[str, DataFrame]:
     }
 
 
+#: What each set of the option cube is called, and its values.
+OPTIONS = {"products": "product_name", "categories": "product_category", "sources": "source", "sentiments": "sentiment_label"}
+
+
+def option_cube(df: DataFrame, limit: int = 200) -> DataFrame:
+    """(kind, value, review_count, min_date, max_date): everything that ``filter_options`` has, from one scan.
+
+    Products and categories are the ``limit`` most frequent ones; the row of kind 'date_range' is over all reviews.
+    """
+    keyed = df.select(F.trim("product_name").alias("products"), F.trim("product_category").alias("categories"), source_key().alias("sources"), label_key(df).alias("sentiments"), "review_date")
+    kinds = [F.col(k) for k in OPTIONS]
+    grouped = keyed.groupingSets([*([k] for k in kinds), []], *kinds).agg(F.count("*").alias("review_count"), F.min("review_date").alias("min_date"), F.max("review_date").alias("max_date"), *(F.grouping(k).alias(f"_{k}") for k in OPTIONS))
+    kind, value = F.lit("date_range"), F.lit(None).cast("string")
+    for k in OPTIONS:
+        mine = F.col(f"_{k}") == 0
+        kind, value = F.when(mine, k).otherwise(kind), F.when(mine, F.col(k)).otherwise(value)
+    found = grouped.select(kind.alias("kind"), value.alias("value"), "review_count", "min_date", "max_date").where((F.col("kind") == "date_range") | (F.coalesce("value", F.lit("")) != ""))
+    place = F.row_number().over(Window.partitionBy("kind").orderBy(F.desc("review_count"), "value"))
+    return found.withColumn("_place", place).where(~F.col("kind").isin("products", "categories") | (F.col("_place") <= limit)).drop("_place")
+
+
+def from_option_cube(found: list[dict]) -> dict[str, list[dict]]:
+    """The cube's collected rows in the shape and order of ``filter_options``."""
+    out: dict[str, list[dict]] = {}
+    for kind, name in OPTIONS.items():
+        mine = [{name: r["value"], "review_count": r["review_count"]} for r in found if r["kind"] == kind]
+        out[kind] = sorted(mine, key=lambda r: (-r["review_count"], r[name]) if kind in ("products", "categories") else r[name])  # noqa: B023
+    out["date_range"] = [{k: r[k] for k in ("min_date", "max_date")} for r in found if r["kind"] == "date_range"] or [{"min_date": None, "max_date": None}]
+    return out
+
+
 def summary(df: DataFrame) -> DataFrame:
     """One row: reviews, sources, products, latest date, positive and negative reviews."""
     hit = lambda label: F.count_if(label_key(df) == label)

@@ -132,6 +132,18 @@ def filter_options_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.filter_options(sale_reviews(spark, sf_dir))["categories"]
 
 
+@query(
+    """SELECT kind, value, n AS review_count, min_date, max_date FROM (SELECT 'products' AS kind, trim(product_name) AS value, count(*) AS n, min(review_date) AS min_date, max(review_date) AS max_date FROM sale_reviews GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 20)
+    UNION ALL SELECT * FROM (SELECT 'categories', trim(product_category), count(*) AS n, min(review_date), max(review_date) FROM sale_reviews GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 20)
+    UNION ALL SELECT 'sources', lower(source), count(*), min(review_date), max(review_date) FROM sale_reviews GROUP BY 2 UNION ALL SELECT 'sentiments', sentiment_label, count(*), min(review_date), max(review_date) FROM sale_reviews GROUP BY 2
+    UNION ALL SELECT 'date_range', NULL, count(*), min(review_date), max(review_date) FROM sale_reviews""",
+    (SALES,),
+)
+def filter_option_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All filter options from one scan."""
+    return analytics.option_cube(sale_reviews(spark, sf_dir), 20).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("min_date", "max_date")})
+
+
 @query("SELECT min(review_date) AS min_date, max(review_date) AS max_date FROM sale_reviews", (SALES,))
 def filter_options_date_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = analytics.filter_options(sale_reviews(spark, sf_dir))["date_range"]

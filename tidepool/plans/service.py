@@ -85,7 +85,7 @@ class ReviewService:
         return rows(explain(source, raw, at))
 
     def review_options(self, limit: int = 200) -> dict:
-        return {k: rows(v) for k, v in analytics.filter_options(self.df, limit).items()}
+        return analytics.from_option_cube(rows(analytics.option_cube(self.df, limit)))
 
     def explore(self, filters: ReviewFilter | None = None, limit: int = 25, offset: int = 0) -> dict:
         f = filters or ReviewFilter()
