@@ -33,3 +33,10 @@ class FromTheBeginning(Replayed):
     def records(self, query):
         for i in range(20 if query.endswith("short") else 25):
             yield {"id": i}
+
+
+class Reviews(Counted):
+    def read(self, query, start, end):
+        for r in super().read(query, start, end):
+            i = r["value"]
+            yield {"asin": f"A{i}", "user_id": f"U{i}", "rating": 1 + i % 5, "text": "fine", "timestamp": 1588687728923, "extra": {"of": "the service"}}

@@ -17,7 +17,7 @@ from tidepool.operators import analytics, eda, profile, profile_states, resume,
 from tidepool.operators.enrich import enrich, enrich_by_key
 from tidepool.operators.reviews import latest
 from tidepool.schema import UNIFIED, align, struct
-from tidepool.sources import paged, raw, readers, specs
+from tidepool.sources import paged, raw, readers, resolve, specs
 from tidepool.sources.readers import listing
 from tidepool.sources.store import Store
 from tidepool.streaming import events, pull, versions
@@ -33,7 +33,7 @@ def service(tmp_path, **sizes):
 
 
 def numbers(spark, target):
-    return sorted((os.path.basename(r.query), r.number, json.loads(r.record)["value"]) for r in pull.records(spark, target).collect())
+    return sorted((os.path.basename(r.query), r.number, json.loads(r.record)["value"]) for r in paged.batches(spark, target).collect())
 
 
 def test_a_pull_goes_on_where_it_was_cut_short(spark, tmp_path):
@@ -44,14 +44,15 @@ def test_a_pull_goes_on_where_it_was_cut_short(spark, tmp_path):
         (tmp_path / "a.down").write_text("")
         with pytest.raises(Exception, match="the service is down"):
             pull.pull(spark, "tests.producers:Counted", queries, target, "a-run", per_batch=10, per_task=4)
-        said = pull.manifest(spark, target)
-        assert not said["completed"] and paged.committed(spark, f"{target}/_checkpoint") == {queries[0]: 30, queries[1]: 12}
+        said = pull.progress(spark, target)
+        assert pull.manifest(spark, target) is None and not said["completed"] and said["last_successful_batch_index"] == 2 and said["cumulative_records"] == 42
+        assert paged.committed(spark, f"{target}/_checkpoint") == {queries[0]: 30, queries[1]: 12}
         (tmp_path / "a.down").unlink()
         with pytest.raises(RuntimeError, match="producer"):
             pull.pull(spark, "tests.producers:Lossy", queries, target, "a-run", per_batch=10)
         before = sorted(os.listdir(target))
         done = pull.pull(spark, "tests.producers:Counted", queries, target, "a-run", per_batch=10, per_task=4)
-        assert done["completed"] and done["resumed"] and done["cumulative_records"] == 59 and done["total_batches"] == 5 and done["stream_state"] == {queries[0]: 47, queries[1]: 12}
+        assert done == pull.manifest(spark, target) and done["completed"] and done["resumed"] and done["cumulative_records"] == 59 and done["total_batches"] == 5 and done["stream_state"] == {queries[0]: 47, queries[1]: 12}
         assert {x for x in before if x.startswith("batch")} < {x for x in os.listdir(target) if x.startswith("batch")}
         assert numbers(spark, target) == sorted([("a", i, i) for i in range(47)] + [("b", i, i) for i in range(12)])
         assert pull.pull(spark, "tests.producers:Counted", queries, target, "a-run") == done  # a run that is complete does nothing
@@ -68,6 +69,22 @@ def test_a_pull_goes_on_where_it_was_cut_short(spark, tmp_path):
     assert {e.status for e in found if e.event == "ended"} <= {"failed", "completed"}
 
 
+def test_a_pulled_run_is_a_source(spark, tmp_path):
+    """Resolvers go on with it while it is open, and read it when it is complete."""
+    base, target = str(tmp_path / "raw"), str(tmp_path / "raw" / "amazon" / "runs" / "r1")
+    (query,) = service(tmp_path, reviews=35)
+    (tmp_path / "reviews.down").write_text("")
+    with pytest.raises(Exception, match="the service is down"):
+        pull.pull(spark, "tests.producers:Reviews", [query], target, "r1", per_batch=20)
+    assert resolve.latest_run(spark, base) is None and resolve.incomplete_run(spark, base) == "r1"
+    (tmp_path / "reviews.down").unlink()
+    assert pull.pull(spark, "tests.producers:Reviews", [query], target, "r1", per_batch=20)["total_batches"] == 2
+    assert resolve.latest_run(spark, base) == target and resolve.incomplete_run(spark, base) is None
+    rows = resolve.load(spark, base, "amazon").collect()
+    assert len(rows) == 35 and {r.rating_normalized for r in rows} == {0.0, 0.25, 0.5, 0.75, 1.0} and len({r.review_id for r in rows}) == 35
+    assert resolve.load(spark, base, "amazon", limit=3).count() == 3
+
+
 def test_a_pull_takes_what_came_since(spark, tmp_path):
     """A stream that stays open sees records that appear later, once each."""
     spark.dataSource.register(paged.Pages)

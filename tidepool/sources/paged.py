@@ -26,11 +26,13 @@ import json
 from collections.abc import Iterator
 from itertools import islice
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from .readers import listing, read_text
+from .specs import SPECS
 
 #: Fixed value: records of a batch, as ingestion takes them unless told otherwise.
 PER_BATCH, PER_TASK = 10_000, 1_000
@@ -124,6 +126,17 @@ class PagesBatch(_Producer, DataSourceReader):
         return self.slices(self.done, {q: made.available(q) for q in self.queries})
 
 
+def batches(spark: SparkSession, run: str) -> DataFrame:
+    """(query, number, record, batch) of a run that ``streaming.pull`` has made, whole or not."""
+    return spark.read.schema(Pages({}).schema() + ", batch int").option("basePath", run).parquet(f"{run}/batch=*")
+
+
+def raw(spark: SparkSession, run: str, source: str) -> DataFrame:
+    """A run's records in the source's raw shape; those that aren't JSON objects are left out."""
+    parsed = batches(spark, run).select(F.from_json("record", SPECS[source].schema).alias("r"))
+    return parsed.where("r is not null").select("r.*")
+
+
 def committed(spark: SparkSession, checkpoint: str) -> dict[str, int]:
     """Records of each query that a checkpoint's finished batches have; a batch that was planned and not finished will run again as it was."""
     numbers = lambda kind: {int(name) for path, _, _ in listing(spark, f"{checkpoint}/{kind}") if (name := path.rsplit("/", 1)[-1]).isdigit()}

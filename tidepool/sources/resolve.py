@@ -8,11 +8,14 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import paged
 from .readers import exists, first_existing, json_lines, listing, read_text
 from .specs import SPECS, unify, with_businesses
 
 #: Names of files and folders, in the order in which they are tried.
 BATCH = re.compile(r"amazon_reviews_batch_(\d{6})_records_\d+\.jsonl$")
+#: A batch of a run that was pulled as a stream.
+PULLED = re.compile(r"^batch=\d+/part-.*\.parquet$")
 REVIEWS, BUSINESSES = "yelp_academic_dataset_review.json", "yelp_academic_dataset_business.json"
 PAIRS = (
     (f"yelp/current/{REVIEWS}", f"yelp/current/{BUSINESSES}"),
@@ -60,7 +63,7 @@ def latest_run(spark: SparkSession, base: str, source: str = "amazon") -> str |
     """The folder of the newest run that has batches and is complete: it has a manifest, or its checkpoint says so."""
     done = {}
     for run, files in _runs(spark, base, source).items():
-        if any(BATCH.search(f) for f in files) and ("manifest.json" in files or _checkpoint(spark, files).get("completed")):
+        if any(BATCH.search(f) or PULLED.search(f) for f in files) and ("manifest.json" in files or _checkpoint(spark, files).get("completed")):
             done[run] = max(t for _, t in files.values())
     run = _newest(done)
     return f"{base}/{source}/runs/{run}" if run else None
@@ -118,7 +121,11 @@ def load(spark: SparkSession, base: str, source: str, limit: int | None = None)
     if path is None:
         return None
     spec = SPECS[source]
-    raw = json_lines(spark, path, spec.schema, limit, only_jsonl=not path.endswith(".json"))
+    if exists(spark, f"{path}/batch=0"):  # a run that was pulled
+        raw = paged.raw(spark, path, source)
+        raw = raw if limit is None else raw.limit(limit)
+    else:
+        raw = json_lines(spark, path, spec.schema, limit, only_jsonl=not path.endswith(".json"))
     if source == "yelp":
         shops = reviews_and_businesses(spark, base)[1]
         raw = with_businesses(raw, json_lines(spark, shops, spec.schema, only_jsonl=False).select("business_id", "name", "categories") if shops else None)

@@ -1,8 +1,12 @@
-"""A resumable pull of a paged service into a run's folder, with a manifest.
+"""A resumable pull of a paged service into a run's folder, with a checkpoint that people can read and a manifest.
 
 Each micro-batch is a folder of its own (``batch=<n>``), named by the number
 that the stream's checkpoint gives it, so a batch that runs again after a crash
-replaces its own output. A run that is complete returns its manifest at once.
+replaces its own output. ``_checkpoint.json`` says after every batch how far
+the run is; ``manifest.json`` appears when it is complete, and is what makes
+the run one that ``resolve`` finds. A run that is complete returns its manifest
+at once. What is done is taken from the stream's own checkpoint, never from the
+files for people.
 """
 
 from __future__ import annotations
@@ -18,41 +22,48 @@ from ..sources import paged
 from ..sources.readers import exists, read_text, write_text
 from .events import observed
 
-MANIFEST, CHECKPOINT = "_manifest.json", "_checkpoint"
+MANIFEST, PROGRESS, CHECKPOINT = "manifest.json", "_checkpoint.json", "_checkpoint"
+#: What must stay as it was when a run goes on.
+SETTINGS = ("run_id", "producer", "queries")
+
+
+def _said(spark: SparkSession, path: str) -> dict | None:
+    text = read_text(spark, path)
+    return json.loads(text) if text else None
 
 
 def manifest(spark: SparkSession, target: str) -> dict | None:
-    said = read_text(spark, f"{target}/{MANIFEST}")
-    return json.loads(said) if said else None
+    """Of a run that is complete."""
+    return _said(spark, f"{target}/{MANIFEST}")
 
 
-def records(spark: SparkSession, target: str) -> DataFrame:
-    """(query, number, record) of all batches of a run, whole or not."""
-    schema = paged.Pages({}).schema() + ", batch int"
-    return spark.read.schema(schema).parquet(target).select("query", "number", "record")
+def progress(spark: SparkSession, target: str) -> dict | None:
+    return _said(spark, f"{target}/{PROGRESS}")
 
 
-def _state(spark: SparkSession, target: str) -> dict:
-    """How far a run is, as its checkpoint says."""
-    done = paged.committed(spark, f"{target}/{CHECKPOINT}")
-    return {"cumulative_records": sum(done.values()), "stream_state": done}
+def _batch(target: str, number: int, size: int) -> dict:
+    return {"last_successful_batch_index": number, "last_successful_batch_size": size, "last_successful_output_path": f"{target}/batch={number}", "total_batches": number + 1}
 
 
 def pull(spark: SparkSession, producer: str, queries: Sequence[str], target: str, run: str, per_batch: int = paged.PER_BATCH, per_task: int = paged.PER_TASK, source: str = "") -> dict:
     """All records that the producer has now, below ``target``; a run that was cut short goes on after its last batch. Returns the manifest."""
-    said = manifest(spark, target)
-    if said and said["completed"]:
-        return said
-    settings = {"run_id": run, "source": source or producer, "producer": producer, "queries": list(dict.fromkeys(queries)), "per_batch": per_batch}
-    if said and (changed := sorted(k for k in settings if said.get(k) != settings[k] and k != "per_batch")):
+    if done := manifest(spark, target):
+        return done
+    said = progress(spark, target)
+    settings = {"run_id": run, "producer": producer, "queries": list(dict.fromkeys(queries)), "per_batch": per_batch, "source": source or producer}
+    if said and (changed := [k for k in SETTINGS if said.get(k) != settings[k]]):
         raise RuntimeError(f"the run was begun with other settings: {', '.join(changed)}")
-    began = said["started_at"] if said else _now()
-    _write(spark, target, {**settings, "completed": False, "started_at": began, "resumed": bool(said), **_state(spark, target)})
+    have = paged.committed(spark, f"{target}/{CHECKPOINT}")
+    now = {**(said or {"started_at": _now()}), **settings, "completed": False, "resumed": bool(said)}
+    _write(spark, f"{target}/{PROGRESS}", {**now, "cumulative_records": sum(have.values()), "stream_state": have})
     spark.dataSource.register(paged.Pages)
-    options = {"producer": producer, "queries": json.dumps(settings["queries"]), "per_batch": per_batch, "per_task": per_task, "start": json.dumps(paged.committed(spark, f"{target}/{CHECKPOINT}"))}
+    options = {"producer": producer, "queries": json.dumps(settings["queries"]), "per_batch": per_batch, "per_task": per_task, "start": json.dumps(have)}
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        size = spark.read.parquet(f"{target}/batch={number}").count()  # from the footers
+        before = paged.committed(spark, f"{target}/{CHECKPOINT}")
+        _write(spark, f"{target}/{PROGRESS}", {**now, **_batch(target, number, size), "cumulative_records": sum(before.values()) + size, "stream_state": before})
 
     stream = observed(spark.readStream.format(paged.Pages.name()).options(**options).load(), "pulled", ("record",))
     query = stream.writeStream.queryName(run).foreachBatch(write).option("checkpointLocation", f"{target}/{CHECKPOINT}").start()
@@ -60,20 +71,21 @@ def pull(spark: SparkSession, producer: str, queries: Sequence[str], target: str
         query.processAllAvailable()
     finally:
         query.stop()
-    each = spark.read.schema("query string, batch int").parquet(target).groupBy("batch").agg(F.count("*").alias("n")) if exists(spark, f"{target}/batch=0") else None
-    sizes = {r.batch: r.n for r in each.collect()} if each is not None else {}  # a row a batch
+    state = paged.committed(spark, f"{target}/{CHECKPOINT}")
+    each = paged.batches(spark, target).groupBy("batch").agg(F.count("*").alias("n")).collect() if exists(spark, f"{target}/batch=0") else []  # a row a batch
+    sizes = {r.batch: r.n for r in each}
+    if sum(sizes.values()) != sum(state.values()):
+        raise RuntimeError(f"{target} holds {sum(sizes.values())} records and its checkpoint says {sum(state.values())}")
     last = max(sizes, default=None)
-    state = _state(spark, target)
-    if sum(sizes.values()) != state["cumulative_records"]:
-        raise RuntimeError(f"{target} holds {sum(sizes.values())} records and its checkpoint says {state['cumulative_records']}")
-    done = {"completed": True, "finished_at": _now(), "total_batches": len(sizes), "last_successful_batch_index": last, "last_successful_batch_size": sizes.get(last, 0), "last_successful_output_path": None if last is None else f"{target}/batch={last}"}
-    return _write(spark, target, {**manifest(spark, target), **state, **done})
+    whole = {**now, "completed": True, "finished_at": _now(), "cumulative_records": sum(state.values()), "stream_state": state, "total_batches": 0, **({} if last is None else _batch(target, last, sizes[last]))}
+    _write(spark, f"{target}/{PROGRESS}", whole)
+    return _write(spark, f"{target}/{MANIFEST}", whole)
 
 
 def _now() -> str:
     return datetime.now(timezone.utc).isoformat(timespec="seconds")
 
 
-def _write(spark: SparkSession, target: str, said: dict) -> dict:
-    write_text(spark, f"{target}/{MANIFEST}", json.dumps(said, indent=1, sort_keys=True))
+def _write(spark: SparkSession, path: str, said: dict) -> dict:
+    write_text(spark, path, json.dumps(said, indent=1, sort_keys=True))
     return said
