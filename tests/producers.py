@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from tidepool.sources.paged import Replayed
+from tidepool.sources.paged import DatasetRows, Replayed
 
 
 class Counted:
@@ -40,3 +40,13 @@ class Reviews(Counted):
         for r in super().read(query, start, end):
             i = r["value"]
             yield {"asin": f"A{i}", "user_id": f"U{i}", "rating": 1 + i % 5, "text": "fine", "timestamp": 1588687728923, "extra": {"of": "the service"}}
+
+
+class Served(DatasetRows):
+    """A dataset of 250 rows; one called short loses its rows from 120 on."""
+
+    def fetch(self, url, params, headers):
+        assert url == self.URL and params["length"] <= 100 and params["split"] == "train"
+        n = 120 if params["dataset"] == "short" else 250
+        at = range(params["offset"], min(params["offset"] + params["length"], n))
+        return {"num_rows_total": 250, "rows": [{"row_idx": i, "row": {"value": i}} for i in at]}

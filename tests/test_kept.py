@@ -112,6 +112,11 @@ def test_producers(spark, tmp_path):
     (query,) = service(tmp_path, a=30)
     with pytest.raises(Exception, match="has records up to 15 now"):
         read("Lossy", query).collect()
+    served = lambda name: json.dumps({"dataset": name, "config": "default", "split": "train"})
+    whole = spark.read.format("tidepool_pages").options(producer="tests.producers:Served", queries=json.dumps([served("whole")]), per_task=130).load()
+    assert whole.rdd.getNumPartitions() == 2 and sorted(json.loads(r.record)["value"] for r in whole.collect()) == list(range(250))
+    with pytest.raises(Exception, match="has records up to"):
+        read("Served", served("short")).collect()
     with pytest.raises(Exception, match="at least 1"):
         spark.read.format("tidepool_pages").options(producer="tests.producers:Counted", per_batch=0).load().collect()
     assert paged.committed(spark, str(tmp_path / "nothing")) == {}

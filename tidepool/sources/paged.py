@@ -57,6 +57,37 @@ class Replayed:
         yield from islice(found, end - start)
 
 
+class DatasetRows:
+    """Rows of hosted datasets by offset, a page at a time; subclasses have ``fetch(url, params, headers) -> dict``.
+
+    A query is a JSON object of dataset, config and split. Only the pages of a task's range are asked for.
+    """
+
+    #: Where rows are served, and how many at once.
+    URL, PAGE = "https://datasets-server.huggingface.co/rows", 100
+
+    def fetch(self, url: str, params: dict, headers: dict) -> dict:
+        raise NotImplementedError
+
+    def headers(self) -> dict:
+        return {}
+
+    def _page(self, query: str, offset: int, length: int) -> dict:
+        return self.fetch(self.URL, {**json.loads(query), "offset": offset, "length": length}, self.headers())
+
+    def available(self, query: str) -> int:
+        return int(self._page(query, 0, 1).get("num_rows_total") or 0)
+
+    def read(self, query: str, start: int, end: int) -> Iterator[dict]:
+        while start < end:
+            rows = self._page(query, start, min(self.PAGE, end - start)).get("rows") or []
+            if not rows:
+                return  # the source tells of records that are lacking
+            for r in rows[: end - start]:
+                yield r["row"]
+            start += len(rows)
+
+
 class Slice(InputPartition):
     def __init__(self, query: str, start: int, end: int):
         super().__init__((query, start, end))
