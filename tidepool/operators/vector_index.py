@@ -101,7 +101,7 @@ def build(
     spark = df.sparkSession
     x = F.col(vector_col).cast("array<double>")
     rows = df.where(F.col(id_col).isNotNull() & usable(x)).select(F.col(id_col).alias("id"), (folded(source_col) if source_col else F.lit("")).alias("source"), unit(x).alias("v"))
-    few = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample)
+    few = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).persist()  # read once, used for the fit and for recall
     model, centroids = _fit(few, cells, seed)
     if model is None:
         raise ValueError("there is no row that can be indexed")
@@ -114,6 +114,7 @@ def build(
     widest = {r.cell: r.angle for r in spark.read.parquet(f"{path}/rows").groupBy("cell").agg(F.max("angle").alias("angle")).collect()}  # a row a cell
     found = spark.read.parquet(f"{path}/rows").join(few.select("id"), "id", "left_semi")
     probes, by_source = _calibrated(found, centroids, few.limit(questions), recall, n)
+    few.unpersist()
     index = VectorIndex(path, len(centroids), probes, by_source, recall, tuple(map(tuple, centroids)), tuple(widest.get(i, -1.0) for i in range(len(centroids))))
     write_text(spark, f"{path}/{ABOUT}", json.dumps({k: v for k, v in asdict(index).items() if k != "path"}))
     return index
