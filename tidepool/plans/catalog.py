@@ -199,7 +199,7 @@ SUMMARY = "SELECT aspect, count(*) AS mention_count, count(*) FILTER (sentiment_
 
 @query(SUMMARY, (SALES, ASPECT_ROWS))
 def aspect_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytics.aspect_summary(sale_reviews(spark, sf_dir))
+    return analytics.aspect_summary(sale_reviews(spark, sf_dir, placed=True), order=["place"])
 
 
 @query(f"SELECT aspect, positive_count FROM ({SUMMARY}) ORDER BY positive_count DESC, mention_count DESC, aspect LIMIT 10", (SALES, ASPECT_ROWS))
