@@ -223,3 +223,32 @@ def test_jaccard_of_common_passages(spark):
     assert len({c for _, c in want.values()}) < len(rows) - 60
     for limits in ((0, 1), (0, 10**6)):  # all holders of a shingle together, by size and at once
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, limits=limits).collect()} == want
+
+
+def test_jaccard_of_a_cluster_fetches_each_set_once(spark, monkeypatch):
+    """Versions of one text that are mostly too different to link, all of which meet: their sets don't travel for each two of them."""
+    import random
+
+    from tidepool.llm import blobs
+    from tidepool.llm import jaccard_join as join
+
+    rng, base = random.Random(7), [f"w{i}" for i in range(200)]
+    versions = [[f"x{d % 2}{i}" if rng.random() < 0.001 + d % 9 / 100 else w for i, w in enumerate(base)] for d in range(60)]
+    rows = [(d, " ".join(w)) for d, w in enumerate(versions)] + [(60 + d, f"other text of its own {d} and nothing else") for d in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want, sent = components_by_pairs(rows), []
+    compared = join._Join.compared
+    of = lambda r: [tuple(x) for x in zip(*(c.tolist() for c in blobs.unpack(bytes(r.data), join._FETCH)))]
+
+    def counted(self, fetch):
+        fetch = blobs.cut(fetch)
+        sent.append({x[:2] for r in fetch.collect() for x in of(r) if x[2] >= join.MEETING})
+        return compared(self, fetch)
+
+    monkeypatch.setattr(join._Join, "compared", counted)
+    for whole in (join.WHOLE, (8, 10**6), (10**6, 3000), None, (1, 1)):
+        sent.clear()
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_components(df, whole=whole).collect()}
+        assert got == want
+        each = len(sent[-1]) / len({d for d, _ in sent[-1]})
+        assert each == 1 if whole == join.WHOLE else each > 1.5, (whole, each)

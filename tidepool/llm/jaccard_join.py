@@ -19,10 +19,14 @@ Jaccard similarity reaches a threshold. The result is the components of links.
    less than its need aside, so any link between groups shows in one of those,
    and passages that many documents share stay aside. Groups that don't meet in
    any such shingle are never opened.
-4. For groups that do, sets of the classes that share the shingle come
-   together, once for all shingles that the same classes share. A class whose
-   overlap with the union of the other groups' sets is below its bound opens
-   none; the others are joined by their rarest shingles among those present.
+4. Groups that do, and what these meet in turn, are a *cluster*. The sets of a
+   cluster come together once, not once for each two of them; a large cluster is
+   dealt out in blocks, and each two blocks come together. Where clusters are so
+   large and so thin that this would send more sets, the classes that share a
+   shingle come together instead, once for all shingles that the same classes
+   share. A class whose overlap with the union of the other groups' sets is
+   below its bound opens none; the others are joined by their rarest shingles
+   among those present.
 
 A shingle that many of a task's classes hold is shared for certain. Those classes
 learn so directly, and the shingle's shard gets one row, which makes it the most
@@ -71,7 +75,7 @@ _KEY = [U, np.int64]  # least hash, document
 _FETCH = [np.int64, U, np.int8, np.int64]  # document, where its set is wanted, as what, group
 _SET = [U, np.int64, np.int8, np.int64, np.int32]  # where, document, as what, group, shingles; extra: shingles
 _TOKEN = [U, np.int64, np.int64, np.int32]  # token, document, group, shingles
-FOLLOWER, LEADER, MEETING, UPPER = range(4)  # UPPER: meets only sets of the size band below
+FOLLOWER, LEADER, MEETING, UPPER, LOWER = range(5)  # UPPER: meets only sets of the size band below, or of another block; LOWER: of that other block
 #: Hash functions of step 2, classes that one task compares with a leader, and shingles a task holds before it sends them.
 FUNCTIONS, PER_LEADER, HELD = 3, 1024, 2_000_000
 #: Parts of those with an equal least hash.
@@ -81,6 +85,8 @@ LOCALLY, MOST = 20, 65535
 #: Possible partners in other groups, on average over a token's holders, beyond which they all meet at once; beyond
 #: so many holders, those of like sizes do.
 PARTNERS, BANDED = 200, 500
+#: Classes of a block of a cluster, and their shingles.
+WHOLE = (1024, 1_000_000)
 
 
 def shingle_sets(flat: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -383,7 +389,7 @@ def _star(leader: np.ndarray, sets: np.ndarray, start: np.ndarray, size: np.ndar
     return den * both >= num * (len(leader) + size - both)
 
 
-def _meeting(doc: np.ndarray, group: np.ndarray, size: np.ndarray, upper: np.ndarray, sets: np.ndarray, share: tuple[int, int], every: bool) -> list[tuple[int, int]]:
+def _meeting(doc: np.ndarray, group: np.ndarray, size: np.ndarray, role: np.ndarray, sets: np.ndarray, share: tuple[int, int], every: bool) -> list[tuple[int, int]]:
     """Links between sets of different groups: a small join of its own, by the rarest elements of each set here.
 
     Unless ``every`` link is asked for, those found join groups.
@@ -406,7 +412,7 @@ def _meeting(doc: np.ndarray, group: np.ndarray, size: np.ndarray, upper: np.nda
     for a in range(len(doc)):
         tokens = back[prefix[mine[a] : mine[a + 1]]]
         near = np.unique(_ragged(holder, bounds[tokens], bounds[tokens + 1] - bounds[tokens]))
-        near = near[(near > a) & (label[near] != label[a]) & ~(upper[near] & upper[a]) & (den * np.minimum(size[near], size[a]) >= num * np.maximum(size[near], size[a]))]
+        near = near[(near > a) & (label[near] != label[a]) & ((role[near] < UPPER) | (role[near] != role[a])) & (den * np.minimum(size[near], size[a]) >= num * np.maximum(size[near], size[a]))]
         while len(near):
             part, near = near[:64], near[64:]
             hit = part[_star(sets[start[a] : start[a] + size[a]], sets, start[part], size[part], share)]
@@ -441,7 +447,7 @@ def _compare(share: tuple[int, int], every: bool):
                 if role[at[-1]] >= MEETING and len(at) <= 6:
                     for i, one in enumerate(at[:-1].tolist()):
                         other = at[i + 1 :]
-                        other = other[(group[other] != group[one]) & ((role[other] < UPPER) | (role[one] < UPPER))]
+                        other = other[(group[other] != group[one]) & ((role[other] < UPPER) | (role[other] != role[one]))]
                         if len(other):
                             hit = other[_star(sets[start[one] : start[one] + size[one]], sets, start[other], size[other], share)]
                             links += [(int(doc[one]), int(d)) for d in doc[hit].tolist()]
@@ -449,7 +455,7 @@ def _compare(share: tuple[int, int], every: bool):
                     # the bound by the groups' unions: what no other group's union shares enough of stays closed
                     at = _open(at, group, size, start, sets, share)
                     if len(at) > 1:
-                        links += _meeting(doc[at], group[at], size[at], role[at] == UPPER, _ragged(sets, start[at], size[at]), share, every)
+                        links += _meeting(doc[at], group[at], size[at], role[at], _ragged(sets, start[at], size[at]), share, every)
                 elif role[at[-1]] == LEADER and len(at) > 1:
                     lead, at = at[-1], at[:-1]
                     hit = at[_star(sets[start[lead] : start[lead] + size[lead]], sets, start[at], size[at], share)]
@@ -570,6 +576,61 @@ def _meet(share: tuple[int, int], n: int, limits: tuple[int, int]):
     return lambda batches: blobs.batches_of(rows(batches))
 
 
+def _forest(partners: int):
+    """Which classes of different groups a shard's tokens bring together: as links of a spanning forest, with the sets that ``_meet`` would send, at most."""
+
+    def rows(batches):
+        token, doc, group, _ = blobs.join([blobs.unpack(data, _TOKEN) for *_, data, _ in blobs.blobs_in(batches)], _TOKEN)
+        if not len(token):
+            return
+        order = np.lexsort((group, token))
+        token, doc, group = token[order], doc[order], group[order]
+        opens = np.append(True, token[1:] != token[:-1])
+        begin = np.flatnonzero(opens)
+        held = np.diff(np.append(begin, len(token)))
+        name = mix(np.add.reduceat(mix(doc), begin) ^ held.astype(U))
+        several = np.flatnonzero(group[begin] != group[begin + held - 1])
+        lists = several[np.unique(name[several], return_index=True)[1]]
+        if not len(lists):
+            return
+        runs = np.flatnonzero(opens | np.append(True, group[1:] != group[:-1]))
+        own = np.diff(np.append(runs, len(token)))
+        pairs = (held * (held - 1) - np.add.reduceat(own * (own - 1), np.searchsorted(runs, begin))) // 2
+        sent = np.where(pairs > partners * held, held, 2 * pairs)[lists]
+        node, at = np.unique(_ragged(doc, begin[lists], held[lists]), return_inverse=True)
+        starts = np.cumsum(held[lists]) - held[lists]
+        label = np.arange(len(node))
+        while True:
+            least = np.minimum.reduceat(label[at], starts)
+            after = label.copy()
+            np.minimum.at(after, at, np.repeat(least, held[lists]))
+            after = after[after]
+            if (after == label).all():
+                break
+            label = after
+        cost = np.bincount(label[at[starts]], sent, len(node)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[label]), pa.array(cost)], names=["a", "b", "sent"])
+
+    return rows
+
+
+def _together(n: int):
+    """The classes of clusters to the places where each two of its blocks come together."""
+
+    def rows(batches):
+        for batch in batches:
+            doc, group, cluster, blocks = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            own = (mix(mix(doc) ^ U(0xB10C)) % blocks.astype(U)).astype(np.int64)
+            other = np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            doc, group, cluster, own = (np.repeat(c, blocks) for c in (doc, group, cluster, own))
+            low, high = np.minimum(own, other), np.maximum(own, other)
+            role = np.where(low == high, MEETING, np.where(own == low, LOWER, UPPER)).astype(np.int8)
+            where = mix(mix(mix(cluster ^ np.int64(0xC1)) + low.astype(U)) + high.astype(U))
+            yield from blobs.deal([doc, where, role, group], blobs.shard_of(mix(doc), n), FETCH)
+
+    return lambda batches: blobs.batches_of(rows(batches))
+
+
 def _prefixes(batches):
     for _, _, data, extra in blobs.blobs_in(batches):
         doc, size, keep = blobs.unpack(data, [np.int64, np.int32, np.int32])
@@ -594,8 +655,8 @@ def _locals(batches):
 class _Join:
     """What both results begin with: texts, classes and their rarest shared tokens, and the comparison of sets that are asked for."""
 
-    def __init__(self, docs: DataFrame, width: int, threshold: tuple[int, int], id_col: str, text_col: str, every: bool = False, limits: tuple[int, int] = (PARTNERS, BANDED)):
-        self.limits = limits
+    def __init__(self, docs: DataFrame, width: int, threshold: tuple[int, int], id_col: str, text_col: str, every: bool = False, limits: tuple[int, int] = (PARTNERS, BANDED), whole: tuple[int, int] | None = WHOLE):
+        self.limits, self.whole = limits, whole
         self.n = n = blobs.shards(docs.sparkSession)
         self.width, self.threshold, self.every = width, threshold, every
         self.texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).where("id is not null")
@@ -621,8 +682,25 @@ class _Join:
         rows = groups.mapInArrow(_exploded, "token long, id long, group long, size long")
         pairs = groups.mapInArrow(_groups, "token long, group long").groupBy("token").agg(F.min("group").alias("least"), F.max("group").alias("most"))
         held_by_several = rows.join(pairs.where("least <> most").select("token"), "token").select("token", "id", "group", "size")
-        held = blobs.exchange(held_by_several.mapInArrow(_tokens(self.n), blobs.ROWS), self.n)
-        return self.compared(held.mapInArrow(_meet(self.threshold, self.n, self.limits), blobs.ROWS))
+        held = blobs.cut(held_by_several)
+        dealt = lambda rows: blobs.exchange(rows.mapInArrow(_tokens(self.n), blobs.ROWS), self.n)
+        if self.whole is None:
+            return self.compared(dealt(held).mapInArrow(_meet(self.threshold, self.n, self.limits), blobs.ROWS))
+        forest = blobs.cut(dealt(held).mapInArrow(_forest(self.limits[0]), "a long, b long, sent long"))
+        clusters = components(forest.select("a", "b"))
+        of = F.col("component")
+        sent = forest.groupBy(F.col("a").alias("node")).agg(F.sum("sent").alias("sent"))
+        own = groups.select(F.col("id").alias("node"), "group", "size").distinct().join(clusters, "node").join(sent, "node")
+        most, shingles = self.whole
+        blocks = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("size") / shingles)).alias("blocks")
+        sizes = own.groupBy(of).agg(blocks, F.count("*").alias("members"), F.sum("sent").alias("sent"))
+        planned = sizes.select(of, F.when((F.col("blocks") == 1) | (F.col("members") * F.col("blocks") <= F.col("sent")), F.col("blocks")).alias("blocks"))
+        planned = blobs.cut(own.join(planned, "component").select("node", "group", "component", "blocks"))
+        fetch = planned.where("blocks is not null").mapInArrow(_together(self.n), blobs.ROWS)
+        thin = planned.where("blocks is null").select(F.col("node").alias("id"))
+        if not thin.isEmpty():
+            fetch = fetch.unionAll(dealt(held.join(thin, "id", "left_semi").select(held.columns)).mapInArrow(_meet(self.threshold, self.n, self.limits), blobs.ROWS))
+        return self.compared(fetch)
 
 
 def jaccard_links(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -643,15 +721,16 @@ def jaccard_links(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int]
     return links, whole.select(id_col, "class_id", "n_links")
 
 
-def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text", limits: tuple[int, int] = (PARTNERS, BANDED)) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, width: int = 5, threshold: tuple[int, int] = (75, 100), id_col: str = "doc_id", text_col: str = "text", limits: tuple[int, int] = (PARTNERS, BANDED), whole: tuple[int, int] | None = WHOLE) -> DataFrame:
     """(id, n_shingles, class_id, component_id) of every document.
 
     class_id: the least id of those with an equal set; component_id: the least
     id reachable by links. ``threshold`` is a fraction of at least one half.
     limits: from how many possible partners a holder of a shingle, and from how
-    many holders, other plans are used; results are the same.
+    many holders, other plans are used. whole: classes and shingles of a block of a
+    cluster; without it, classes meet by shingles alone. Results are the same.
     """
-    j = _Join(docs, width, threshold, id_col, text_col, limits=limits)
+    j = _Join(docs, width, threshold, id_col, text_col, limits=limits, whole=whole)
     parts = blobs.exchange(j.of(KEY), j.n).mapInArrow(_leaders(j.n, True), blobs.ROWS)
     near = blobs.cut(j.compared(blobs.exchange(parts, j.n).mapInArrow(_leaders(j.n, False), blobs.ROWS)))
     del parts
