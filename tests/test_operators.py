@@ -165,3 +165,12 @@ def test_entry_and_catalogue(spark):
     assert __spark_entry__.entry(spark).count() > 0
     names = __spark_entry__.queries()
     assert set(__spark_entry__.oracle_sql()) <= set(names) and len(names) > 40
+
+
+def test_the_filter_of_genuine_reviews_works_rules_out_once(spark):
+    rows = [("a", "Buy now! Click here for a free gift, www.x.com"), ("b", "It works"), ("c", None), ("d", "good " * 12), ("e", "")]
+    d = spark.createDataFrame(rows, "review_id string, review_text string")
+    found = reviews.genuine(d, threshold=0.45).select("review_id")
+    assert sorted(r.review_id for r in found.collect()) == ["b", "c", "d", "e"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter NOT _tp_fake" in plan and not any("Filter" in line and "regexp" in line for line in plan.split("\n"))

@@ -33,7 +33,7 @@ def scored(
     one = df.withColumn("_tp_text", strip(F.coalesce(text, F.lit(""))))
     two = one.withColumn("_tp_low", F.lower(t))
     # in order of the alphabet: a word that occurs four times stands four times in a row
-    three = two.withColumn("_tp_words", F.array_sort(tokens(t)))
+    three = two.withColumn("_tp_words", F.sort_array(tokens(t)))
     counts = three.select(
         *df.columns, t, low,
         F.size(words).alias("size"), F.size(F.array_distinct(words)).alias("distinct"),

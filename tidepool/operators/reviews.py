@@ -87,7 +87,8 @@ def genuine(df: DataFrame, column: str = "review_text", threshold: float = 0.7,
     fake = F.col("risk.label") == "likely_fake"
     if observed is not None:
         found = found.observe(observed, F.count_if(fake).alias("removed_count"))
-    return found.where(~fake).drop("risk")
+    # a filter on the label itself would go below the projections, with all rules' texts and words worked out again wherever they are named
+    return found.withColumn("_tp_fake", F.explode(F.array(fake))).where("not _tp_fake").drop("risk", "_tp_fake")
 
 
 def payload(df: DataFrame) -> DataFrame:
