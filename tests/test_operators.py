@@ -174,3 +174,22 @@ def test_the_filter_of_genuine_reviews_works_rules_out_once(spark):
     assert sorted(r.review_id for r in found.collect()) == ["b", "c", "d", "e"]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Filter NOT _tp_fake" in plan and not any("Filter" in line and "regexp" in line for line in plan.split("\n"))
+
+
+def test_labels_are_looked_for_as_bytes_where_words_are_plain(spark):
+    from tidepool.functions import aspects
+
+    d = spark.createDataFrame([("The lens-zoom", "camera"), ("a set up b", "ease of use"), ("pa?t", None), ("colour", None), ("x.y", None)], "text string, label string")
+    got = d.select("label", aspects.canonical("text").alias("found"), aspects.canonical("text", {"past": ("pa.t",), "any": ("col+ou?r",)}).alias("pattern"))
+    assert [(r.found, r.pattern) for r in got.collect()] == [("camera", None), ("ease of use", None), (None, "past"), (None, "any"), (None, None)]
+    plan = d.select(aspects.canonical("text"))._jdf.queryExecution().analyzed().toString()
+    assert "RLIKE" not in plan.upper() and "CONTAINS" in plan.upper()
+
+
+def test_phrases_of_sentences_are_made_once(spark):
+    from tidepool.functions import aspects
+
+    d = spark.createDataFrame([("a", "The battery lasts. No!"), ("b", None), ("c", "The lens, a zoom.")], "id string, text string")
+    found = aspects.mention_rows(d, "text").select("id", "aspect")
+    assert sorted(tuple(r) for r in found.collect()) == [("a", "battery"), ("c", "camera")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("[^a-z0-9]+") == 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +31,15 @@ KEYWORDS: dict[str, tuple[str, ...]] = {
 RECORD = "array<struct<aspect:string,sentiment:double,quote:string>>"
 
 
+def _has_any(text: Column, words: Iterable[str]) -> Column:
+    """Whether the text has one of the words, which are patterns. Plain ones are looked for as bytes, which costs much less."""
+    words = tuple(dict.fromkeys(words))
+    if not words or not all(re.fullmatch("[a-z0-9 ]+", w) for w in words):
+        return text.rlike("|".join(words))
+    short = [w for w in words if not any(x != w and x in w for x in words)]  # what has another word inside says no more
+    return reduce(lambda x, y: x | y, (F.contains(text, F.lit(w)) for w in short))
+
+
 def canonical(c: ColumnOrName, keywords: Mapping[str, Iterable[str]] = KEYWORDS, exact_first: bool = False) -> Column:
     """The first label of the map that the phrase equals, or contains one of the words of; null if none.
 
@@ -43,7 +53,7 @@ def canonical(c: ColumnOrName, keywords: Mapping[str, Iterable[str]] = KEYWORDS,
 def _canonical(text: Column, keywords: Mapping[str, Iterable[str]], exact_first: bool) -> Column:
     names = {name: tuple(dict.fromkeys((name, *words))) for name, words in keywords.items()}
     equal = [(text.isin(*words), name) for name, words in names.items()]
-    inside = [(text.rlike("|".join(words)), name) for name, words in names.items()]
+    inside = [(_has_any(text, words), name) for name, words in names.items()]
     tests = equal + inside if exact_first else [x for pair in zip(equal, inside) for x in pair]
     out = F.lit(None).cast("string")
     for test, name in reversed(tests):
@@ -114,8 +124,9 @@ def mention_rows(
     """
     others = [c for c in df.columns if c != text]
     cut = df.select(*others, F.posexplode(sentences(strip(F.coalesce(text, F.lit(""))))).alias("sentence", "_tp_sentence"))
-    plain = cut.withColumn("_tp_phrase", phrase("_tp_sentence")).where(F.length("_tp_phrase") >= 4)
-    found = F.array_compact(F.array(*(F.when(F.col("_tp_phrase").rlike("|".join(dict.fromkeys((name, *words)))), F.lit(name)) for name, words in keywords.items())))
+    # exploded, so that filters stay above it and don't work it out again for each label
+    plain = cut.withColumn("_tp_phrase", F.explode(F.array(phrase("_tp_sentence")))).where(F.length("_tp_phrase") >= 4)
+    found = F.array_compact(F.array(*(F.when(_has_any(F.col("_tp_phrase"), (name, *words)), F.lit(name)) for name, words in keywords.items())))
     named = plain.withColumn("_tp_found", found).where(F.size("_tp_found") > 0)
     each = named.select(*others, "sentence", "_tp_found", sentiment.lexicon_score("_tp_sentence", positive, negative).alias("sentiment"), quote("_tp_sentence").alias("quote"))
     return each.select(*others, "sentence", F.explode("_tp_found").alias("aspect"), "sentiment", "quote")
