@@ -246,6 +246,41 @@ def test_best_documents(spark, library, text_at, query, n):
     assert [tuple(r) for r in text_index.best(spark, text_at, query, n).collect()] == [tuple(r) for r in want.collect()]
 
 
+def stages_of(spark):
+    """Spark's own figures of the stages that have run."""
+    context = spark.sparkContext
+    context._jsc.sc().listenerBus().waitUntilEmpty()
+    jvm, gateway = context._jvm, context._gateway
+    found = context._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_text_index_exchanges_texts_and_not_words(spark, tmp_path, monkeypatch):
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(i % 280, " ".join(rng.choices(words, k=400)), f"s{i % 3}" if i < 280 else None) for i in range(300)]  # twenty ids twice
+    df = spark.createDataFrame(rows, "id long, document string, source string").repartition(4).cache()
+    size = sum(len(r[1]) for r in rows)
+    df.count()
+    written = lambda: sum(s.shuffleWriteBytes() for s in stages_of(spark))
+    before = written()
+    text_index.build(df, str(tmp_path / "a"), buckets=4, per_block=100)
+    assert 0 < written() - before < 1.5 * size
+    monkeypatch.setattr(text_index, "WORDS", 1000)
+    index = text_index.build(df, str(tmp_path / "b"), buckets=4, per_block=100)
+    have = {(r.term, r.id, r.source, r.n): sorted(r.places) for r in text_index._matching(index, index.rows(spark), None).collect()}
+    want = {}
+    for i, text, source in rows:
+        for place, term in enumerate(text.split()):
+            want.setdefault((term, i, source), []).append(place)
+    assert have == {(*k, len(v)): sorted(v) for k, v in want.items()}
+    found = text_index.best(spark, index, "w1 w2 w3", 40).collect()
+    counts = {}
+    for (term, i, _), v in want.items():
+        counts[i] = counts.get(i, 0) + len(v) * (term in ("w1", "w2", "w3"))
+    assert [tuple(r) for r in found] == sorted(((i, c) for i, c in counts.items() if c), key=lambda x: (-x[1], x[0]))[:40]
+
+
 def test_vector_index(spark, tmp_path):
     rng = np.random.default_rng(3)
     middles = rng.normal(size=(6, 8))
