@@ -246,6 +246,17 @@ def test_best_documents(spark, library, text_at, query, n):
     assert [tuple(r) for r in text_index.best(spark, text_at, query, n).collect()] == [tuple(r) for r in want.collect()]
 
 
+def operators(plan):
+    """Spark's operators of a plan that has run."""
+    yield plan
+    if plan.nodeName() == "AdaptiveSparkPlan":
+        yield from operators(plan.executedPlan())
+    elif plan.nodeName().endswith("QueryStage"):
+        yield from operators(plan.plan())
+    for i in range(plan.children().size()):
+        yield from operators(plan.children().apply(i))
+
+
 def stages_of(spark):
     """Spark's own figures of the stages that have run."""
     context = spark.sparkContext
@@ -313,6 +324,30 @@ def test_vector_index(spark, tmp_path):
         vector_index.build(df.where("false"), str(tmp_path / "e"))
 
 
+def test_vector_index_compares_blocks_and_keeps_ties(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(3000, 16))
+    v[rng.permutation(3000)[:400]] = v[7]  # more copies than a block's n nearest
+    df = spark.createDataFrame([(i, x.tolist(), "s") for i, x in enumerate(v)], "id long, embedding array<double>, source string")
+    index = vector_index.build(df, str(tmp_path), cells=6, n=5)
+    asked = df.where("id % 10 = 0 or id = 7").select(F.col("id").alias("query_id"), "embedding")
+    for name, value in (("BLOCK", 16 * 8 * 100), ("ASKED", 32), ("HELD", 1000)):
+        monkeypatch.setattr(vector_index, name, value)
+    unit = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    for exact in (True, False):
+        found = vector_index.search(spark, index, asked, 5, exact=exact, probes=None if exact else 6, others=True)
+        near = {}
+        for r in found.collect():
+            near.setdefault(r.query_id, []).append((r.rank, r.id))
+        for i in [7, *range(0, 3000, 10)]:
+            distance = np.round(1 - unit @ unit[i], 12)
+            distance[i] = 9
+            assert [x for _, x in sorted(near[i])] == np.lexsort((np.arange(3000), distance))[:5].tolist()
+    found.collect()
+    joined = [p.metrics().get("numOutputRows").get().value() for p in operators(found._jdf.queryExecution().executedPlan()) if "Join" in p.nodeName()]
+    assert joined and max(joined) < 3000  # blocks meet; rows and questions would make 900,000 pairs
+
+
 # --- jobs, profiles, events -----------------------------------------------------------------------
 
 

@@ -14,23 +14,33 @@ all cells.
 ``search`` probes so many cells. ``exact`` instead opens every cell that could
 hold a nearer row than the n-th found so far: a row of a cell can't be nearer
 to the question than the question's angle to the centroid less the cell's
-widest angle. Questions are rows of a frame, all answered in one job.
+widest angle. Questions are rows of a frame, all answered in one job: rows and
+questions of a cell meet as blocks of bounded size, a matrix product says which
+rows of a block can be among a question's n nearest, and of those alone
+distances are worked out component by component, in their order, as SQL does.
 
 Defined results: rows without an id or vector, with a null, a component that
-isn't finite or length zero aren't indexed and answer nothing; ties go to the
-lesser id; a row isn't its own neighbour if ``others`` is set.
+isn't finite or length zero aren't indexed and answer nothing, nor do questions
+of another number of components; ties go to the lesser id; a row isn't its own
+neighbour if ``others`` is set.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import zlib
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import folded
 from ..functions.values import dot, unit
@@ -43,6 +53,8 @@ SAMPLE, QUESTIONS = 20_000, 200
 MOST_CELLS = 4096
 #: Angles are compared with this allowance for rounding.
 SLACK = 1e-9
+#: Bytes of a block of vectors, questions of a block, tasks that a cell's questions are packed in, and products or components that are held at once.
+BLOCK, ASKED, DEALT, HELD = 1 << 22, 1024, 4, 1 << 22
 
 
 @dataclass(frozen=True)
@@ -152,7 +164,7 @@ def search(
 ) -> DataFrame:
     """(query_id, rank, id, distance): the n nearest rows of each question, of one source if it is given."""
     x = F.col(vector_col).cast("array<double>")
-    q = asked.where(usable(x)).select(F.col(id_col).alias("query_id"), unit(x).alias("q"))
+    q = asked.where(usable(x) & (F.size(x) == len(index.centroids[0]))).select(F.col(id_col).alias("query_id"), unit(x).alias("q"))
     near = F.array_sort(_angles(F.col("q"), [list(c) for c in index.centroids]))
     probed = q.withColumn("_near", near)
     own = index.by_source.get(source.strip().lower(), index.cells) if source else index.probes
@@ -160,20 +172,96 @@ def search(
         found = _opened(spark, index, probed, n, source, others)
     else:
         pairs = probed.select("query_id", "q", F.explode(F.transform(F.slice("_near", 1, max(1, min(index.cells, probes or own))), lambda a: a["cell"])).alias("cell"))
-        found = _scored(spark, index, pairs, source, others)
+        found = _scored(spark, index, pairs, n, source, others)
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
     return ranked.select("query_id", "rank", "id", "distance")
 
 
-def _scored(spark: SparkSession, index: VectorIndex, pairs: DataFrame, source: str | None, others: bool) -> DataFrame:
+def _scored(spark: SparkSession, index: VectorIndex, pairs: DataFrame, n: int, source: str | None, others: bool) -> DataFrame:
+    """(query_id, id, cell, distance) of the n nearest rows in every block of a question's cells."""
     rows = index.rows(spark)
     if source:
         rows = rows.where(F.col("source") == source.strip().lower())
-    both = rows.join(pairs, "cell")
-    if others:
-        both = both.where(F.col("id") != F.col("query_id"))
-    return both.select("query_id", "id", "cell", (F.lit(1.0) - dot("q", "v")).alias("distance"))
+    asked_type, id_type, dimensions = pairs.schema["query_id"].dataType, rows.schema["id"].dataType, len(index.centroids[0])
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, -(-parts // index.cells))  # a cell's blocks are dealt out to so many tasks
+    field = lambda name, kind: T.StructField(name, kind)
+    of_row = T.StructType([field("cell", T.IntegerType()), field("salt", T.IntegerType()), field("ids", T.ArrayType(id_type)), field("vs", T.BinaryType())])
+    of_asked = T.StructType([field("cell", T.IntegerType()), field("query_ids", T.ArrayType(asked_type)), field("own", T.ArrayType(id_type)), field("qs", T.BinaryType())])
+    blocks = rows.select(F.col("cell").cast("int"), "id", "v").mapInArrow(_packer(max(1, BLOCK // (8 * dimensions)), 1, salts), of_row)
+    dealt = pairs.select(F.col("cell").cast("int"), "query_id", F.col("query_id").try_cast(id_type).alias("own"), "q").repartition("cell", F.pmod(F.xxhash64("query_id"), F.lit(DEALT)))
+    questions = dealt.sortWithinPartitions("cell").mapInArrow(_packer(ASKED, 2, None), of_asked)
+    both = blocks.join(questions.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))), ["cell", "salt"]).select("cell", "ids", "vs", "query_ids", "own", "qs")
+    out = T.StructType([field("query_id", asked_type), field("id", id_type), field("cell", T.IntegerType()), field("distance", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, vs, qs = (batch.column(c).to_pylist() for c in ("cell", "vs", "qs"))
+            for i in range(batch.num_rows):
+                ids, asked, own = (batch.column(c)[i].values for c in ("ids", "query_ids", "own"))
+                v, q = (np.frombuffer(x[i], np.float64).reshape(-1, dimensions) for x in (vs, qs))
+                for question, row, distance in _nearest(v, q, n, _same(own, ids) if others else None):
+                    yield pa.RecordBatch.from_arrays([asked.take(pa.array(question)), ids.take(pa.array(row)), pa.array([cell[i]] * len(row), pa.int32()), pa.array(distance)], names=out.names)
+
+    found = both.mapInArrow(run, out)
+    return found.where(F.col("id") != F.col("query_id")) if others else found
+
+
+def _packer(most: int, ids: int, salts: int | None):
+    """Rows of (cell, columns of ids, vector) as rows of so many at most of one cell, in the order of the first ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order = pc.sort_indices(batch, [("cell", "ascending"), (batch.schema.names[1], "ascending")])
+            batch = batch.take(order)
+            cells, v = batch.column(0).to_numpy(), batch.column(1 + ids)
+            flat, width = v.flatten().to_numpy(), len(v[0]) if batch.num_rows else 0
+            at = 0
+            while at < len(cells):
+                end = min(at + most, int(np.searchsorted(cells, cells[at], "right")))
+                packed = flat[at * width : end * width].tobytes()
+                salt = [] if salts is None else [pa.array([zlib.crc32(packed) % salts], pa.int32())]
+                lists = [pa.ListArray.from_arrays(pa.array([0, end - at], pa.int32()), batch.column(k).slice(at, end - at)) for k in range(1, 1 + ids)]
+                columns = [pa.array([cells[at]], pa.int32()), *salt, *lists, pa.array([packed], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["cell", *([] if salts is None else ["salt"]), *(["ids"] if ids == 1 else ["query_ids", "own"]), "vs" if ids == 1 else "qs"])
+                at = end
+
+    return run
+
+
+def _same(own: pa.Array, ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(question, row) where a question's id is a row's."""
+    left = pa.table({"id": own, "question": pa.array(np.arange(len(own)))})
+    both = left.join(pa.table({"id": ids, "row": pa.array(np.arange(len(ids)))}), "id", join_type="inner", use_threads=False)
+    return both["question"].to_numpy(), both["row"].to_numpy()
+
+
+def _nearest(v: np.ndarray, q: np.ndarray, n: int, same: tuple[np.ndarray, np.ndarray] | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(question, row, distance) of the n nearest rows of each question, ties to the lesser row.
+
+    The products' sums may be taken in any order, so rows within their rounding of the n-th are compared again.
+    """
+    step, slack = max(1, HELD // len(v)), 1e-15 * (v.shape[1] + 16)
+    for low in range(0, len(q), step):
+        some = q[low : low + step]
+        near = some @ v.T
+        if same is not None:
+            here = (same[0] >= low) & (same[0] < low + step)
+            near[same[0][here] - low, same[1][here]] = -np.inf
+        least = np.partition(near, len(v) - n, axis=1)[:, len(v) - n] if len(v) > n else np.full(len(some), -np.inf)
+        question, row = np.nonzero(near >= np.maximum(least - slack, -2.0)[:, None])  # without the rows left out
+        distance = np.empty(len(row))
+        for at in range(0, len(row), held := max(1, HELD // v.shape[1])):
+            a, b = some[question[at : at + held]], v[row[at : at + held]]
+            total = np.zeros(len(a))
+            for k in range(v.shape[1]):
+                total += a[:, k] * b[:, k]
+            distance[at : at + held] = 1.0 - total
+        order = np.lexsort((row, distance, question))
+        question, row, distance = question[order], row[order], distance[order]
+        kept = np.arange(len(row)) - np.searchsorted(question, question) < n
+        yield question[kept] + low, row[kept], distance[kept]
 
 
 def _opened(spark: SparkSession, index: VectorIndex, probed: DataFrame, n: int, source: str | None, others: bool) -> DataFrame:
@@ -183,10 +271,10 @@ def _opened(spark: SparkSession, index: VectorIndex, probed: DataFrame, n: int,
     widest = F.from_json(F.lit(json.dumps(list(index.widest))), "array<double>")
     least = F.greatest(F.lit(0.0), F.col("angle") - F.get(widest, F.col("cell")))  # no row of the cell is nearer than this angle
     cells = cells.where(F.get(widest, F.col("cell")) >= 0).withColumn("least", F.lit(1.0) - F.cos(F.least(least, F.lit(math.pi))))
-    begun = _scored(spark, index, cells.where(F.col("at") < guess).select("query_id", "q", "cell"), source, others)
+    begun = _scored(spark, index, cells.where(F.col("at") < guess).select("query_id", "q", "cell"), n, source, others)
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     kept = begun.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n)
     far = kept.groupBy("query_id").agg(F.when(F.count("*") == n, F.max("distance")).alias("far"))
     rest = cells.where(F.col("at") >= guess).join(far, "query_id", "left").where(F.col("far").isNull() | (F.col("least") <= F.col("far") + SLACK))
-    more = _scored(spark, index, rest.select("query_id", "q", "cell"), source, others)
+    more = _scored(spark, index, rest.select("query_id", "q", "cell"), n, source, others)
     return kept.select("query_id", "id", "cell", "distance").unionByName(more)
