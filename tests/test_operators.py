@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -125,6 +126,18 @@ def test_embeddings_and_hybrid_search_equal_plain_ones(spark):
     assert best and [r.id for r in found] == [r[2] for r in sorted((round(d, 12), k, k) for level, d, k in rows if level == best)][:7]
 
 
+def test_hashing_holds_a_few_texts_at_a_time():
+    rng = random.Random(5)
+    texts = [" ".join(f"{rng.randrange(5000)}" for _ in range(400)) for _ in range(4000)] + [""]
+    hashed = retrieval.Hashed(32)
+    tracemalloc.start()
+    got = hashed(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6 and got.shape == (4001, 32)
+    assert all(got[i].tolist() == pytest.approx(plain_vector(texts[i], 32)) for i in (0, 1999, 3999, 4000))
+
+
 def test_eda(df):
     assert eda.top_products(df).first().review_count == 2
     assert sum(r.percent for r in eda.shares(df, "source").collect()) == pytest.approx(100, abs=0.01)

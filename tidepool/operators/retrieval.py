@@ -7,7 +7,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -31,10 +32,10 @@ def query_terms(query: str) -> list[str]:
 
 
 class Hashed:
-    """Unit vectors of texts: each token adds to two places. Tokens are numbered and hashed once, vectors are summed a batch at a time."""
+    """Unit vectors of texts: each token adds to two places. Tokens are numbered and hashed once, vectors are summed a few texts at a time."""
 
-    #: Tokens that are remembered, and cells of a batch's sums.
-    MOST, CELLS = 200_000, 1 << 22
+    #: Tokens that are remembered; cells of sums and characters of texts that are taken at a time, so memory doesn't grow with a batch.
+    MOST, CELLS, CHARACTERS = 100_000, 1 << 19, 1 << 20
 
     def __init__(self, dimensions: int):
         self.dimensions = dimensions
@@ -51,10 +52,16 @@ class Hashed:
         return self.numbers[token]
 
     def __call__(self, texts: list[str]) -> np.ndarray:
-        step = max(1, self.CELLS // self.dimensions)
-        parts = [self._some(texts[at : at + step]) for at in range(0, len(texts), step)]
+        parts = [self._some(texts[a:b]) for a, b in self.steps(np.fromiter(map(len, texts), np.int64, len(texts)))]
         return np.concatenate(parts) if parts else np.zeros((0, self.dimensions))
 
+    def steps(self, sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Bounds of texts that are taken together: so many characters, or one text."""
+        until, most, at = np.cumsum(sizes), max(1, self.CELLS // self.dimensions), 0
+        while at < len(sizes):
+            end = int(np.searchsorted(until, (until[at - 1] if at else 0) + self.CHARACTERS, "right"))
+            yield at, (at := max(at + 1, min(end, at + most, len(sizes))))
+
     def _some(self, texts: list[str]) -> np.ndarray:
         if len(self.rows) > self.MOST:
             self.forget()
@@ -70,15 +77,17 @@ class Hashed:
 
 
 def embedding(c: str | Column, dimensions: int = DIMENSIONS) -> Column:
-    """A unit vector of hashed tokens. BLAKE2b isn't among Spark's functions, so this is an Arrow-batched UDF."""
+    """A unit vector of hashed tokens. BLAKE2b isn't among Spark's functions, so this is a UDF over Arrow arrays, of which a few texts at a time become strings."""
     if dimensions < LEAST_DIMENSIONS:
         raise ValueError(f"dimensions must be at least {LEAST_DIMENSIONS}")
 
-    @F.pandas_udf("array<double>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<double>")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hashed = Hashed(dimensions)
         for batch in batches:
-            yield pd.Series(list(hashed(batch.fillna("").tolist())), batch.index)
+            sizes = pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False)
+            parts = [hashed([t or "" for t in batch.slice(a, b - a).to_pylist()]).ravel() for a, b in hashed.steps(sizes)]
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1) * dimensions, pa.int32()), pa.array(np.concatenate([np.zeros(0), *parts])))
 
     return encode(F.col(c) if isinstance(c, str) else c)
 
