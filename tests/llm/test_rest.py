@@ -235,3 +235,21 @@ def plain_top_k_fast(rows, k):
     score[np.arange(len(score)), np.arange(0, len(c), 20)] = -(2**62)
     order = [np.lexsort((np.arange(len(c)), -row))[:k] for row in score]
     return {20 * i: [(r + 1, int(j), int(score[i, j])) for r, j in enumerate(o)] for i, o in enumerate(order)}
+
+
+def test_pieces_are_looked_for_by_length_over_all_units(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from tidepool.llm import sentencepiece
+
+    rng, pieces, calls = random.Random(9), sentencepiece.load(sentencepiece.MODEL), []
+    units = ["".join(rng.choices("abcdeéß世🙂1", k=n)) for n in range(1, 40) for _ in range(3)]
+    parts = [u.encode() for u in units]
+    probe = sentencepiece.Pieces.probe
+    monkeypatch.setattr(sentencepiece.Pieces, "probe", lambda self, h: calls.append(len(h)) or probe(self, h))
+    flat = np.frombuffer(b" ".join(parts), np.uint8)
+    ids, _ = sentencepiece.Encoder(pieces).encode(flat, np.array([0, len(flat)]))
+    assert len(calls) <= 3 * pieces.longest
+    assert ids.tolist() == [i for p in parts for i in pieces.segment_one((b" " if pieces.dummy or p is not parts[0] else b"") + p)]

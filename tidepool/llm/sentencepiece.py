@@ -3,9 +3,9 @@
 Texts are cut into units: a run of spaces (each a word mark) and what follows
 up to the next space; no piece crosses a unit's start. Long units (text
 without spaces) are cut again wherever no piece of the vocabulary can cross.
-Distinct units of equal length in bytes advance together, very long ones with
-others of like length: hashes of all substrings that end at a place
-probe the sorted hashes of the pieces, and the maximum over starts gives the
+Distinct units advance together, very long ones with others of like length:
+hashes of all their substrings of a length probe the sorted hashes of the
+pieces, and at each place the maximum over the pieces that end there gives the
 best score and a backpointer. A character without a piece of its own costs a
 penalty and is written as byte pieces, so every text can be encoded.
 
@@ -39,8 +39,8 @@ MARK = "▁".encode()
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 PENALTY = 10.0  # a fixed value: what an unknown character costs below the least score
 #: Units of more bytes are cut again, and advance with others up to a quarter longer; fewer of those than ``FEW`` go place by
-#: place in a plain loop over the same recurrence. Distinct units that a task remembers; cells of a batch.
-LONG, FEW, REMEMBERED, CELLS = 96, 16, 300_000, 2_000_000
+#: place in a plain loop over the same recurrence. Distinct units that a task remembers; bytes of units that advance together.
+LONG, FEW, REMEMBERED, CELLS = 96, 16, 300_000, 1 << 17
 
 
 def _fields(data: bytes):
@@ -154,63 +154,71 @@ class Pieces:
         of = np.searchsorted(np.cumsum(size), places, "right")
         return places - (np.cumsum(size) - size)[of] + start[of], of
 
-    def segment(self, flat: np.ndarray, start: np.ndarray, length: int, size: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Units of one length, or of at most that and their own size: ids row by row, and how many each has."""
-        m = len(start)
-        size = np.full(m, length) if size is None else size
-        hashes = Prefixes(flat)
-        best = np.full((length + 1, m), -np.inf)
-        back = np.zeros((length + 1, m), np.int32)
-        piece = np.full((length + 1, m), -1, np.int32)
-        best[0] = 0
-        grid = flat[start[:, None] + np.arange(length)].T  # by place, then unit
-        whole = np.where(grid < 0x80, 1, np.where(grid < 0xE0, 2, np.where(grid < 0xF0, 3, 4)))
-        whole[(grid & 0xC0) == 0x80] = 0
-        single = np.zeros((length, m), bool)
-        for j in range(1, length + 1):
-            low = max(0, j - self.longest)
-            for i in range(low, j):
-                units = np.flatnonzero(np.isfinite(best[i]))
-                if not len(units):
-                    continue
-                at, where = self.probe(hashes(start[units] + i, start[units] + j))
-                units = units[at]
-                single[i, units] |= whole[i, units] == j - i
-                score = best[i, units] + self.scores[where]
-                better = score > best[j, units]
-                units, where = units[better], where[better]
-                best[j, units], back[j, units], piece[j, units] = score[better], i, self.ids[where]
-            for n in (1, 2, 3, 4):  # characters of their own, in bytes
-                if (i := j - n) < 0:
-                    continue
-                units = np.flatnonzero((whole[i] == n) & ~single[i] & np.isfinite(best[i]))
-                if len(units):
-                    score = best[i, units] + self.penalty
-                    better = score > best[j, units]
-                    units = units[better]
-                    best[j, units], back[j, units], piece[j, units] = score[better], i, -1
-        ids, unit, order = [], [], []
-        at, rows = size.copy(), np.arange(m)
+    def segment(self, own: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Units end to end, of these sizes: ids unit by unit, and how many each has.
+
+        Pieces are looked for by length, over all units at once; then units advance together from end to end of pieces.
+        """
+        m, all_ = len(size), np.arange(len(own))
+        first = np.cumsum(size) - size
+        unit, stop = np.repeat(np.arange(m), size), np.repeat(first + size, size)
+        whole = np.where(own < 0x80, 1, np.where(own < 0xE0, 2, np.where(own < 0xF0, 3, 4)))
+        whole[(own & 0xC0) == 0x80] = 0
+        hashes, single, at = Prefixes(own), np.zeros(len(own), bool), np.flatnonzero(whole)
+        starts, lengths, wheres = [], [], []
+        for length in range(1, self.longest + 1):
+            at = at[at + length <= stop[at]]
+            hit, where = self.probe(hashes(at, at + length))
+            found = at[hit]
+            single[found[whole[found] == length]] = True
+            starts.append(found)
+            lengths.append(np.full(len(found), length))
+            wheres.append(where)
+        alone = np.flatnonzero((whole > 0) & ~single & (all_ + whole <= stop))  # characters of their own, in bytes
+        where = np.concatenate(wheres)
+        start, length = np.concatenate([*starts, alone]), np.concatenate([*lengths, whole[alone]])
+        score = np.concatenate([self.scores[where], np.full(len(alone), self.penalty)])
+        ids = np.concatenate([self.ids[where], np.full(len(alone), -1, np.int32)])
+        end = start + length
+        place = end - first[unit[start]]
+        # by place, unit, pieces first, and the earlier start first
+        by = np.argsort(((place * (len(own) + 1) + end) * 2 + (ids < 0)) * (self.longest + 5) - length)
+        score, ids, place, shift = score[by], ids[by], place[by], unit[start[by]]
+        begin, end = start[by] + shift, end[by] + shift  # a unit has a place more than bytes
+        heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(end)), bool), end[1:] != end[:-1]]))
+        ends = np.append(heads[1:], len(end))
+        best, chosen = np.full(len(own) + m, -np.inf), np.zeros(len(own) + m, np.int64)
+        best[first + np.arange(m)] = 0
+        cuts = np.searchsorted(place[heads], np.arange(1, int(size.max()) + 2))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            if a == b:
+                continue
+            low, high = heads[a], ends[b - 1]
+            total = best[begin[low:high]] + score[low:high]
+            top = np.maximum.reduceat(total, heads[a:b] - low)
+            at = np.flatnonzero(total == np.repeat(top, ends[a:b] - heads[a:b]))
+            at = at[np.searchsorted(at, heads[a:b] - low)]  # of equal ones the first
+            best[end[heads[a:b]]], chosen[end[heads[a:b]]] = top, at + low
+        out, of, order = [], [], []
+        at, rows = first + size + np.arange(m), np.arange(m)
+        opens = first + np.arange(m)
         while len(rows):
-            j = at[rows]
-            i = back[j, rows]
-            p = piece[j, rows]
+            c = chosen[at[rows]]
+            i, p = begin[c], ids[c]
             known = p >= 0
-            ids.append(p[known])
-            unit.append(rows[known])
+            out.append(p[known])
+            of.append(rows[known])
             order.append(i[known])
             if not known.all():
-                r, a, b = rows[~known], i[~known], j[~known]
-                reps = b - a
+                r, a, reps = rows[~known], i[~known], (end - begin)[c[~known]]
                 r, a = np.repeat(r, reps), np.repeat(a, reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                ids.append(self.bytes[grid[a, r]])
-                unit.append(r)
+                out.append(self.bytes[own[a - r]])
+                of.append(r)
                 order.append(a)
             at[rows] = i
-            rows = rows[i > 0]
-        ids, unit, order = (np.concatenate(x) for x in (ids, unit, order))
-        by = np.lexsort((order, unit))
-        return ids[by].astype(np.int32), np.bincount(unit, minlength=m)
+            rows = rows[i > opens[rows]]
+        by = np.argsort(np.concatenate(order))
+        return np.concatenate(out)[by].astype(np.int32), np.bincount(np.concatenate(of), minlength=m)
 
     def segment_one(self, text: bytes) -> list[int]:
         """The same recurrence for one long unit."""
@@ -268,20 +276,19 @@ class Encoder:
         ids, rows_of, counts = [], [], np.zeros(len(part), np.int64)
         order = np.argsort(size, kind="stable")
         by = size[order]
-        a = 0
+        until, a = np.cumsum(by), 0
         while a < len(by):
-            longest = int(by[a]) if by[a] <= LONG else int(by[a] * 5 // 4)
-            b = min(int(np.searchsorted(by, longest, "right")), a + max(1, CELLS // (longest + 1)))
+            longest = LONG if by[a] <= LONG else int(by[a] * 5 // 4)
+            b = min(int(np.searchsorted(by, longest, "right")), max(a + 1, int(np.searchsorted(until, until[a] - by[a] + CELLS, "right"))))
             rows, length = order[a:b], int(by[b - 1])
             if length > LONG and len(rows) < FEW:
                 got = [self.pieces.segment_one(flat[part[r] : part[r] + size[r]].tobytes()) for r in rows.tolist()]
                 ids.append(np.array([i for g in got for i in g], np.int32))
                 counts[rows] = [len(g) for g in got]
             else:
-                # only the parts' own bytes, end to end, as many for each
-                step = np.arange(length)
-                own = np.where(step < size[rows][:, None], flat[np.minimum(part[rows][:, None] + step, len(flat) - 1)], 0).astype(np.uint8).ravel()
-                found, counts[rows] = self.pieces.segment(own, np.arange(len(rows)) * length, length, size[rows])
+                # only the parts' own bytes, end to end
+                own, _ = gather(flat, part[rows], part[rows] + size[rows])
+                found, counts[rows] = self.pieces.segment(own, size[rows])
                 ids.append(found)
             rows_of.append(rows)
             a = b
