@@ -324,6 +324,28 @@ def test_vector_index(spark, tmp_path):
         vector_index.build(df.where("false"), str(tmp_path / "e"))
 
 
+def test_vector_index_keeps_its_recall_for_few_questions(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    v = rng.normal(size=(500, 64))  # neighbours are in many cells, and some questions find far fewer than others
+    df = spark.createDataFrame([(i, x.tolist(), "a" if i % 2 else "b") for i, x in enumerate(v)], "id long, embedding array<double>, source string").persist()
+    vector_index.build(df, str(tmp_path), cells=16)
+    index = vector_index.VectorIndex.open(spark, str(tmp_path))
+    assert index.probes == index.by_set[-1] < index.by_set[2] and list(index.by_set) == sorted(index.by_set, reverse=True) and index.by_source.keys() == {"a", "b"}
+    unit = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    near = unit @ unit.T
+    np.fill_diagonal(near, -9)
+    true = np.argsort(-near, axis=1)[:, :10]
+    for r in range(8):
+        asked = df.where(F.col("id") % 100 == r).select(F.col("id").alias("query_id"), "embedding")
+        found = {(x.query_id, x.id) for x in vector_index.search(spark, index, asked, 10, others=True).collect()}
+        assert sum((i, int(j)) in found for i in range(r, 500, 100) for j in true[i]) >= 0.9 * 50, r
+    # copies of five questions are a set of five
+    copies = df.where("id % 100 = 0").select(F.explode(F.sequence(F.lit(0), F.lit(99))).alias("copy"), "id", "embedding")
+    copied = vector_index.search(spark, index, copies.select((F.col("id") * 1000 + F.col("copy") + 1000).alias("query_id"), "embedding"), 10)
+    alone = vector_index.search(spark, index, df.where("id % 100 = 0").select((F.col("id") * 1000 + 1000).alias("query_id"), "embedding"), 10)
+    assert sorted(map(tuple, copied.where("query_id % 1000 = 0").collect())) == sorted(map(tuple, alone.collect()))
+
+
 def test_vector_index_compares_blocks_and_keeps_ties(spark, tmp_path, monkeypatch):
     rng = np.random.default_rng(8)
     v = rng.normal(size=(3000, 16))

@@ -7,11 +7,15 @@ reads the folders of the cells that it probes and, in those, the row groups of
 its source. ``build`` also measures within that sample, for a bounded number of
 its rows as questions, how many cells must be probed to find ``recall`` of
 their nearest rows, over all and in each source, and keeps those numbers with
-the index. In a sample neighbours are further apart than among all rows, so
-the numbers are on the safe side; a source that the sample lacks is searched in
-all cells.
-
-``search`` probes so many cells. ``exact`` instead opens every cell that could
+the index. What few questions find differs from what others find, so a number
+is enough only if the mean less ``SURE`` standard errors is: of the measured
+questions' mean and of that of the questions to come, of which fewer vary more.
+Numbers are kept for sets of 1, 2, 4 and more questions. In a sample neighbours
+are further apart than among all rows, which is on the safe side; a source that
+the sample lacks is searched in all cells.
+
+``search`` probes as many cells as its set of questions needs, where questions
+that repeat make a smaller set. ``exact`` instead opens every cell that could
 hold a nearer row than the n-th found so far: a row of a cell can't be nearer
 to the question than the question's angle to the centroid less the cell's
 widest angle. Questions are rows of a frame, all answered in one job: rows and
@@ -31,7 +35,7 @@ import json
 import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +53,8 @@ from ..sources.readers import read_text, write_text
 ABOUT = "_index.json"
 #: Rows that centroids are fitted on and that recall is measured for; both bounds are parameters of ``build``.
 SAMPLE, QUESTIONS = 20_000, 200
+#: Standard errors by which a measured recall must lie above the promised one, and the sizes of sets of questions that numbers of probes are kept for.
+SURE, SETS = 3.0, tuple(1 << i for i in range(11))
 #: Questions and centroids are compared in the driver's plan as literals; so many cells at most.
 MOST_CELLS = 4096
 #: Angles are compared with this allowance for rounding.
@@ -66,6 +72,9 @@ class VectorIndex:
     recall: float
     centroids: tuple[tuple[float, ...], ...]
     widest: tuple[float, ...]
+    #: Probes for sets of ``SETS`` questions; ``probes`` and ``by_source`` are those of the largest. An index written without them has only those.
+    by_set: tuple[int, ...] = ()
+    by_source_set: dict[str, tuple[int, ...]] = field(default_factory=dict)
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> VectorIndex:
@@ -73,11 +82,20 @@ class VectorIndex:
         if said is None:
             raise FileNotFoundError(f"no vector index at {path}")
         about = json.loads(said)
-        return cls(**{**about, "path": path, "centroids": tuple(map(tuple, about["centroids"])), "widest": tuple(about["widest"])})
+        sets = {"by_set": tuple(about.get("by_set", ())), "by_source_set": {k: tuple(v) for k, v in about.get("by_source_set", {}).items()}}
+        return cls(**{**about, "path": path, "centroids": tuple(map(tuple, about["centroids"])), "widest": tuple(about["widest"]), **sets})
 
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/rows")
 
+    def enough(self, source: str | None, asked: Column) -> Column:
+        """The number of probes for a set of so many questions."""
+        if source is not None:
+            last, of = self.by_source.get(source, self.cells), self.by_source_set.get(source, ())
+        else:
+            last, of = self.probes, self.by_set
+        return F.coalesce(*(F.when(asked >= size, F.lit(probes)) for size, probes in reversed(list(zip(SETS, of)))), F.lit(self.cells if of else last))
+
 
 def usable(c: Column) -> Column:
     """Vectors that have a direction."""
@@ -125,15 +143,16 @@ def build(
     placed.repartition(parts, "cell", F.pmod(F.xxhash64("id"), F.lit(max(1, parts // 8)))).sortWithinPartitions("cell", "source", "id").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
     widest = {r.cell: r.angle for r in spark.read.parquet(f"{path}/rows").groupBy("cell").agg(F.max("angle").alias("angle")).collect()}  # a row a cell
     found = spark.read.parquet(f"{path}/rows").join(few.select("id"), "id", "left_semi")
-    probes, by_source = _calibrated(found, centroids, few.limit(questions), recall, n)
+    by_set, by_source_set = _calibrated(found, centroids, few.limit(questions), recall, n)
     few.unpersist()
-    index = VectorIndex(path, len(centroids), probes, by_source, recall, tuple(map(tuple, centroids)), tuple(widest.get(i, -1.0) for i in range(len(centroids))))
+    by_source = {k: v[-1] for k, v in by_source_set.items()}
+    index = VectorIndex(path, len(centroids), by_set[-1], by_source, recall, tuple(map(tuple, centroids)), tuple(widest.get(i, -1.0) for i in range(len(centroids))), by_set, by_source_set)
     write_text(spark, f"{path}/{ABOUT}", json.dumps({k: v for k, v in asdict(index).items() if k != "path"}))
     return index
 
 
-def _calibrated(rows: DataFrame, centroids: list[list[float]], asked: DataFrame, recall: float, n: int) -> tuple[int, dict[str, int]]:
-    """The least numbers of probes that find ``recall`` of the n nearest ``rows`` of the questions: over all, and by source."""
+def _calibrated(rows: DataFrame, centroids: list[list[float]], asked: DataFrame, recall: float, n: int) -> tuple[tuple[int, ...], dict[str, tuple[int, ...]]]:
+    """The least numbers of probes that surely find ``recall`` of the n nearest ``rows`` of sets of ``SETS`` questions: over all, and by source."""
     order = F.transform(F.array_sort(_angles(F.col("v"), centroids)), lambda a: a["cell"])
     questions = [[r.id, list(r.v), list(r.cells)] for r in asked.select(F.col("id").cast("string").alias("id"), "v", order.alias("cells")).collect()]  # as many as the caller bounds
     table = F.from_json(F.lit(json.dumps([{"id": i, "q": v, "cells": c} for i, v, c in questions])), "array<struct<id:string,q:array<double>,cells:array<int>>>")
@@ -141,21 +160,32 @@ def _calibrated(rows: DataFrame, centroids: list[list[float]], asked: DataFrame,
     pairs = pairs.select("source", F.col("a.id").alias("query"), "id", dot("v", "a.q").alias("near"), F.array_position("a.cells", F.col("cell")).alias("probe"))
     place = lambda *by: F.row_number().over(Window.partitionBy("query", *by).orderBy(F.desc("near"), "id"))
     nearest = pairs.withColumn("r", place("source")).where(F.col("r") <= n).withColumn("all", place() <= n)
-    counts: dict[str | None, dict[int, int]] = {}
-    for r in nearest.groupBy("source", "probe").agg(F.count("*").alias("n"), F.count_if("all").alias("all")).collect():  # a row a source and cell at most
-        for key, found in ((r.source, r.n), (None, r["all"])):
-            of = counts.setdefault(key, {})
-            of[r.probe] = of.get(r.probe, 0) + found
-
-    def least(found: dict[int, int]) -> int:
-        so_far, total = 0, sum(found.values())
+    nearest = nearest.select("query", "probe", "source", F.explode(F.when(F.col("all"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))).alias("all"))
+    nearest = nearest.withColumn("source", F.when(~F.col("all"), F.col("source")))
+    # a question's share of t grows by 1/t with its i-th hit, and the square of its share by (2i - 1)/t^2
+    w = Window.partitionBy("all", "source", "query")
+    hits = nearest.withColumn("i", F.row_number().over(w.orderBy("probe"))).withColumn("t", F.count("*").over(w))
+    grown = hits.groupBy("all", "source", "probe").agg(F.sum(1 / F.col("t")).alias("share"), F.sum((2 * F.col("i") - 1) / (F.col("t") * F.col("t"))).alias("square"), F.count_if(F.col("i") == 1).alias("asked"))
+    found: dict[tuple[bool, str | None], dict[int, tuple[float, float, int]]] = {}
+    for r in grown.collect():  # a row a source and cell at most
+        found.setdefault((r["all"], r.source), {})[r.probe] = (r.share, r.square, r.asked)
+
+    def least(of: dict[int, tuple[float, float, int]]) -> tuple[int, ...]:
+        enough, m = [len(centroids)] * len(SETS), sum(asked for _, _, asked in of.values())
+        share = square = 0.0
+        sums = []
         for probe in range(1, len(centroids) + 1):
-            so_far += found.get(probe, 0)
-            if so_far >= recall * total:
-                return probe
-        return len(centroids)
+            more = of.get(probe, (0.0, 0.0, 0))
+            share, square = share + more[0], square + more[1]
+            sums.append((share, square))
+        for at, size in enumerate(SETS):
+            for probe, (share, square) in enumerate(sums, 1):
+                if m > 1 and share / m - SURE * math.sqrt(max(0.0, square - share * share / m) / (m - 1) * (1 / size + 1 / m)) >= recall:
+                    enough[at] = probe
+                    break
+        return tuple(enough)
 
-    return least(counts.get(None, {})) if questions else len(centroids), {k: least(v) for k, v in counts.items() if k is not None}
+    return least(found.get((True, None), {})), {k: least(v) for (over_all, k), v in found.items() if not over_all and k is not None}
 
 
 def search(
@@ -167,11 +197,16 @@ def search(
     q = asked.where(usable(x) & (F.size(x) == len(index.centroids[0]))).select(F.col(id_col).alias("query_id"), unit(x).alias("q"))
     near = F.array_sort(_angles(F.col("q"), [list(c) for c in index.centroids]))
     probed = q.withColumn("_near", near)
-    own = index.by_source.get(source.strip().lower(), index.cells) if source else index.probes
     if exact:
         found = _opened(spark, index, probed, n, source, others)
     else:
-        pairs = probed.select("query_id", "q", F.explode(F.transform(F.slice("_near", 1, max(1, min(index.cells, probes or own))), lambda a: a["cell"])).alias("cell"))
+        if probes:
+            many = F.lit(max(1, min(index.cells, probes)))
+        else:
+            # a set's size is that of one of different questions whose mean varies as much
+            size = q.groupBy(F.xxhash64("q")).agg(F.count("*").cast("double").alias("c")).agg((F.sum("c") * F.sum("c") / F.sum(F.col("c") * F.col("c"))).alias("_asked"))
+            probed, many = probed.crossJoin(F.broadcast(size)), index.enough(source.strip().lower() if source else None, F.col("_asked"))
+        pairs = probed.select("query_id", "q", F.explode(F.transform(F.slice("_near", F.lit(1), many), lambda a: a["cell"])).alias("cell"))
         found = _scored(spark, index, pairs, n, source, others)
     w = Window.partitionBy("query_id").orderBy("distance", "id")
     ranked = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
